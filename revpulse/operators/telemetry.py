@@ -55,14 +55,14 @@ def counter_increase(samples: DataFrame, minutes: int, step: str | None = None)
         F.sum("delta").alias("delta")
     )
     return per_minute.groupBy(*SERIES, frame.alias("w")).agg(F.sum("delta").alias("increase")).select(
-        *SERIES, F.col("w.end").alias("at"), "increase", (F.col("increase") / float(minutes * 60)).alias("rate")
+        *SERIES, F.col("w.end").alias("window_end"), "increase", (F.col("increase") / float(minutes * 60)).alias("rate")
     )
 
 
 def events_per_minute(samples: DataFrame) -> DataFrame:
     """Counter growth per minute."""
     grown = counter_increase(samples, 1)
-    return grown.select(*SERIES, "at", (F.col("rate") * 60.0).alias("events_per_minute"))
+    return grown.select(*SERIES, "window_end", (F.col("rate") * 60.0).alias("events_per_minute"))
 
 
 def bucket_histogram(df: DataFrame, col: str, bounds: list[float], by: list[str] | None = None) -> DataFrame:
@@ -164,5 +164,5 @@ def error_spike_alert(samples: DataFrame, minutes: int = 15, more_than: float =
 
 def total_alert(samples: DataFrame, more_than: float) -> DataFrame:
     """The newest value of every counter, and whether it is above the limit."""
-    newest = samples.groupBy(*SERIES).agg(F.max_by("value", F.struct("ts", "value")).alias("value"), F.max("ts").alias("at"))
+    newest = samples.groupBy(*SERIES).agg(F.max_by("value", F.struct("ts", "value")).alias("value"), F.max("ts").alias("sampled_at"))
     return newest.withColumn("breach", F.col("value") > more_than)

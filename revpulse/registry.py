@@ -351,7 +351,7 @@ def scored_windows(v):
 @query
 def score_stats(v):
     row = drift.score_stats(drift.scored_windows(v.revenue_metrics, v.anomalies, v.as_of, 31 * 24))
-    return row.select("windows", *[F.round(c, 6).alias(c) for c in ("anomaly_rate", "avg_score", "score_std")])
+    return row.select("windows", *[F.round(c, 8).alias(c) for c in ("anomaly_rate", "avg_score", "score_std")])
 
 
 def _two_slices(v):
@@ -392,9 +392,8 @@ def psi_by_measure(v):
 @query
 def drift_report(v):
     row = drift.drift_report(v.revenue_metrics, v.anomalies, v.as_of)
-    return row.withColumns({
-        c: F.round(c, 6) for c in ("anomaly_rate", "avg_score", "score_std", "psi_revenue", "psi_order_count")
-    })
+    digits = {"anomaly_rate": 8, "avg_score": 8, "score_std": 8, "psi_revenue": 6, "psi_order_count": 6}
+    return row.withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
 def _drift_log(v):

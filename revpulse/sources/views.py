@@ -81,7 +81,7 @@ class Views:
             F.when(broken == 2, F.lit("not a time")).otherwise(stamp).alias("timestamp"),
             "order_id", "product_id", "product_name", "category", "quantity",
             F.col("unit_price").cast("double").alias("unit_price"),
-            (F.col("total_amount").cast("double") + F.when(broken == 3, F.lit(1.0)).otherwise(F.lit(0.0))).alias("total_amount"),
+            (F.col("total_amount") + F.when(broken == 3, F.lit(1)).otherwise(F.lit(0))).cast("double").alias("total_amount"),
             "region", "payment_method",
         ))
         return orders.select(
