@@ -20,6 +20,7 @@ from revpulse.operators import (
 )
 from revpulse.sources import orders, warehouse
 from revpulse.sources.views import Views
+from revpulse.streaming import streams
 
 MONTH = 31 * 24 * 60  # minutes: longer than the test tables, so look-backs cover all of them
 
@@ -803,3 +804,30 @@ def error_spike_alert(v):
 @query
 def total_alert(v):
     return telemetry.total_alert(v.metric_samples, 250.0)
+
+
+# --- streaming: the same tables through Structured Streaming ----------------------------------------
+
+def _drain(v, start):
+    """Runs one streaming query over the events table to its end; returns its sink folder."""
+    folder = warehouse.fresh_path(v.spark, "stream")
+    # As a glob the path may name a single file or a folder of files.
+    events = v.spark.readStream.schema(v.table("events").schema).parquet(f"{v.sf_dir}/events.parque[t]")
+    clean = streams.clean_events(v.orders_from(events).drop("ingested_at"))
+    streams.await_streams([start(clean, f"{folder}/tables", f"{folder}/checkpoints", {"availableNow": True})])
+    return f"{folder}/tables"
+
+
+@query
+def stream_revenue_metrics(v):
+    return streams.current_metrics(v.spark, _drain(v, streams.start_revenue_metrics))
+
+
+@query
+def stream_feature_store(v):
+    return streams.current_features(v.spark, _drain(v, streams.start_revenue_metrics))
+
+
+@query
+def stream_order_events(v):
+    return streams.current_orders(v.spark, _drain(v, streams.start_order_events)).drop("ingested_at")

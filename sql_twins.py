@@ -646,3 +646,10 @@ FROM (SELECT *, max(CASE WHEN breach AND NOT coalesce(was AND was_at + INTERVAL
   FROM (SELECT *, lag(breach) OVER w AS was, lag(window_start) OVER w AS was_at
     FROM (SELECT category, window_start, sum(order_count) < 2 AS breach FROM m GROUP BY ALL)
     WINDOW w AS (PARTITION BY category ORDER BY window_start)))""", "m")
+
+# --- streaming ------------------------------------------------------------------------------------------
+
+query("stream_revenue_metrics", f"SELECT {METRIC} FROM m", "m")
+query("stream_feature_store", "SELECT * FROM f", "f")
+query("stream_order_events", f"""
+SELECT event_id, event_timestamp, {WIRE_COLS}, CAST(total_amount AS DOUBLE) AS total_amount, region, payment_method FROM order_events""", "order_events")
