@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revpulse import fixed
 from revpulse.functions.moments import AsOf, between_lookback, lookback, moment
 from revpulse.operators.detect import WINDOW_KEY
-from revpulse.plans.quantiles import quantiles
+from revpulse.plans.quantiles import quantiles, quantiles_of_counts, value_counts
 
 
 def scored_windows(metrics: DataFrame, anomalies: DataFrame, as_of: AsOf, hours: int = 24) -> DataFrame:
@@ -33,10 +33,14 @@ def score_stats(scored: DataFrame) -> DataFrame:
 
 def percentile_edges(values: DataFrame, col: str, bins: int = 10, by: list[str] | None = None, exact: bool = True) -> DataFrame:
     """One row per ``by``: the distinct, ascending edges of ``bins`` equally filled bins."""
-    by = by or []
+    keys = by or ["__all"]
     keyed = values if by else values.withColumn("__all", F.lit(1))
-    edges = quantiles(keyed, col, [i / bins for i in range(bins + 1)], by or ["__all"], exact)
-    return edges.select(*by, F.array_distinct("quantiles").alias("edges"))
+    edges = quantiles(keyed, col, _shares(bins), keys, exact)
+    return edges.select(*(by or []), F.array_distinct("quantiles").alias("edges"))
+
+
+def _shares(bins: int) -> list[float]:
+    return [i / bins for i in range(bins + 1)]
 
 
 def bin_index(value: Column, edges: Column) -> Column:
@@ -45,14 +49,37 @@ def bin_index(value: Column, edges: Column) -> Column:
     return F.least(below, F.size(edges) - 1) - 1
 
 
-def histogram(samples: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
-    """Rows per ``by`` and bin for ``samples(by…, value, slice)``: counts of both slices."""
-    return samples.join(edges, by).groupBy(*by, bin_index(F.col("value"), F.col("edges")).alias("bin")).agg(
-        F.count_if(F.col("slice") == "expected").alias("expected_rows"),
-        F.count_if(F.col("slice") == "actual").alias("actual_rows"),
+_SLICES = ("expected", "actual")
+
+
+def _slice_counts(samples: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of both slices per distinct value of ``samples(by…, value, slice)``."""
+    return value_counts(samples, "value", by, [
+        F.count("*").alias("all_rows"), *[F.count_if(F.col("slice") == s).alias(f"{s}_rows") for s in _SLICES]
+    ])
+
+
+def _binned(counts: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
+    return counts.join(edges, by).groupBy(*by, bin_index(F.col("value"), F.col("edges")).alias("bin")).agg(
+        *[F.sum(f"{s}_rows").alias(f"{s}_rows") for s in _SLICES]
     )
 
 
+def _edges_of(counts: DataFrame, by: list[str], bins: int, exact: bool) -> DataFrame:
+    if exact:
+        found = quantiles_of_counts(counts, "value", "all_rows", _shares(bins), by)
+    else:
+        found = counts.groupBy(*by).agg(F.percentile_approx("value", _shares(bins), 10000).alias("quantiles"))
+    return found.select(*by, F.array_distinct("quantiles").alias("edges"))
+
+
+def histogram(samples: DataFrame, by: list[str], bins: int = 10, exact: bool = True) -> DataFrame:
+    """Rows per ``by`` and bin for ``samples(by…, value, slice)``, counted for the slices
+    ``expected`` and ``actual`` over edges shared by both."""
+    counts = _slice_counts(samples, by)
+    return _binned(counts, _edges_of(counts, by, bins, exact), by)
+
+
 def psi_by_measure(expected: DataFrame, actual: DataFrame, columns: list[str], bins: int = 10, exact: bool = True) -> DataFrame:
     """(measure, psi) for several columns in one pass.
 
@@ -64,20 +91,16 @@ def psi_by_measure(expected: DataFrame, actual: DataFrame, columns: list[str], b
     ])).alias("m")
 
     def long(df: DataFrame, name: str) -> DataFrame:
-        return df.select(pairs, F.lit(name).alias("slice")).select("m.*", "slice").where(F.col("value").isNotNull())
+        return df.select(pairs, F.lit(name).alias("slice")).select("m.*", "slice")
 
-    samples = long(expected, "expected").unionByName(long(actual, "actual"))
-    edges = percentile_edges(samples, "value", bins, ["measure"], exact)
-    counts = histogram(samples, edges, ["measure"])
-    totals = counts.groupBy("measure").agg(
-        F.sum("expected_rows").alias("n_expected"), F.sum("actual_rows").alias("n_actual")
-    )
+    counts = histogram(long(expected, "expected").unionByName(long(actual, "actual")), ["measure"], bins, exact)
+    whole = Window.partitionBy("measure")  # one row per bin
 
-    def share(rows, n):
-        return F.greatest(F.try_divide(rows, n), F.lit(fixed.PSI_FLOOR))
+    def share(rows):
+        return F.greatest(F.try_divide(F.col(rows), F.sum(rows).over(whole)), F.lit(fixed.PSI_FLOOR))
 
-    e, a = share(F.col("expected_rows"), F.col("n_expected")), share(F.col("actual_rows"), F.col("n_actual"))
-    return counts.join(totals, "measure").groupBy("measure").agg(F.sum((a - e) * F.ln(a / e)).alias("psi"))
+    shares = counts.select("measure", share("expected_rows").alias("e"), share("actual_rows").alias("a"))
+    return shares.groupBy("measure").agg(F.sum((F.col("a") - F.col("e")) * F.ln(F.col("a") / F.col("e"))).alias("psi"))
 
 
 def psi(expected: DataFrame, actual: DataFrame, col: str, bins: int = 10, exact: bool = True) -> DataFrame:

@@ -11,6 +11,7 @@ from revpulse.functions.moments import AsOf, bounded, lookback, window_start
 from revpulse.functions.money import cents, from_cents
 from revpulse.operators.windows import KEY
 from revpulse.plans.per_key import first_per_key
+from revpulse.sources.warehouse import use_shared_checkpoints
 
 
 def by_urgency() -> list[Column]:
@@ -105,7 +106,9 @@ def investigation_bundle(
     most ``limit`` rows, which is what makes broadcasting it safe.  Lines stay rows; nothing
     is gathered into one value.
     """
-    chosen = uninvestigated_anomalies(anomalies, reports, limit).select("anomaly_id", *KEY)
+    use_shared_checkpoints(anomalies.sparkSession)
+    # At most `limit` rows, needed by every section: found once.
+    chosen = uninvestigated_anomalies(anomalies, reports, limit).select("anomaly_id", *KEY).checkpoint()
     small = F.broadcast(chosen)
     recent = lookback(metrics, "window_start", as_of, f"{minutes} MINUTES")
 

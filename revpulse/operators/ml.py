@@ -84,7 +84,8 @@ def train(
 ) -> tuple[GBTClassificationModel, DataFrame]:
     """(model, predictions on the held-out part with ``label`` and ``prediction``)."""
     use_shared_checkpoints(labelled.sparkSession)
-    fit_rows, test_rows = split(labelled, test_size, seed)
+    # Read by the class balance, the training and the evaluation: computed once.
+    fit_rows, test_rows = split(labelled.checkpoint(), test_size, seed)
     balance = class_balance(fit_rows).first()
     if not balance.normal_rows or not balance.anomaly_rows:
         raise ValueError("training data must hold both normal and anomalous windows")

@@ -16,20 +16,15 @@ def consecutive_failures(batch_log: DataFrame, threshold: int = 5) -> DataFrame:
     """Per batch of every sink: failures in a row up to here, failures and batches so far,
     failure rate, and whether the sink counts as healthy.
 
-    Failures in a row = failures so far minus failures so far at the last success, so both
-    are running aggregates and a long history of one sink is scanned in slices.
+    Failures in a row = failures so far minus failures so far at the last success.
     """
-    failed = F.col("failed").cast("bigint")
     counted = running(
-        batch_log, ["sink"], "finished_at", {"total_failures": failed, "total_batches": F.lit(1).cast("bigint")},
-        ties=["batch_id"], span="1 day",
-    )
-    anchored = running(
-        counted, ["sink"], "finished_at", maxima={"__base": F.when(~F.col("failed"), F.col("total_failures"))},
-        ties=["batch_id"], span="1 day",
+        batch_log, ["sink"], "finished_at",
+        {"total_failures": F.col("failed").cast("bigint"), "total_batches": F.lit(1).cast("bigint")},
+        at_last={"__base": ("total_failures", ~F.col("failed"))}, ties=["batch_id"], span="1 day",
     )
     row = F.col("total_failures") - F.coalesce("__base", F.lit(0))
-    return anchored.select(
+    return counted.select(
         "sink", "batch_id", "finished_at", row.alias("consecutive_failures"), "total_failures", "total_batches",
         F.round(F.col("total_failures") / F.col("total_batches"), 4).alias("failure_rate"),
         (row < threshold).alias("healthy"),

@@ -12,21 +12,29 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from revpulse.sources.warehouse import use_shared_checkpoints
+
 _RANGES = 64
 
 
-def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str], exact: bool = True) -> DataFrame:
-    """One row per ``by``: an array with one linearly interpolated quantile per probability."""
-    if not exact:
-        return df.groupBy(*by).agg(F.percentile_approx(value, list(probs), 10000).alias("quantiles"))
+def value_counts(df: DataFrame, value: str, by: Sequence[str], counts: Sequence[Column]) -> DataFrame:
+    """Rows per ``by`` and distinct value, written to the checkpoint folder.
 
-    counts = (
-        df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
-    )
-    cuts = counts.groupBy(*by).agg(
+    The steps below read this table several times; without the cut each would run the
+    caller's whole plan again.
+    """
+    use_shared_checkpoints(df.sparkSession)
+    return df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(*counts).checkpoint()
+
+
+def quantiles_of_counts(counts: DataFrame, value: str, n: str, probs: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """One row per ``by``: an array with one linearly interpolated quantile per probability, from
+    distinct values and how often each occurs."""
+    rows = counts.select(*by, F.col(value).alias("__v"), F.col(n).alias("__n"))
+    cuts = rows.groupBy(*by).agg(
         F.percentile_approx("__v", [i / _RANGES for i in range(1, _RANGES)], 1000).alias("__cuts")
     )
-    ranged = counts.join(cuts, list(by)).withColumn(
+    ranged = rows.join(cuts, list(by)).withColumn(
         "__range", F.size(F.filter("__cuts", lambda c: c < F.col("__v")))
     ).drop("__cuts")
 
@@ -69,3 +77,12 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[st
         return low + (high - low) * (h - F.floor(h))
 
     return picked.select(*by, F.transform("__at", interpolate).alias("quantiles"))
+
+
+def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str], exact: bool = True) -> DataFrame:
+    """One row per ``by`` (at least one column) with an array of quantiles; ``exact=False`` takes
+    Spark's sketch."""
+    if not exact:
+        return df.groupBy(*by).agg(F.percentile_approx(value, list(probs), 10000).alias("quantiles"))
+    counts = value_counts(df, value, by, [F.count("*").alias("__rows")])
+    return quantiles_of_counts(counts, value, "__rows", probs, by)

@@ -375,7 +375,7 @@ def histogram(v):
         return df.select("category", F.col("total_revenue").cast("double").alias("value"), F.lit(name).alias("slice"))
 
     samples = long(older, "expected").unionByName(long(newer, "actual"))
-    return drift.histogram(samples, drift.percentile_edges(samples, "value", by=["category"]), ["category"])
+    return drift.histogram(samples, ["category"])
 
 
 @query
