@@ -28,31 +28,41 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def _extract(text: Column, flags: str, pattern: str, must_contain: str) -> Column:
+    """First group of a pattern, empty when absent.
+
+    Every match contains ``must_contain``, and finding a literal is far cheaper than
+    starting the pattern at each character of a long text.
+    """
+    return F.when(text.contains(must_contain), F.regexp_extract(text, flags + pattern, 1)).otherwise(F.lit(""))
+
+
 def report_body(text: Column) -> Column:
     """The marked block of a report, or the whole text when there is none."""
     pattern = _BLOCKS + fixed.REPORT_BLOCK
-    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1)).otherwise(text)
+    marked = text.contains("ANOMALY_REPORT_START") & text.rlike(pattern)
+    return F.when(marked, F.regexp_extract(text, pattern, 1)).otherwise(text)
 
 
 def report_confidence(body: Column) -> Column:
     """Stated confidence in 0..1 (85 means 0.85); null when absent."""
-    value = F.regexp_extract(body, _LINES + fixed.REPORT_CONFIDENCE, 1).try_cast("double")
+    value = _extract(body, _LINES, fixed.REPORT_CONFIDENCE, "onfidence").try_cast("double")
     share = F.when(value > 1.0, value / 100.0).otherwise(value)
     return F.when(value.isNotNull(), F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)))
 
 
 def report_loss(body: Column) -> Column:
     """Stated loss; null when absent or not a number."""
-    value = F.regexp_extract(body, _LINES + fixed.REPORT_LOSS, 1)
+    value = _extract(body, _LINES, fixed.REPORT_LOSS, "stimated")
     return F.replace(value, F.lit(","), F.lit("")).try_cast("double")
 
 
 def report_cause(body: Column) -> Column:
-    return squeeze(F.regexp_extract(body, _BLOCKS + fixed.REPORT_CAUSE, 1))
+    return squeeze(_extract(body, _BLOCKS, fixed.REPORT_CAUSE, "oot"))
 
 
 def report_action(body: Column) -> Column:
-    return squeeze(F.regexp_extract(body, _BLOCKS + fixed.REPORT_ACTION, 1))
+    return squeeze(_extract(body, _BLOCKS, fixed.REPORT_ACTION, "ecommended"))
 
 
 def last_long_paragraph(text: Column) -> Column:

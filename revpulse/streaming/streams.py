@@ -3,6 +3,9 @@
 The sinks are batch-numbered folders (see ``write_batch``): a replayed micro-batch replaces
 its own output, and readers take the newest row per key.  Errors are not swallowed; a failed
 batch stops its query and is replayed on restart.
+
+A sink runs the micro-batch exactly once, as one write.  Asking first whether the batch is
+empty would run the stateful plan a second time; follow-up steps look at what was written.
 """
 
 from __future__ import annotations
@@ -41,8 +44,6 @@ def _start(frame: DataFrame, sink, mode: str, name: str, checkpoint_dir: str, tr
 def start_order_events(events: DataFrame, sink_dir: str, checkpoint_dir: str, trigger: dict) -> StreamingQuery:
     """Appends clean events by month."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
         write_batch(with_month(batch.withColumn("ingested_at", F.current_timestamp())), f"{sink_dir}/order_events", batch_id, ["event_month"])
 
     return _start(events, sink, "append", "order_events", checkpoint_dir, trigger)
@@ -51,8 +52,6 @@ def start_order_events(events: DataFrame, sink_dir: str, checkpoint_dir: str, tr
 def start_dead_letters(dead: DataFrame, sink_dir: str, checkpoint_dir: str, trigger: dict) -> StreamingQuery:
     """Keeps rejected messages.  Stateless, so it never waits for a watermark."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
         write_batch(batch, f"{sink_dir}/dlq_events", batch_id)
 
     return _start(dead, sink, "append", "dlq_events", checkpoint_dir, trigger)
@@ -67,6 +66,8 @@ def refresh_features(spark: SparkSession, sink_dir: str, batch_id: int) -> None:
     """
     changed = spark.read.parquet(f"{sink_dir}/revenue_metrics/batch_id={batch_id}")
     low, high = changed.agg(F.min("window_end"), F.max("window_end")).first()
+    if low is None:
+        return
     last = high + _HOUR - _STEP
     metrics = read_latest(spark, f"{sink_dir}/revenue_metrics", METRIC_KEYS).where(
         (F.col("window_end") > F.lit(low - _HOUR)) & (F.col("window_end") <= F.lit(last))
@@ -82,8 +83,6 @@ def refresh_features(spark: SparkSession, sink_dir: str, batch_id: int) -> None:
 def start_revenue_metrics(events: DataFrame, sink_dir: str, checkpoint_dir: str, trigger: dict) -> StreamingQuery:
     """Upserts changed 5-minute windows and the feature rows that depend on them."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
         write_batch(batch, f"{sink_dir}/revenue_metrics", batch_id)
         refresh_features(batch.sparkSession, sink_dir, batch_id)
 
