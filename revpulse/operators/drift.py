@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from revpulse import fixed
 from revpulse.functions.moments import AsOf, between_lookback, lookback, moment
 from revpulse.operators.detect import WINDOW_KEY
-from revpulse.plans.quantiles import quantiles, quantiles_of_counts, value_counts
+from revpulse.plans.quantiles import quantiles, quantiles_of_counts, short_side, value_counts
 
 
 def scored_windows(metrics: DataFrame, anomalies: DataFrame, as_of: AsOf, hours: int = 24) -> DataFrame:
@@ -35,7 +35,7 @@ def percentile_edges(values: DataFrame, col: str, bins: int = 10, by: list[str]
     """One row per ``by``: the distinct, ascending edges of ``bins`` equally filled bins."""
     keys = by or ["__all"]
     keyed = values if by else values.withColumn("__all", F.lit(1))
-    edges = quantiles(keyed, col, _shares(bins), keys, exact)
+    edges = quantiles(keyed, col, _shares(bins), keys, exact, few_groups=not by)
     return edges.select(*(by or []), F.array_distinct("quantiles").alias("edges"))
 
 
@@ -59,25 +59,25 @@ def _slice_counts(samples: DataFrame, by: list[str]) -> DataFrame:
     ])
 
 
-def _binned(counts: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
-    return counts.join(edges, by).groupBy(*by, bin_index(F.col("value"), F.col("edges")).alias("bin")).agg(
+def _binned(counts: DataFrame, edges: DataFrame, by: list[str], few_groups: bool) -> DataFrame:
+    return counts.join(short_side(edges, few_groups), by).groupBy(*by, bin_index(F.col("value"), F.col("edges")).alias("bin")).agg(
         *[F.sum(f"{s}_rows").alias(f"{s}_rows") for s in _SLICES]
     )
 
 
-def _edges_of(counts: DataFrame, by: list[str], bins: int, exact: bool) -> DataFrame:
+def _edges_of(counts: DataFrame, by: list[str], bins: int, exact: bool, few_groups: bool) -> DataFrame:
     if exact:
-        found = quantiles_of_counts(counts, "value", "all_rows", _shares(bins), by)
+        found = quantiles_of_counts(counts, "value", "all_rows", _shares(bins), by, few_groups)
     else:
         found = counts.groupBy(*by).agg(F.percentile_approx("value", _shares(bins), 10000).alias("quantiles"))
     return found.select(*by, F.array_distinct("quantiles").alias("edges"))
 
 
-def histogram(samples: DataFrame, by: list[str], bins: int = 10, exact: bool = True) -> DataFrame:
+def histogram(samples: DataFrame, by: list[str], bins: int = 10, exact: bool = True, few_groups: bool = False) -> DataFrame:
     """Rows per ``by`` and bin for ``samples(by…, value, slice)``, counted for the slices
     ``expected`` and ``actual`` over edges shared by both."""
     counts = _slice_counts(samples, by)
-    return _binned(counts, _edges_of(counts, by, bins, exact), by)
+    return _binned(counts, _edges_of(counts, by, bins, exact, few_groups), by, few_groups)
 
 
 def psi_by_measure(expected: DataFrame, actual: DataFrame, columns: list[str], bins: int = 10, exact: bool = True) -> DataFrame:
@@ -93,7 +93,7 @@ def psi_by_measure(expected: DataFrame, actual: DataFrame, columns: list[str], b
     def long(df: DataFrame, name: str) -> DataFrame:
         return df.select(pairs, F.lit(name).alias("slice")).select("m.*", "slice")
 
-    counts = histogram(long(expected, "expected").unionByName(long(actual, "actual")), ["measure"], bins, exact)
+    counts = histogram(long(expected, "expected").unionByName(long(actual, "actual")), ["measure"], bins, exact, few_groups=True)
     whole = Window.partitionBy("measure")  # one row per bin
 
     def share(rows):

@@ -27,14 +27,26 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str], counts: Sequence[
     return df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(*counts).checkpoint()
 
 
-def quantiles_of_counts(counts: DataFrame, value: str, n: str, probs: Sequence[float], by: Sequence[str]) -> DataFrame:
+def short_side(df: DataFrame, few_groups: bool) -> DataFrame:
+    """A frame with one short row per group, to be joined to all values.
+
+    With few groups for certain (a fixed list of measures) it is broadcast, and the values
+    stay where they are.  Otherwise the join is left to Spark, which measures the side at run
+    time and splits a group that is too large.
+    """
+    return F.broadcast(df) if few_groups else df
+
+
+def quantiles_of_counts(
+    counts: DataFrame, value: str, n: str, probs: Sequence[float], by: Sequence[str], few_groups: bool = False,
+) -> DataFrame:
     """One row per ``by``: an array with one linearly interpolated quantile per probability, from
     distinct values and how often each occurs."""
     rows = counts.select(*by, F.col(value).alias("__v"), F.col(n).alias("__n"))
     cuts = rows.groupBy(*by).agg(
         F.percentile_approx("__v", [i / _RANGES for i in range(1, _RANGES)], 1000).alias("__cuts")
     )
-    ranged = rows.join(cuts, list(by)).withColumn(
+    ranged = rows.join(short_side(cuts, few_groups), list(by)).withColumn(
         "__range", F.size(F.filter("__cuts", lambda c: c < F.col("__v")))
     ).drop("__cuts")
 
@@ -61,7 +73,7 @@ def quantiles_of_counts(counts: DataFrame, value: str, n: str, probs: Sequence[f
     )
     # Two values per probability at most.
     picked = (
-        ranged.join(wanted, [*by, "__range"])
+        ranged.join(short_side(wanted, few_groups), [*by, "__range"])
         .withColumn("__end", F.col("__before") + F.sum("__n").over(inside))
         .withColumn("__hit", F.filter("__ranks", lambda r: (r >= F.col("__end") - F.col("__n")) & (r < F.col("__end"))))
         .select(*by, "__at", "__v", F.explode("__hit").alias("__rank"))
@@ -79,10 +91,12 @@ def quantiles_of_counts(counts: DataFrame, value: str, n: str, probs: Sequence[f
     return picked.select(*by, F.transform("__at", interpolate).alias("quantiles"))
 
 
-def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str], exact: bool = True) -> DataFrame:
+def quantiles(
+    df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str], exact: bool = True, few_groups: bool = False,
+) -> DataFrame:
     """One row per ``by`` (at least one column) with an array of quantiles; ``exact=False`` takes
     Spark's sketch."""
     if not exact:
         return df.groupBy(*by).agg(F.percentile_approx(value, list(probs), 10000).alias("quantiles"))
     counts = value_counts(df, value, by, [F.count("*").alias("__rows")])
-    return quantiles_of_counts(counts, value, "__rows", probs, by)
+    return quantiles_of_counts(counts, value, "__rows", probs, by, few_groups)

@@ -415,6 +415,14 @@ def latest_drift(v):
     return drift.latest_drift(_drift_log(v))
 
 
+@query
+def log_drift(v):
+    path = warehouse.fresh_path(v.spark, "drift-log")
+    for hours in (24, 48):
+        warehouse.append_rows(drift.drift_report(v.revenue_metrics, v.anomalies, v.as_of, hours), path)
+    return warehouse.read_warehouse(v.spark, path).select("measured_at", "window_hours", "drift_flag", "notes")
+
+
 # --- investigation ----------------------------------------------------------------------------
 
 def _reports_of_delhi(v):
@@ -818,6 +826,16 @@ def _drain(v, start):
     return f"{folder}/tables"
 
 
+@query
+def stream_dead_letters(v):
+    folder = warehouse.fresh_path(v.spark, "stream")
+    v.order_wire.select("value").write.text(f"{folder}/messages")
+    checked = ingest.validate_events(orders.parse_order_events(orders.read_order_stream(v.spark, f"{folder}/messages")))
+    _, dead = ingest.route_dead_letters(checked)
+    streams.await_streams([streams.start_dead_letters(dead, f"{folder}/tables", f"{folder}/checkpoints", {"availableNow": True})])
+    return warehouse.read_warehouse(v.spark, f"{folder}/tables/dlq_events").select("dlq_id", "event_data", "error", "retry_count", "resolved")
+
+
 @query
 def stream_revenue_metrics(v):
     return streams.current_metrics(v.spark, _drain(v, streams.start_revenue_metrics))

@@ -249,14 +249,13 @@ query("merge_features", "SELECT * FROM f", "f")
 # --- keyed tables --------------------------------------------------------------------------
 
 query("upsert", f"""
-WITH_SPLIT
 SELECT coalesce(n.window_start, o.window_start) AS window_start, coalesce(n.window_end, o.window_end) AS window_end,
   coalesce(n.category, o.category) AS category, coalesce(n.region, o.region) AS region,
   coalesce(n.order_count + 1, o.order_count) AS order_count, coalesce(n.total_revenue, o.total_revenue) AS total_revenue,
   coalesce(n.avg_order_value, o.avg_order_value) AS avg_order_value
 FROM (SELECT * FROM m WHERE window_start < {AS_OF} - INTERVAL '10 days') o
 FULL JOIN (SELECT * FROM m WHERE window_start >= {AS_OF} - INTERVAL '17 days') n
-  ON o.window_start = n.window_start AND o.category = n.category AND o.region = n.region""".replace("WITH_SPLIT\n", ""), "m")
+  ON o.window_start = n.window_start AND o.category = n.category AND o.region = n.region""", "m")
 query("upsert_partial", f"""
 SELECT coalesce(n.computed_at, o.computed_at) AS computed_at, coalesce(n.category, o.category) AS category,
   coalesce(n.region, o.region) AS region, coalesce(n.revenue_last_5m * 2, o.revenue_last_5m) AS revenue_last_5m,
@@ -379,13 +378,15 @@ query("psi", f"SELECT psi FROM ({psi_sql(ONE, 'measure')})", "slices")
 query("psi_by_measure", psi_sql(
     ONE + " UNION ALL SELECT 'order_count', CAST(order_count AS DOUBLE), slice FROM slices"
     " UNION ALL SELECT 'avg_order_value', avg_order_value, slice FROM slices", "measure"), "slices")
-cte("drift_slices", f"""
-SELECT *, CASE WHEN window_start >= {AS_OF} - INTERVAL '24 hours' THEN 'actual' ELSE 'expected' END AS slice
+def drift_sql(hours: int) -> str:
+    cte(f"drift_slices_{hours}", f"""
+SELECT *, CASE WHEN window_start >= {AS_OF} - INTERVAL '{hours} hours' THEN 'actual' ELSE 'expected' END AS slice
 FROM m WHERE window_start >= {AS_OF} - INTERVAL '7 days'""", "m")
-cte("drift_psi", psi_sql(
-    "SELECT 'total_revenue' AS measure, total_revenue AS v, slice FROM drift_slices"
-    " UNION ALL SELECT 'order_count', CAST(order_count AS DOUBLE), slice FROM drift_slices", "measure"), "drift_slices")
-query("drift_report", f"""
+    cte(f"drift_psi_{hours}", psi_sql(
+        f"SELECT 'total_revenue' AS measure, total_revenue AS v, slice FROM drift_slices_{hours}"
+        f" UNION ALL SELECT 'order_count', CAST(order_count AS DOUBLE), slice FROM drift_slices_{hours}", "measure"), f"drift_slices_{hours}")
+    enough = f"(SELECT count(*) FROM drift_slices_{hours} WHERE slice = 'expected') >= 50"
+    cte(f"drift_{hours}", f"""
 SELECT measured_at, window_hours, round(rate, 8) AS anomaly_rate, round(mean_score, 8) AS avg_score, round(std, 8) AS score_std,
   psi_revenue, psi_order_count, notes <> '' AS drift_flag, nullif(notes, '') AS notes
 FROM (SELECT *, concat_ws('; ',
@@ -393,11 +394,18 @@ FROM (SELECT *, concat_ws('; ',
     CASE WHEN psi_order_count > 0.2 THEN format('Order count distribution shift: PSI={{:.3f}}', psi_order_count) END,
     CASE WHEN abs(rate - 0.05) > 0.15 THEN format('Anomaly rate {{:.1f}}% far from expected 5.0%', rate * 100) END,
     CASE WHEN std < 0.01 THEN format('Score distribution collapsed: std={{:.4f}}', std) END) AS notes
-  FROM (SELECT {AS_OF} AS measured_at, 24 AS window_hours, count(*) AS n, avg(CASE WHEN anomaly_score > 0.5 THEN 1.0::DOUBLE ELSE 0 END) AS rate,
+  FROM (SELECT {AS_OF} AS measured_at, {hours} AS window_hours, count(*) AS n, avg(CASE WHEN anomaly_score > 0.5 THEN 1.0::DOUBLE ELSE 0 END) AS rate,
       avg(anomaly_score) AS mean_score, stddev_samp(anomaly_score) AS std,
-      CASE WHEN (SELECT count(*) FROM drift_slices WHERE slice = 'expected') >= 50 THEN (SELECT psi FROM drift_psi WHERE measure = 'total_revenue') END AS psi_revenue,
-      CASE WHEN (SELECT count(*) FROM drift_slices WHERE slice = 'expected') >= 50 THEN (SELECT psi FROM drift_psi WHERE measure = 'order_count') END AS psi_order_count
-    FROM scored WHERE window_start >= {AS_OF} - INTERVAL '24 hours') WHERE n >= 50)""", "scored", "drift_psi")
+      CASE WHEN {enough} THEN (SELECT psi FROM drift_psi_{hours} WHERE measure = 'total_revenue') END AS psi_revenue,
+      CASE WHEN {enough} THEN (SELECT psi FROM drift_psi_{hours} WHERE measure = 'order_count') END AS psi_order_count
+    FROM scored WHERE window_start >= {AS_OF} - INTERVAL '{hours} hours') WHERE n >= 50)""", "scored", f"drift_psi_{hours}")
+    return f"drift_{hours}"
+
+
+query("drift_report", f"SELECT * FROM {drift_sql(24)}", "drift_24")
+query("log_drift", f"""
+SELECT measured_at, window_hours, drift_flag, notes FROM drift_24
+UNION ALL SELECT measured_at, window_hours, drift_flag, notes FROM {drift_sql(48)}""", "drift_24", "drift_48")
 query("latest_drift", """
 SELECT measured_at, anomaly_rate, avg_score, score_std, psi_revenue, drift_flag, notes,
   CASE WHEN psi_revenue > 0.2 THEN 'High drift' WHEN psi_revenue > 0.1 THEN 'Monitor' END AS psi_label
@@ -649,6 +657,7 @@ FROM (SELECT *, max(CASE WHEN breach AND NOT coalesce(was AND was_at + INTERVAL
 
 # --- streaming ------------------------------------------------------------------------------------------
 
+query("stream_dead_letters", SQL["route_dead_letters"])
 query("stream_revenue_metrics", f"SELECT {METRIC} FROM m", "m")
 query("stream_feature_store", "SELECT * FROM f", "f")
 query("stream_order_events", f"""
