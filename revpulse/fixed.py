@@ -91,3 +91,31 @@ PRODUCE_BOUNDS = [0.001, 0.005, 0.01, 0.05, 0.1, 0.5, 1.0]
 SCORING_BOUNDS = [0.01, 0.05, 0.1, 0.5, 1.0, 5.0]
 REPORT_BOUNDS = [1.0, 5.0, 10.0, 30.0, 60.0, 120.0, 300.0]
 BATCH_BOUNDS = [0.1, 0.5, 1.0, 5.0, 10.0, 30.0]
+
+# --- Where the orders of a zone are kept; anything else goes to the default ---------------
+REGION_SHARDS = {
+    "North-India": "postgres-east",
+    "South-India": "postgres-south",
+    "West-India": "postgres-west",
+    "East-India": "postgres-east2",
+    "Central-India": "postgres-central",
+}
+DEFAULT_SHARD = "postgres"
+
+# --- Wording that readers of alerts, drift notes and evidence rely on ---------------------
+ALERT_TEXT = (
+    "🚨 *CRITICAL ANOMALY DETECTED*\n"
+    "Category: %s | Region: %s\n"
+    "Actual: ₹%.2f vs Expected: ₹%.2f\n"
+    "Score: %.3f\n"
+)
+DRIFT_NOTES = {
+    "revenue": "Revenue distribution shift: PSI=%.3f",
+    "orders": "Order count distribution shift: PSI=%.3f",
+    "rate": "Anomaly rate %.1f%% far from expected %.1f%%",
+    "collapse": "Score distribution collapsed: std=%.4f",
+}
+SECTIONS = [
+    "Revenue by Category", "Revenue by Region", "Product Order Volume",
+    "Feature Snapshot", "Recent Order Trend", "Payment Breakdown",
+]

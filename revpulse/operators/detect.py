@@ -93,14 +93,6 @@ def detection_job(
 
 def critical_alerts(anomalies: DataFrame) -> DataFrame:
     """One message per critical anomaly."""
-    def figure(c):
-        return F.format_string("₹%.2f", F.col(c).cast("double"))
-
-    message = F.concat(
-        F.lit("🚨 *CRITICAL ANOMALY DETECTED*\nCategory: "), F.col("category"),
-        F.lit(" | Region: "), F.col("region"),
-        F.lit("\nActual: "), figure("actual_revenue"),
-        F.lit(" vs Expected: "), figure("expected_revenue"),
-        F.lit("\nScore: "), F.format_string("%.3f", F.col("anomaly_score").cast("double")), F.lit("\n"),
-    )
+    figures = [F.col(c).cast("double") for c in ("actual_revenue", "expected_revenue", "anomaly_score")]
+    message = F.format_string(fixed.ALERT_TEXT, F.col("category"), F.col("region"), *figures)
     return anomalies.where(F.col("severity") == "critical").select("anomaly_id", "detected_at", message.alias("text"))

@@ -135,16 +135,13 @@ def drift_report(
     )
 
     rate, std = F.col("anomaly_rate"), F.col("score_std")
+    wording = fixed.DRIFT_NOTES
     notes = [
-        (F.col("psi_revenue") > fixed.DRIFT_PSI_LIMIT,
-         F.format_string("Revenue distribution shift: PSI=%.3f", F.col("psi_revenue"))),
-        (F.col("psi_order_count") > fixed.DRIFT_PSI_LIMIT,
-         F.format_string("Order count distribution shift: PSI=%.3f", F.col("psi_order_count"))),
+        (F.col("psi_revenue") > fixed.DRIFT_PSI_LIMIT, F.format_string(wording["revenue"], F.col("psi_revenue"))),
+        (F.col("psi_order_count") > fixed.DRIFT_PSI_LIMIT, F.format_string(wording["orders"], F.col("psi_order_count"))),
         (F.abs(rate - fixed.DRIFT_EXPECTED_RATE) > fixed.DRIFT_RATE_TOLERANCE,
-         F.format_string(
-             "Anomaly rate %.1f%% far from expected %.1f%%", rate * 100, F.lit(fixed.DRIFT_EXPECTED_RATE * 100))),
-        (std < fixed.DRIFT_MIN_SCORE_STD,
-         F.format_string("Score distribution collapsed: std=%.4f", std)),
+         F.format_string(wording["rate"], rate * 100, F.lit(fixed.DRIFT_EXPECTED_RATE * 100))),
+        (std < fixed.DRIFT_MIN_SCORE_STD, F.format_string(wording["collapse"], std)),
     ]
     found = F.concat_ws("; ", *[F.when(test, text) for test, text in notes])
     return report.withColumn("drift_flag", found != "").withColumn("notes", F.when(found != "", found))

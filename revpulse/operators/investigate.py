@@ -135,16 +135,17 @@ def investigation_bundle(
     payments = payment_breakdown(events, as_of, minutes).select("*", everyone)
     total = F.concat(F.lit("revenue="), text.rupees(F.col("total_revenue")))
 
+    names = fixed.SECTIONS
     parts = [
-        section("Revenue by Category", recent.join(small.select("anomaly_id", "category"), "category"),
+        section(names[0], recent.join(small.select("anomaly_id", "category"), "category"),
                 F.concat_ws("|", stamp("window_start"), "region"), metric_line("region")),
-        section("Revenue by Region", recent.join(small.select("anomaly_id", "region"), "region"),
+        section(names[1], recent.join(small.select("anomaly_id", "region"), "region"),
                 F.concat_ws("|", stamp("window_start"), "category"), metric_line("category")),
-        section("Product Order Volume", products.join(small.select("anomaly_id", "category"), "category"),
+        section(names[2], products.join(small.select("anomaly_id", "category"), "category"),
                 F.col("product_id"),
                 F.concat_ws(" | ", F.concat_ws(" ", "product_id", "product_name"),
                             F.concat(F.lit("orders="), F.col("order_count"), F.lit(" units="), F.col("total_units")), total)),
-        section("Feature Snapshot", snapshot.join(small, KEY), stamp("computed_at"), F.concat_ws(
+        section(names[3], snapshot.join(small, KEY), stamp("computed_at"), F.concat_ws(
             " | ", stamp("computed_at"),
             F.concat(F.lit("rev 5m="), text.rupees(F.col("revenue_last_5m")),
                      F.lit(" 15m="), text.rupees(F.col("revenue_last_15m")),
@@ -154,10 +155,10 @@ def investigation_bundle(
             F.concat(F.lit("avg="), text.rupees(F.col("avg_order_value_last_15m"))),
             F.concat(F.lit("trend="), F.format_string("%.2f", F.col("revenue_trend_pct")), F.lit(" ("), F.col("trend"), F.lit(")")),
         )),
-        section("Recent Order Trend", trend, stamp("minute"), F.concat_ws(
+        section(names[4], trend, stamp("minute"), F.concat_ws(
             " | ", stamp("minute"), F.concat(F.lit("orders="), F.col("orders")),
             F.concat(F.lit("revenue="), text.rupees(F.col("revenue"))))),
-        section("Payment Breakdown", payments, F.col("payment_method"), F.concat_ws(
+        section(names[5], payments, F.col("payment_method"), F.concat_ws(
             " | ", F.rpad("payment_method", 25, " "), F.concat(F.lit("orders="), F.col("order_count")), total)),
     ]
     bundle = parts[0]

@@ -48,10 +48,13 @@ def features(events: DataFrame, window: str, slide: str = "5 minutes") -> DataFr
     )
 
 
-def trend_ratio(revenue_5m: Column, revenue_15m: Column) -> Column:
-    """Last five minutes against the mean five minutes of the last fifteen; our definition."""
+def trend_ratio(cents_5m: Column, cents_15m: Column) -> Column:
+    """Last five minutes against the mean five minutes of the last fifteen; our definition.
+
+    Whole cents, so that both ways to build the table round the same quotient.
+    """
     return F.when(
-        revenue_15m > 0, F.round(revenue_5m.cast("double") * 3.0 / revenue_15m.cast("double"), 4)
+        cents_15m > 0, F.round(cents_5m.cast("double") * 3.0 / cents_15m.cast("double"), 4)
     ).otherwise(F.lit(0.0))
 
 
@@ -99,7 +102,7 @@ def merge_features(parts: list[DataFrame], legacy_trend: bool = False) -> DataFr
     merged = stacked.groupBy(*keys).agg(
         *[F.coalesce(F.max(c), F.lit(0).cast(stacked.schema[c].dataType)).alias(c) for c in FEATURE_COLUMNS]
     )
-    ratio = F.lit(0.0) if legacy_trend else trend_ratio(F.col("revenue_last_5m"), F.col("revenue_last_15m"))
+    ratio = F.lit(0.0) if legacy_trend else trend_ratio(cents("revenue_last_5m"), cents("revenue_last_15m"))
     return merged.withColumn("revenue_trend_pct", ratio)
 
 

@@ -8,20 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revpulse import schemas
+from revpulse import fixed, schemas
 
 _RELAXED = ("development", "local", "test")
 
-# Where the orders of a zone are kept; anything else goes to the default.
-REGION_SHARDS = {
-    "North-India": "postgres-east",
-    "South-India": "postgres-south",
-    "West-India": "postgres-west",
-    "East-India": "postgres-east2",
-    "Central-India": "postgres-central",
-}
-DEFAULT_SHARD = "postgres"
-
 
 def kafka_options(servers: str, topic: str = "order_events", *, env: str = "development",
                   starting: str | None = None, max_per_trigger: int = 10000) -> dict[str, str]:
@@ -82,7 +72,7 @@ def partition_by_region(events: DataFrame) -> DataFrame:
     return events.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def shard_of(region: Column, shards: Mapping[str, str] = REGION_SHARDS, default: str = DEFAULT_SHARD) -> Column:
+def shard_of(region: Column, shards: Mapping[str, str] = fixed.REGION_SHARDS, default: str = fixed.DEFAULT_SHARD) -> Column:
     """Name of the store that holds a region."""
     pairs = [F.lit(x) for pair in shards.items() for x in pair]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), region), F.lit(default))
