@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from revpulse import fixed
 from revpulse.functions import seasonal
+from revpulse.plans.once import computed_once
 
 
 def lookup_dims(df: DataFrame) -> DataFrame:
@@ -36,17 +37,18 @@ def add_calendar(df: DataFrame) -> DataFrame:
 
 def engineer_features(metrics: DataFrame) -> DataFrame:
     """Adds calendar, codes, factors, expected revenue and the ratio of actual to expected."""
-    wide = add_calendar(lookup_dims(metrics)).withColumn(
-        "expected_revenue",
-        seasonal.expected_revenue(
-            F.col("base_revenue"), F.col("region_weight"), F.col("hour_factor"), F.col("dow_factor")
-        ),
-    )
-    return wide.withColumn(
-        "revenue_ratio", seasonal.revenue_ratio(F.col("total_revenue"), F.col("expected_revenue"))
+    wide = _with_expected(metrics)
+    return computed_once(
+        wide, "revenue_ratio", seasonal.revenue_ratio(F.col("total_revenue"), F.col("expected_revenue"))
     )
 
 
+def _with_expected(df: DataFrame) -> DataFrame:
+    wide = add_calendar(lookup_dims(df))
+    factors = [F.col(c) for c in ("base_revenue", "region_weight", "hour_factor", "dow_factor")]
+    return computed_once(wide, "expected_revenue", seasonal.expected_revenue(*factors))
+
+
 def window_grid(spark: SparkSession, start: dt.datetime, days: int = 30) -> DataFrame:
     """Every 5-minute window of ``days`` days for every category and region.
 
@@ -65,9 +67,4 @@ def window_grid(spark: SparkSession, start: dt.datetime, days: int = 30) -> Data
 
 def expected_grid(spark: SparkSession, start: dt.datetime, days: int = 30) -> DataFrame:
     """The grid with its calendar and expected revenue."""
-    return add_calendar(lookup_dims(window_grid(spark, start, days))).withColumn(
-        "expected_revenue",
-        seasonal.expected_revenue(
-            F.col("base_revenue"), F.col("region_weight"), F.col("hour_factor"), F.col("dow_factor")
-        ),
-    )
+    return _with_expected(window_grid(spark, start, days))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revpulse import fixed, schemas
+from revpulse.plans.once import computed_once
 
 _RELAXED = ("development", "local", "test")
 
@@ -49,9 +50,7 @@ def parse_order_events(raw: DataFrame, schema=schemas.ORDER_SCHEMA, keep: Sequen
     stays in ``_corrupt_record``; nothing is dropped here.  ``keep`` names further input columns."""
     wide = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
     data = F.from_json("value", wide, {"columnNameOfCorruptRecord": "_corrupt_record"})
-    # Exploding a one-element array keeps the optimizer from copying the parser into every
-    # later filter and column: each message is parsed once.
-    flat = raw.select(F.explode(F.array(data)).alias("data"), "value", *keep).select("data.*", "value", *keep)
+    flat = computed_once(raw.select("value", *keep), "data", data).select("data.*", "value", *keep)
     return flat.select(
         "event_id", "event_type",
         F.try_to_timestamp("timestamp").alias("event_timestamp"),
