@@ -679,7 +679,7 @@ def window_gaps(v):
 
 @query
 def window_gaps_filled(v):
-    return lifecycle.window_gaps(v.revenue_metrics.where(F.hour("window_start") % 5 != 0), 48, fill=True)
+    return lifecycle.window_gaps(v.revenue_metrics, 48, fill=True)
 
 
 def _tables(v, anomalies=None):

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revpulse import schemas
@@ -104,10 +104,15 @@ def read_latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFram
     return first_per_key(rows, keys, [F.desc("batch_id")]).drop("batch_id")
 
 
-def compact_batches(spark: SparkSession, path: str, new_path: str, keys: Sequence[str]) -> None:
-    """Rewrites the batch folders as one, in a new place; readers switch to it afterwards."""
+def compact_batches(spark: SparkSession, path: str, new_path: str, keys: Sequence[str], keep: Column | None = None) -> None:
+    """Rewrites the current rows in a new place; readers switch to it afterwards.
+
+    ``keep`` drops expired rows on the way, such as feature rows older than two hours.
+    """
     rows = spark.read.parquet(path)
     newest = first_per_key(rows, keys, [F.desc("batch_id")])
+    if keep is not None:
+        newest = newest.where(keep)
     newest.write.mode("errorifexists").partitionBy("batch_id").parquet(new_path)
 
 

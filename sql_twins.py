@@ -569,8 +569,8 @@ query("window_gaps", "SELECT date_trunc('hour', window_start)::TIMESTAMP AS hour
 query("window_gaps_filled", """
 SELECT h AS hour, count(c.window_start) AS windows
 FROM (SELECT unnest(generate_series(max(date_trunc('hour', window_start))::TIMESTAMP - INTERVAL '47 hours', max(date_trunc('hour', window_start))::TIMESTAMP, INTERVAL '1 hour')) AS h
-      FROM m WHERE hour(window_start) % 5 <> 0)
-LEFT JOIN (SELECT * FROM m WHERE hour(window_start) % 5 <> 0) c ON date_trunc('hour', c.window_start) = h GROUP BY 1""", "m")
+      FROM m)
+LEFT JOIN m c ON date_trunc('hour', c.window_start) = h GROUP BY 1""", "m")
 COUNTS = ["order_events", "revenue_metrics", "anomalies", "copilot_reports"]
 _OF = dict(zip(COUNTS, ["order_events", "m", "a", "r"]))
 query("table_counts", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS rows FROM {t}" for n, t in _OF.items()), "order_events", "m", "a", "r")

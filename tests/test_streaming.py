@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from revpulse.operators.telemetry import consecutive_failures
 from revpulse.operators.windows import feature_store, revenue_metrics
 from revpulse.streaming import streams
 
@@ -76,6 +77,8 @@ def test_stream_equals_batch_with_duplicates_late_and_bad_messages(spark, base):
     late = dict(log.groupBy("sink").agg(F.sum("late_rows")).collect())
     assert late["order_events"] == 1 and late["revenue_metrics"] >= 1
     assert log.where("failed").count() == 0
+    health = consecutive_failures(log)
+    assert health.count() == log.count() and health.where("not healthy").count() == 0
 
 
 def test_restart_resumes_where_it_stopped(spark, base):

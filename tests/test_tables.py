@@ -45,6 +45,16 @@ def test_batches_replay_and_compact(spark, tmp_path):
     warehouse.compact_batches(spark, path, new, ["k"])
     assert sorted(map(tuple, warehouse.read_latest(spark, new, ["k"]).collect())) == want
     assert spark.read.parquet(new).count() == 2
+    warehouse.compact_batches(spark, new, str(tmp_path / "t3"), ["k"], keep=F.col("v") >= 2)
+    assert [tuple(r) for r in warehouse.read_latest(spark, str(tmp_path / "t3"), ["k"]).collect()] == [(2, 3)]
+
+
+def test_window_gaps(spark):
+    hours = [0, 0, 1, 4]
+    metrics = spark.createDataFrame([(NOW + dt.timedelta(hours=h),) for h in hours], "window_start timestamp")
+    counts = lambda df: [(r.hour.hour, r.windows) for r in df.orderBy("hour").collect()]
+    assert counts(lifecycle.window_gaps(metrics)) == [(0, 2), (1, 1), (4, 1)]
+    assert counts(lifecycle.window_gaps(metrics, 4, fill=True)) == [(1, 1), (2, 0), (3, 0), (4, 1)]
 
 
 def test_monthly_layout_prunes_folders(spark, views, tmp_path):
