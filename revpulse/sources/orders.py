@@ -65,7 +65,8 @@ def partition_by_region(events: DataFrame) -> DataFrame:
     """Rows in event order within each region.
 
     Hash partitioning would put the busiest region into one task.  Ranges of (region, time)
-    keep each region's rows in order from one partition to the next and split a busy one.
+    keep each region's rows in order from one partition to the next and split a busy one, at
+    the price of a sampling pass over the input.
     """
     order = ["region", "event_timestamp", "event_id"]
     return events.repartitionByRange(*order).sortWithinPartitions(*order)

@@ -71,6 +71,18 @@ def test_monthly_layout_prunes_folders(spark, views, tmp_path):
     assert sizes[1] == lifecycle.partition_report(stored).count() and sizes[2] > 0
 
 
+def test_busy_month_is_written_by_many_tasks(spark, views, tmp_path):
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "10KB")
+    try:
+        warehouse.write_monthly(views.order_events.repartition(8), str(tmp_path / "hot"))
+    finally:
+        spark.conf.set(size, before)
+    assert len(list((tmp_path / "hot").glob("event_month=*/*.parquet"))) > 1
+    assert spark.read.parquet(str(tmp_path / "hot")).count() == views.order_events.count()
+
+
 def test_archive_keeps_every_row(spark):
     rows = [(1, NOW), (2, NOW - dt.timedelta(days=90)), (3, NOW - dt.timedelta(days=91)), (4, None)]
     frame = spark.createDataFrame(rows, "i int, event_timestamp timestamp")
