@@ -5,8 +5,10 @@ import pytest
 import __spark_entry__ as entry_points
 from compare import connect, differences
 from conftest import SF
+from revpulse import registry
 
-QUERIES, TWINS = entry_points.queries(), entry_points.oracle_sql()
+QUERIES = registry.QUERIES
+TWINS = {name: sql for name, sql in entry_points.oracle_sql().items() if name in QUERIES}
 # Trained or random results, and a hash that only Spark computes.
 WITHOUT_TWIN = {"score_windows", "build_training_grid", "data_fingerprint"}
 
