@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from revpulse.llm import minhash
+from revpulse.llm import decontaminate, minhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -26,6 +27,16 @@ def op6_circulant_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_prefix_filtered_containment(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return decontaminate.find_passages(docs, table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
+    )
+
+
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL["op6_circulant_minhash"] = rf"""
@@ -44,3 +55,21 @@ links AS (
 ), lowest AS (SELECT doc_id, min(r) AS c FROM reach GROUP BY doc_id)
 SELECT doc_id, n AS n_shingles, c AS component_id, c = doc_id AS kept FROM sized JOIN lowest USING (doc_id)
 """
+
+_ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL["op3_prefix_filtered_containment"] = rf"""
+WITH d AS (SELECT doc_id, coalesce({_ALNUM}, []) AS w FROM documents),
+b AS (SELECT item_id, {_ALNUM} AS w, least(len({_ALNUM}), 10) AS m FROM benchmark),
+starts AS (SELECT item_id, w, m, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM b WHERE m > 0),
+wins AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS t FROM starts),
+places AS (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM d, (SELECT DISTINCT m FROM wins)),
+occ AS (SELECT doc_id, p, m, item_id FROM (SELECT doc_id, p, m, array_to_string(w[p:p + m - 1], ' ') AS t FROM places) JOIN wins USING (m, t)),
+hit AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + m)) AS q FROM occ) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM occ) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+"""

@@ -79,6 +79,8 @@ class Texts:
 
 def texts_of(column: pa.Array) -> Texts:
     """Nulls become empty texts."""
+    if not len(column):
+        return Texts(np.zeros(0, np.uint8), np.zeros(1, np.int64))
     column = pc.fill_null(column.cast(pa.large_string()), "")
     at = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
     data = column.buffers()[2]
