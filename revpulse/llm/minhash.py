@@ -11,6 +11,7 @@ listed bucket by bucket.  Every class is compared with the smallest class of eac
 (a star, linear in the number of classes).  Only where that leaves a candidate family in more
 than one component, blocks of its classes are compared inside tasks, and only classes of
 different components that share a band; a block emits at most one link per class.
+Full sets are made again from the texts, only for documents that have a candidate partner.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revpulse.llm import words
+from revpulse.llm.bloom import bloom_of, may_hold
 from revpulse.llm.components import connected_components, cut
 
 SHINGLE = 5
@@ -82,7 +84,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return words.mix(key).view(np.int64)
 
 
-_SETS = "doc_id long, n long, fp1 long, fp2 long, bands array<long>, shingles binary"
+_SETS = "doc_id long, n long, fp1 long, fp2 long, bands array<long>"
 
 
 def _sets_of(bands: int, rows: int):
@@ -97,12 +99,28 @@ def _sets_of(bands: int, rows: int):
                 spread = words.mix(values ^ np.uint64(0x1234567 + lane * 0x9E3779B97F4A7C15))
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(spread, dtype=np.uint64)])
                 fps.append(words.mix(sums[first[1:]] - sums[first[:-1]] ^ size.astype(np.uint64)).view(np.int64))
-            offsets = (first * 8).astype(np.int64)
             yield pa.RecordBatch.from_arrays([
                 batch["doc_id"].cast(pa.int64()), pa.array(size.astype(np.int64)), pa.array(fps[0]), pa.array(fps[1]),
                 pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * bands), pa.array(keys.ravel())),
-                pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(values)]).cast(pa.binary()),
-            ], names=["doc_id", "n", "fp1", "fp2", "bands", "shingles"])
+            ], names=["doc_id", "n", "fp1", "fp2", "bands"])
+    return run
+
+
+def _full_sets(wanted):
+    """Whole sets of the documents that have a candidate partner, and of few others."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled, bits = wanted.value
+        for batch in batches:
+            ids = batch["doc_id"].cast(pa.int64())
+            keep = np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False))
+            keep = keep[may_hold(filled, bits, ids.take(pa.array(keep)).to_numpy())]
+            for part in words.pieces(iter([batch.take(pa.array(keep))])):
+                w = words.words_of(words.texts_of(part["text"]), words.NOT_SPACE, lower=True)
+                values, first = shingle_sets(w)
+                yield pa.RecordBatch.from_arrays([
+                    part["doc_id"].cast(pa.int64()), pa.array(np.diff(first).astype(np.int64)),
+                    pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer((first * 8).astype(np.int64)), pa.py_buffer(values)]).cast(pa.binary()),
+                ], names=["doc_id", "n", "shingles"])
     return run
 
 
@@ -182,9 +200,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
     centres = buckets.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("m")).where("m > 1").drop("m")
     star = cut(buckets.join(centres, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct())
 
+    involved = star.select("a").union(star.select("b")).distinct()
+    wanted = docs.sparkSession.sparkContext.broadcast(bloom_of(involved, "a", involved.count()))
+    held = cut(docs.select("doc_id", "text").mapInArrow(_full_sets(wanted), "doc_id long, n long, shingles binary")
+               .where("n > 0").join(involved.withColumnRenamed("a", "doc_id"), "doc_id"))
+
     def with_sets(pairs: DataFrame, names: dict[str, str]) -> DataFrame:
         for key, name in names.items():
-            pairs = pairs.join(linkable.select(F.col("doc_id").alias(key), F.col("n").alias(f"n_{key}"), F.col("shingles").alias(name)), key)
+            pairs = pairs.join(held.select(F.col("doc_id").alias(key), F.col("shingles").alias(name)), key)
         return pairs
 
     sizes = reps.select("rep", "n").distinct()
@@ -224,8 +247,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
         )).otherwise(F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"))))))
         .select("family", "unit", "node", "component", "is_left")
     )
-    held = linkable.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("node"), "bands", "shingles")
-    more = units.join(held, "node").groupBy("family", "unit").applyInArrow(_compare_block(percent), "a long, b long")
+    banded = held.join(reps.select(F.col("rep").alias("doc_id"), "bands"), "doc_id").withColumnRenamed("doc_id", "node")
+    more = units.join(banded.select("node", "bands", "shingles"), "node").groupBy("family", "unit").applyInArrow(_compare_block(percent), "a long, b long")
     links = linked.unionByName(more).unionByName(member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     found = connected_components(links)
     out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(
