@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revpulse.llm import decontaminate, minhash
+from revpulse.llm import decontaminate, minhash, pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -37,6 +37,14 @@ def op3_prefix_filtered_containment(spark, sf_dir):
     )
 
 
+@query
+def op9_skip_chain_crf(spark, sf_dir):
+    found = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(told("base_spans"), 256).alias("base_sha256"), told("spans").alias("spans"))
+
+
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL["op6_circulant_minhash"] = rf"""
