@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revpulse.llm import bpe, decontaminate, minhash, pii
+from revpulse.llm import bpe, decontaminate, minhash, pii, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -23,6 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op4_cotraining_quality(spark, sf_dir):
+    found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "text_score", "meta_score", "quality_score", "good")
+
+
 @query
 def op6_circulant_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
