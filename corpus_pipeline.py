@@ -1,11 +1,65 @@
-"""Stages are added below."""
+"""The corpus pipeline: raw documents to token ids.
 
-STAGES = []
-ORACLE_SQL = None
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from revpulse.llm import bpe, decontaminate, minhash, pii, quality
+from revpulse.llm.components import cut
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier does not reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.classify(docs, labels).where("good").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of every group of near-duplicates (five-word shingles, 0.8)."""
+    gone = minhash.near_duplicates(docs, percent=80, bands=28).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a word of any benchmark window."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.find_passages(docs, items).where(F.size("hits") == 0).select(*docs.columns)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data in their texts replaced by its kind; n_chars counts the new text."""
+    found = pii.find_personal_data(docs)
+    changed = F.size("spans") > 0
+    return found.withColumn("n_chars", F.when(changed, F.char_length("redacted").cast("long")).otherwise(F.col("n_chars"))).withColumn(
+        "text", F.col("redacted")).select(*docs.columns)
+
+
+def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text."""
+    coded = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("quality classifier", drop_poor),
+    ("MinHash near-dedup", drop_near_copies),
+    ("benchmark decontamination", drop_benchmark_leaks),
+    ("PII", mask_personal_data),
+    ("BPE encoding and decoding", to_tokens),
+]
+
+ORACLE_SQL = None  # trained models take part; tests/llm compares with brute force
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = cut(docs)  # the next stage reads it several times
     return docs
