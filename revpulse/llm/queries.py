@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revpulse.llm import bpe, decontaminate, minhash, pii, quality
+from revpulse.llm import bpe, decontaminate, minhash, pii, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -42,6 +42,12 @@ def op1_bpe_merge_rounds(spark, sf_dir):
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op2_hilbert_shards(spark, sf_dir):
+    return sharding.assign_shards(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
+
+
 @query
 def op3_prefix_filtered_containment(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
