@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revpulse.llm import bpe, decontaminate, minhash, pii, quality, sharding
+from revpulse.llm import bpe, decontaminate, licenses, minhash, pii, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -58,6 +58,14 @@ def op3_prefix_filtered_containment(spark, sf_dir):
     )
 
 
+@query
+def op8_license_dice(spark, sf_dir):
+    found = licenses.find_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = F.array_sort(F.array_distinct(F.transform("licenses", lambda m: m["license"])))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_matches"), F.array_join(names, ",").alias("licenses"),
+                        F.array_max(F.transform("licenses", lambda m: m["dice"])).alias("best_dice"))
+
+
 @query
 def op9_skip_chain_crf(spark, sf_dir):
     found = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -102,3 +110,28 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
   coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
+
+_TEMPLATES = ", ".join("('" + n.replace("'", "''") + "', '" + t.replace("'", "''") + "')" for n, t in licenses.TEMPLATES.items())
+
+ORACLE_SQL["op8_license_dice"] = rf"""
+WITH units AS (
+  SELECT doc_id, u AS text, false AS whole FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS u FROM documents)
+  UNION ALL SELECT doc_id, text, true FROM documents
+), said AS (SELECT doc_id, whole, {_ALNUM} AS w FROM units),
+shown AS (SELECT doc_id, count(*) AS spoken FROM said WHERE NOT whole AND len(w) > 0 GROUP BY doc_id),
+sets AS (
+  SELECT doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS s
+  FROM said JOIN shown USING (doc_id) WHERE len(w) > 1 AND (NOT whole OR spoken > 1)
+), temps AS (
+  SELECT name, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS t
+  FROM (SELECT name, {_ALNUM} AS w FROM (VALUES {_TEMPLATES}) AS v(name, text))
+), pairs AS (
+  SELECT doc_id, name, CAST(2 * len(list_intersect(s, t)) AS DOUBLE) / (len(s) + len(t)) AS dice
+  FROM sets JOIN temps ON 2 * least(len(s), len(t)) >= {licenses.THRESHOLD} * (len(s) + len(t))
+), hits AS (
+  SELECT doc_id, count(*) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names, max(dice) AS best
+  FROM pairs WHERE dice >= {licenses.THRESHOLD} GROUP BY doc_id
+)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_matches, coalesce(names, '') AS licenses, best AS best_dice
+FROM documents LEFT JOIN hits USING (doc_id)
+"""
