@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revpulse.llm import bpe, decontaminate, licenses, minhash, pii, quality, sharding
+from revpulse.llm import bpe, decontaminate, licenses, minhash, pii, quality, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -29,6 +29,12 @@ def op4_cotraining_quality(spark, sf_dir):
     return found.select("doc_id", "text_score", "meta_score", "quality_score", "good")
 
 
+@query
+def op5_threshold_topk(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors.where("vec_id % 20 = 0"), vectors)
+
+
 @query
 def op6_circulant_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -135,3 +141,14 @@ sets AS (
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_matches, coalesce(names, '') AS licenses, best AS best_dice
 FROM documents LEFT JOIN hits USING (doc_id)
 """
+
+ORACLE_SQL["op5_threshold_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
