@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revpulse.llm import bpe, decontaminate, licenses, minhash, pii, quality, sharding, substrings, topk
+from revpulse.llm import bpe, ctw, decontaminate, licenses, minhash, pii, quality, sharding, substrings, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -87,6 +87,11 @@ def op9_skip_chain_crf(spark, sf_dir):
     return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(told("base_spans"), 256).alias("base_sha256"), told("spans").alias("spans"))
 
 
+@query
+def op10_context_tree_weighting(spark, sf_dir):
+    return ctw.score(table(spark, sf_dir, "documents"))
+
+
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL["op6_circulant_minhash"] = rf"""
