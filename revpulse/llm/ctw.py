@@ -161,7 +161,8 @@ class Nodes:
     """Node table: weights and probabilities by depth, context and node."""
 
     def __init__(self, key: np.ndarray, weight: np.ndarray, one: np.ndarray, depth: int):
-        self.index, self.weight, self.one, self.depth = HashIndex(key), weight, one, depth
+        self.index, self.depth = HashIndex(key), depth
+        self.weight, self.one = np.append(weight, weight.dtype.type(0)), np.append(one, one.dtype.type(0.5))  # last: not there
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
         """log10 probability of each byte after its context."""

@@ -28,6 +28,7 @@ ROUNDS, PER_ROUND, CONFIDENT = 4, 300, 0.95
 DIM = 1 << 11
 THRESHOLD = 0.2  # below one half: a clean document lost costs more than a poor one kept
 _LANGS, _SOURCES = 16, 32
+META = _LANGS + _SOURCES + 14
 
 _CLASS = np.zeros(256, np.int64)  # 0 other, 1 upper, 2 lower and beyond ASCII, 3 digit, 4 space
 _CLASS[65:91], _CLASS[97:123], _CLASS[128:], _CLASS[48:58] = 1, 2, 2, 3
@@ -57,7 +58,7 @@ def meta_view(batch: pa.RecordBatch, texts: words.Texts) -> np.ndarray:
     n = len(texts)
     names = batch.schema.names
     column = lambda name: batch[name].to_pylist() if name in names else [None] * n
-    out = np.zeros((n, _LANGS + _SOURCES + 14), np.float32)
+    out = np.zeros((n, META), np.float32)
     for i, (lang, source, stated) in enumerate(zip(column("lang"), column("source"), column("n_chars"))):
         raw = texts.data[texts.at[i]:texts.at[i + 1]]
         size = max(len(raw), 1)
@@ -158,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     rows = rows.select(F.col("doc_id").cast("long").alias("__id"), "__y", "text", *view).mapInArrow(_features, "id long, y int, text binary, meta binary").toArrow().sort_by("id")
     y = rows["y"].to_numpy()
     text = np.array([np.frombuffer(b, np.float16) for b in rows["text"].to_pylist()], np.float32).reshape(-1, DIM)
-    meta = np.array([np.frombuffer(b, np.float32) for b in rows["meta"].to_pylist()], np.float32).reshape(len(y), -1)
+    meta = np.array([np.frombuffer(b, np.float32) for b in rows["meta"].to_pylist()], np.float32).reshape(-1, META)
     have, rest = y >= 0, y < 0
     if min((y == 1).sum(), (y == 0).sum()) < 4:
         return None

@@ -119,13 +119,14 @@ def assign_shards(docs: DataFrame, dims: Sequence[str] = ("lang", "source", "n_c
 
 
 def write_shards(docs: DataFrame, path: str, dims: Sequence[str] = ("lang", "source", "n_chars"), shards: int = 16, bits: int = BITS) -> None:
-    """Writes ``docs`` as Parquet below ``path``/shard=N, each file a run of the curve."""
-    same = ["doc_id", "text_crc32", "__copy"]
-    nth = F.row_number().over  # repeated rows take their places one by one
+    """Writes ``docs`` as Parquet below ``path``/shard=N, each file a run of the curve.  A column named ``shard`` is replaced."""
     raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    own = docs.withColumn("text_crc32", F.crc32(raw)).withColumn("__copy", nth(Window.partitionBy("doc_id", "text_crc32").orderBy("doc_id")))
-    placed = assign_shards(docs, dims, shards, bits).withColumn("__copy", nth(Window.partitionBy("doc_id", "text_crc32").orderBy("shard", "slot")))
-    joined = own.alias("a").join(placed.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in same])
-    out = joined.select("a.*", "b.shard", "b.slot").drop("text_crc32", "__copy")
+    copy = F.row_number().over  # repeated rows take their places one by one
+    own = docs.drop("shard").withColumns({"__crc": F.crc32(raw), "__copy": copy(Window.partitionBy("doc_id", F.crc32(raw)).orderBy("doc_id"))})
+    placed = assign_shards(docs, dims, shards, bits).select(
+        F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__sum"), F.col("slot").alias("__slot"), F.col("shard").alias("shard"),
+        copy(Window.partitionBy("doc_id", "text_crc32").orderBy("shard", "slot")).alias("__nth"))
+    joined = own.join(placed, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__crc") == F.col("__sum")) & (F.col("__copy") == F.col("__nth")))
+    out = joined.drop("__id", "__sum", "__crc", "__copy", "__nth")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out.repartitionByRange(max(tasks, shards), "shard", "slot").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
+    out.repartitionByRange(max(tasks, shards), "shard", "__slot").sortWithinPartitions("shard", "__slot").drop("__slot").write.partitionBy("shard").parquet(path)
