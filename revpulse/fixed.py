@@ -119,3 +119,8 @@ SECTIONS = [
     "Revenue by Category", "Revenue by Region", "Product Order Volume",
     "Feature Snapshot", "Recent Order Trend", "Payment Breakdown",
 ]
+
+# A report without a stated cause shows the start of its last long paragraph.
+PARAGRAPH_MIN, PARAGRAPH_SHOWN = 40, 500
+
+TOO_FEW_WINDOWS = "not enough windows"

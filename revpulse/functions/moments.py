@@ -64,5 +64,7 @@ def is_zoned(df: DataFrame, column: str) -> bool:
 
 
 def bounded(value: int, low: int, high: int) -> int:
-    """A parameter clamped into its allowed range."""
-    return max(low, min(value, high))
+    """The parameter, if it is in its allowed range; anything else is refused."""
+    if not low <= value <= high:
+        raise ValueError(f"{value} is not between {low} and {high}")
+    return value

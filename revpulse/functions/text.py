@@ -66,11 +66,11 @@ def report_action(body: Column) -> Column:
 
 
 def last_long_paragraph(text: Column) -> Column:
-    """First 500 characters of the last paragraph longer than 40; empty when there is none."""
+    """The start of the last long paragraph, as reports state it; empty when there is none."""
     paragraphs = F.filter(
-        F.transform(F.split(text, "\n\n"), strip), lambda p: F.length(p) > 40
+        F.transform(F.split(text, "\n\n"), strip), lambda p: F.length(p) > fixed.PARAGRAPH_MIN
     )
-    return F.coalesce(F.substring(F.try_element_at(paragraphs, F.lit(-1)), 1, 500), F.lit(""))
+    return F.coalesce(F.substring(F.try_element_at(paragraphs, F.lit(-1)), 1, fixed.PARAGRAPH_SHOWN), F.lit(""))
 
 
 def masked(text: Column) -> Column:

@@ -23,23 +23,22 @@ def dlq_retry_batch(dlq: DataFrame, n: int = 100, max_retries: int = fixed.MAX_R
 def retry_dead_letters(dlq: DataFrame, as_of: AsOf, max_retries: int = fixed.MAX_RETRIES) -> tuple[DataFrame, DataFrame]:
     """(recovered events, dead-letter table after the retry).
 
-    All pending letters are parsed and checked again in one pass.  Good ones are resolved;
-    the others count one more retry and keep the new error.
+    Pending letters are parsed and checked again in one pass; the others go through as they are.  Good ones are
+    resolved; the rest count one more retry and keep the new error.
     """
+    open_rows = ~F.col("resolved") & (F.col("retry_count") < max_retries)
     parsed = validate_events(
-        parse_order_events(dlq.select(F.struct(*[F.col(c) for c in dlq.columns]).alias("letter"), F.col("event_data").alias("value")), keep=["letter"])
+        parse_order_events(dlq.where(open_rows).select(F.struct(*[F.col(c) for c in dlq.columns]).alias("letter"), F.col("event_data").alias("value")), keep=["letter"])
     )
-    open_letter = ~F.col("letter.resolved") & (F.col("letter.retry_count") < max_retries)
     good = F.size("failed_checks") == 0
-    failed = open_letter & ~good
 
-    recovered = parsed.where(open_letter & good).drop("letter", "failed_checks", "_corrupt_record", "value")
+    recovered = parsed.where(good).drop("letter", "failed_checks", "_corrupt_record", "value")
     fields = {c: F.col(f"letter.{c}") for c in dlq.columns}
-    fields["resolved"] = F.when(open_letter & good, F.lit(True)).otherwise(fields["resolved"])
-    fields["retry_count"] = F.when(failed, fields["retry_count"] + 1).otherwise(fields["retry_count"])
-    fields["last_retried"] = F.when(failed, moment(as_of, dlq, "last_retried")).otherwise(fields["last_retried"])
-    fields["error"] = F.when(failed, F.array_join("failed_checks", ",")).otherwise(fields["error"])
-    return recovered, parsed.select(*[c.alias(n) for n, c in fields.items()])
+    fields["resolved"] = F.when(good, F.lit(True)).otherwise(fields["resolved"])
+    fields["retry_count"] = F.when(~good, fields["retry_count"] + 1).otherwise(fields["retry_count"])
+    fields["last_retried"] = F.when(~good, moment(as_of, dlq, "last_retried")).otherwise(fields["last_retried"])
+    fields["error"] = F.when(~good, F.array_join("failed_checks", ",")).otherwise(fields["error"])
+    return recovered, parsed.select(*[c.alias(n) for n, c in fields.items()]).unionByName(dlq.where(~F.coalesce(open_rows, F.lit(False))))
 
 
 def exhausted_dead_letters(dlq: DataFrame, max_retries: int = fixed.MAX_RETRIES) -> DataFrame:

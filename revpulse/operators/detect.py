@@ -31,10 +31,10 @@ def recent_windows(metrics: DataFrame, as_of: AsOf, minutes: int = 10, closed_on
 
 
 def unscored_windows(
-    metrics: DataFrame, anomalies: DataFrame, as_of: AsOf, minutes: int = 10, limit: int | None = 500,
+    metrics: DataFrame, anomalies: DataFrame, as_of: AsOf, minutes: int = 10, limit: int | None = None,
     closed_only: bool = True,
 ) -> DataFrame:
-    """Recent windows without an anomaly row, newest first; ``limit=None`` gives all of them."""
+    """Recent windows without an anomaly row, all of them, or with ``limit`` the newest."""
     known = lookback(anomalies, "window_start", as_of, f"{minutes} MINUTES").select(*WINDOW_KEY)
     left = recent_windows(metrics, as_of, minutes, closed_only).join(known, WINDOW_KEY, "left_anti")
     left = left.select(*METRIC_COLUMNS)

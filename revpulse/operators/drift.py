@@ -75,9 +75,13 @@ def _edges_of(counts: DataFrame, by: list[str], bins: int, exact: bool, few_grou
 
 def histogram(samples: DataFrame, by: list[str], bins: int = 10, exact: bool = True, few_groups: bool = False) -> DataFrame:
     """Rows per ``by`` and bin for ``samples(by…, value, slice)``, counted for the slices
-    ``expected`` and ``actual`` over edges shared by both."""
+    ``expected`` and ``actual`` over edges shared by both.  Bins without rows are there with 0."""
     counts = _slice_counts(samples, by)
-    return _binned(counts, _edges_of(counts, by, bins, exact, few_groups), by, few_groups)
+    edges = _edges_of(counts, by, bins, exact, few_groups)
+    # A group of one value has one edge; its rows lie in bin 0, as bin_index has it.
+    every = edges.select(*by, F.explode(F.sequence(F.lit(0), F.greatest(F.size("edges") - 2, F.lit(0)))).alias("bin"))
+    filled = _binned(counts, edges, by, few_groups).withColumn("bin", F.greatest("bin", F.lit(0)))
+    return every.join(filled, [*by, "bin"], "left").select(*by, "bin", *[F.coalesce(f"{s}_rows", F.lit(0)).alias(f"{s}_rows") for s in _SLICES])
 
 
 def psi_by_measure(expected: DataFrame, actual: DataFrame, columns: list[str], bins: int = 10, exact: bool = True) -> DataFrame:
@@ -110,11 +114,12 @@ def psi(expected: DataFrame, actual: DataFrame, col: str, bins: int = 10, exact:
 
 def drift_report(
     metrics: DataFrame, anomalies: DataFrame, as_of: AsOf, hours: int = 24, baseline_days: int = 7, exact: bool = True,
+    min_rows: int = fixed.DRIFT_MIN_ROWS,
 ) -> DataFrame:
-    """One drift row, or none with fewer than 50 recent windows.
+    """One drift row.
 
-    The whole baseline is used.  Both stability indices stay null with fewer than 50
-    baseline windows.
+    The whole baseline is used.  With fewer than ``min_rows`` recent windows the row says so and has no
+    figures; with fewer baseline windows both stability indices are null.
     """
     scored = scored_windows(metrics, anomalies, as_of, hours)
     baseline = between_lookback(metrics, "window_start", as_of, f"{baseline_days} DAYS", f"{hours} HOURS")
@@ -123,28 +128,31 @@ def drift_report(
         F.max(F.when(F.col("measure") == "total_revenue", F.col("psi"))).alias("revenue"),
         F.max(F.when(F.col("measure") == "order_count", F.col("psi"))).alias("orders"),
     ).select(F.struct("revenue", "orders").alias("psi")).scalar()
-    enough = baseline.agg(F.count("*")).scalar() >= fixed.DRIFT_MIN_ROWS
+    enough = baseline.agg(F.count("*")).scalar() >= min_rows
 
-    report = score_stats(scored).where(F.col("windows") >= fixed.DRIFT_MIN_ROWS).withColumn("__psi", by_name)
+    told = F.col("windows") >= min_rows
+    report = score_stats(scored).withColumn("__psi", by_name).withColumn("__told", told)
     report = report.select(
         moment(as_of, metrics, "window_start").alias("measured_at"),
         F.lit(hours).alias("window_hours"),
-        "anomaly_rate", "avg_score", "score_std",
-        F.when(enough, F.col("__psi.revenue")).alias("psi_revenue"),
-        F.when(enough, F.col("__psi.orders")).alias("psi_order_count"),
+        *[F.when(told, F.col(c)).alias(c) for c in ("anomaly_rate", "avg_score", "score_std")],
+        F.when(told & enough, F.col("__psi.revenue")).alias("psi_revenue"),
+        F.when(told & enough, F.col("__psi.orders")).alias("psi_order_count"),
+        "__told",
     )
 
     rate, std = F.col("anomaly_rate"), F.col("score_std")
     wording = fixed.DRIFT_NOTES
-    notes = [
+    tests = [
         (F.col("psi_revenue") > fixed.DRIFT_PSI_LIMIT, F.format_string(wording["revenue"], F.col("psi_revenue"))),
         (F.col("psi_order_count") > fixed.DRIFT_PSI_LIMIT, F.format_string(wording["orders"], F.col("psi_order_count"))),
         (F.abs(rate - fixed.DRIFT_EXPECTED_RATE) > fixed.DRIFT_RATE_TOLERANCE,
          F.format_string(wording["rate"], rate * 100, F.lit(fixed.DRIFT_EXPECTED_RATE * 100))),
         (std < fixed.DRIFT_MIN_SCORE_STD, F.format_string(wording["collapse"], std)),
     ]
-    found = F.concat_ws("; ", *[F.when(test, text) for test, text in notes])
-    return report.withColumn("drift_flag", found != "").withColumn("notes", F.when(found != "", found))
+    found = F.concat_ws("; ", *[F.when(test, text) for test, text in tests])
+    notes = F.when(~F.col("__told"), F.lit(fixed.TOO_FEW_WINDOWS)).when(found != "", found)
+    return report.withColumns({"drift_flag": found != "", "notes": notes}).drop("__told")
 
 
 def latest_drift(drift_log: DataFrame) -> DataFrame:

@@ -211,7 +211,7 @@ def parse_reports(texts: DataFrame, anomalies: DataFrame | None = None) -> DataF
         "anomaly_id",
         F.when(cause != "", cause).otherwise(F.lit(fixed.NO_CAUSE)).alias("root_cause"),
         F.when(action != "", action).otherwise(F.lit(fixed.NO_ACTION)).alias("recommended_action"),
-        F.round(confidence, 2).alias("confidence"), F.round(loss, 2).alias("estimated_loss"),
+        F.bround(confidence, 2).alias("confidence"), F.bround(loss, 2).alias("estimated_loss"),
         F.col("report_text").alias("full_report"),
     )
 

@@ -6,6 +6,7 @@ from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from revpulse import fixed, schemas
 from revpulse.functions.moments import AsOf, lookback
@@ -139,11 +140,22 @@ def classification_report(predictions: DataFrame) -> DataFrame:
 # --- registry -----------------------------------------------------------------------
 
 def data_fingerprint(df: DataFrame) -> DataFrame:
-    """One row with 16 hex digits that do not depend on row order."""
-    row = F.xxhash64(*df.columns)
-    folded = F.concat_ws(
-        ":", F.sum(row.cast("decimal(20,0)")).cast("string"), F.bit_xor(row).cast("string"), F.count("*").cast("string")
-    )
+    """One row with 16 hex digits that do not depend on the order of rows or columns.
+
+    The SHA-256 of each row's text is cut to 60 bits and summed, so any engine can check it.  Times are written to the
+    second, fractions with six digits, nulls as a backslash and N.
+    """
+    def written(field):
+        c = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
+            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+        elif isinstance(field.dataType, (T.DecimalType, T.DoubleType, T.FloatType)):
+            c = F.format_string("%.6f", c.cast("double"))
+        return F.coalesce(c.cast("string"), F.lit("\\N"))
+
+    line = F.concat_ws("|", *[written(f) for f in sorted(df.schema.fields, key=lambda f: f.name)])
+    row = F.conv(F.substring(F.sha2(line, 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    folded = F.concat_ws(":", F.coalesce(F.sum(row), F.lit(0)).cast("string"), F.count("*").cast("string"))
     return df.agg(F.substring(F.sha2(folded, 256), 1, 16).alias("data_hash"))
 
 

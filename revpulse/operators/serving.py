@@ -123,17 +123,36 @@ def dlq_stats(dlq: DataFrame, max_retries: int = fixed.MAX_RETRIES) -> DataFrame
     )
 
 
+_FIRST = "0001-01-01 00:00:00"  # before every event
+
+
+def _bound(row: DataFrame, test, df: DataFrame, column: str, if_so, otherwise):
+    """One of two times by a test on a one-row frame; reaches the scan as a pushed filter."""
+    kind = df.schema[column].dataType
+    as_time = lambda x: (F.lit(x) if isinstance(x, str) else x).cast(kind)
+    return row.select(F.when(test, as_time(if_so)).otherwise(as_time(otherwise))).scalar()
+
+
 def throughput(events: DataFrame, as_of: AsOf, minutes: int = 5) -> DataFrame:
     """Events per minute over the last minutes, and the newest arrival of all."""
     since = moment(as_of, events, "ingested_at", f"-{minutes} MINUTES")
-    return events.agg(
-        F.round(F.count_if(F.col("ingested_at") >= since) / float(minutes), 1).alias("events_per_minute"),
-        F.max("ingested_at").alias("last_ingested"),
+    recent = events.where(F.col("ingested_at") >= since).agg(
+        F.count("*").alias("n"), F.max("ingested_at").alias("last"),
     )
+    # Only when nothing arrived lately does this scan find any row group to read.
+    older = events.where(F.col("ingested_at") < _bound(recent, F.col("n") > 0, events, "ingested_at", _FIRST, since)).agg(F.max("ingested_at")).scalar()
+    return recent.select(F.round(F.col("n") / float(minutes), 1).alias("events_per_minute"), F.coalesce("last", older).alias("last_ingested"))
 
 
-def ingest_latency(events: DataFrame, n: int = 100) -> DataFrame:
-    """Mean seconds from event to arrival over the latest ``n`` arrivals."""
+def ingest_latency(events: DataFrame, n: int = 100, as_of: AsOf | None = None, minutes: int = 60) -> DataFrame:
+    """Mean seconds from event to arrival over the latest ``n`` arrivals.
+
+    With ``as_of`` the last ``minutes`` are read first, and the rest only if they hold fewer than ``n`` arrivals.
+    """
+    if as_of is not None:
+        since = moment(as_of, events, "ingested_at", f"-{minutes} MINUTES")
+        near = events.where(F.col("ingested_at") >= since).agg(F.count("*").alias("n"))
+        events = events.where(F.col("ingested_at") >= _bound(near, F.col("n") >= n, events, "ingested_at", since, _FIRST))
     newest = events.select("ingested_at", "event_timestamp", "event_id").orderBy(F.desc("ingested_at"), "event_id").limit(n)
     return newest.agg(F.round(F.avg(seconds_between("event_timestamp", "ingested_at")), 2).alias("latency_seconds"))
 
@@ -142,7 +161,7 @@ def system_health(events: DataFrame, anomalies: DataFrame, as_of: AsOf) -> DataF
     """One row: throughput, latency, last detection and what they mean for the feed and scans."""
     now = moment(as_of, events, "ingested_at")
     row = throughput(events, as_of).select(
-        "*", F.coalesce(ingest_latency(events).scalar(), F.lit(0.0)).alias("latency_seconds"),
+        "*", F.coalesce(ingest_latency(events, as_of=as_of).scalar(), F.lit(0.0)).alias("latency_seconds"),
         anomalies.agg(F.max("detected_at")).scalar().alias("last_detection"), now.alias("__now"),
     )
     age = seconds_between("last_ingested", "__now")
@@ -179,9 +198,28 @@ def anomalies_by_severity(anomalies: DataFrame, window: str | None = None) -> Da
     return _anomalies_by(anomalies, "severity", window)
 
 
+MAX_OFFSET = 10_000
+
+
+def page_after(df: DataFrame, newest: str, key: str, limit: int, last: tuple[str, str] | None = None) -> DataFrame:
+    """The next ``limit`` rows after ``last`` = (time, id) of the page before, newest first.
+
+    The time is pushed into the scan, and no task keeps more than ``limit`` rows, however deep the page.
+    """
+    rows = df
+    if last is not None:
+        at = F.lit(last[0]).cast(df.schema[newest].dataType)
+        rows = rows.where(F.col(newest) <= at).where((F.col(newest) < at) | (F.col(key) > last[1]))
+    return rows.orderBy(F.desc(newest), key).limit(bounded(limit, 1, 100))
+
+
 def page(df: DataFrame, newest: str, key: str, limit: int, offset: int) -> DataFrame:
-    """A page, newest first, with the number of all rows on each row."""
-    limit, offset = bounded(limit, 1, 100), max(offset, 0)
+    """A page, newest first, with the number of all rows on each row.
+
+    An offset keeps all the rows before it in every task, so it is refused beyond ``MAX_OFFSET``; deeper pages
+    go by key (:func:`page_after`).
+    """
+    limit, offset = bounded(limit, 1, 100), bounded(offset, 0, MAX_OFFSET)
     shown = df.orderBy(F.desc(newest), key).offset(offset).limit(limit)
     return shown.withColumn("total", _rows(df))
 

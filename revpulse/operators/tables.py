@@ -12,13 +12,14 @@ from revpulse.plans.per_key import first_per_key
 
 def upsert(
     target: DataFrame, batch: DataFrame, keys: Sequence[str], update_cols: Sequence[str], *,
-    newest: Sequence[Column] = (), defaults: dict | None = None,
+    newest: Sequence[Column], defaults: dict | None = None,
 ) -> DataFrame:
     """The target after inserting new keys and overwriting ``update_cols`` of known ones.
 
     A batch may carry only some columns: the others keep their stored value, and a new key
     gets ``defaults`` for them.  Of several batch rows with one key the first by ``newest``
-    counts.  Applying the same batch again changes nothing.
+    counts; an empty list says that
+    the batch has one row per key.  Applying the same batch again changes nothing.
     """
     defaults = defaults or {}
     single = first_per_key(batch, keys, list(newest))

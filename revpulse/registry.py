@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,8 +23,6 @@ from revpulse.sources import orders, warehouse
 from revpulse.sources.views import Views
 from revpulse.streaming import streams
 
-MONTH = 31 * 24 * 60  # minutes: longer than the test tables, so look-backs cover all of them
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -154,7 +153,7 @@ def upsert(v):
     older, newer = _halves(v, v.revenue_metrics, "window_start")
     changed = newer.withColumn("order_count", F.col("order_count") + 1)
     return tables.upsert(older, changed, ["window_start", "window_end", "category", "region"],
-                         ["order_count", "total_revenue", "avg_order_value"])
+                         ["order_count", "total_revenue", "avg_order_value"], newest=[])
 
 
 @query
@@ -162,7 +161,7 @@ def upsert_partial(v):
     older, newer = _halves(v, v.feature_store, "computed_at")
     part = newer.select("computed_at", "category", "region", F.col("revenue_last_5m") * 2, F.col("orders_last_5m"))
     part = part.toDF("computed_at", "category", "region", "revenue_last_5m", "orders_last_5m")
-    return tables.upsert(older, part, ["computed_at", "category", "region"], ["revenue_last_5m", "orders_last_5m"],
+    return tables.upsert(older, part, ["computed_at", "category", "region"], ["revenue_last_5m", "orders_last_5m"], newest=[],
                          defaults={c: 0 for c in (*windows.FEATURE_COLUMNS, "revenue_trend_pct")})
 
 
@@ -191,7 +190,7 @@ def read_warehouse(v):
 
 @query
 def training_csv(v):
-    rows = ml.label_windows(v.revenue_metrics, v.anomalies, v.as_of, 31)
+    rows = ml.label_windows(v.revenue_metrics, v.anomalies, v.as_of, v.days)
     path = warehouse.fresh_path(v.spark, "training-csv")
     warehouse.write_training_csv(baseline.engineer_features(rows), path)
     return warehouse.read_training_csv(v.spark, path)
@@ -224,25 +223,16 @@ def engineer_features(v):
     return v.engineered
 
 
-@query
-def window_grid(v):
-    first, last = v.table("events").agg(F.min("ts"), F.max("ts")).first()
-    start = first.replace(hour=0, minute=0, second=0, microsecond=0)
-    return baseline.expected_grid(v.spark, start, (last - start).days + 1).select(
-        "window_start", "window_end", "category", "region", "hour", "day_of_week", "expected_revenue"
-    )
-
-
 @query
 def unscored_windows(v):
     known = v.anomalies.where(F.col("severity") == "critical")
-    return detect.unscored_windows(v.revenue_metrics, known, v.as_of, MONTH, limit=None)
+    return detect.unscored_windows(v.revenue_metrics, known, v.as_of, v.minutes)
 
 
 @query
 def unscored_windows_newest(v):
     known = v.anomalies.where(F.col("severity") == "critical")
-    return detect.unscored_windows(v.revenue_metrics, known, v.as_of, MONTH)
+    return detect.unscored_windows(v.revenue_metrics, known, v.as_of, v.minutes, limit=500)
 
 
 @query
@@ -253,7 +243,7 @@ def rule_anomalies(v):
 @query
 def detection_job(v):
     known = v.anomalies.where(F.col("status") == "acknowledged")
-    return detect.detection_job(v.revenue_metrics, known, v.as_of, minutes=MONTH)
+    return detect.detection_job(v.revenue_metrics, known, v.as_of, minutes=v.minutes)
 
 
 @query
@@ -278,7 +268,7 @@ def status_domain(v):
 # --- training ----------------------------------------------------------------------------
 
 def _labelled(v):
-    return ml.label_windows(v.revenue_metrics, v.anomalies, v.as_of, 31)
+    return ml.label_windows(v.revenue_metrics, v.anomalies, v.as_of, v.days)
 
 
 @query
@@ -309,13 +299,6 @@ def score_windows(v):
     )
 
 
-@query
-def build_training_grid(v):
-    first, last = v.table("events").agg(F.min("ts"), F.max("ts")).first()
-    start = first.replace(hour=0, minute=0, second=0, microsecond=0)
-    return ml.build_training_grid(v.spark, (last - start).days + 1, start=start)
-
-
 @query
 def data_fingerprint(v):
     return ml.data_fingerprint(_labelled(v))
@@ -346,17 +329,17 @@ def model_versions(v):
 
 @query
 def scored_windows(v):
-    return drift.scored_windows(v.revenue_metrics, v.anomalies, v.as_of, 31 * 24)
+    return drift.scored_windows(v.revenue_metrics, v.anomalies, v.as_of, v.days * 24)
 
 
 @query
 def score_stats(v):
-    row = drift.score_stats(drift.scored_windows(v.revenue_metrics, v.anomalies, v.as_of, 31 * 24))
+    row = drift.score_stats(drift.scored_windows(v.revenue_metrics, v.anomalies, v.as_of, v.days * 24))
     return row.select("windows", *[F.round(c, 8).alias(c) for c in ("anomaly_rate", "avg_score", "score_std")])
 
 
 def _two_slices(v):
-    older = between_lookback(v.revenue_metrics, "window_start", v.as_of, "31 DAYS", "10 DAYS")
+    older = between_lookback(v.revenue_metrics, "window_start", v.as_of, f"{v.days} DAYS", "10 DAYS")
     return older, lookback(v.revenue_metrics, "window_start", v.as_of, "10 DAYS")
 
 
@@ -454,32 +437,32 @@ def anomaly_context(v):
 
 @query
 def revenue_by_category(v):
-    return investigate.revenue_by_category(v.revenue_metrics, "Electronics", v.as_of, MONTH)
+    return investigate.revenue_by_category(v.revenue_metrics, "Electronics", v.as_of, v.minutes)
 
 
 @query
 def revenue_by_region(v):
-    return investigate.revenue_by_region(v.revenue_metrics, "Delhi", v.as_of, MONTH)
+    return investigate.revenue_by_region(v.revenue_metrics, "Delhi", v.as_of, v.minutes)
 
 
 @query
 def product_order_volume(v):
-    return investigate.product_order_volume(v.order_events, "Footwear", v.as_of, MONTH)
+    return investigate.product_order_volume(v.order_events, "Footwear", v.as_of, v.minutes)
 
 
 @query
 def product_order_volume_all(v):
-    return investigate.product_order_volume(v.order_events, None, v.as_of, MONTH)
+    return investigate.product_order_volume(v.order_events, None, v.as_of, v.minutes)
 
 
 @query
 def order_trend(v):
-    return investigate.order_trend(v.order_events, v.as_of, MONTH, widest=MONTH)
+    return investigate.order_trend(v.order_events, v.as_of, v.minutes, widest=v.minutes)
 
 
 @query
 def payment_breakdown(v):
-    return investigate.payment_breakdown(v.order_events, v.as_of, MONTH)
+    return investigate.payment_breakdown(v.order_events, v.as_of, v.minutes)
 
 
 @query
@@ -491,7 +474,7 @@ def feature_snapshot(v):
 def investigation_bundle(v):
     return investigate.investigation_bundle(
         v.anomalies, v.copilot_reports, v.revenue_metrics, v.order_events, v.feature_store, v.as_of,
-        minutes=MONTH, trend_minutes=MONTH, widest=MONTH,
+        minutes=v.minutes, trend_minutes=v.minutes, widest=v.minutes,
     )
 
 
@@ -526,27 +509,27 @@ def _no_metrics(v):
 
 @query
 def revenue_trend(v):
-    return serving.revenue_trend(v.revenue_metrics, v.order_events, v.as_of, MONTH)
+    return serving.revenue_trend(v.revenue_metrics, v.order_events, v.as_of, v.minutes)
 
 
 @query
 def revenue_trend_fallback(v):
-    return serving.revenue_trend(_no_metrics(v), v.order_events, v.as_of, MONTH)
+    return serving.revenue_trend(_no_metrics(v), v.order_events, v.as_of, v.minutes)
 
 
 @query
 def category_revenue(v):
-    return serving.category_revenue(v.revenue_metrics, v.order_events, v.as_of, MONTH)
+    return serving.category_revenue(v.revenue_metrics, v.order_events, v.as_of, v.minutes)
 
 
 @query
 def category_revenue_fallback(v):
-    return serving.category_revenue(_no_metrics(v), v.order_events, v.as_of, MONTH)
+    return serving.category_revenue(_no_metrics(v), v.order_events, v.as_of, v.minutes)
 
 
 @query
 def regional_revenue(v):
-    return serving.regional_revenue(v.revenue_metrics, v.order_events, v.as_of, MONTH)
+    return serving.regional_revenue(v.revenue_metrics, v.order_events, v.as_of, v.minutes)
 
 
 @query
@@ -556,12 +539,12 @@ def kpis_api(v):
 
 @query
 def kpis_dashboard(v):
-    return serving.kpis_dashboard(v.revenue_metrics, v.order_events, v.anomalies, v.copilot_reports, v.as_of, MONTH)
+    return serving.kpis_dashboard(v.revenue_metrics, v.order_events, v.anomalies, v.copilot_reports, v.as_of, v.minutes)
 
 
 @query
 def kpis_dashboard_fallback(v):
-    return serving.kpis_dashboard(_no_metrics(v), v.order_events, v.anomalies, v.copilot_reports, v.as_of, MONTH)
+    return serving.kpis_dashboard(_no_metrics(v), v.order_events, v.anomalies, v.copilot_reports, v.as_of, v.minutes)
 
 
 @query
@@ -586,7 +569,7 @@ def throughput(v):
 
 @query
 def ingest_latency(v):
-    return serving.ingest_latency(v.order_events)
+    return serving.ingest_latency(v.order_events, as_of=v.as_of)
 
 
 @query
@@ -816,16 +799,43 @@ def total_alert(v):
 
 # --- streaming: the same tables through Structured Streaming ----------------------------------------
 
+SLICES, FILES = 10, 2  # micro-batches of a test feed, and files of each
+
+
+def _write_feed(v, write):
+    """Hands ``write`` the events in time-ordered slices, one after the other: with repeats inside a slice, and with repeats
+    of rows two slices old, which are too late for any watermark."""
+    events = v.table("events")
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    step = (high - low) / SLICES
+    for i in range(SLICES):
+        def between(a, b):
+            return events.where((F.col("ts") >= F.lit(low + a * step)) & (F.col("ts") < F.lit(low + b * step) if b < SLICES else F.lit(True)))
+
+        part = between(i, i + 1)
+        part = part.unionByName(part.where("event_id % 50 = 0"))
+        if i > 1:
+            part = part.unionByName(between(i - 2, i - 1).where("event_id % 70 = 0"))
+        write(part.repartition(FILES))
+
+
 def _drain(v, start):
-    """Runs one streaming query over the events table to its end; returns its sink folder."""
+    """Runs one streaming query over the feed to its end; returns its sink folder."""
     folder = warehouse.fresh_path(v.spark, "stream")
-    # As a glob the path may name a single file or a folder of files.
-    events = v.spark.readStream.schema(v.table("events").schema).parquet(f"{v.sf_dir}/events.parque[t]")
+    _write_feed(v, lambda part: part.write.mode("append").parquet(f"{folder}/feed"))
+    events = v.spark.readStream.schema(v.table("events").schema).option("maxFilesPerTrigger", FILES).parquet(f"{folder}/feed")
     clean = streams.clean_events(v.orders_from(events).drop("ingested_at"))
     streams.await_streams([start(clean, f"{folder}/tables", f"{folder}/checkpoints", {"availableNow": True})])
     return f"{folder}/tables"
 
 
+def _message_feed(v, folder):
+    def write(part):
+        v.wire_of(part).select("value").write.mode("append").text(f"{folder}/messages")
+
+    _write_feed(v, write)
+
+
 @query
 def stream_dead_letters(v):
     folder = warehouse.fresh_path(v.spark, "stream")
@@ -849,3 +859,39 @@ def stream_feature_store(v):
 @query
 def stream_order_events(v):
     return streams.current_orders(v.spark, _drain(v, streams.start_order_events)).drop("ingested_at")
+
+
+@query
+def run_streams(v):
+    """All three queries on one source of messages; rows of the tables they keep."""
+    folder = warehouse.fresh_path(v.spark, "streams")
+    _message_feed(v, folder)
+    tables_at = f"{folder}/tables"
+    streams.await_streams(streams.run_streams(
+        v.spark, f"{folder}/messages", tables_at, f"{folder}/checkpoints", {"availableNow": True}, max_per_trigger=FILES))
+    dead = warehouse.read_warehouse(v.spark, f"{tables_at}/dlq_events")
+    return lifecycle.table_counts({
+        "order_events": streams.current_orders(v.spark, tables_at), "revenue_metrics": streams.current_metrics(v.spark, tables_at),
+        "feature_store": streams.current_features(v.spark, tables_at), "dlq_events": dead.select("dlq_id").distinct(),
+    })
+
+
+@query
+def batch_log(v):
+    """The log of a stream whose third batch fails."""
+    folder = warehouse.fresh_path(v.spark, "batches")
+    _write_feed(v, lambda part: part.write.mode("append").parquet(f"{folder}/feed"))
+    feed = v.spark.readStream.schema(v.table("events").schema).option("maxFilesPerTrigger", FILES).parquet(f"{folder}/feed")
+
+    def sink(batch, batch_id):
+        if batch_id == 2:
+            raise ValueError("the third batch fails")
+        batch.write.format("noop").mode("overwrite").save()
+
+    with streams.BatchLog(v.spark, f"{folder}/log", ["failing"]):
+        failing = feed.writeStream.foreachBatch(sink).queryName("failing").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        try:
+            failing.awaitTermination()
+        except StreamingQueryException:
+            pass  # it is meant to fail; the log tells of it
+    return streams.batch_log(v.spark, f"{folder}/log").select("sink", "batch_id", "input_rows", "failed")

@@ -12,6 +12,8 @@ BATCH = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.files.maxPartitionBytes": "134217728",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Checkpoints go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 STREAMING = {
     # Window and dedup state can outgrow the heap; RocksDB keeps it on local disk with

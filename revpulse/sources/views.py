@@ -67,12 +67,25 @@ class Views:
     def as_of(self) -> DataFrame:
         return latest(self.table("events").withColumnRenamed("ts", "event_timestamp"), "event_timestamp")
 
+    @cached_property
+    def days(self) -> int:
+        """Days that the events span, begun ones included: look-backs of so many days cover the table."""
+        low, high = self.table("events").agg(F.min("ts"), F.max("ts")).first()
+        return (high - low).days + 2 if low else 1
+
+    @property
+    def minutes(self) -> int:
+        return self.days * 24 * 60
+
     @cached_property
     def order_wire(self) -> DataFrame:
         """Every event as the JSON text it would arrive as.  Messages of ``error`` events are
         broken, in four ways: cut off, no id, no readable time, wrong total."""
+        return self.wire_of(self.table("events"))
+
+    def wire_of(self, events: DataFrame) -> DataFrame:
         broken = F.when(F.col("source_type") == "error", F.col("n") % 4)
-        orders = self.orders_from(self.table("events")).select(
+        orders = self.orders_from(events).select(
             "*", F.col("event_id").cast("bigint").alias("n"),
         ).withColumn("source_type", F.when(F.col("category") == "Accessories", F.lit("error")).otherwise(F.lit("ok")))
         stamp = F.date_format("event_timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")

@@ -92,8 +92,9 @@ def prune_months(df: DataFrame, low, high, column: str = "event_timestamp") -> D
 # --- keyed tables fed by micro-batches ------------------------------------------------
 
 def write_batch(batch: DataFrame, path: str, batch_id: int, partition_by: Sequence[str] = ()) -> None:
-    """One folder per micro-batch.  A replayed batch overwrites its own folder, nothing else."""
-    writer = batch.write.mode("overwrite")
+    """One folder per micro-batch.  A replayed batch overwrites its own folder as a whole, nothing else; in the dynamic mode
+    of the session, months that only the failed attempt had would stay."""
+    writer = batch.write.mode("overwrite").option("partitionOverwriteMode", "static")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}/batch_id={batch_id}")
 
 

@@ -11,11 +11,13 @@ empty would run the stateful plan a second time; follow-up steps look at what wa
 from __future__ import annotations
 
 import datetime as dt
+import time
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from revpulse import schemas
 from revpulse.operators.ingest import dedup_events, route_dead_letters, validate_events, with_event_time
@@ -114,10 +116,20 @@ def run_streams(
     ]
 
 
-def await_streams(queries: Iterable[StreamingQuery]) -> None:
-    """Waits for drained queries; an error in any of them is raised."""
-    for q in queries:
-        q.awaitTermination()
+def await_streams(queries: Iterable[StreamingQuery], poll: float = 1.0) -> None:
+    """Waits until all queries have ended.  The first error in any of them stops the others and is raised, also while
+    another would run on for ever."""
+    waiting = list(queries)
+    while waiting:
+        for q in list(waiting):
+            try:
+                ended = q.awaitTermination(poll / len(waiting))
+            except Exception:
+                for other in waiting:
+                    other.stop()
+                raise
+            if ended:
+                waiting.remove(q)
 
 
 def current_metrics(spark: SparkSession, sink_dir: str) -> DataFrame:
@@ -134,17 +146,71 @@ def current_orders(spark: SparkSession, sink_dir: str) -> DataFrame:
     return read_latest(spark, f"{sink_dir}/order_events", ["event_id"]).drop("event_month")
 
 
-def progress_rows(spark: SparkSession, queries: Iterable[StreamingQuery]) -> DataFrame:
-    """Recent micro-batches as batch-log rows, with the rows dropped as too late."""
-    rows = []
-    for q in queries:
-        broken = q.exception() is not None
-        recent = q.recentProgress
-        for p in recent:
-            late = sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
-            finished = dt.datetime.fromisoformat(p.timestamp.replace("Z", "+00:00")) + dt.timedelta(milliseconds=p.batchDuration)
-            rows.append((q.name, p.batchId, finished, p.batchDuration, p.numInputRows, late, broken and p is recent[-1]))
-    return spark.createDataFrame(rows, schemas.BATCH_LOG)
+class BatchLog(StreamingQueryListener):
+    """Appends a row to the batch-log table for every micro-batch of the queries named, and one for a batch that failed.
+
+    The rows come from Spark's events as they happen, so none is lost however long a query runs.  A failed batch has no
+    progress event: its number is the one after the last finished batch.  Use as a context manager; leaving it waits
+    for the events of ended queries.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, names: Iterable[str] = ("order_events", "revenue_metrics", "dlq_events")):
+        self.spark, self.path, self.names = spark, path, set(names)
+        self.of: dict = {}
+        self.last: dict = {}
+        self.open: set = set()
+
+    def __enter__(self) -> BatchLog:
+        self.spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        until = time.monotonic() + 60
+        while self.open and time.monotonic() < until:  # the end of a query is told after it has ended
+            time.sleep(0.1)
+        self.spark.streams.removeListener(self)
+
+    def onQueryStarted(self, event) -> None:
+        if event.name in self.names:
+            self.of[event.runId], self.last[event.runId] = event.name, None
+            self.open.add(event.runId)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        if p.runId not in self.of:
+            return
+        self.last[p.runId] = p.batchId
+        late = sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
+        finished = dt.datetime.fromisoformat(p.timestamp.replace("Z", "+00:00")) + dt.timedelta(milliseconds=p.batchDuration)
+        self._write(p.name, p.batchId, finished, p.batchDuration, p.numInputRows, late, False)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if event.runId not in self.of:
+            return
+        if event.exception is not None:
+            last = self.last[event.runId]
+            name = self.of[event.runId]
+            if last is None:  # failed at once after a restart: the table knows the batch before
+                known = batch_log(self.spark, self.path).where((F.col("sink") == name) & ~F.col("failed")).agg(F.max("batch_id")).first()[0]
+                last = -1 if known is None else known
+            self._write(name, last + 1, dt.datetime.now(dt.timezone.utc), None, None, None, True)
+        self.open.discard(event.runId)
+
+    def _write(self, *row) -> None:
+        self.spark.createDataFrame([row], schemas.BATCH_LOG).coalesce(1).write.mode("append").parquet(self.path)
+
+
+def batch_log(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that a :class:`BatchLog` wrote; none before the first."""
+    try:
+        return spark.read.schema(schemas.BATCH_LOG).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schemas.BATCH_LOG)
 
 
 def read_anomaly_stream(spark: SparkSession, path: str, schema) -> DataFrame:

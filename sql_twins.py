@@ -290,14 +290,6 @@ SELECT {ANOMALY} FROM a WHERE (detected_at, anomaly_id) > (TIMESTAMP '2024-01-15
 # --- baseline and detection -------------------------------------------------------------------
 
 query("engineer_features", "SELECT * EXCLUDE (cents) FROM e", "e")
-query("window_grid", f"""
-SELECT window_start, window_start + INTERVAL '5 minutes' AS window_end, category, region, hour, day_of_week,
-  round_even(({BASE}) * ({WEIGHT}) * ({HOUR_F}) * ({DOW_F}) * 100, 0) / 100 AS expected_revenue
-FROM (SELECT w AS window_start, category, region, CAST(hour(w) AS INTEGER) AS hour, CAST(isodow(w) - 1 AS INTEGER) AS day_of_week
-  FROM (SELECT unnest(generate_series(date_trunc('day', min(ts))::TIMESTAMP, date_trunc('day', max(ts))::TIMESTAMP + INTERVAL '1435 minutes',
-          INTERVAL '5 minutes')) AS w FROM events),
-    (SELECT unnest(['Electronics', 'Footwear', 'Apparel', 'Home', 'Accessories']) AS category),
-    (SELECT unnest(['Delhi', 'Maharashtra', 'Karnataka', 'Tamil Nadu', 'West Bengal']) AS region))""")
 UNSCORED = f"""
 SELECT {METRIC} FROM m WHERE window_end <= {AS_OF} AND NOT EXISTS (SELECT 1 FROM a WHERE a.window_start = m.window_start
   AND a.category = m.category AND a.region = m.region AND a.severity = 'critical')"""
@@ -318,6 +310,10 @@ FROM a GROUP BY 1""", "a")
 # --- training -------------------------------------------------------------------------------
 
 query("label_windows", "SELECT * FROM labelled", "labelled")
+query("data_fingerprint", f"""
+SELECT substr(sha256(coalesce(sum(('0x' || substr(sha256(concat_ws('|', format('{{:.6f}}', avg_order_value::DOUBLE), category, is_anomaly,
+  order_count, region, format('{{:.6f}}', total_revenue::DOUBLE), {STAMP('window_end')}, {STAMP('window_start')})), 1, 15))::BIGINT), 0)
+  || ':' || count(*)), 1, 16) AS data_hash FROM labelled""", "labelled")
 query("class_balance", """
 SELECT count(*) FILTER (is_anomaly = 0) AS normal_rows, count(*) FILTER (is_anomaly = 1) AS anomaly_rows,
   CAST(count(*) FILTER (is_anomaly = 0) AS DOUBLE) / count(*) FILTER (is_anomaly = 1) AS positive_weight FROM labelled""", "labelled")
@@ -356,10 +352,12 @@ cte("slices", f"""
 SELECT *, CASE WHEN window_start >= {AS_OF} - INTERVAL '10 days' THEN 'actual' ELSE 'expected' END AS slice
 FROM m WHERE window_start >= {AS_OF} - INTERVAL '31 days'""", "m")
 query("histogram", f"""
-SELECT category, bin, count(*) FILTER (slice = 'expected') AS expected_rows, count(*) FILTER (slice = 'actual') AS actual_rows
-FROM (SELECT category, slice, CAST(least(len(list_filter(edges, lambda x: x <= total_revenue)), len(edges) - 1) - 1 AS INTEGER) AS bin
-  FROM slices JOIN (SELECT category, list_sort(list_distinct(quantile_cont(total_revenue, {TENTHS}))) AS edges FROM slices GROUP BY 1) USING (category))
-GROUP BY ALL""", "slices")
+SELECT * FROM (WITH e AS (SELECT category, list_sort(list_distinct(quantile_cont(total_revenue, {TENTHS}))) AS edges FROM slices GROUP BY 1),
+b AS (SELECT category, CAST(unnest(range(0, greatest(len(edges) - 1, 1))) AS INTEGER) AS bin FROM e),
+c AS (SELECT category, bin, count(*) FILTER (slice = 'expected') AS x, count(*) FILTER (slice = 'actual') AS y
+  FROM (SELECT category, slice, greatest(CAST(least(len(list_filter(edges, lambda x: x <= total_revenue)), len(edges) - 1) - 1 AS INTEGER), 0) AS bin
+    FROM slices JOIN e USING (category)) GROUP BY ALL)
+SELECT category, bin, coalesce(x, 0) AS expected_rows, coalesce(y, 0) AS actual_rows FROM b LEFT JOIN c USING (category, bin))""", "slices")
 
 
 def psi_sql(rows: str, by: str) -> str:
@@ -388,17 +386,19 @@ FROM m WHERE window_start >= {AS_OF} - INTERVAL '7 days'""", "m")
     enough = f"(SELECT count(*) FROM drift_slices_{hours} WHERE slice = 'expected') >= 50"
     cte(f"drift_{hours}", f"""
 SELECT measured_at, window_hours, round(rate, 8) AS anomaly_rate, round(mean_score, 8) AS avg_score, round(std, 8) AS score_std,
-  psi_revenue, psi_order_count, notes <> '' AS drift_flag, nullif(notes, '') AS notes
+  psi_revenue, psi_order_count, notes <> '' AS drift_flag, CASE WHEN n < 50 THEN 'not enough windows' ELSE nullif(notes, '') END AS notes
 FROM (SELECT *, concat_ws('; ',
     CASE WHEN psi_revenue > 0.2 THEN format('Revenue distribution shift: PSI={{:.3f}}', psi_revenue) END,
     CASE WHEN psi_order_count > 0.2 THEN format('Order count distribution shift: PSI={{:.3f}}', psi_order_count) END,
     CASE WHEN abs(rate - 0.05) > 0.15 THEN format('Anomaly rate {{:.1f}}% far from expected 5.0%', rate * 100) END,
     CASE WHEN std < 0.01 THEN format('Score distribution collapsed: std={{:.4f}}', std) END) AS notes
+  FROM (SELECT measured_at, window_hours, n, CASE WHEN n >= 50 THEN rate END AS rate, CASE WHEN n >= 50 THEN mean_score END AS mean_score,
+    CASE WHEN n >= 50 THEN std END AS std, CASE WHEN n >= 50 THEN psi_revenue END AS psi_revenue, CASE WHEN n >= 50 THEN psi_order_count END AS psi_order_count
   FROM (SELECT {AS_OF} AS measured_at, {hours} AS window_hours, count(*) AS n, avg(CASE WHEN anomaly_score > 0.5 THEN 1.0::DOUBLE ELSE 0 END) AS rate,
       avg(anomaly_score) AS mean_score, stddev_samp(anomaly_score) AS std,
       CASE WHEN {enough} THEN (SELECT psi FROM drift_psi_{hours} WHERE measure = 'total_revenue') END AS psi_revenue,
       CASE WHEN {enough} THEN (SELECT psi FROM drift_psi_{hours} WHERE measure = 'order_count') END AS psi_order_count
-    FROM scored WHERE window_start >= {AS_OF} - INTERVAL '{hours} hours') WHERE n >= 50)""", "scored", f"drift_psi_{hours}")
+    FROM scored WHERE window_start >= {AS_OF} - INTERVAL '{hours} hours')))""", "scored", f"drift_psi_{hours}")
     return f"drift_{hours}"
 
 
@@ -662,3 +662,14 @@ query("stream_revenue_metrics", f"SELECT {METRIC} FROM m", "m")
 query("stream_feature_store", "SELECT * FROM f", "f")
 query("stream_order_events", f"""
 SELECT event_id, event_timestamp, {WIRE_COLS}, CAST(total_amount AS DOUBLE) AS total_amount, region, payment_method FROM order_events""", "order_events")
+query("run_streams", """
+SELECT 'order_events' AS table_name, count(*) AS rows FROM order_events WHERE category <> 'Accessories'
+UNION ALL SELECT 'revenue_metrics', count(*) FROM m WHERE category <> 'Accessories'
+UNION ALL SELECT 'feature_store', count(*) FROM f WHERE category <> 'Accessories'
+UNION ALL SELECT 'dlq_events', count(DISTINCT value) FROM wire WHERE kind >= 0""", "order_events", "m", "f", "wire")
+query("batch_log", """
+SELECT 'failing' AS sink, CAST(b AS BIGINT) AS batch_id, CASE WHEN b < 2 THEN n END AS input_rows, b = 2 AS failed
+FROM range(0, 3) AS batches(b) LEFT JOIN (
+  SELECT (epoch_us(ts) - low) // step AS b, count(*) + count(*) FILTER (event_id % 50 = 0) AS n
+  FROM events, (SELECT epoch_us(min(ts)) AS low, CAST(round_even((epoch_us(max(ts)) - epoch_us(min(ts))) / 10.0, 0) AS BIGINT) AS step FROM events)
+  GROUP BY 1) USING (b)""")

@@ -39,9 +39,9 @@ class Feed:
 
 
 def run(spark, base):
-    queries = streams.run_streams(spark, str(base / "in"), str(base / "out"), str(base / "cp"), DRAIN, max_per_trigger=1)
-    streams.await_streams(queries)
-    return queries
+    with streams.BatchLog(spark, str(base / "log")):
+        streams.await_streams(streams.run_streams(spark, str(base / "in"), str(base / "out"), str(base / "cp"), DRAIN, max_per_trigger=1))
+    return streams.batch_log(spark, str(base / "log"))
 
 
 @pytest.fixture
@@ -61,7 +61,7 @@ def test_stream_equals_batch_with_duplicates_late_and_bad_messages(spark, base):
     feed.add(message(51, stamp(90)))
     feed.add(message(52, stamp(91)))
     feed.add(message(902, stamp(10)), message(53, stamp(92)))  # 902 is far too late
-    queries = run(spark, base)
+    log = run(spark, base)
 
     out = str(base / "out")
     accepted = streams.current_orders(spark, out)
@@ -73,7 +73,6 @@ def test_stream_equals_batch_with_duplicates_late_and_bad_messages(spark, base):
 
     dead = spark.read.parquet(f"{out}/dlq_events")
     assert sorted(r.error.split(",")[0] for r in dead.collect()) == ["amount_mismatch", "malformed", "missing_event_timestamp"]
-    log = streams.progress_rows(spark, queries)
     late = dict(log.groupBy("sink").agg(F.sum("late_rows")).collect())
     assert late["order_events"] == 1 and late["revenue_metrics"] >= 1
     assert log.where("failed").count() == 0
@@ -113,6 +112,39 @@ def test_replayed_batch_changes_nothing(spark, base):
     assert rows(streams.current_features(spark, out), "*") == before
 
 
+def test_one_failure_stops_the_others(spark, base):
+    rate = spark.readStream.format("rate").load()
+
+    def start(name, sink):
+        return rate.writeStream.foreachBatch(sink).queryName(name).option("checkpointLocation", str(base / name)).trigger(processingTime="0 seconds").start()
+
+    def broken(batch, batch_id):
+        raise ValueError("broken sink")
+
+    queries = [start("endless", lambda batch, batch_id: None), start("broken", broken)]
+    with pytest.raises(Exception, match="broken sink"):
+        streams.await_streams(queries)
+    assert not any(q.isActive for q in queries)
+
+
+def test_batch_log_counts_on_after_a_restart(spark, base):
+    feed = Feed(base / "in")
+    feed.add(*[message(i, stamp(i)) for i in range(4)])
+    assert [r.batch_id for r in run(spark, base).where("sink = 'dlq_events'").orderBy("batch_id").collect()] == [0]
+    feed.add(message(9, stamp(9)))
+
+    def sink(batch, batch_id):
+        raise ValueError("broken sink")
+
+    raw = streams.read_order_stream(spark, str(base / "in"))
+    with streams.BatchLog(spark, str(base / "log")):
+        q = raw.writeStream.foreachBatch(sink).queryName("dlq_events").option("checkpointLocation", str(base / "cp" / "dlq_events")).trigger(**DRAIN).start()
+        with pytest.raises(Exception, match="broken sink"):
+            q.awaitTermination()
+    log = streams.batch_log(spark, str(base / "log")).where("sink = 'dlq_events'").orderBy("batch_id").collect()
+    assert [(r.batch_id, r.failed) for r in log] == [(0, False), (1, True)]
+
+
 def test_anomaly_feed_stream(spark, views, base):
     path = str(base / "anomalies")
     views.anomalies.write.parquet(path)

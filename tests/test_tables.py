@@ -25,7 +25,7 @@ def test_upsert(spark):
 def test_upsert_takes_a_null_from_the_batch(spark):
     target = spark.createDataFrame([(1, "a")], "k int, x string")
     batch = spark.createDataFrame([(1, None)], "k int, x string")
-    assert tables.upsert(target, batch, ["k"], ["x"]).collect() == [(1, None)]
+    assert tables.upsert(target, batch, ["k"], ["x"], newest=[]).collect() == [(1, None)]
 
 
 def test_insert_if_absent(spark):
@@ -184,10 +184,55 @@ def test_uninvestigated_ignores_reports_without_anomaly(spark, views):
 
 
 def test_page_bounds(spark, views):
-    assert serving.page_anomalies(views.anomalies, 1000).count() == 100
-    assert serving.page_anomalies(views.anomalies, 0).count() == 1
+    assert serving.page_anomalies(views.anomalies, 100).count() == 100
+    for refused in ({"limit": 0}, {"limit": 101}, {"offset": -1}, {"offset": serving.MAX_OFFSET + 1}, {"status": "confirmed"}):
+        with pytest.raises(ValueError):
+            serving.page_anomalies(views.anomalies, **refused)
     with pytest.raises(ValueError):
-        serving.page_anomalies(views.anomalies, status="confirmed")
+        serving.kpis_api(views.revenue_metrics, views.anomalies, views.copilot_reports, views.as_of, 1441)
+
+
+def test_pages_by_key_walk_the_whole_table(views):
+    small = views.anomalies.where("category = 'Home'").checkpoint()
+    seen, last = [], None
+    while rows := serving.page_after(small, "detected_at", "anomaly_id", 30, last).collect():
+        seen += [r.anomaly_id for r in rows]
+        last = (str(rows[-1].detected_at), rows[-1].anomaly_id)
+    want = small.orderBy(F.desc("detected_at"), "anomaly_id").select("anomaly_id").collect()
+    assert seen == [r.anomaly_id for r in want]
+
+
+def test_a_replayed_batch_leaves_no_month_of_the_failed_attempt(spark, tmp_path):
+    path = str(tmp_path / "t")
+    months = lambda *m: spark.createDataFrame([(x, 1) for x in m], "event_month string, n int")
+    warehouse.write_batch(months("2024_01", "2024_02"), path, 0, ["event_month"])
+    warehouse.write_batch(months("2024_03"), path, 1, ["event_month"])
+    warehouse.write_batch(months("2024_01"), path, 0, ["event_month"])
+    assert sorted(r.event_month for r in spark.read.parquet(path).collect()) == ["2024_01", "2024_03"]
+
+
+def test_histogram_has_empty_bins(spark):
+    import numpy as np
+
+    from revpulse.operators import drift
+    values = [0.0] * 50 + [1.0] * 30 + [2.0] * 20
+    frame = spark.createDataFrame([(v, s, "k") for v in values for s in ("expected",)], "value double, slice string, g string")
+    edges = np.unique(np.percentile(values, np.arange(0, 101, 10)))
+    want, _ = np.histogram(values, edges)
+    got = {r.bin: r.expected_rows for r in drift.histogram(frame, ["g"]).collect()}
+    assert [got[i] for i in range(len(want))] == list(want) and len(got) == len(want) and 0 in got.values()
+
+
+def test_status_lights_push_their_time_bound(spark, views, tmp_path):
+    path = str(tmp_path / "events")
+    views.order_events.orderBy("ingested_at").write.parquet(path)
+    stored = spark.read.parquet(path)
+    for row in (serving.throughput(stored, views.as_of), serving.ingest_latency(stored, as_of=views.as_of)):
+        plan = row._jdf.queryExecution().toString()
+        assert "GreaterThanOrEqual(ingested_at" in plan or "ingested_at" in plan.split("PushedFilters", 1)[1][:400]
+    assert serving.ingest_latency(stored, 5, views.as_of, 1).first() == serving.ingest_latency(stored, 5).first()
+    late = views.as_of.select((F.col(views.as_of.columns[0]) + F.expr("INTERVAL 9 DAYS")).alias("t"))
+    assert serving.throughput(stored, late).first() == (0.0, stored.agg(F.max("ingested_at")).first()[0])
 
 
 def test_reading_on_walks_the_whole_table(views):
