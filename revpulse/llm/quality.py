@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from revpulse.llm import words
 
-LABELLED, POOL = 8_000, 4_000
+LABELLED, POOL = 4_000, 2_000
 ROUNDS, PER_ROUND, CONFIDENT = 4, 300, 0.95
 DIM = 1 << 11
 THRESHOLD = 0.2  # below one half: a clean document lost costs more than a poor one kept
@@ -84,15 +84,16 @@ class Logistic:
     def fit(self, x: np.ndarray, y: np.ndarray) -> Logistic:
         self.mean, self.std = x.mean(axis=0), x.std(axis=0)
         self.std[self.std < 1e-6] = np.inf  # a column that never varies says nothing
-        z = ((x - self.mean) / self.std).astype(np.float32)
+        z = (x - self.mean).astype(np.float32)
+        z /= self.std.astype(np.float32)
         self.w, self.b = np.zeros(x.shape[1], np.float32), 0.0
         step = 4.0 / (np.square(z).sum(axis=1).mean() + 1)
         ahead, before = self.w, self.w
         for t in range(self.steps):
-            error = 1 / (1 + np.exp(-np.clip(z @ ahead + self.b, -30, 30))) - y
-            self.w = ahead - step * (z.T @ error / len(y) + self.ridge * ahead)
+            error = (1 / (1 + np.exp(-np.clip(z @ ahead + self.b, -30, 30))) - y).astype(np.float32)  # else z is widened each step
+            self.w = ahead - np.float32(step) * (error @ z / len(y) + np.float32(self.ridge) * ahead)
             self.b -= float(error.mean())
-            ahead, before = self.w + t / (t + 3) * (self.w - before), self.w
+            ahead, before = self.w + np.float32(t / (t + 3)) * (self.w - before), self.w
         return self
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -113,7 +114,7 @@ def _platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 class Model:
     def fit(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray) -> Model:
-        held = np.arange(len(y)) % 4 == 0
+        held = np.arange(len(y)) % 4 == 0  # a quarter calibrates
         share = float(y[~held].mean())
         sets = {v: (x[~held], y[~held]) for v, x in (("text", text), ("meta", meta))}
         pools = {"text": pool_text, "meta": pool_meta}
@@ -158,8 +159,10 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     rows = docs.select("doc_id", "text", *view).join(F.broadcast(asked), "doc_id")  # at most labelled + pool ids
     rows = rows.select(F.col("doc_id").cast("long").alias("__id"), "__y", "text", *view).mapInArrow(_features, "id long, y int, text binary, meta binary").toArrow().sort_by("id")
     y = rows["y"].to_numpy()
-    text = np.array([np.frombuffer(b, np.float16) for b in rows["text"].to_pylist()], np.float32).reshape(-1, DIM)
-    meta = np.array([np.frombuffer(b, np.float32) for b in rows["meta"].to_pylist()], np.float32).reshape(-1, META)
+    text, meta = np.zeros((len(y), DIM), np.float32), np.zeros((len(y), META), np.float32)
+    for i, (t, m) in enumerate(zip(rows["text"], rows["meta"])):
+        text[i], meta[i] = np.frombuffer(t.as_buffer(), np.float16), np.frombuffer(m.as_buffer(), np.float32)
+    del rows
     have, rest = y >= 0, y < 0
     if min((y == 1).sum(), (y == 0).sum()) < 4:
         return None
