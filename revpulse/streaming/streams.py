@@ -1,11 +1,11 @@
 """The streaming queries and their sinks.
 
-The sinks are batch-numbered folders (see ``write_batch``): a replayed micro-batch replaces
-its own output, and readers take the newest row per key.  Errors are not swallowed; a failed
+Events and dead letters go to batch-numbered folders (see ``write_batch``): a replayed micro-batch replaces its own output.
+Metric windows and features are keyed tables in day folders (``sources.keyed``): a batch reads and writes the days it touches, however
+long the stream has run, and writing it again changes nothing.  Errors are not swallowed; a failed
 batch stops its query and is replayed on restart.
 
-A sink runs the micro-batch exactly once, as one write.  Asking first whether the batch is
-empty would run the stateful plan a second time; follow-up steps look at what was written.
+A sink runs the micro-batch exactly once: as one write, or held in the checkpoint folder for several steps.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from revpulse import schemas
 from revpulse.operators.ingest import dedup_events, route_dead_letters, validate_events, with_event_time
 from revpulse.operators.windows import KEY, features_from_windows, revenue_metrics
+from revpulse.sources.keyed import DAY, held, move_older, upsert_table
 from revpulse.sources.orders import parse_order_events, read_order_stream
 from revpulse.sources.warehouse import read_latest, with_month, write_batch
 
@@ -59,34 +60,48 @@ def start_dead_letters(dead: DataFrame, sink_dir: str, checkpoint_dir: str, trig
     return _start(dead, sink, "append", "dlq_events", checkpoint_dir, trigger)
 
 
-def refresh_features(spark: SparkSession, sink_dir: str, batch_id: int) -> None:
-    """Feature rows touched by one batch of metric windows.
+def refresh_features(changed: DataFrame, sink_dir: str) -> None:
+    """Feature rows touched by one (held) batch of metric windows.
 
     A changed window affects the feature rows of the following hour.  They are recomputed
     from the metric table, so no sliding-window state is kept and no event is copied into
     twelve windows.
     """
-    changed = spark.read.parquet(f"{sink_dir}/revenue_metrics/batch_id={batch_id}")
     low, high = changed.agg(F.min("window_end"), F.max("window_end")).first()
     if low is None:
         return
     last = high + _HOUR - _STEP
-    metrics = read_latest(spark, f"{sink_dir}/revenue_metrics", METRIC_KEYS).where(
-        (F.col("window_end") > F.lit(low - _HOUR)) & (F.col("window_end") <= F.lit(last))
-    ).join(changed.select(*KEY).distinct(), KEY, "left_semi")
+    day = F.col(DAY).cast("string")
+    metrics = current_metrics(changed.sparkSession, sink_dir, keep_day=True).where(
+        (day >= str(low - 2 * _HOUR)[:10]) & (day <= str(last)[:10])
+    ).where((F.col("window_end") > F.lit(low - _HOUR)) & (F.col("window_end") <= F.lit(last))).drop(DAY).join(changed.select(*KEY).distinct(), KEY, "left_semi")
     touched = changed.select(
         F.explode(F.sequence("window_end", F.col("window_end") + F.expr("INTERVAL 55 MINUTES"), F.expr("INTERVAL 5 MINUTES")))
         .alias("computed_at"), *KEY,
     ).distinct()
     rows = features_from_windows(metrics).join(touched, FEATURE_KEYS, "left_semi")
-    write_batch(rows, f"{sink_dir}/feature_store", batch_id)
+    _store(held(rows), f"{sink_dir}/feature_store", FEATURE_KEYS, "computed_at")
 
 
-def start_revenue_metrics(events: DataFrame, sink_dir: str, checkpoint_dir: str, trigger: dict) -> StreamingQuery:
-    """Upserts changed 5-minute windows and the feature rows that depend on them."""
+def _store(batch: DataFrame, path: str, keys: list[str], time: str) -> None:
+    upsert_table(path, batch, keys, [c for c in batch.columns if c not in keys], time=time, newest=[])
+
+
+def start_revenue_metrics(
+    events: DataFrame, sink_dir: str, checkpoint_dir: str, trigger: dict, feature_hours: int | None = None, purge_every: int = 10,
+) -> StreamingQuery:
+    """Upserts changed 5-minute windows and the feature rows that depend on them; only the days they lie in are read and written.
+
+    With ``feature_hours`` every ``purge_every`` batches remove feature rows that much older than the newest.
+    """
     def sink(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, f"{sink_dir}/revenue_metrics", batch_id)
-        refresh_features(batch.sparkSession, sink_dir, batch_id)
+        changed = held(batch)  # the stateful plan runs once
+        _store(changed, f"{sink_dir}/revenue_metrics", METRIC_KEYS, "window_start")
+        refresh_features(changed, sink_dir)
+        if feature_hours is not None and batch_id % purge_every == purge_every - 1:
+            newest = changed.agg(F.max("window_end")).first()[0]
+            if newest is not None:
+                move_older(batch.sparkSession, f"{sink_dir}/feature_store", None, "computed_at", str(newest - dt.timedelta(hours=feature_hours)))
 
     return _start(revenue_metrics(events), sink, "update", "revenue_metrics", checkpoint_dir, trigger)
 
@@ -132,12 +147,13 @@ def await_streams(queries: Iterable[StreamingQuery], poll: float = 1.0) -> None:
                 waiting.remove(q)
 
 
-def current_metrics(spark: SparkSession, sink_dir: str) -> DataFrame:
-    return read_latest(spark, f"{sink_dir}/revenue_metrics", METRIC_KEYS)
+def current_metrics(spark: SparkSession, sink_dir: str, keep_day: bool = False) -> DataFrame:
+    rows = spark.read.parquet(f"{sink_dir}/revenue_metrics")
+    return rows if keep_day else rows.drop(DAY)
 
 
 def current_features(spark: SparkSession, sink_dir: str) -> DataFrame:
-    return read_latest(spark, f"{sink_dir}/feature_store", FEATURE_KEYS)
+    return spark.read.parquet(f"{sink_dir}/feature_store").drop(DAY)
 
 
 def current_orders(spark: SparkSession, sink_dir: str) -> DataFrame:

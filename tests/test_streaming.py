@@ -107,9 +107,23 @@ def test_replayed_batch_changes_nothing(spark, base):
     feed.add(*[message(i, stamp(i)) for i in range(10)])
     run(spark, base)
     out = str(base / "out")
-    before = rows(streams.current_features(spark, out), "*")
-    streams.refresh_features(spark, out, 0)
-    assert rows(streams.current_features(spark, out), "*") == before
+    before = rows(streams.current_features(spark, out), "*"), rows(streams.current_metrics(spark, out), "*")
+    again = streams.current_metrics(spark, out).checkpoint()
+    streams.upsert_table(f"{out}/revenue_metrics", again, streams.METRIC_KEYS, ["order_count"], time="window_start", newest=[])
+    streams.refresh_features(again, out)
+    assert (rows(streams.current_features(spark, out), "*"), rows(streams.current_metrics(spark, out), "*")) == before
+
+
+def test_old_features_are_purged_in_the_stream(spark, base):
+    feed = Feed(base / "in")
+    for hour in range(0, 30, 3):
+        feed.add(message(hour, f"2024-01-0{1 + hour // 24}T{hour % 24:02d}:00:00Z"))
+    events = streams.clean_events(streams.route_dead_letters(streams.validate_events(streams.parse_order_events(
+        streams.read_order_stream(spark, str(base / "in"), max_per_trigger=1))))[0])
+    streams.await_streams([streams.start_revenue_metrics(events, str(base / "out"), str(base / "cp"), DRAIN, feature_hours=2, purge_every=2)])
+    times = [r.computed_at.hour + 24 * (r.computed_at.day - 1) for r in streams.current_features(spark, str(base / "out")).collect()]
+    assert times and min(times) >= 20
+    assert streams.current_metrics(spark, str(base / "out")).count() == 10
 
 
 def test_one_failure_stops_the_others(spark, base):
