@@ -124,3 +124,5 @@ SECTIONS = [
 PARAGRAPH_MIN, PARAGRAPH_SHOWN = 40, 500
 
 TOO_FEW_WINDOWS = "not enough windows"
+
+SECTION_ANOMALIES = "Anomalies"

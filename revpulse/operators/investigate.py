@@ -98,18 +98,17 @@ def feature_snapshot(feature_store: DataFrame, n: int = 3) -> DataFrame:
 
 def investigation_bundle(
     anomalies: DataFrame, reports: DataFrame, metrics: DataFrame, events: DataFrame, feature_store: DataFrame,
-    as_of: AsOf, *, limit: int = 5, minutes: int = 30, trend_minutes: int = 15, widest: int = 60,
+    as_of: AsOf, *, limit: int | None = 5, minutes: int = 30, trend_minutes: int = 15, widest: int = 60,
 ) -> DataFrame:
-    """All evidence for the next anomalies, one line per row: (anomaly_id, section, position, line).
+    """All evidence for the next anomalies (``limit=None``: for all), one line per row: (section, category, region, position, line).
 
-    Each of the six sections is computed once for all anomalies.  The anomaly side has at
-    most ``limit`` rows, which is what makes broadcasting it safe.  Lines stay rows; nothing
-    is gathered into one value.
+    Evidence that anomalies share is told once: a line belongs to every anomaly of its category and region, and null in
+    either stands for all of them (:func:`evidence_for`).  The first section lists the anomalies.  So the bundle grows
+    with the anomalies plus the evidence, not with their product, and no side has to be small.
     """
     use_shared_checkpoints(anomalies.sparkSession)
-    # At most `limit` rows, needed by every section: found once.
+    # Needed by every section: found once.
     chosen = uninvestigated_anomalies(anomalies, reports, limit).select("anomaly_id", *KEY).checkpoint()
-    small = F.broadcast(chosen)
     recent = lookback(metrics, "window_start", as_of, f"{minutes} MINUTES")
 
     def stamp(c):
@@ -123,29 +122,32 @@ def investigation_bundle(
             F.concat(F.lit("avg="), text.rupees(F.col("avg_order_value"))),
         )
 
-    def section(name, rows, place, line):
-        return rows.select("anomaly_id", F.lit(name).alias("section"), place.alias("position"), line.alias("line"))
+    def section(name, rows, own, place, line):
+        keys = [(F.col(k) if k in own else F.lit(None).cast("string")).alias(k) for k in KEY]
+        return rows.select(F.lit(name).alias("section"), *keys, place.alias("position"), line.alias("line"))
+
+    def of_chosen(rows, keys):
+        return rows.join(chosen.select(*keys).distinct(), keys, "left_semi")
 
     products = _volume(
         lookback(events, "event_timestamp", as_of, f"{minutes} MINUTES"), ["category", "product_id", "product_name"]
     )
     snapshot = feature_snapshot(feature_store)
-    everyone = F.explode(chosen.agg(F.collect_list("anomaly_id")).scalar()).alias("anomaly_id")
-    trend = order_trend(events, as_of, trend_minutes, widest).select("*", everyone)
-    payments = payment_breakdown(events, as_of, minutes).select("*", everyone)
+    trend = order_trend(events, as_of, trend_minutes, widest)
+    payments = payment_breakdown(events, as_of, minutes)
     total = F.concat(F.lit("revenue="), text.rupees(F.col("total_revenue")))
 
     names = fixed.SECTIONS
     parts = [
-        section(names[0], recent.join(small.select("anomaly_id", "category"), "category"),
+        section(fixed.SECTION_ANOMALIES, chosen, KEY, F.col("anomaly_id"), F.concat_ws(" | ", "anomaly_id", *KEY)),
+        section(names[0], of_chosen(recent, ["category"]), ["category"],
                 F.concat_ws("|", stamp("window_start"), "region"), metric_line("region")),
-        section(names[1], recent.join(small.select("anomaly_id", "region"), "region"),
+        section(names[1], of_chosen(recent, ["region"]), ["region"],
                 F.concat_ws("|", stamp("window_start"), "category"), metric_line("category")),
-        section(names[2], products.join(small.select("anomaly_id", "category"), "category"),
-                F.col("product_id"),
+        section(names[2], of_chosen(products, ["category"]), ["category"], F.col("product_id"),
                 F.concat_ws(" | ", F.concat_ws(" ", "product_id", "product_name"),
                             F.concat(F.lit("orders="), F.col("order_count"), F.lit(" units="), F.col("total_units")), total)),
-        section(names[3], snapshot.join(small, KEY), stamp("computed_at"), F.concat_ws(
+        section(names[3], of_chosen(snapshot, KEY), KEY, stamp("computed_at"), F.concat_ws(
             " | ", stamp("computed_at"),
             F.concat(F.lit("rev 5m="), text.rupees(F.col("revenue_last_5m")),
                      F.lit(" 15m="), text.rupees(F.col("revenue_last_15m")),
@@ -155,10 +157,10 @@ def investigation_bundle(
             F.concat(F.lit("avg="), text.rupees(F.col("avg_order_value_last_15m"))),
             F.concat(F.lit("trend="), F.format_string("%.2f", F.col("revenue_trend_pct")), F.lit(" ("), F.col("trend"), F.lit(")")),
         )),
-        section(names[4], trend, stamp("minute"), F.concat_ws(
+        section(names[4], trend, [], stamp("minute"), F.concat_ws(
             " | ", stamp("minute"), F.concat(F.lit("orders="), F.col("orders")),
             F.concat(F.lit("revenue="), text.rupees(F.col("revenue"))))),
-        section(names[5], payments, F.col("payment_method"), F.concat_ws(
+        section(names[5], payments, [], F.col("payment_method"), F.concat_ws(
             " | ", F.rpad("payment_method", 25, " "), F.concat(F.lit("orders="), F.col("order_count")), total)),
     ]
     bundle = parts[0]
@@ -167,6 +169,13 @@ def investigation_bundle(
     return bundle
 
 
+def evidence_for(bundle: DataFrame, anomaly_id: str, category: str, region: str) -> DataFrame:
+    """The lines of one anomaly: (section, position, line)."""
+    mine = (F.col("category").isNull() | (F.col("category") == category)) & (F.col("region").isNull() | (F.col("region") == region))
+    other = (F.col("section") == fixed.SECTION_ANOMALIES) & (F.col("position") != anomaly_id)
+    return bundle.where(mine & ~other).select("section", "position", "line")
+
+
 def parse_reports(texts: DataFrame, anomalies: DataFrame | None = None) -> DataFrame:
     """Fields of report texts ``(anomaly_id, report_text)``.
 

@@ -19,7 +19,7 @@ from revpulse.functions.moments import between_lookback, latest, lookback
 from revpulse.operators import (
     baseline, deadletter, detect, drift, ingest, investigate, lifecycle, ml, serving, tables, telemetry, windows,
 )
-from revpulse.sources import orders, warehouse
+from revpulse.sources import keyed, orders, warehouse
 from revpulse.sources.views import Views
 from revpulse.streaming import streams
 
@@ -171,6 +171,53 @@ def insert_if_absent(v):
     return tables.insert_if_absent(older, newer, detect.WINDOW_KEY)
 
 
+def _stored(v, rows, keys, time):
+    path = warehouse.fresh_path(v.spark, "keyed")
+    keyed.insert_table(path, keyed.held(rows), keys, time=time)
+    return path
+
+
+@query
+def upsert_table(v):
+    """As ``upsert``, on a stored table of which only the touched days are read and written."""
+    older, newer = _halves(v, v.revenue_metrics, "window_start")
+    keys = ["window_start", "window_end", "category", "region"]
+    path = _stored(v, older, keys, "window_start")
+    changed = keyed.held(newer.withColumn("order_count", F.col("order_count") + 1))
+    keyed.upsert_table(path, changed, keys, ["order_count", "total_revenue", "avg_order_value"], time="window_start", newest=[])
+    return v.spark.read.parquet(path).drop(keyed.DAY)
+
+
+@query
+def upsert_partial_table(v):
+    older, newer = _halves(v, v.feature_store, "computed_at")
+    keys = ["computed_at", "category", "region"]
+    path = _stored(v, older, keys, "computed_at")
+    part = keyed.held(newer.select(*keys, (F.col("revenue_last_5m") * 2).alias("revenue_last_5m"), "orders_last_5m"))
+    keyed.upsert_table(path, part, keys, ["revenue_last_5m", "orders_last_5m"], time="computed_at", newest=[],
+                       defaults={c: 0 for c in (*windows.FEATURE_COLUMNS, "revenue_trend_pct")})
+    return v.spark.read.parquet(path).drop(keyed.DAY)
+
+
+@query
+def insert_table(v):
+    older, newer = _halves(v, v.anomalies, "window_start")
+    path = _stored(v, older, detect.WINDOW_KEY, "window_start")
+    keyed.insert_table(path, keyed.held(newer), detect.WINDOW_KEY, time="window_start")
+    return v.spark.read.parquet(path).drop(keyed.DAY)
+
+
+@query
+def archive_table(v):
+    """As ``archive_events``, on stored tables: appended to the archive, removed from the table."""
+    path, archive = _stored(v, v.order_events, ["event_id"], "event_timestamp"), warehouse.fresh_path(v.spark, "archive")
+    cutoff = v.as_of.select((F.col(v.as_of.columns[0]) - F.expr("INTERVAL 12 DAYS")).cast("string")).first()[0]
+    keyed.move_older(v.spark, path, archive, "event_timestamp", cutoff)
+    moved = keyed.read_keyed(v.spark, archive)
+    kept = v.spark.read.parquet(path).drop(keyed.DAY)
+    return _sides(["kept", "archived"], (kept, kept.limit(0) if moved is None else moved.drop(keyed.DAY)), ["event_id", "event_timestamp"])
+
+
 @query
 def append_rows(v):
     path = warehouse.fresh_path(v.spark, "append")
@@ -474,7 +521,7 @@ def feature_snapshot(v):
 def investigation_bundle(v):
     return investigate.investigation_bundle(
         v.anomalies, v.copilot_reports, v.revenue_metrics, v.order_events, v.feature_store, v.as_of,
-        minutes=v.minutes, trend_minutes=v.minutes, widest=v.minutes,
+        limit=None, minutes=v.minutes, trend_minutes=v.minutes, widest=v.minutes,
     )
 
 

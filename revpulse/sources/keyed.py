@@ -64,7 +64,7 @@ def upsert_table(path: str, batch: DataFrame, keys: Sequence[str], update_cols:
         return []
     stored = _of_days(spark, path, days)
     if stored is None:
-        stored = batch.limit(0)
+        stored = batch.limit(0)  # the first batch has all columns
     overwrite_days(tables.upsert(stored.drop(DAY), batch, keys, update_cols, newest=newest, defaults=defaults), path, time)
     return days
 

@@ -443,7 +443,7 @@ cte("snap", """
 SELECT * EXCLUDE (k), CASE WHEN revenue_trend_pct < 0.6 THEN 'DECLINING' WHEN revenue_trend_pct < 1.4 THEN 'STABLE' ELSE 'SURGING' END AS trend
 FROM (SELECT *, row_number() OVER (PARTITION BY category, region ORDER BY computed_at DESC) AS k FROM f) WHERE k <= 3""", "f")
 query("feature_snapshot", "SELECT * FROM snap", "snap")
-cte("five_next", f"SELECT anomaly_id, category, region FROM a WHERE status = 'open' AND anomaly_id NOT IN (SELECT anomaly_id FROM r) {URGENT} LIMIT 5", "a", "r")
+cte("all_next", "SELECT anomaly_id, category, region FROM a WHERE status = 'open' AND anomaly_id NOT IN (SELECT anomaly_id FROM r)", "a", "r")
 
 
 def metric_line(other: str) -> str:
@@ -452,18 +452,20 @@ def metric_line(other: str) -> str:
 
 
 query("investigation_bundle", f"""
-SELECT anomaly_id, 'Revenue by Category' AS section, {STAMP('window_start')} || '|' || m.region AS position, {metric_line('region')} AS line
-FROM m JOIN five_next USING (category)
-UNION ALL SELECT anomaly_id, 'Revenue by Region', {STAMP('window_start')} || '|' || m.category, {metric_line('category')} FROM m JOIN five_next USING (region)
-UNION ALL SELECT anomaly_id, 'Product Order Volume', product_id, product_id || ' ' || product_name || ' | orders=' || order_count || ' units=' || total_units
-  || ' | revenue=' || {RUPEES('total_revenue')} FROM vol JOIN five_next USING (category)
-UNION ALL SELECT anomaly_id, 'Feature Snapshot', {STAMP('computed_at')}, {STAMP('computed_at')} || ' | rev 5m=' || {RUPEES('revenue_last_5m')}
+SELECT 'Anomalies' AS section, category, region, anomaly_id AS position, anomaly_id || ' | ' || category || ' | ' || region AS line FROM all_next
+UNION ALL SELECT 'Revenue by Category', category, NULL, {STAMP('window_start')} || '|' || m.region, {metric_line('region')}
+  FROM m WHERE category IN (SELECT category FROM all_next)
+UNION ALL SELECT 'Revenue by Region', NULL, region, {STAMP('window_start')} || '|' || m.category, {metric_line('category')}
+  FROM m WHERE region IN (SELECT region FROM all_next)
+UNION ALL SELECT 'Product Order Volume', category, NULL, product_id, product_id || ' ' || product_name || ' | orders=' || order_count || ' units=' || total_units
+  || ' | revenue=' || {RUPEES('total_revenue')} FROM vol WHERE category IN (SELECT category FROM all_next)
+UNION ALL SELECT 'Feature Snapshot', category, region, {STAMP('computed_at')}, {STAMP('computed_at')} || ' | rev 5m=' || {RUPEES('revenue_last_5m')}
   || ' 15m=' || {RUPEES('revenue_last_15m')} || ' 60m=' || {RUPEES('revenue_last_60m')} || ' | orders 5m=' || orders_last_5m || ' 15m=' || orders_last_15m
   || ' 60m=' || orders_last_60m || ' | avg=' || {RUPEES('avg_order_value_last_15m')} || ' | trend=' || format('{{:.2f}}', revenue_trend_pct) || ' (' || trend || ')'
-  FROM snap JOIN five_next USING (category, region)
-UNION ALL SELECT anomaly_id, 'Recent Order Trend', {STAMP('minute')}, {STAMP('minute')} || ' | orders=' || orders || ' | revenue=' || {RUPEES('revenue')} FROM trend, five_next
-UNION ALL SELECT anomaly_id, 'Payment Breakdown', payment_method, rpad(payment_method, 25, ' ') || ' | orders=' || order_count || ' | revenue=' || {RUPEES('total_revenue')}
-  FROM pay, five_next""", "m", "five_next", "vol", "snap", "trend", "pay")
+  FROM snap SEMI JOIN all_next USING (category, region)
+UNION ALL SELECT 'Recent Order Trend', NULL, NULL, {STAMP('minute')}, {STAMP('minute')} || ' | orders=' || orders || ' | revenue=' || {RUPEES('revenue')} FROM trend
+UNION ALL SELECT 'Payment Breakdown', NULL, NULL, payment_method, rpad(payment_method, 25, ' ') || ' | orders=' || order_count || ' | revenue=' || {RUPEES('total_revenue')}
+  FROM pay""", "m", "all_next", "vol", "snap", "trend", "pay")
 
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')".format
 SQUEEZE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))".format
@@ -662,6 +664,10 @@ query("stream_revenue_metrics", f"SELECT {METRIC} FROM m", "m")
 query("stream_feature_store", "SELECT * FROM f", "f")
 query("stream_order_events", f"""
 SELECT event_id, event_timestamp, {WIRE_COLS}, CAST(total_amount AS DOUBLE) AS total_amount, region, payment_method FROM order_events""", "order_events")
+query("upsert_table", SQL["upsert"])
+query("upsert_partial_table", SQL["upsert_partial"])
+query("insert_table", f"SELECT {ANOMALY} FROM a", "a")
+query("archive_table", SQL["archive_events"])
 query("run_streams", """
 SELECT 'order_events' AS table_name, count(*) AS rows FROM order_events WHERE category <> 'Accessories'
 UNION ALL SELECT 'revenue_metrics', count(*) FROM m WHERE category <> 'Accessories'
