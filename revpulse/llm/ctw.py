@@ -30,14 +30,14 @@ from pyspark.sql import functions as F
 from revpulse.llm import words
 from revpulse.llm.components import cut
 
-DEPTH = 5
-BLOCK = 3_000_000
+DEPTH = 4
+BLOCK = 2_000_000
 FREQUENT = 1_000_000
 END_BYTE = 10
 END_WORD = np.uint64(0xE5D0C5D0E5D0C5D1)
 _GRAMS, _WORDS = 0, 1
 _DEPTH_AT = np.uint64(48)  # node keys: depth, context, node
-_HELD = 1_500_000  # keys a task gathers before it hands them on
+_HELD = 500_000  # keys a task gathers before it hands them on
 
 
 class HashIndex:
@@ -157,26 +157,33 @@ def build(keys: np.ndarray, counts: np.ndarray, depth: int, least: int, below: d
     return out
 
 
-class Nodes:
-    """Node table: weights and probabilities by depth, context and node."""
+class Model:
+    """Sorted (context, byte) keys with their counts, and the weights of all shorter contexts.
 
-    def __init__(self, key: np.ndarray, weight: np.ndarray, one: np.ndarray, depth: int):
-        self.index, self.depth = HashIndex(key), depth
-        self.weight, self.one = np.append(weight, weight.dtype.type(0)), np.append(one, one.dtype.type(0.5))  # last: not there
+    The longest contexts need no table of nodes: the count of a node is that of a range of keys.
+    """
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, node: np.ndarray, weight: np.ndarray, one: np.ndarray, depth: int):
+        order = np.argsort(keys)
+        self.keys, self.sums = keys[order], np.r_[0, np.cumsum(counts[order])]
+        order = np.argsort(node)
+        self.node, self.weight, self.one, self.depth = np.append(node[order], ~np.uint64(0)), np.append(weight[order], 0), np.append(one[order], 0.5), depth
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
         """log10 probability of each byte after its context."""
         out = np.zeros(len(keys))
-        byte = keys & np.uint64(255)
+        byte, context = keys & np.uint64(255), keys >> np.uint64(8)
         for j in range(8):
-            node = np.uint64(1 << j) | byte >> np.uint64(8 - j)
+            prefix = byte >> np.uint64(8 - j)
             one = (byte >> np.uint64(7 - j) & np.uint64(1)).astype(bool)
-            p = np.full(len(keys), 0.5)
-            for d in range(self.depth, -1, -1):
-                context = keys >> np.uint64(8 * (self.depth - d) + 8)
-                at = self.index.find(np.uint64(d) << _DEPTH_AT | context << np.uint64(8) | node)
+            low = context << np.uint64(8) | prefix << np.uint64(8 - j)
+            a, m, b = (self.sums[np.searchsorted(self.keys, low + np.uint64(step))] for step in (0, 1 << (7 - j), 1 << (8 - j)))
+            p = (np.where(one, b - m, m - a) + 0.5) / (b - a + 1.0)  # one half if never seen
+            for d in range(self.depth - 1, -1, -1):
+                key = np.uint64(d) << _DEPTH_AT | context >> np.uint64(8 * (self.depth - d)) << np.uint64(8) | np.uint64(1 << j) | prefix
+                at = np.searchsorted(self.node, key)
                 w, q = self.weight[at], self.one[at]
-                p = np.where(at < 0, 0.5, w * np.where(one, q, 1 - q) + (1 - w) * p)
+                p = np.where(self.node[at] == key, w * np.where(one, q, 1 - q) + (1 - w) * p, 0.5)
             out += np.log10(p)
         return out
 
@@ -225,8 +232,9 @@ def _count(depth: int):
     return run
 
 
-def _subtrees(depth: int):
-    """Nodes with two context bytes or more, for the grams of one partition."""
+def _subtrees(depth: int, second: bool):
+    """For the grams of one partition: with ``second`` the counts of the nodes with two context bytes, else the weights of
+    the nodes with two bytes or more (the longest, which have none, left out)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [(b["key"].to_numpy().view(np.uint64), b["n"].to_numpy()) for b in batches]
         if not parts:
@@ -234,10 +242,12 @@ def _subtrees(depth: int):
         keys, counts = (np.concatenate(p) for p in zip(*parts))
         order = np.argsort(keys)
         for e in build(keys[order], counts[order], depth, 2):
-            n = len(e["node"])
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(n, e["depth"], np.int32)), pa.array(e["node"].view(np.int64)), pa.array(e["weight"]), pa.array(e["one"]),
-                pa.array(e["zeros"]), pa.array(e["ones"]), pa.array(e["weighted"])], names=["depth", "node", "weight", "one", "zeros", "ones", "weighted"])
+            if second and e["depth"] == 2:
+                yield pa.RecordBatch.from_arrays([pa.array(e["node"].view(np.int64)), pa.array(e["zeros"]), pa.array(e["ones"]), pa.array(e["weighted"])],
+                                                 names=["node", "zeros", "ones", "weighted"])
+            elif not second and e["depth"] < depth:
+                key = np.uint64(e["depth"]) << _DEPTH_AT | e["node"]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(e["weight"]), pa.array(e["one"])], names=["key", "weight", "one"])
     return run
 
 
@@ -263,7 +273,7 @@ class Trained:
 
     def __init__(self, docs: DataFrame, depth: int):
         if not 2 <= depth <= 5:
-            raise ValueError("depth must be 2 to 5: a node's key holds so many context bytes")
+            raise ValueError("depth must be 2 to 5: a key holds so many context bytes")
         self.depth = depth
         spark = docs.sparkSession
         counts = cut(docs.select("text").mapInArrow(_count(depth), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
@@ -273,9 +283,8 @@ class Trained:
         self.tokens, self.distinct = int(total["n"] or 0), int(total["v"])
         self.pair = F.shiftright("key", 8 * depth - 8).alias("pair")  # the last two context bytes
         tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.nodes = cut(self.grams.repartition(tasks, self.pair).mapInArrow(
-            _subtrees(depth), "depth int, node long, weight double, one double, zeros long, ones long, weighted double"))
-        second = self.nodes.where("depth = 2").groupBy(
+        self.parted = self.grams.repartition(tasks, self.pair)  # a tree below two bytes lies in one partition
+        second = self.parted.mapInArrow(_subtrees(depth, True), "node long, zeros long, ones long, weighted double").groupBy(
             (F.shiftleft(F.shiftright("node", 16), 8) + F.col("node").bitwiseAND(255)).alias("node")
         ).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("weighted")).toArrow()
         self.top = _top(second)
@@ -297,28 +306,28 @@ class Trained:
             block[p], held = now, held + size[p]
         return block
 
-    def block(self, of: np.ndarray, b: int) -> tuple[Nodes, np.ndarray, np.ndarray]:
-        """(nodes, gram keys, their log10 probabilities) of one block."""
+    def block(self, of: np.ndarray, b: int) -> tuple[Model, np.ndarray, np.ndarray]:
+        """(model, gram keys, their log10 probabilities) of one block."""
         spark = self.grams.sparkSession
-        nodes, grams = self.nodes.select("depth", "node", "weight", "one"), self.grams.select("key")
+        grams, parted = self.grams, self.parted
         if of.max():
             wanted = F.broadcast(spark.createDataFrame([(int(p),) for p in np.flatnonzero(of == b)], "pair long"))
-            nodes = nodes.withColumn("pair", F.expr("shiftrightunsigned(node, 8 * depth - 8)")).join(wanted, "pair", "left_semi")
-            grams = grams.withColumn("pair", self.pair).join(wanted, "pair", "left_semi").select("key")
-        t = nodes.select("depth", "node", "weight", "one").toArrow()
-        key = np.concatenate([t["depth"].to_numpy().astype(np.uint64) << _DEPTH_AT | t["node"].to_numpy().view(np.uint64),
-                              *[np.uint64(e["depth"]) << _DEPTH_AT | e["node"] for e in self.top]])
-        weight, one = (np.concatenate([t[c].to_numpy(), *[e[c] for e in self.top]]).astype(np.float32) for c in ("weight", "one"))
-        table = Nodes(key, weight, one, self.depth)
-        shared = spark.sparkContext.broadcast(table)
+            grams, parted = (x.withColumn("pair", self.pair).join(wanted, "pair", "left_semi").select("key", "n") for x in (grams, parted))
+        nodes = parted.mapInArrow(_subtrees(self.depth, False), "key long, weight double, one double").toArrow()
+        counts = grams.toArrow()
+        key = np.concatenate([nodes["key"].to_numpy().view(np.uint64), *[np.uint64(e["depth"]) << _DEPTH_AT | e["node"] for e in self.top]])
+        weight, one = (np.concatenate([nodes[c].to_numpy(), *[e[c] for e in self.top]]) for c in ("weight", "one"))
+        model = Model(counts["key"].to_numpy().view(np.uint64), counts["n"].to_numpy(), key, weight, one, self.depth)
+        del nodes, counts
+        shared = spark.sparkContext.broadcast(model)
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([batch["key"], pa.array(shared.value.log10(batch["key"].to_numpy().view(np.uint64)))], names=["key", "p"])
 
-        known = grams.mapInArrow(score, "key long, p double").toArrow()
+        known = grams.select("key").mapInArrow(score, "key long, p double").toArrow()
         shared.unpersist()
-        return table, known["key"].to_numpy().view(np.uint64), known["p"].to_numpy()
+        return model, known["key"].to_numpy().view(np.uint64), known["p"].to_numpy()
 
 
 # --- scoring -----------------------------------------------------------------------------------------------
@@ -329,9 +338,9 @@ _ROWS = "h long, kind int, id long, n long, doc_id long, held int, n_tokens long
 def _score(shared, with_words: bool):
     """One row per document (kind 1) and, in the pass with words, one per document and rare word (kind 0)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, keys, p, frequent, logs, of, b = shared.value
+        table, keys, p, frequent, logs, of, b = shared.value
         known, words_at = HashIndex(keys), HashIndex(frequent)
-        pair_at = np.uint64(8 * nodes.depth - 8)
+        pair_at = np.uint64(8 * table.depth - 8)
 
         def batch_of(cols: list, n: int, kind: int) -> pa.RecordBatch:
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
@@ -343,14 +352,14 @@ def _score(shared, with_words: bool):
             w = words.words_of(words.texts_of(batch["text"]), words.NOT_SPACE, lower=True)
             n = batch.num_rows
             data, first = model_bytes(w)
-            gram = gram_keys(data, first, nodes.depth)
+            gram = gram_keys(data, first, table.depth)
             mine = of[gram >> pair_at] == b
             at = known.find(gram)
             part = np.where(at >= 0, np.r_[p, 0.0][at], 0.0)
             missing = np.flatnonzero((at < 0) & mine)
             if len(missing):
                 rare, back = np.unique(gram[missing], return_inverse=True)
-                part[missing] = nodes.log10(rare)[back]
+                part[missing] = table.log10(rare)[back]
             model = np.add.reduceat(part, first[:-1]) if n else np.zeros(0)
             ids = batch["id"].to_numpy(zero_copy_only=False)
             row = {"h": ids, "id": ids, "doc_id": batch["doc_id"], "held": batch["held"], "n_tokens": w.counts() + 1, "n_bytes": np.diff(first), "model": model}
@@ -388,8 +397,8 @@ def score(docs: DataFrame, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
     of = trained.blocks(block)
     rows = None
     for b in range(int(of.max()) + 1):
-        nodes, keys, p = trained.block(of, b)
-        shared = spark.sparkContext.broadcast((nodes, keys, p, hashes, logs, of, b))
+        table, keys, p = trained.block(of, b)
+        shared = spark.sparkContext.broadcast((table, keys, p, hashes, logs, of, b))
         part = base.mapInArrow(_score(shared, b == 0), _ROWS)
         rows = part if rows is None else rows.unionByName(part)
     rare = trained.words.where(F.col("n") * FREQUENT < trained.tokens).select(F.col("key").alias("h"), F.lit(0).alias("kind"), F.col("n").alias("c"))

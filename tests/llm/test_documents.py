@@ -263,7 +263,8 @@ def test_probabilities_sum_to_one():
     keys = ctw.gram_keys(np.frombuffer(b"abracadabra\n", np.uint8), np.array([0, 12]), 3)
     k, n = np.unique(keys, return_counts=True)
     built = ctw.build(k, n, 3, 0)
-    table = ctw.Nodes(np.concatenate([np.uint64(e["depth"]) << np.uint64(48) | e["node"] for e in built]), *(np.concatenate([e[c] for e in built]) for c in ("weight", "one")), 3)
+    short = [e for e in built if e["depth"] < 3]
+    table = ctw.Model(k, n, np.concatenate([np.uint64(e["depth"]) << np.uint64(48) | e["node"] for e in short]), *(np.concatenate([e[c] for e in short]) for c in ("weight", "one")), 3)
     for context in (k[0], k[5], np.uint64(0)):
         every = (context >> np.uint64(8) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
         assert abs((10 ** table.log10(every)).sum() - 1) < 1e-9
