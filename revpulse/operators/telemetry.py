@@ -161,3 +161,26 @@ def total_alert(samples: DataFrame, more_than: float) -> DataFrame:
     """The newest value of every counter, and whether it is above the limit."""
     newest = samples.groupBy(*SERIES).agg(F.max_by("value", F.struct("ts", "value")).alias("value"), F.max("ts").alias("sampled_at"))
     return newest.withColumn("breach", F.col("value") > more_than)
+
+
+def value_breaches(samples: DataFrame, more_than: float) -> DataFrame:
+    """(label, at, breach): whether a counter stood above the limit at each of its samples."""
+    return samples.groupBy("label", F.col("ts").alias("at")).agg((F.max("value") > more_than).alias("breach"))
+
+
+def alert_states(rules: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
+    """The state of every alert and series at its last evaluation: (alert, label, state, active_since, evaluated_at).
+
+    ``rules`` names for each alert its expression as rows (label, at, breach), how long it must hold, and the longest gap between two
+    evaluations that counts as unbroken.  An alert is pending until its expression has held for that long, then firing.
+    """
+    parts = []
+    for name, (rows, duration, step) in rules.items():
+        held = sustained_breach(rows.withColumnRenamed("at", "window_start"), duration, step=step, by=["label"])
+        state = F.when(F.col("firing"), F.lit("firing")).when(F.coalesce("breach", F.lit(False)), F.lit("pending")).otherwise(F.lit("inactive"))
+        last = held.groupBy("label").agg(F.max_by(F.struct(state.alias("state"), "active_since"), F.col("window_start")).alias("s"), F.max("window_start").alias("evaluated_at"))
+        parts.append(last.select(F.lit(name).alias("alert"), "label", "s.state", "s.active_since", "evaluated_at"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from revpulse import fixed
 from revpulse.functions import seasonal
-from revpulse.functions.moments import between_lookback, latest, lookback
+from revpulse.functions.moments import between_lookback, latest, lookback, window_start
 from revpulse.operators import (
     baseline, deadletter, detect, drift, ingest, investigate, lifecycle, ml, serving, tables, telemetry, windows,
 )
@@ -844,6 +844,32 @@ def total_alert(v):
     return telemetry.total_alert(v.metric_samples, 250.0)
 
 
+@query
+def counter_increase_5m(v):
+    return telemetry.counter_increase(v.metric_samples, 5).drop("rate")
+
+
+@query
+def windowed_quantile(v):
+    """The 95th percentile of every hour, from the buckets of that hour."""
+    events = v.table("events").withColumn("hour", window_start("ts", "1 hour"))
+    buckets = telemetry.bucket_histogram(events, "value", fixed.REPORT_BOUNDS, ["event_type", "hour"])
+    return telemetry.histogram_quantile(buckets, 0.95, ["event_type", "hour"]).withColumn("quantile", F.round("quantile", 6))
+
+
+@query
+def alert_states(v):
+    rate = telemetry.anomaly_rate_alert(v.order_events, v.anomalies, clamp_min=0.01).select(
+        F.lit("all").alias("label"), F.col("window_start").alias("at"), "breach")
+    spikes = telemetry.error_spike_alert(v.metric_samples, 15, 40.0).select("label", F.col("window_end").alias("at"), "breach")
+    return telemetry.alert_states({
+        "produce_errors": (telemetry.value_breaches(v.metric_samples, 250.0), "1 MINUTE", "1 HOUR"),
+        "anomaly_rate": (rate, "5 MINUTES", "5 MINUTES"),
+        "reconnects": (telemetry.value_breaches(v.metric_samples, 0.0), "1 MINUTE", "1 HOUR"),
+        "error_spike": (spikes, "1 HOUR", "1 MINUTE"),
+    })
+
+
 # --- streaming: the same tables through Structured Streaming ----------------------------------------
 
 SLICES, FILES = 10, 2  # micro-batches of a test feed, and files of each

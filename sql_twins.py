@@ -657,6 +657,34 @@ FROM (SELECT *, max(CASE WHEN breach AND NOT coalesce(was AND was_at + INTERVAL
     FROM (SELECT category, window_start, sum(order_count) < 2 AS breach FROM m GROUP BY ALL)
     WINDOW w AS (PARTITION BY category ORDER BY window_start)))""", "m")
 
+query("counter_increase_5m", f"SELECT name, label, window_end, increase FROM ({increase(5, '1 minute', 5)})", "deltas")
+query("windowed_quantile", """
+WITH b AS (SELECT event_type, date_trunc('hour', ts)::TIMESTAMP AS hour, le, count(*) FILTER (value <= le) AS cumulative
+  FROM events, (SELECT unnest([1.0, 5.0, 10.0, 30.0, 60.0, 120.0, 300.0, 'infinity'::DOUBLE]) AS le) WHERE value IS NOT NULL GROUP BY ALL)
+SELECT event_type, hour, round(CASE WHEN isinf(le) THEN low ELSE coalesce(low, 0) + (le - coalesce(low, 0)) * (0.95 * total - below) / (cumulative - below) END, 6) AS quantile
+FROM (SELECT *, lag(le) OVER w AS low, coalesce(lag(cumulative) OVER w, 0) AS below, max(cumulative) OVER (PARTITION BY event_type, hour) AS total
+  FROM b WINDOW w AS (PARTITION BY event_type, hour ORDER BY le))
+WHERE cumulative >= 0.95 * total AND below < 0.95 * total""")
+
+
+def state_sql(alert: str, rows: str, duration: str, step: str) -> str:
+    return f"""
+SELECT '{alert}' AS alert, label, CASE WHEN breach AND since + INTERVAL '{duration}' <= t THEN 'firing' WHEN breach THEN 'pending' ELSE 'inactive' END AS state,
+  CASE WHEN breach THEN since END AS active_since, t AS evaluated_at
+FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY t DESC) AS k FROM (
+  SELECT *, max(CASE WHEN breach AND NOT coalesce(was AND was_at + INTERVAL '{step}' >= t, false) THEN t END) OVER (PARTITION BY label ORDER BY t) AS since
+  FROM (SELECT *, lag(breach) OVER w AS was, lag(t) OVER w AS was_at FROM ({rows}) WINDOW w AS (PARTITION BY label ORDER BY t)))) WHERE k = 1"""
+
+
+VALUE = "SELECT label, ts AS t, max(value) > {} AS breach FROM samples GROUP BY ALL".format
+RATE = f"""SELECT 'all' AS label, t, sum(an) / 300.0::DOUBLE / greatest(sum(ev) / 300.0::DOUBLE, 0.01) > 0.2 AS breach
+  FROM (SELECT {five('event_timestamp')} AS t, 1 AS ev, 0 AS an FROM order_events UNION ALL SELECT {five('detected_at')}, 0, 1 FROM a) GROUP BY 1, 2"""
+query("alert_states", " UNION ALL ".join([
+    state_sql("produce_errors", VALUE(250), "1 minute", "1 hour"), state_sql("anomaly_rate", RATE, "5 minutes", "5 minutes"),
+    state_sql("reconnects", VALUE(0), "1 minute", "1 hour"),
+    state_sql("error_spike", f"SELECT label, window_end AS t, increase > 40 AS breach FROM ({increase(15, '1 minute', 15)})", "1 hour", "1 minute"),
+]), "samples", "deltas", "order_events", "a")
+
 # --- streaming ------------------------------------------------------------------------------------------
 
 query("stream_dead_letters", SQL["route_dead_letters"])
