@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revpulse.functions.moments import window_start
-from revpulse.plans.ordered import running, with_previous
+from revpulse.plans.ordered import balanced_span, running, with_previous
 
 SERIES = ["name", "label"]
 _INF = float("inf")
@@ -33,7 +33,8 @@ def consecutive_failures(batch_log: DataFrame, threshold: int = 5) -> DataFrame:
 
 def counter_deltas(samples: DataFrame) -> DataFrame:
     """Growth of every counter since its previous sample; after a reset the new value counts."""
-    before = with_previous(samples, SERIES, "ts", {"previous": "value"}, ties=["value"])
+    span = balanced_span(samples, SERIES, "ts")
+    before = with_previous(samples, SERIES, "ts", {"previous": "value"}, ties=["value"], span=span)
     grown = F.when(F.col("value") < F.col("previous"), F.col("value")).otherwise(F.col("value") - F.col("previous"))
     return before.where(F.col("has_previous")).select(*SERIES, "ts", grown.alias("delta"))
 

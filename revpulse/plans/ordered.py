@@ -29,6 +29,16 @@ def _placed(df: DataFrame, keys: Sequence[str], order: str, span: str) -> DataFr
     return df.withColumn(_PLACE, F.struct(series.alias("series"), window_start(order, span).alias(_SLICE)))
 
 
+def balanced_span(df: DataFrame, keys: Sequence[str], order: str, rows: int = 1_000_000, widest: int = 3600) -> str:
+    """A slice length for the scans below: so short that about ``rows`` rows of the busiest series fall into one.
+
+    One count per series and ``widest`` seconds, with map-side sums, decides; the time is not assumed to be spread evenly.
+    """
+    per = df.groupBy(*keys, window_start(order, f"{widest} seconds").alias("__slice")).agg(F.count("*").alias("n"))
+    most = per.agg(F.max("n")).first()[0] or 1
+    return f"{max(1, min(widest, widest * rows // most))} seconds"
+
+
 def _windows(order, ties):
     inside = Window.partitionBy(_PLACE).orderBy(order, *ties)
     across = Window.partitionBy(f"{_PLACE}.series").orderBy(f"{_PLACE}.{_SLICE}")

@@ -2,11 +2,13 @@
 
 ``percentile`` keeps every distinct value of a group in one buffer.  Here the distinct
 values are counted in parallel, cut into ranges by an approximate sketch (which only
-balances the work), and only the ranges that hold a wanted rank are sorted.
+balances the work), and only the ranges that hold a wanted rank are looked at further.  With more
+values these ranges are cut again, until one holds about ``ROWS_PER_RANGE`` values; then it is sorted.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from revpulse.sources.warehouse import use_shared_checkpoints
 
 _RANGES = 64
+ROWS_PER_RANGE = 1_000_000  # distinct values that one task sorts
 
 
 def value_counts(df: DataFrame, value: str, by: Sequence[str], counts: Sequence[Column]) -> DataFrame:
@@ -42,38 +45,49 @@ def quantiles_of_counts(
 ) -> DataFrame:
     """One row per ``by``: an array with one linearly interpolated quantile per probability, from
     distinct values and how often each occurs."""
-    rows = counts.select(*by, F.col(value).alias("__v"), F.col(n).alias("__n"))
-    cuts = rows.groupBy(*by).agg(
-        F.percentile_approx("__v", [i / _RANGES for i in range(1, _RANGES)], 1000).alias("__cuts")
-    )
-    ranged = rows.join(short_side(cuts, few_groups), list(by)).withColumn(
-        "__range", F.size(F.filter("__cuts", lambda c: c < F.col("__v")))
-    ).drop("__cuts")
-
-    # At most _RANGES rows per group from here to `wanted`.
-    upto = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*by)
+    rows = counts.select(*by, F.col(value).alias("__v"), F.col(n).alias("__n"), F.lit(0).cast("bigint").alias("__range"))
+    size = counts.count()
+    levels = max(1, math.ceil(math.log(max(size / ROWS_PER_RANGE, 1), _RANGES)))
     positions = F.array(*[F.lit(float(p)) for p in probs])
+    # Per group the ranges that hold wanted ranks: at first all values are one range.
     wanted = (
-        ranged.groupBy(*by, "__range").agg(F.sum("__n").alias("__m"))
-        .withColumn("__total", F.sum("__m").over(whole))
-        .withColumn("__before", F.sum("__m").over(upto) - F.col("__m"))
+        rows.groupBy(*by).agg(F.sum("__n").alias("__total"))
         .withColumn("__at", F.transform(positions, lambda p: p * (F.col("__total") - 1)))
         .withColumn("__ranks", F.array_distinct(F.concat(
             F.transform("__at", lambda h: F.floor(h).cast("bigint")),
             F.transform("__at", lambda h: F.ceil(h).cast("bigint")),
         )))
-        .withColumn("__ranks", F.filter("__ranks", lambda r: (r >= F.col("__before")) & (r < F.col("__before") + F.col("__m"))))
-        .where(F.size("__ranks") > 0)
-        .select(*by, "__range", "__before", "__at", "__ranks")
+        .select(*by, F.lit(0).cast("bigint").alias("__range"), F.lit(0).cast("bigint").alias("__before"), "__at", "__ranks")
     )
+    keys = [*by, "__range"]
+    # At most _RANGES rows per range in this window.
+    upto = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for level in range(levels):
+        inside = rows if level == 0 else rows.join(short_side(wanted.select(*keys), few_groups), keys)
+        cuts = inside.groupBy(*keys).agg(
+            F.percentile_approx("__v", [i / _RANGES for i in range(1, _RANGES)], 1000).alias("__cuts")
+        )
+        parted = inside.join(short_side(cuts, few_groups), keys).withColumn(
+            "__part", F.size(F.filter("__cuts", lambda c: c < F.col("__v")))
+        ).drop("__cuts")
+        sums = parted.groupBy(*keys, "__part").agg(F.sum("__n").alias("__m"))
+        counted = sums.withColumn("__below", F.sum("__m").over(upto) - F.col("__m"))
+        finer = (F.col("__range") * _RANGES + F.col("__part")).alias("__range")
+        wanted = (
+            counted.join(short_side(wanted, few_groups), keys)
+            .withColumn("__before", F.col("__before") + F.col("__below"))
+            .withColumn("__ranks", F.filter("__ranks", lambda r: (r >= F.col("__before")) & (r < F.col("__before") + F.col("__m"))))
+            .where(F.size("__ranks") > 0)
+            .select(*by, finer, "__before", "__at", "__ranks")
+        )
+        rows = parted.select(*by, "__v", "__n", finer)
     inside = (
-        Window.partitionBy(*by, "__range").orderBy("__v")
+        Window.partitionBy(*keys).orderBy("__v")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     # Two values per probability at most.
     picked = (
-        ranged.join(short_side(wanted, few_groups), [*by, "__range"])
+        rows.join(short_side(wanted, few_groups), keys)
         .withColumn("__end", F.col("__before") + F.sum("__n").over(inside))
         .withColumn("__hit", F.filter("__ranks", lambda r: (r >= F.col("__end") - F.col("__n")) & (r < F.col("__end"))))
         .select(*by, "__at", "__v", F.explode("__hit").alias("__rank"))

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from revpulse.operators import drift
-from revpulse.plans.ordered import running, with_previous
+from revpulse.plans.ordered import balanced_span, running, with_previous
 from revpulse.plans.per_key import first_per_key
 from revpulse.plans.quantiles import quantiles
 
@@ -33,6 +33,15 @@ def test_with_previous(series):
     assert sorted(got.collect()) == sorted(want.collect())
 
 
+def test_slices_follow_the_busiest_series(series):
+    busiest = series.groupBy("k", F.window("ts", "1 hour")).count().agg(F.max("count")).first()[0]
+    span = balanced_span(series, ["k"], "ts", rows=max(1, busiest // 6))
+    assert 1 <= int(span.split()[0]) <= 600 and balanced_span(series, ["k"], "ts") == "3600 seconds"
+    whole = Window.partitionBy("k").orderBy("ts", "i")
+    want = series.select("i", F.lag("v").over(whole).alias("p"))
+    assert sorted(with_previous(series, ["k"], "ts", {"p": "v"}, ties=["i"], span=span).select("i", "p").collect()) == sorted(want.collect())
+
+
 def test_running(series):
     whole = Window.partitionBy("k").orderBy("ts", "i").rowsBetween(Window.unboundedPreceding, 0)
     plain = series.withColumn("s", F.sum("v").over(whole))
@@ -58,6 +67,19 @@ def test_quantiles(spark, values):
     assert out["g"] == pytest.approx(list(np.percentile(values, [p * 100 for p in probs])), abs=1e-12)
 
 
+def test_quantiles_in_ranges_of_bounded_size(spark, monkeypatch):
+    """Ranges are cut again until each holds few values."""
+    from revpulse.plans import quantiles as plan
+    monkeypatch.setattr(plan, "ROWS_PER_RANGE", 3)
+    rnd = random.Random(9)
+    values = [rnd.gauss(0, 9) for _ in range(3000)] + [float(rnd.randrange(40)) for _ in range(3000)]
+    probs = [0, 0.01, 0.3, 0.5, 0.99, 1]
+    frame = spark.createDataFrame([(k, v) for v in values for k in "ab"[: 1 + (v > 0)]], "g string, v double")
+    for g, want in (("a", values), ("b", [v for v in values if v > 0])):
+        got = {r.g: r.quantiles for r in quantiles(frame, "v", probs, ["g"]).collect()}[g]
+        assert got == pytest.approx(list(np.percentile(want, [p * 100 for p in probs])), abs=1e-12)
+
+
 def numpy_psi(expected, actual, bins=10):
     edges = np.unique(np.percentile(np.concatenate([expected, actual]), np.linspace(0, 100, bins + 1)))
 
