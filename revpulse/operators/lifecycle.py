@@ -120,19 +120,22 @@ def orphaned_reports(reports: DataFrame, anomalies: DataFrame) -> DataFrame:
 
 
 def integrity_checks(tables: dict[str, DataFrame]) -> DataFrame:
-    """(check_name, value) over ``order_events``, ``revenue_metrics``, ``anomalies``, ``copilot_reports``."""
-    counts = table_counts(tables).select(
-        F.concat(F.lit("rows: "), "table_name").alias("check_name"), F.col("rows").cast("string").alias("value")
-    )
-    newest = latest_by_table({
-        "order event": (tables["order_events"], "event_timestamp"),
-        "anomaly": (tables["anomalies"], "detected_at"),
-        "report": (tables["copilot_reports"], "created_at"),
-    }).select(F.concat(F.lit("latest: "), "check_type").alias("check_name"), F.col("latest").alias("value"))
+    """(check_name, value) over ``order_events``, ``revenue_metrics``, ``anomalies``, ``copilot_reports``.
+
+    One pass over each table gives its rows and its newest time; the orphans take a join.
+    """
+    times = {"order_events": ("order event", "event_timestamp"), "anomalies": ("anomaly", "detected_at"), "copilot_reports": ("report", "created_at")}
+    passes = []
+    for name, df in tables.items():
+        label, column = times.get(name, (None, None))
+        checks = [F.struct(F.lit(f"rows: {name}").alias("check_name"), F.count("*").cast("string").alias("value"))]
+        if label:
+            checks.append(F.struct(F.lit(f"latest: {label}").alias("check_name"), F.max(column).cast("string").alias("value")))
+        passes.append(df.agg(F.array(*checks).alias("c")).select(F.explode("c").alias("c")).select("c.*"))
     lost = orphaned_reports(tables["copilot_reports"], tables["anomalies"]).agg(
         F.count("*").cast("string").alias("value")
     ).select(F.lit("orphaned reports").alias("check_name"), "value")
-    return _stack([counts, newest, lost])
+    return _stack([*passes, lost])
 
 
 def _stack(parts: list[DataFrame]) -> DataFrame:

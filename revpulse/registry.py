@@ -230,7 +230,7 @@ def append_rows(v):
 @query
 def read_warehouse(v):
     lines = warehouse.read_warehouse(v.spark, f"{v.sf_dir}/lineitem.parquet")
-    return lines.where(F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp_ntz")).groupBy("l_returnflag").agg(
+    return lines.groupBy("l_returnflag").agg(
         F.count("*").alias("lines"), F.round(F.sum(F.col("l_extendedprice").cast("decimal(12,2)")), 2).alias("revenue")
     )
 
@@ -272,14 +272,12 @@ def engineer_features(v):
 
 @query
 def unscored_windows(v):
-    known = v.anomalies.where(F.col("severity") == "critical")
-    return detect.unscored_windows(v.revenue_metrics, known, v.as_of, v.minutes)
+    return detect.unscored_windows(v.revenue_metrics, v.anomalies, v.as_of, v.minutes)
 
 
 @query
 def unscored_windows_newest(v):
-    known = v.anomalies.where(F.col("severity") == "critical")
-    return detect.unscored_windows(v.revenue_metrics, known, v.as_of, v.minutes, limit=500)
+    return detect.unscored_windows(v.revenue_metrics, v.anomalies, v.as_of, v.minutes, limit=500)
 
 
 @query
@@ -455,10 +453,6 @@ def log_drift(v):
 
 # --- investigation ----------------------------------------------------------------------------
 
-def _reports_of_delhi(v):
-    return v.copilot_reports.where(F.col("region") == "Delhi")
-
-
 @query
 def uninvestigated_anomalies(v):
     return investigate.uninvestigated_anomalies(v.anomalies, v.copilot_reports)
@@ -466,8 +460,7 @@ def uninvestigated_anomalies(v):
 
 @query
 def uninvestigated_anomalies_all(v):
-    reopened = v.anomalies.withColumn("status", F.lit("open"))
-    return investigate.uninvestigated_anomalies(reopened, _reports_of_delhi(v), limit=None)
+    return investigate.uninvestigated_anomalies(v.anomalies, v.copilot_reports, limit=None)
 
 
 @query

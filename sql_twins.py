@@ -273,7 +273,7 @@ SELECT * FROM r WHERE created_at < {AS_OF} - INTERVAL '10 days' UNION ALL
 SELECT * FROM r WHERE created_at >= {AS_OF} - INTERVAL '17 days'""", "r")
 query("read_warehouse", """
 SELECT l_returnflag, count(*) AS lines, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))) AS DOUBLE) AS revenue
-FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' GROUP BY 1""")
+FROM lineitem GROUP BY 1""")
 query("training_csv", """
 SELECT l.window_start, l.window_end, l.category, l.region, e.hour, e.day_of_week, l.order_count, l.total_revenue, l.avg_order_value,
   e.expected_revenue, e.revenue_ratio, l.is_anomaly
@@ -292,7 +292,7 @@ SELECT {ANOMALY} FROM a WHERE (detected_at, anomaly_id) > (TIMESTAMP '2024-01-15
 query("engineer_features", "SELECT * EXCLUDE (cents) FROM e", "e")
 UNSCORED = f"""
 SELECT {METRIC} FROM m WHERE window_end <= {AS_OF} AND NOT EXISTS (SELECT 1 FROM a WHERE a.window_start = m.window_start
-  AND a.category = m.category AND a.region = m.region AND a.severity = 'critical')"""
+  AND a.category = m.category AND a.region = m.region)"""
 query("unscored_windows", UNSCORED, "m", "a")
 query("unscored_windows_newest", UNSCORED + " ORDER BY window_start DESC, category, region LIMIT 500", "m", "a")
 query("rule_anomalies", f"SELECT {ANOMALY} FROM a", "a")
@@ -420,7 +420,7 @@ FROM (SELECT max(window_end) AS measured_at, round(avg(CASE WHEN severity = 'cri
 URGENT = f"ORDER BY {RANK}, detected_at DESC, anomaly_id"
 query("uninvestigated_anomalies", f"SELECT {ANOMALY} FROM a WHERE status = 'open' AND anomaly_id NOT IN (SELECT anomaly_id FROM r) {URGENT} LIMIT 5", "a", "r")
 query("uninvestigated_anomalies_all", f"""
-SELECT * REPLACE ('open' AS status) FROM (SELECT {ANOMALY} FROM a) WHERE anomaly_id NOT IN (SELECT anomaly_id FROM r WHERE region = 'Delhi')""", "a", "r")
+SELECT {ANOMALY} FROM a WHERE status = 'open' AND anomaly_id NOT IN (SELECT anomaly_id FROM r)""", "a", "r")
 cte("ctx", """
 SELECT *, round(greatest(expected_revenue - actual_revenue, 0), 2) AS loss,
   CASE WHEN expected_revenue > 0 THEN (actual_revenue / expected_revenue - 1) * 100 ELSE 0 END AS pct FROM a""", "a")
