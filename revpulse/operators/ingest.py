@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,27 +34,30 @@ def status_in_domain(status: Column) -> Column:
     return status.isin(*fixed.STATUSES)
 
 
-def dead_letter_id(payload: Column) -> Column:
-    """Dead letters have no key of their own (the event id may be what is missing)."""
-    return F.substring(F.sha2(payload, 256), 1, 32)
+def dead_letter_id(payload: Column, position: Sequence[str] = ()) -> Column:
+    """Dead letters have no key of their own (the event id may be what is missing).  With the columns of their place in the
+    source two identical messages get two ids, and a replayed one the same again."""
+    place = [F.col(c).cast("string") for c in position]
+    return F.substring(F.sha2(F.concat_ws("|", payload, *place) if place else payload, 256), 1, 32)
 
 
-def route_dead_letters(checked: DataFrame, as_of: AsOf | None = None) -> tuple[DataFrame, DataFrame]:
-    """(good events, dead letters) of validated events.
+def route_dead_letters(checked: DataFrame, as_of: AsOf | None = None, position: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(good events, dead letters) of validated events.  ``position`` names columns that tell a message's place in the
+    source; they end here.
 
     The dead letter keeps the message as it came in (``value``), or the columns as JSON when
     the raw text is not at hand.
     """
     failing = F.size("failed_checks") > 0
-    good = checked.where(~failing).drop("failed_checks", "_corrupt_record", "value")
-    fields = [c for c in checked.columns if c not in ("failed_checks", "_corrupt_record", "value")]
+    good = checked.where(~failing).drop("failed_checks", "_corrupt_record", "value", *position)
+    fields = [c for c in checked.columns if c not in ("failed_checks", "_corrupt_record", "value", *position)]
     payload = F.col("value") if "value" in checked.columns else F.to_json(F.struct(*fields))
     if as_of is None:
         now = F.current_timestamp()
     else:
         now = F.lit(as_of).cast("timestamp") if not isinstance(as_of, DataFrame) else as_of.scalar()
     dead = checked.where(failing).select(
-        dead_letter_id(payload).alias("dlq_id"),
+        dead_letter_id(payload, position).alias("dlq_id"),
         payload.alias("event_data"),
         F.array_join("failed_checks", ",").alias("error"),
         F.lit(0).alias("retry_count"),

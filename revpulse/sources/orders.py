@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from revpulse import fixed, schemas
 from revpulse.plans.once import computed_once
 
+POSITION = ["partition", "offset"]
 _RELAXED = ("development", "local", "test")
 
 
@@ -30,7 +31,7 @@ def kafka_options(servers: str, topic: str = "order_events", *, env: str = "deve
 
 def read_order_stream(spark: SparkSession, source: str | Mapping[str, str], *,
                       starting: str = "earliest", max_per_trigger: int = 10000) -> DataFrame:
-    """Raw messages with a string column ``value``.
+    """Raw messages with a string column ``value``; those of Kafka also with their place (``POSITION``).
 
     ``source`` is a mapping of Kafka options (see :func:`kafka_options`) or a folder of
     newline-delimited JSON files; for files the admission limit counts files.
@@ -38,7 +39,7 @@ def read_order_stream(spark: SparkSession, source: str | Mapping[str, str], *,
     if isinstance(source, Mapping):
         options = {"startingOffsets": starting, "maxOffsetsPerTrigger": str(max_per_trigger), **source}
         raw = spark.readStream.format("kafka").options(**options).load()
-        return raw.select(F.col("value").cast("string").alias("value"))
+        return raw.select(F.col("value").cast("string").alias("value"), *POSITION)
     return (
         spark.readStream.option("maxFilesPerTrigger", max_per_trigger)
         .option("latestFirst", "false").text(source).select("value")

@@ -23,7 +23,7 @@ from revpulse import schemas
 from revpulse.operators.ingest import dedup_events, route_dead_letters, validate_events, with_event_time
 from revpulse.operators.windows import KEY, features_from_windows, revenue_metrics
 from revpulse.sources.keyed import DAY, held, move_older, upsert_table
-from revpulse.sources.orders import parse_order_events, read_order_stream
+from revpulse.sources.orders import POSITION, parse_order_events, read_order_stream
 from revpulse.sources.warehouse import read_latest, with_month, write_batch
 
 METRIC_KEYS = ["window_start", "window_end", *KEY]
@@ -120,7 +120,8 @@ def run_streams(
 
     def checked() -> tuple[DataFrame, DataFrame]:
         raw = read_order_stream(spark, source, starting=starting, max_per_trigger=max_per_trigger)
-        return route_dead_letters(validate_events(parse_order_events(raw)))
+        place = [c for c in POSITION if c in raw.columns]
+        return route_dead_letters(validate_events(parse_order_events(raw, keep=place)), position=place)
 
     good, dead = checked()
     events = clean_events(good, delay)

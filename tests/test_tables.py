@@ -230,6 +230,13 @@ def test_stored_upsert_reads_and_writes_touched_days_only(spark, tmp_path):
     assert {r.k for r in spark.read.parquet(path).collect()} == {4, 9, 5, 6, 7}
 
 
+def test_identical_dead_letters_are_told_apart_by_their_place(spark):
+    raw = spark.createDataFrame([("{oops", 0, 1), ("{oops", 0, 2), ("{oops", 0, 2)], "value string, partition int, offset long")
+    checked = ingest.validate_events(orders.parse_order_events(raw, keep=orders.POSITION))
+    good, dead = ingest.route_dead_letters(checked, position=orders.POSITION)
+    assert dead.select("dlq_id").distinct().count() == 2 and not set(orders.POSITION) & {*good.columns, *dead.columns}
+
+
 def test_a_replayed_batch_leaves_no_month_of_the_failed_attempt(spark, tmp_path):
     path = str(tmp_path / "t")
     months = lambda *m: spark.createDataFrame([(x, 1) for x in m], "event_month string, n int")
