@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from revpulse.llm import words
 
-KEPT_WORDS = 300_000  # words a task remembers before it starts anew
+KEPT_WORDS = 150_000  # words a task remembers before it starts anew
 
 # Fixed patterns of the vocabulary: white space as its regular expressions understand it, and the words.
 _SPACE = r"\x09-\x0D\x20\x85\xA0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 4 << 20  # a single longer text makes a piece of its own
+PIECE_BYTES = 1 << 20  # a single longer text makes a piece of its own
 
 _RANDOM = np.random.RandomState(20240607)
 _BYTE_CODES = _RANDOM.randint(1, 1 << 62, size=(2, 256)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
