@@ -249,10 +249,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
     )
     banded = held.join(reps.select(F.col("rep").alias("doc_id"), "bands"), "doc_id").withColumnRenamed("doc_id", "node")
     more = units.join(banded.select("node", "bands", "shingles"), "node").groupBy("family", "unit").applyInArrow(_compare_block(percent), "a long, b long")
-    links = linked.unionByName(more).unionByName(member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    found = connected_components(links)
-    out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(
-        found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    # What the blocks found joins components, and so does an id that stands for texts of several classes.
+    several = member.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).where("b <> last").select("doc_id", "b")
+    joins = more.unionByName(member.join(several, "doc_id").select(F.col("rep").alias("a"), "b"))
+    named = part.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    joins = joins.join(named, "a", "left").join(named.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    final = connected_components(joins).toDF("__part", "__final")
+    found = (
+        member.groupBy("doc_id").agg(F.min("rep").alias("rep"))
+        .join(part.toDF("rep", "__in"), "rep", "left").withColumn("__part", F.coalesce("__in", "rep"))
+        .join(final, "__part", "left").select("doc_id", F.coalesce("__final", "__part").alias("component"))
+    )
+    out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(found, "doc_id", "left")
     return out.select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
         F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"),
