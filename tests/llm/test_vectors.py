@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from revpulse.llm import topk
@@ -39,7 +40,7 @@ def test_search(spark, monkeypatch, block):
     rows = [(i, [rng.gauss(0, .2) for _ in range(8)]) for i in range(300)]
     rows += [(300 + i, [.25] * 8) for i in range(60)]  # ties
     rows += [(400, None), (401, []), (402, [None] + [.1] * 7), (403, [math.nan] * 8), (404, [math.inf] * 8), (None, [.1] * 8), (405, [0.0] * 8), (406, [1.0, 2.0]), (407, [3.0, -1.0])]
-    rows = [(i, None if v is None else [None if x is None else float(__import__("numpy").float32(x)) for x in v]) for i, v in rows]
+    rows = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
     queries = [r for r in rows if (r[0] or 0) % 5 == 0] + rows[:1]
     got = [tuple(r) for r in found(spark, rows, queries, 20)]
     assert len(got) == len(set(got)) and set(got) == brute(rows, queries, 20)
