@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from revpulse.llm import words
 from revpulse.llm.components import cut
 
-DEPTH = 4
+DEPTH = 5
 BLOCK = 2_000_000
 FREQUENT = 1_000_000
 END_BYTE = 10

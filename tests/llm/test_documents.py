@@ -259,6 +259,16 @@ def test_scores(corpus, frame, block, monkeypatch):
         assert r.bits_per_byte > 0
 
 
+def test_scores_use_contexts_of_five_bytes(frame):
+    rows = [(i, f"abcde{i % 3} the cat sat on the mat abcde{i % 3} {'xy' * (i % 4)}") for i in range(25)]
+    said = lambda t: " ".join(t.split()).encode() + b"\n"
+    tree = brute.ContextTree([said(t) for i, t in rows if zlib.crc32(str(i).encode()) % 10], 5)
+    got = {r.doc_id: r.score for r in ctw.score(frame(rows)).collect()}
+    assert len(got) == 25
+    for i, t in rows:
+        assert abs(got[i] - tree.log10(said(t))) < 1e-6
+
+
 def test_probabilities_sum_to_one():
     keys = ctw.gram_keys(np.frombuffer(b"abracadabra\n", np.uint8), np.array([0, 12]), 3)
     k, n = np.unique(keys, return_counts=True)
