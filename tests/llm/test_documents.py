@@ -236,6 +236,51 @@ def test_licenses(corpus, frame):
         licenses.find_licenses(frame([(1, "x")]), threshold=0)
 
 
+@pytest.mark.parametrize("wide", [False, True])
+def test_licenses_wrapped_or_inline(frame, wide):
+    import textwrap
+    fill = " ".join(f"w{i}" for i in range(2000 if wide else 90)) + " "
+    mit, bsd, gpl = (licenses.TEMPLATES[n] for n in ("MIT text", "BSD-style", "GPL-3.0 header"))
+    wrapped = lambda t: "\n".join(f"# {line}" for line in textwrap.wrap(t, 60))
+    odd = mit.replace("Software", "Software product", 1).replace("without limitation", "", 1)
+    cases = [
+        (wrapped(mit), {"MIT text", "MIT grant"}), (wrapped(bsd), {"BSD-style"}), (mit, {"MIT text", "MIT grant"}), (wrapped(odd), {"MIT text", "MIT grant"}),
+        (wrapped(gpl), {"GPL-3.0 header", "GPL-2.0 header", "AGPL-3.0 header"}), ("This project is released under the MIT License.", {"MIT"}),
+        ("Code: Licensed under the Apache\nLicense, Version 2.0, see the file", {"Apache-2.0"}), ("under the terms of the license", set()), ("rights all reserved", set()),
+    ]
+    rows = [(i, f"{fill}{t} {fill}\n{fill}") for i, (t, _) in enumerate(cases)]
+    found = {r.doc_id: r.licenses for r in licenses.find_licenses(frame(rows)).collect()}
+    for i, (_, names) in enumerate(cases):
+        told = {m.license for m in found[i]}
+        assert names <= told and (names or not told), (i, told)
+        assert len(told) == len(found[i])  # each once
+    twice = licenses.find_licenses(frame([(1, f"{fill}{mit} {fill}\n{wrapped(mit)}\n{fill}\n")])).first().licenses
+    assert [(m.line, round(m.dice, 9)) for m in twice if m.license == "MIT text"] == [(0, 1.0), (1, 1.0)]
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_license_windows_by_brute_force(frame, threshold):
+    """A text has a window of a template exactly if some run of its words is similar enough."""
+    import random
+    rng = random.Random(1)
+    template = {"t": "a b c d e f g"}
+    rows = []
+    for i in range(150):
+        w = [rng.choice("uvwxyz") for _ in range(6)] + [x for x in "abcdefg" if rng.random() < .9 or rng.random() < .3] + [rng.choice("abuvw") for _ in range(8)]
+        rows.append((i, " ".join(w[:9]) + "\n" + " ".join(w[9:])))
+    got = {r.doc_id: r.licenses for r in licenses.find_licenses(frame(rows), template, threshold).collect()}
+    want = set(zip("abcdef", "bcdefg"))
+    most = int((2 - threshold) / threshold * len(want) + 1e-9)
+    for i, t in rows:
+        w = t.split()
+        best = 0
+        for a, b in itertools.combinations(range(len(w) + 1), 2):
+            g = set(zip(w[a:b], w[a + 1:b]))
+            if g and b - a - 1 <= most:
+                best = max(best, 2 * len(g & want) / (len(g) + len(want)))
+        assert bool(got[i]) == (best >= threshold)
+
+
 # --- scoring -------------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("block", [3_000_000, 60])
