@@ -6,28 +6,31 @@ classes, repeated lines and words).  Each round both logistic models are fitted,
 documents it is surest of to the other's training set.  Both are then calibrated on labelled documents held
 back from training, and their log-odds are added (less the prior, which both contain).
 
-Fitting takes at most ``labelled`` labelled and ``pool`` unlabelled documents, chosen by a hash of the id, so
-it is the same work at any size.  Scoring covers whole texts of all documents.
+Fitting takes at most ``labelled`` labelled documents, chosen by a hash of the id.  The exchange is among all others: every
+round scores them all in Spark and brings the PER_ROUND surest of each view to the driver, so what is held there is
+bounded by the rounds.  Documents that neither view can tell apart count as one.  Scoring covers whole texts of all documents.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revpulse.llm import words
 
-LABELLED, POOL = 4_000, 2_000
+LABELLED = 8_000
 ROUNDS, PER_ROUND, CONFIDENT = 4, 300, 0.95
 DIM = 1 << 11
 THRESHOLD = 0.2  # below one half: a clean document lost costs more than a poor one kept
 _LANGS, _SOURCES = 16, 32
+_PAIRS = (("text", "meta"), ("meta", "text"))  # who teaches whom
 META = _LANGS + _SOURCES + 14
 
 _CLASS = np.zeros(256, np.int64)  # 0 other, 1 upper, 2 lower and beyond ASCII, 3 digit, 4 space
@@ -82,7 +85,8 @@ class Logistic:
         self.ridge, self.steps = ridge, steps
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Logistic:
-        self.mean, self.std = x.mean(axis=0), x.std(axis=0)
+        self.mean = x.mean(axis=0)
+        self.std = np.sqrt(sum(np.square(x[i:i + 500] - self.mean).sum(axis=0, dtype=float) for i in range(0, len(x), 500)) / len(x)).astype(np.float32)  # no copy of x
         self.std[self.std < 1e-6] = np.inf  # a column that never varies says nothing
         z = (x - self.mean).astype(np.float32)
         z /= self.std.astype(np.float32)
@@ -97,7 +101,8 @@ class Logistic:
         return self
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.mean) / self.std) @ self.w + self.b
+        w = self.w / self.std
+        return x @ w + (self.b - float(self.mean @ w))
 
 
 def _platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -113,24 +118,21 @@ def _platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 class Model:
-    def fit(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray) -> Model:
+    def fit(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, surest: Callable) -> Model:
+        """``surest(views, given, most)`` gives, for each pair of views, (keys, labels, text features, meta features) of the
+        unlabelled documents that the first view is surest of and that are not yet ``given`` to the second."""
         held = np.arange(len(y)) % 4 == 0  # a quarter calibrates
         share = float(y[~held].mean())
+        most = [round(PER_ROUND * (1 - share)), round(PER_ROUND * share)]  # by label
         sets = {v: (x[~held], y[~held]) for v, x in (("text", text), ("meta", meta))}
-        pools = {"text": pool_text, "meta": pool_meta}
-        given = {"text": np.zeros(len(pool_text), bool), "meta": np.zeros(len(pool_text), bool)}
+        given = {v: np.zeros(0, np.int64) for v in sets}
         for turn in range(ROUNDS):
             self.views = {v: Logistic(1e-3).fit(*sets[v]) for v in sets}
-            if turn == ROUNDS - 1 or not len(pool_text):
+            if turn == ROUNDS - 1:
                 break
-            for view, other in (("text", "meta"), ("meta", "text")):
-                p = 1 / (1 + np.exp(-np.clip(self.views[view].score(pools[view]), -30, 30)))
-                free = ~given[other]
-                for label, sure, part in ((1, p, share), (0, 1 - p, 1 - share)):
-                    order = np.argsort(-sure, kind="stable")
-                    order = order[free[order] & (sure[order] >= CONFIDENT)][: round(PER_ROUND * part)]
-                    given[other][order] = True
-                    sets[other] = (np.concatenate([sets[other][0], pools[other][order]]), np.r_[sets[other][1], np.full(len(order), label)])
+            for (_, other), (keys, label, *both) in zip(_PAIRS, surest(self.views, given, most)):
+                given[other] = np.r_[given[other], keys]
+                sets[other] = (np.concatenate([sets[other][0], both[other == "meta"]]), np.r_[sets[other][1], label])
         self.platt = {v: _platt(self.views[v].score(x[held]), y[held]) for v, x in (("text", text), ("meta", meta))}
         self.prior = float(np.log((y.sum() + 1) / ((1 - y).sum() + 1)))
         return self
@@ -145,32 +147,89 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = words.texts_of(batch["text"])
         text, meta = text_view(texts), meta_view(batch, texts)
         yield pa.RecordBatch.from_arrays([
-            batch["__id"], batch["__y"], pa.array([r.astype(np.float16).tobytes() for r in text], pa.binary()),
-            pa.array([r.tobytes() for r in meta], pa.binary())], names=["id", "y", "text", "meta"])
+            batch["__key"], batch["__id"], batch["__y"], pa.array([r.astype(np.float16).tobytes() for r in text], pa.binary()),
+            pa.array([r.tobytes() for r in meta], pa.binary())], names=["key", "id", "y", "text", "meta"])
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model | None:
+def _arrays(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, id, y, text features, meta features) of rows (__key, __id, __y, text and what the metadata view reads)."""
+    got = rows.mapInArrow(_features, "key long, id long, y int, text binary, meta binary").toArrow().sort_by([("id", "ascending"), ("key", "ascending")])
+    text, meta = np.zeros((len(got), DIM), np.float32), np.zeros((len(got), META), np.float32)
+    for i, (t, m) in enumerate(zip(got["text"], got["meta"])):
+        text[i], meta[i] = np.frombuffer(t.as_buffer(), np.float16), np.frombuffer(m.as_buffer(), np.float32)
+    return got["key"].to_numpy(), got["id"].to_numpy(), got["y"].to_numpy(), text, meta
+
+
+class _Surest:
+    """The surest keys of one task, the most sure first; of equal ones the smaller key."""
+
+    def __init__(self, most: int):
+        self.most, self.sure, self.key = most, np.zeros(0), np.zeros(0, np.int64)
+
+    def add(self, sure: np.ndarray, key: np.ndarray) -> None:
+        sure, key = np.r_[self.sure, sure], np.r_[self.key, key]
+        order = np.lexsort((key, -sure))
+        first = np.sort(np.unique(key[order], return_index=True)[1])[:self.most]
+        self.sure, self.key = sure[order][first], key[order][first]
+
+
+def _surest(base: DataFrame, known: np.ndarray, views: dict, given: dict, most: list[int]) -> list[tuple]:
+    """See ``Model.fit``.  ``base`` has __key, __id, text and metadata; rows with an id in ``known`` are labelled."""
+    shared = base.sparkSession.sparkContext.broadcast((views, known, given, most))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        views, known, given, most = shared.value
+        best = {(pair, label): _Surest(most[label]) for pair in range(2) for label in range(2)}
+        for batch in words.pieces(batches):
+            texts = words.texts_of(batch["text"])
+            key, ids = batch["__key"].to_numpy(), batch["__id"]
+            free = ~(np.isin(pc.fill_null(ids, 0).to_numpy(), known) & pc.is_valid(ids).to_numpy(zero_copy_only=False))
+            x = {"text": text_view(texts).astype(np.float16).astype(np.float32), "meta": meta_view(batch, texts)}
+            for pair, (view, other) in enumerate(_PAIRS):
+                odds = np.round(views[view].score(x[view]).astype(float), 3)  # how rows are batched moves only later digits
+                fresh = free & ~np.isin(key, given[other])
+                for label, sure in ((1, odds), (0, -odds)):
+                    chosen = fresh & (sure >= np.log(CONFIDENT / (1 - CONFIDENT)))
+                    if chosen.any():
+                        best[pair, label].add(sure[chosen], key[chosen])
+        for (pair, label), b in best.items():
+            n = len(b.key)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, pair, np.int32)), pa.array(np.full(n, label, np.int32)), pa.array(b.key), pa.array(b.sure)],
+                                             names=["pair", "label", "__key", "sure"])
+
+    met = base.mapInArrow(run, "pair int, label int, __key long, sure double").groupBy("pair", "label", "__key").agg(F.max("sure").alias("sure"))
+    rank = F.row_number().over(Window.partitionBy("pair", "label").orderBy(F.desc("sure"), "__key"))
+    top = met.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("label") == 1, most[1]).otherwise(most[0])).toArrow()
+    shared.unpersist()
+    wanted = base.sparkSession.createDataFrame([(k,) for k in sorted(set(top["__key"].to_pylist()))], "__key long")
+    rows = base.join(F.broadcast(wanted), "__key", "left_semi").dropDuplicates(["__key"]).withColumn("__y", F.lit(-1))
+    key, _, _, text, meta = _arrays(rows)
+    order = np.argsort(key)
+    out = []
+    for pair in range(2):
+        mine = top.filter(pc.equal(top["pair"], pair)).sort_by([("label", "descending"), ("rank", "ascending")])
+        keys = mine["__key"].to_numpy()
+        at = order[np.searchsorted(key[order], keys)] if len(keys) else np.zeros(0, np.int64)
+        out.append((keys, mine["label"].to_numpy().astype(float), text[at], meta[at]))
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model | None:
     """The fitted model, or None if the labels found do not hold both classes at least four times."""
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.avg("quality").alias("q"))
     known = known.select("doc_id", (F.col("q") >= 0.5).cast("int").alias("__y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    free = docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(pool).distinct()
-    asked = known.unionByName(free.select("doc_id", F.lit(-1).alias("__y"))).groupBy("doc_id").agg(F.max("__y").alias("__y"))
     view = [c for c in ("lang", "source", "n_chars") if c in docs.columns]
-    rows = docs.select("doc_id", "text", *view).join(F.broadcast(asked), "doc_id")  # at most labelled + pool ids
-    rows = rows.select(F.col("doc_id").cast("long").alias("__id"), "__y", "text", *view).mapInArrow(_features, "id long, y int, text binary, meta binary").toArrow().sort_by("id")
-    y = rows["y"].to_numpy()
-    text, meta = np.zeros((len(y), DIM), np.float32), np.zeros((len(y), META), np.float32)
-    for i, (t, m) in enumerate(zip(rows["text"], rows["meta"])):
-        text[i], meta[i] = np.frombuffer(t.as_buffer(), np.float16), np.frombuffer(m.as_buffer(), np.float32)
-    del rows
-    have, rest = y >= 0, y < 0
+    base = docs.select(F.xxhash64("text", *view).alias("__key"), F.col("doc_id").cast("long").alias("__id"), "text", *view)
+    rows = base.join(F.broadcast(known.select(F.col("doc_id").cast("long").alias("__id"), "__y")), "__id")  # at most labelled ids
+    _, ids, y, text, meta = _arrays(rows)
     if min((y == 1).sum(), (y == 0).sum()) < 4:
         return None
-    mixed = np.random.RandomState(3).permutation(int(have.sum()))
-    return Model().fit(text[have][mixed], meta[have][mixed], y[have][mixed].astype(float), text[rest], meta[rest])
+    mixed = np.random.RandomState(3).permutation(len(y))
+    text, meta = text[mixed], meta[mixed]
+    return Model().fit(text, meta, y[mixed].astype(float), lambda *asked: _surest(base, np.unique(ids), *asked))
 
 
-def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, threshold: float = THRESHOLD) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, threshold: float = THRESHOLD) -> DataFrame:
     """Every row of ``docs`` with ``text_score`` and ``meta_score`` (calibrated probability of good quality by one
     view), ``quality_score`` (both) and ``good`` (quality_score >= threshold).
 
@@ -179,7 +238,7 @@ def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool:
     ignored, repeated ones averaged.  Without enough labels of both classes the scores are null and
     every document counts as good.
     """
-    model = train(docs, labels, labelled, pool)
+    model = train(docs, labels, labelled)
     new = ("text_score", "meta_score", "quality_score", "good")
     kept = docs.select(*[c for c in docs.columns if c not in new])
     if model is None:

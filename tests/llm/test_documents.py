@@ -147,6 +147,29 @@ def test_quality_on_labels_held_out(spark):
     assert all(0 <= x <= 1 for r in found for x in r[2:])
 
 
+def test_exchange_covers_all_unlabelled_documents(frame):
+    """The surest document is taught, wherever it stands among more than a pool's worth of others; copies count as one."""
+    def view(size):
+        v = quality.Logistic(0)
+        v.mean, v.std, v.w, v.b = np.zeros(size, np.float32), np.ones(size, np.float32), np.zeros(size, np.float32), 0.0
+        return v
+
+    views = {"text": view(quality.DIM), "meta": view(quality.META)}
+    views["meta"].w[-2] = 9  # the share of digits
+    rows = [(i, f"plain words {i % 7} about nothing at all {i}") for i in range(6000)] + [(7000 + i, "123456789") for i in range(5)] + [(8000, "99999 88888"), (None, "777")]
+    base = frame(rows, 5).select(F.xxhash64("text", "lang", "source", "n_chars").alias("__key"), F.col("doc_id").alias("__id"), "text", "lang", "source", "n_chars")
+    none = {"text": np.zeros(0, np.int64), "meta": np.zeros(0, np.int64)}
+    first, second = quality._surest(base, np.array([8000]), views, none, [300, 300])
+    assert len(first[0]) == 0
+    want = {r["__key"] for r in base.where("text in ('123456789', '777')").select("__key").distinct().collect()}
+    assert set(second[0]) == want and len(second[0]) == len(want) and set(second[1]) == {1.0}
+    assert second[2].shape == (len(want), quality.DIM) and second[3].shape == (len(want), quality.META)
+    again = quality._surest(base, np.array([8000]), views, dict(none, text=second[0]), [300, 300])[1]
+    assert len(again[0]) == 0
+    few = quality._surest(base, np.array([8000]), views, none, [300, 1])[1]
+    assert len(few[0]) == 1
+
+
 def test_quality_without_labels(spark, corpus, frame):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [tuple(r) for r in quality.classify(frame(corpus), none).select("text_score", "meta_score", "quality_score", "good").distinct().collect()] == [(None, None, None, True)]
