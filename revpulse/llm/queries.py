@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revpulse.llm import bpe, ctw, decontaminate, licenses, minhash, pii, quality, sharding, substrings, topk
+from revpulse.llm import bpe, ctw, decontaminate, licenses, merkle, minhash, pii, quality, sharding, substrings, topk, toxicity, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -92,6 +92,29 @@ def op10_context_tree_weighting(spark, sf_dir):
     return ctw.score(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_pattern_grammar_toxicity(spark, sf_dir):
+    found = toxicity.find_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("clauses").cast("long").alias("n_clauses"))
+
+
+@query
+def op12_value_dictionary_codes(spark, sf_dir):
+    coded, codebooks = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    sha = F.sha2(F.lit(vector_codes.as_text(codebooks)), 256)
+    return vector_codes.with_label_error(coded).select("vec_id", "code", "error", "label_error", sha.alias("codebooks_sha256"))
+
+
+@query
+def op13_slot_pivot_merkle(spark, sf_dir):
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.try_add("n_chars", F.lit(1))).otherwise(F.col("n_chars"))
+    found = merkle.manifest(table(spark, sf_dir, "documents"), changed={"n_chars": tampered})
+    siblings = F.array_join(F.transform("path", lambda s: F.concat(s["before"], s["after"])), "")
+    folded = found.withColumn("folded_root", merkle.fold(F.col("claimed"), F.col("path")))
+    return folded.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), "folded_root",
+                         (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL["op6_circulant_minhash"] = rf"""
@@ -178,3 +201,81 @@ kept AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """
+
+_CRC = """(SELECT list(list_reduce(list_prepend(CAST(b AS BIGINT), range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b)
+  FROM range(256) AS bytes(b))"""
+
+ORACLE_SQL["op13_slot_pivot_merkle"] = f"""
+WITH RECURSIVE crcs AS (SELECT {_CRC} AS t),
+told AS (
+  SELECT doc_id, lang, n_chars, [coalesce(strlen(v) || ':' || v, '-') FOR v IN [CAST(doc_id AS VARCHAR), source, lang]] AS before,
+    coalesce(strlen(text) || ':' || text, '-') AS body,
+    4294967295 - list_reduce(list_prepend(4294967295, [CAST(ascii(c) AS BIGINT) FOR c IN string_split(CAST(doc_id AS VARCHAR), '')]),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])) AS crc
+  FROM documents, crcs
+), hashed AS (
+  SELECT doc_id, lang, sha256(array_to_string(before, '') || n || body) AS leaf, sha256(array_to_string(before, '') || m || body) AS claimed
+  FROM (SELECT *, coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS n,
+    coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') AS tampered,
+    CASE WHEN crc % 7 = 0 THEN tampered ELSE n END AS m FROM told)
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS spot, count(*) OVER (PARTITION BY lang) AS size FROM hashed
+), tree(lang, level, spot, size, h) AS (
+  SELECT lang, 0, spot, size, leaf FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, spot // 2, (size + 1) // 2, sha256(string_agg(h, '' ORDER BY spot)) FROM tree WHERE size > 1 GROUP BY lang, level, spot // 2, size
+), subroots AS (
+  SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS spot, count(*) OVER () AS size FROM tree WHERE size = 1
+), top(level, spot, size, h) AS (
+  SELECT 0, spot, size, subroot FROM subroots
+  UNION ALL
+  SELECT level + 1, spot // 2, (size + 1) // 2, sha256(string_agg(h, '' ORDER BY spot)) FROM top WHERE size > 1 GROUP BY level, spot // 2, size
+), steps AS (
+  SELECT l.doc_id, l.lang, l.spot, t.level, CASE WHEN (l.spot >> t.level) % 2 = 1 THEN 'L' ELSE 'R' END AS side, b.h
+  FROM leaves l JOIN (SELECT DISTINCT lang, level FROM tree WHERE size > 1) t ON l.lang IS NOT DISTINCT FROM t.lang
+  LEFT JOIN tree b ON b.lang IS NOT DISTINCT FROM l.lang AND b.level = t.level AND b.spot = xor(l.spot >> t.level, 1)
+  UNION ALL
+  SELECT l.doc_id, l.lang, l.spot, 1000 + t.level, CASE WHEN (s.spot >> t.level) % 2 = 1 THEN 'L' ELSE 'R' END, b.h
+  FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang, (SELECT DISTINCT level FROM top WHERE size > 1) t
+  LEFT JOIN top b ON b.level = t.level AND b.spot = xor(s.spot >> t.level, 1)
+), paths AS (
+  SELECT lang, spot, coalesce(string_agg(h, '' ORDER BY level), '') AS proof, list(side || coalesce(h, '') ORDER BY level) AS path FROM steps GROUP BY lang, spot
+), whole AS (SELECT h AS root FROM top WHERE size = 1)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM (
+  SELECT l.*, s.subroot, root, proof, list_reduce(list_prepend(claimed, coalesce(path, [])),
+    lambda h, s: CASE WHEN s[1] = 'L' THEN sha256(s[2:] || h) ELSE sha256(h || s[2:]) END) AS folded
+  FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang LEFT JOIN paths p ON p.lang IS NOT DISTINCT FROM l.lang AND p.spot = l.spot, whole
+)
+"""
+
+
+def _rounds() -> str:
+    """The assignments and codebooks of four rounds, each from the one before."""
+    parts = []
+    for i in range(vector_codes.ROUNDS + 1):
+        parts.append(f"""near{i} AS MATERIALIZED (
+  SELECT row, p, arg_min(e, (far, e)) AS e, min(far) AS far FROM (
+    SELECT row, p, e, sum((x - y) * (x - y)) AS far FROM parts JOIN book{i} USING (p, j) GROUP BY row, p, e) GROUP BY row, p)""")
+        if i < vector_codes.ROUNDS:
+            parts.append(f"""book{i + 1} AS MATERIALIZED (
+  SELECT p, e, j, coalesce(z, y) AS y FROM book{i} LEFT JOIN (
+    SELECT p, e, j, CAST(floor(sum(x) / count(*)) AS BIGINT) AS z FROM near{i} JOIN parts USING (row, p) GROUP BY p, e, j) USING (p, e, j))""")
+    return ",\n".join(parts)
+
+
+ORACLE_SQL["op12_value_dictionary_codes"] = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS row, vec_id, label, list_transform(embedding, lambda x: CAST(floor({vector_codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT row, (i - 1) // (len(v) // 4) AS p, (i - 1) % (len(v) // 4) AS j, v[i] AS x FROM (SELECT row, v, unnest(range(1, len(v) + 1)) AS i FROM kept)
+), book0 AS MATERIALIZED (SELECT p, row - 1 AS e, j, x AS y FROM parts WHERE row <= {vector_codes.ENTRIES}),
+{_rounds()},
+coded AS (
+  SELECT row, string_agg(lower(printf('%02x', e)), '' ORDER BY p) AS code, CAST(sum(far) AS BIGINT) AS error FROM near{vector_codes.ROUNDS} GROUP BY row
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(y, ',' ORDER BY p, e, j)) FROM book{vector_codes.ROUNDS}) AS codebooks_sha256
+FROM kept JOIN coded USING (row)
+"""
