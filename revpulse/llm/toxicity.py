@@ -5,7 +5,8 @@ intentions, violent verbs) are fixed lists in four languages, stems of insults a
 transducers then read the classes of a clause, each rewriting what the one before put out:
 
 * threat: an intention followed by a violent verb is a threat; a violent verb alone is nothing;
-* negation: an insult or threat within ``SCOPE`` words of a negator is a denied one;
+* negation: an insult or threat after a negator is a denied one, if each marked word on the way is within ``SCOPE`` words of the
+  one before;
 * reported speech: after a reporting word or a quotation mark it is a told one;
 * target: weighs what is left and raises the clause if somebody is addressed in it.
 
@@ -39,7 +40,7 @@ CLASSES = {
     "violent": "kill* hurt* beat* destroy* murder* shoot* stab* burn* strangle* töte* umbring* schlage* tuer tue frapper détruire matar* "
                "golpear* destruir*",
 }
-SCOPE = 3  # words a negator reaches
+SCOPE = 3  # words to the next marked one; beyond, a negator or an intention reaches no further
 CLAUSE_WORDS = 64  # a longer stretch without punctuation is several clauses
 VIOLENCE = 6.0  # lexical weight of a violent verb
 ARCS = {"insult": 1.0, "threat": 1.5, "denied": 0.5, "told": 0.6}
