@@ -6,24 +6,25 @@ classes, repeated lines and words).  Each round both logistic models are fitted,
 documents it is surest of to the other's training set.  Both are then calibrated on labelled documents held
 back from training, and their log-odds are added (less the prior, which both contain).
 
-Fitting takes at most ``labelled`` labelled documents, chosen by a hash of the id.  The exchange is among all others: every
-round scores them all in Spark and brings the PER_ROUND surest of each view to the driver, so what is held there is
-bounded by the rounds.  Documents that neither view can tell apart count as one.  Scoring covers whole texts of all documents.
+Fitting takes at most ``labelled`` labelled documents, chosen by a hash of the id, and runs in one task a view.  The exchange
+is among all others: every round scores them all in Spark and adds the ``per_round`` surest of each view to the other's rows;
+only their keys, and the weights, reach the driver.  Documents that neither view can tell apart count as one.  Scoring covers whole texts of all documents.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revpulse.llm import words
+from revpulse.llm.components import cut
 
 LABELLED = 8_000
 ROUNDS, PER_ROUND, CONFIDENT = 4, 300, 0.95
@@ -79,30 +80,32 @@ def meta_view(batch: pa.RecordBatch, texts: words.Texts) -> np.ndarray:
 
 
 class Logistic:
-    """Ridge logistic regression on standardised columns, by accelerated gradient steps."""
+    """Ridge logistic regression on standardised columns, by accelerated gradient steps.  The columns are never copied:
+    means and scales are applied to the weights and gradients."""
 
     def __init__(self, ridge: float, steps: int = 200):
         self.ridge, self.steps = ridge, steps
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Logistic:
-        self.mean = x.mean(axis=0)
-        self.std = np.sqrt(sum(np.square(x[i:i + 500] - self.mean).sum(axis=0, dtype=float) for i in range(0, len(x), 500)) / len(x)).astype(np.float32)  # no copy of x
+        self.mean = x.mean(axis=0, dtype=float)
+        self.std = np.sqrt(sum(np.square(x[i:i + 500] - self.mean).sum(axis=0) for i in range(0, len(x), 500)) / len(x))
         self.std[self.std < 1e-6] = np.inf  # a column that never varies says nothing
-        z = (x - self.mean).astype(np.float32)
-        z /= self.std.astype(np.float32)
-        self.w, self.b = np.zeros(x.shape[1], np.float32), 0.0
-        step = 4.0 / (np.square(z).sum(axis=1).mean() + 1)
+        spread = self.mean / self.std
+        step = 4.0 / (np.isfinite(self.std).sum() + 1)  # standardised rows have this mean square length
+        self.w, self.b = np.zeros(x.shape[1]), 0.0
         ahead, before = self.w, self.w
         for t in range(self.steps):
-            error = (1 / (1 + np.exp(-np.clip(z @ ahead + self.b, -30, 30))) - y).astype(np.float32)  # else z is widened each step
-            self.w = ahead - np.float32(step) * (error @ z / len(y) + np.float32(self.ridge) * ahead)
+            z = x @ (ahead / self.std).astype(np.float32) - float(spread @ ahead) + self.b
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y).astype(np.float32)
+            slope = (error @ x) / self.std - float(error.sum()) * spread
+            self.w = ahead - step * (slope / len(y) + self.ridge * ahead)
             self.b -= float(error.mean())
-            ahead, before = self.w + np.float32(t / (t + 3)) * (self.w - before), self.w
+            ahead, before = self.w + t / (t + 3) * (self.w - before), self.w
         return self
 
     def score(self, x: np.ndarray) -> np.ndarray:
         w = self.w / self.std
-        return x @ w + (self.b - float(self.mean @ w))
+        return x @ w.astype(np.float32) + (self.b - float(self.mean @ w))
 
 
 def _platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -118,46 +121,70 @@ def _platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 class Model:
-    def fit(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, surest: Callable) -> Model:
-        """``surest(views, given, most)`` gives, for each pair of views, (keys, labels, text features, meta features) of the
-        unlabelled documents that the first view is surest of and that are not yet ``given`` to the second."""
-        held = np.arange(len(y)) % 4 == 0  # a quarter calibrates
-        share = float(y[~held].mean())
-        most = [round(PER_ROUND * (1 - share)), round(PER_ROUND * share)]  # by label
-        sets = {v: (x[~held], y[~held]) for v, x in (("text", text), ("meta", meta))}
-        given = {v: np.zeros(0, np.int64) for v in sets}
-        for turn in range(ROUNDS):
-            self.views = {v: Logistic(1e-3).fit(*sets[v]) for v in sets}
-            if turn == ROUNDS - 1:
-                break
-            for (_, other), (keys, label, *both) in zip(_PAIRS, surest(self.views, given, most)):
-                given[other] = np.r_[given[other], keys]
-                sets[other] = (np.concatenate([sets[other][0], both[other == "meta"]]), np.r_[sets[other][1], label])
-        self.platt = {v: _platt(self.views[v].score(x[held]), y[held]) for v, x in (("text", text), ("meta", meta))}
-        self.prior = float(np.log((y.sum() + 1) / ((1 - y).sum() + 1)))
-        return self
+    """Both fitted views, their calibration and the prior."""
+
+    def __init__(self, views: dict[str, Logistic], platt: dict[str, tuple[float, float]], prior: float):
+        self.views, self.platt, self.prior = views, platt, prior
 
     def log_odds(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a, b = (self.platt[v][0] * self.views[v].score(x) + self.platt[v][1] for v, x in (("text", text), ("meta", meta)))
         return a, b, a + b - self.prior
 
 
+_KEPT = "key long, id long, y int, held boolean, text binary, meta binary"
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in words.pieces(batches):
         texts = words.texts_of(batch["text"])
         text, meta = text_view(texts), meta_view(batch, texts)
         yield pa.RecordBatch.from_arrays([
-            batch["__key"], batch["__id"], batch["__y"], pa.array([r.astype(np.float16).tobytes() for r in text], pa.binary()),
-            pa.array([r.tobytes() for r in meta], pa.binary())], names=["key", "id", "y", "text", "meta"])
-
-
-def _arrays(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, id, y, text features, meta features) of rows (__key, __id, __y, text and what the metadata view reads)."""
-    got = rows.mapInArrow(_features, "key long, id long, y int, text binary, meta binary").toArrow().sort_by([("id", "ascending"), ("key", "ascending")])
-    text, meta = np.zeros((len(got), DIM), np.float32), np.zeros((len(got), META), np.float32)
-    for i, (t, m) in enumerate(zip(got["text"], got["meta"])):
-        text[i], meta[i] = np.frombuffer(t.as_buffer(), np.float16), np.frombuffer(m.as_buffer(), np.float32)
-    return got["key"].to_numpy(), got["id"].to_numpy(), got["y"].to_numpy(), text, meta
+            batch["__key"], batch["__id"], batch["__y"], batch["__held"], pa.array([r.astype(np.float16).tobytes() for r in text], pa.binary()),
+            pa.array([r.tobytes() for r in meta], pa.binary())], names=["key", "id", "y", "held", "text", "meta"])
+
+
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One view from its training rows (view, id, key, y, held, x): weights, and slope and offset by the rows held back."""
+    held: dict[str, list] = {}
+    for batch in batches:
+        for view, y, back, x in zip(batch["view"].to_pylist(), batch["y"].to_pylist(), batch["held"].to_pylist(), batch["x"]):
+            kind = np.float16 if view == "text" else np.float32
+            held.setdefault(view, []).append((y, back, np.frombuffer(x.as_buffer(), kind).copy()))
+    for view in list(held):
+        rows = held.pop(view)
+        y, back = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], bool)
+        order = np.argsort(back, kind="stable")  # training rows first, so that none is copied
+        x = np.empty((len(rows), len(rows[0][2])), np.float32)
+        for i, j in enumerate(order):
+            x[i] = rows[j][2]
+        del rows
+        y, n = y[order], int((~back).sum())
+        fitted = Logistic(1e-3).fit(x[:n], y[:n])
+        slope, offset = _platt(fitted.score(x[n:]).astype(float), y[n:])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([view]), *[pa.array([v.tolist()], pa.list_(pa.float64())) for v in (fitted.w, fitted.mean, fitted.std)], *[pa.array([float(v)]) for v in (fitted.b, slope, offset)]],
+            names=["view", "w", "mean", "std", "b", "slope", "offset"])
+
+
+def _views(rows: DataFrame, taught: DataFrame | None) -> tuple[dict[str, Logistic], dict[str, tuple[float, float]]]:
+    """Fits each view in a task of its own.  ``rows`` are labelled, ``taught`` has what one view tells the other."""
+    sets = []
+    for view in ("text", "meta"):
+        columns = [F.lit(view).alias("view"), "id", "key", "y", "held", F.col(view).alias("x")]
+        sets.append(rows.select(*columns))
+        if taught is not None:
+            sets.append(taught.where(F.col("for") == view).select(*columns))
+    one = sets[0]
+    for more in sets[1:]:
+        one = one.union(more)
+    got = one.repartition(2, "view").sortWithinPartitions("view", "id", "key", "y").mapInArrow(
+        _fit, "view string, w array<double>, mean array<double>, std array<double>, b double, slope double, offset double").collect()
+    views, platt = {}, {}
+    for r in got:
+        views[r["view"]] = v = Logistic(1e-3)
+        v.w, v.mean, v.std, v.b = np.array(r["w"]), np.array(r["mean"]), np.array(r["std"]), r["b"]
+        platt[r["view"]] = (r["slope"], r["offset"])
+    return views, platt
 
 
 class _Surest:
@@ -173,8 +200,9 @@ class _Surest:
         self.sure, self.key = sure[order][first], key[order][first]
 
 
-def _surest(base: DataFrame, known: np.ndarray, views: dict, given: dict, most: list[int]) -> list[tuple]:
-    """See ``Model.fit``.  ``base`` has __key, __id, text and metadata; rows with an id in ``known`` are labelled."""
+def _surest(base: DataFrame, known: np.ndarray, views: dict, given: dict, most: list[int]) -> list[tuple[int, int, int]]:
+    """(pair of views, label, key) of the unlabelled documents that the first view of a pair is surest of and that are not yet
+    ``given`` to the second, ``most`` of a label.  ``base`` has __key, __id, text and metadata; rows with an id in ``known`` are labelled."""
     shared = base.sparkSession.sparkContext.broadcast((views, known, given, most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,37 +227,49 @@ def _surest(base: DataFrame, known: np.ndarray, views: dict, given: dict, most:
 
     met = base.mapInArrow(run, "pair int, label int, __key long, sure double").groupBy("pair", "label", "__key").agg(F.max("sure").alias("sure"))
     rank = F.row_number().over(Window.partitionBy("pair", "label").orderBy(F.desc("sure"), "__key"))
-    top = met.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("label") == 1, most[1]).otherwise(most[0])).toArrow()
+    ranked = met.withColumn("rank", rank).where(F.col("rank") <= max(most))  # a constant: each task passes on no more than that
+    top = ranked.where(F.col("rank") <= F.when(F.col("label") == 1, most[1]).otherwise(most[0])).collect()
     shared.unpersist()
-    wanted = base.sparkSession.createDataFrame([(k,) for k in sorted(set(top["__key"].to_pylist()))], "__key long")
-    rows = base.join(F.broadcast(wanted), "__key", "left_semi").dropDuplicates(["__key"]).withColumn("__y", F.lit(-1))
-    key, _, _, text, meta = _arrays(rows)
-    order = np.argsort(key)
-    out = []
-    for pair in range(2):
-        mine = top.filter(pc.equal(top["pair"], pair)).sort_by([("label", "descending"), ("rank", "ascending")])
-        keys = mine["__key"].to_numpy()
-        at = order[np.searchsorted(key[order], keys)] if len(keys) else np.zeros(0, np.int64)
-        out.append((keys, mine["label"].to_numpy().astype(float), text[at], meta[at]))
-    return out
+    return [(r["pair"], r["label"], r["__key"]) for r in top]
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model | None:
-    """The fitted model, or None if the labels found do not hold both classes at least four times."""
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> Model | None:
+    """The fitted model, or None if the labels found do not hold both classes at least four times.  Each view is fitted ``rounds`` times, and between two fits passes
+    at most ``per_round`` documents to the other.  The features stay in Spark; the driver sees ids, labels and weights.
+    """
+    spark = docs.sparkSession
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.avg("quality").alias("q"))
-    known = known.select("doc_id", (F.col("q") >= 0.5).cast("int").alias("__y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
+    known = known.select(F.col("doc_id").cast("long").alias("__id"), (F.col("q") >= 0.5).cast("int").alias("__y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
+    nth = F.row_number().over(Window.partitionBy("__y").orderBy(F.xxhash64("__id", F.lit(1)), "__id"))  # of a bounded number of ids
+    known = known.withColumn("__held", nth % 4 == 2)  # a quarter of each class calibrates
     view = [c for c in ("lang", "source", "n_chars") if c in docs.columns]
     base = docs.select(F.xxhash64("text", *view).alias("__key"), F.col("doc_id").cast("long").alias("__id"), "text", *view)
-    rows = base.join(F.broadcast(known.select(F.col("doc_id").cast("long").alias("__id"), "__y")), "__id")  # at most labelled ids
-    _, ids, y, text, meta = _arrays(rows)
-    if min((y == 1).sum(), (y == 0).sum()) < 4:
+    rows = cut(base.join(F.broadcast(known), "__id").mapInArrow(_features, _KEPT))  # at most labelled ids
+    told = rows.select("id", "y", "held").toArrow()
+    ids, y, held = (told[c].to_numpy() for c in told.column_names)
+    if min((y == c).sum() for c in (0, 1)) < 4 or min((y[held == h] == c).sum() for h in (False, True) for c in (0, 1)) < 1:
         return None
-    mixed = np.random.RandomState(3).permutation(len(y))
-    text, meta = text[mixed], meta[mixed]
-    return Model().fit(text, meta, y[mixed].astype(float), lambda *asked: _surest(base, np.unique(ids), *asked))
-
-
-def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, threshold: float = THRESHOLD) -> DataFrame:
+    share = float(y[~held].mean())
+    most = [round(per_round * (1 - share)), round(per_round * share)]  # by label
+    given = {v: np.zeros(0, np.int64) for v in ("text", "meta")}
+    taught = None
+    for turn in range(rounds):
+        views, platt = _views(rows, taught)
+        if turn == rounds - 1:
+            break
+        top = _surest(base, np.unique(ids), views, given, most)
+        passed = [(key, _PAIRS[pair][1], label) for pair, label, key in top]
+        for _, other in _PAIRS:
+            given[other] = np.r_[given[other], np.array([k for k, to, _ in passed if to == other], np.int64)]
+        wanted = spark.createDataFrame(passed, "__key long, for string, label int")
+        once = base.join(F.broadcast(wanted.select("__key").distinct()), "__key", "left_semi").dropDuplicates(["__key"]).withColumns({"__y": F.lit(-1), "__held": F.lit(False)})
+        new = once.mapInArrow(_features, _KEPT).join(F.broadcast(wanted), F.col("key") == F.col("__key")).select(
+            "key", F.lit(None).cast("long").alias("id"), F.col("label").alias("y"), "held", "text", "meta", "for")
+        taught = cut(new if taught is None else taught.union(new))
+    return Model(views, platt, float(np.log((y.sum() + 1) / ((1 - y).sum() + 1))))
+
+
+def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, threshold: float = THRESHOLD, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> DataFrame:
     """Every row of ``docs`` with ``text_score`` and ``meta_score`` (calibrated probability of good quality by one
     view), ``quality_score`` (both) and ``good`` (quality_score >= threshold).
 
@@ -238,7 +278,7 @@ def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, thres
     ignored, repeated ones averaged.  Without enough labels of both classes the scores are null and
     every document counts as good.
     """
-    model = train(docs, labels, labelled)
+    model = train(docs, labels, labelled, rounds, per_round)
     new = ("text_score", "meta_score", "quality_score", "good")
     kept = docs.select(*[c for c in docs.columns if c not in new])
     if model is None:
