@@ -9,8 +9,9 @@ makes labels consistent.  Tokens under a base span are clamped to it.  Other tok
 whose marginal is at least ``SURE`` add spans, so a number that is written without its
 country code the second time is found too.
 
-Weights are fitted on the base spans of at most ``train_docs`` documents (chosen by a hash of the
-id); everything else covers whole texts of all documents.
+Weights are fitted on the base spans of at most ``train_docs`` documents with a digit or ``@`` (chosen by a hash of the
+id).  Features are yes or no, so Spark counts distinct feature sets and label pairs over the whole texts of these and
+only the counts are brought together; everything else covers whole texts of all documents.
 """
 
 from __future__ import annotations
@@ -147,18 +148,18 @@ class Model:
         n = len(KINDS) + 1
         self.node, self.chain, self.skip = np.zeros((_N_FEATURES, n)), np.zeros((n, n)), np.zeros((n, n))
 
-    def fit(self, x: np.ndarray, y: np.ndarray, chain: np.ndarray, skip: np.ndarray, steps: int = 300) -> Model:
+    def fit(self, x: np.ndarray, y: np.ndarray, times: np.ndarray, chain: np.ndarray, skip: np.ndarray, steps: int = 300) -> Model:
+        """``x`` and ``y`` are distinct (features, label) met so many ``times``; ``chain`` and ``skip`` count label pairs."""
         n = len(KINDS) + 1
         if len(y):
-            want = np.eye(n)[y]
+            want, share = np.eye(n)[y], (times / times.sum())[:, None]
             for _ in range(steps):  # piecewise: softmax regression for nodes, association for edges
                 z = x @ self.node
                 p = np.exp(z - z.max(axis=1, keepdims=True))
                 p /= p.sum(axis=1, keepdims=True)
-                self.node += 2.0 * (x.T @ (want - p) / len(y) - 1e-4 * self.node)
+                self.node += 2.0 * (x.T @ ((want - p) * share) - 1e-4 * self.node)
         for name, pairs in (("chain", chain), ("skip", skip)):
-            together = np.full((n, n), 0.5)
-            np.add.at(together, (pairs[:, 0], pairs[:, 1]), 1)
+            together = pairs + 0.5
             together = together + together.T
             share = together.sum(axis=1) / together.sum()
             setattr(self, name, np.clip(np.log(together / together.sum() / np.outer(share, share)), -3, 3))
@@ -210,24 +211,33 @@ def all_spans(g: Graph, model: Model) -> list[list[tuple[int, int, int]]]:
     return [sorted(s) for s in out]
 
 
-def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _train_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(what, code, times): feature sets with their label, and label pairs along both kinds of edges."""
+    bits = 1 << np.arange(_N_FEATURES, dtype=np.int64)
     for batch in words.pieces(batches):
         g = Graph(batch["text"].to_pylist())
-        few = slice(0, 20_000)  # tokens of one piece; the sample is bounded by documents and by tokens
-        edge = lambda e: g.label[e[few]].astype(np.int8).tobytes()
-        yield pa.RecordBatch.from_arrays([
-            pa.array([g.x[few].astype(np.int8).tobytes()], pa.binary()), pa.array([g.label[few].astype(np.int8).tobytes()], pa.binary()),
-            pa.array([edge(g.chain)], pa.binary()), pa.array([edge(g.skip)], pa.binary()),
-        ], names=["x", "y", "chain", "skip"])
+        pair = lambda e: g.label[e[:, 0]] * 8 + g.label[e[:, 1]]  # noqa: B023, E731
+        for what, codes in (("node", (g.x.astype(np.int64) @ bits) * 8 + g.label), ("chain", pair(g.chain)), ("skip", pair(g.skip))):
+            code, times = np.unique(codes, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([what] * len(code), pa.string()), pa.array(code, pa.int64()), pa.array(times, pa.int64())], names=["what", "code", "times"])
 
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
-    """Fits on the base spans of at most ``train_docs`` documents with a digit or ``@``."""
-    chosen = docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
-    sample = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]")).join(F.broadcast(chosen.distinct()), "doc_id")
-    rows = sample.select("text").mapInArrow(_train_rows, "x binary, y binary, chain binary, skip binary").toArrow()
-    whole = {c: np.concatenate([np.frombuffer(b, np.int8) for b in rows[c].to_pylist()] or [np.zeros(0, np.int8)]).astype(np.int64) for c in rows.column_names}
-    return Model().fit(whole["x"].reshape(-1, _N_FEATURES).astype(float), whole["y"], whole["chain"].reshape(-1, 2), whole["skip"].reshape(-1, 2))
+    """Fits on the base spans in the whole texts of at most ``train_docs`` documents with a digit or ``@``."""
+    able = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]") & F.col("doc_id").isNotNull())
+    chosen = able.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)  # a bounded number of ids
+    sample = able.join(F.broadcast(chosen.distinct()), "doc_id")
+    rows = sample.select("text").mapInArrow(_train_counts, "what string, code long, times long").groupBy("what", "code").agg(F.sum("times").alias("times")).toArrow()
+    what, code, times = (rows[c].to_numpy(zero_copy_only=False) for c in ("what", "code", "times"))
+    order = np.argsort(code, kind="stable")
+    what, code, times = what[order], code[order], times[order].astype(float)
+    node = what == "node"
+    pairs = {}
+    for name in ("chain", "skip"):
+        pairs[name] = np.zeros((len(KINDS) + 1, len(KINDS) + 1))
+        np.add.at(pairs[name], (code[what == name] // 8, code[what == name] % 8), times[what == name])
+    x = (code[node, None] // 8 >> np.arange(_N_FEATURES)) & 1
+    return Model().fit(x.astype(float), code[node] % 8, times[node], pairs["chain"], pairs["skip"])
 
 
 _SPANS = "array<struct<kind:string,start:long,stop:long>>"

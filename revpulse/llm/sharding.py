@@ -1,7 +1,7 @@
 """Shards along a Hilbert curve over several metadata columns.
 
-Each column is quantised to a few bits by quantiles over all rows (text columns by their first seven bytes, which
-keeps their order).  The Hilbert index of the cell orders the rows; runs of equal length of this order are the
+Each column is quantised to a few bits by quantiles over all rows (text columns by the place of their distinct values, counted
+and sorted in Spark).  The Hilbert index of the cell orders the rows; runs of equal length of this order are the
 shards.  Neighbours on the curve are neighbours in every column, so the files of a shard span a narrow range of each and
 a reader skips files by any of them.
 
@@ -54,25 +54,52 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
+def _is_text(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, (T.StringType, T.BinaryType))
+
+
 def _number(df: DataFrame, name: str) -> Column:
     """The column as a number of the same order."""
-    kind = df.schema[name].dataType
     c = F.col(f"`{name}`")
-    if isinstance(kind, (T.StringType, T.BinaryType)):
-        return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long").cast("double")
-    if isinstance(kind, (T.TimestampType, T.DateType, T.TimestampNTZType)):
+    if isinstance(df.schema[name].dataType, (T.TimestampType, T.DateType, T.TimestampNTZType)):
         return F.unix_seconds(c.cast("timestamp")).cast("double")
     return c.cast("double")
 
 
+def _text_cell(df: DataFrame, name: str, bits: int) -> Column:
+    """Cell of a text column: 2**bits times the share of rows with a smaller value, null before all.
+
+    Distinct values are counted and range-partitioned; only the smallest value of each cell reaches the driver."""
+    spark = df.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    values = df.where(F.length(f"`{name}`") > 0).groupBy(F.col(f"`{name}`").alias("v")).agg(F.count("*").alias("n"))
+    placed = cut(values.repartitionByRange(tasks, "v").sortWithinPartitions("v").withColumn("part", F.spark_partition_id()))
+    sums = sorted((r["part"], r["n"]) for r in placed.groupBy("part").agg(F.sum("n").alias("n")).collect())  # one row per range partition
+    total, starts = sum(n for _, n in sums), []
+    rest = df.count() - total
+    before = rest  # null and empty ones
+    for part, n in sums:
+        starts.append((part, before))
+        before += n
+    running = F.sum("n").over(Window.partitionBy("part").orderBy("v")) - F.col("n")
+    within = placed.withColumn("before", running).join(F.broadcast(spark.createDataFrame(starts, "part int, start long")), "part")
+    cell = F.expr(f"(before + start) * {1 << bits} div {max(total + rest, 1)}")
+    firsts = within.groupBy(cell.alias("cell")).agg(F.min("v").alias("v")).orderBy("cell").collect()  # 2**bits rows at most
+    out = F.lit(0)
+    for r in firsts:
+        out = F.when(F.col(f"`{name}`") >= F.lit(r["v"]), r["cell"]).otherwise(out)
+    return out.cast("double")
+
+
 def curve_order(df: DataFrame, dims: Sequence[str], bits: int = BITS) -> DataFrame:
     """``df`` with ``hilbert`` (long).  A null, NaN or empty value lies in the lowest cell of its column."""
-    coded = df.withColumns({f"__dim{i}": _number(df, d) for i, d in enumerate(dims)})
+    texts = [_is_text(df, d) for d in dims]
+    coded = df.withColumns({f"__dim{i}": _text_cell(df, d, bits) if text else _number(df, d) for i, (d, text) in enumerate(zip(dims, texts))})
     cuts = coded.agg(*[
         F.percentile_approx(F.when(~F.isnan(f"__dim{i}"), F.col(f"__dim{i}")), [j / (1 << bits) for j in range(1, 1 << bits)], 10_000).alias(f"c{i}")
-        for i in range(len(dims))
-    ]).first()
-    steps = [np.unique(np.array(c or [], float)) for c in cuts]
+        for i in range(len(dims)) if not texts[i]
+    ], F.count("*")).first()
+    steps = [np.arange(1 << bits)[:-1] + 0.5 if text else np.unique(np.array(cuts[f"c{i}"] or [], float)) for i, text in enumerate(texts)]
     names = list(df.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

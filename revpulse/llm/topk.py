@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK, QUERIES = 4096, 512
-LIMIT = 1 << 28  # larger components would overflow the score
+LONG = (1 << 63) - 1
 
 
 def whole_numbers(column: pa.Array, scale: int) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """By length of the vectors: (row numbers, floor(scale * x) as int32).  Vectors that are null, empty, hold null or
-    non-finite components, or exceed LIMIT are left out."""
+    """By length of the vectors: (row numbers, floor(scale * x) as doubles).  Vectors that are null, empty, or hold null or
+    non-finite components are left out."""
     size = np.asarray(pc.fill_null(pc.list_value_length(column), 0), dtype=np.int64)
     flat = pc.fill_null(column.flatten().cast(pa.float64()), float("nan")).to_numpy(zero_copy_only=False)
     first = np.cumsum(size) - size
@@ -34,9 +34,9 @@ def whole_numbers(column: pa.Array, scale: int) -> tuple[np.ndarray, dict[int, t
     with np.errstate(invalid="ignore", over="ignore"):
         for d in np.unique(size[size > 0]):
             rows = np.flatnonzero(size == d)
-            x = np.floor(scale * flat[first[rows][:, None] + np.arange(d)])
-            ok = (np.abs(x) <= LIMIT).all(axis=1)
-            out[int(d)] = rows[ok], x[ok].astype(np.int32)
+            x = np.floor(scale * flat[first[rows][:, None] + np.arange(d)]) + 0.0  # no negative zeros
+            ok = np.isfinite(x).all(axis=1)
+            out[int(d)] = rows[ok], x[ok]
     return out
 
 
@@ -69,11 +69,15 @@ def _pack(most: int, scale: int):
     return run
 
 
+def exactly(x: np.ndarray, kind: type) -> np.ndarray:
+    return np.array([int(v) for v in x.flat], object).reshape(x.shape) if kind is object else x.astype(kind)
+
+
 class Lists:
     """A block's vectors with their order in every dimension."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, kind: type = np.float64):
-        self.ids, self.x = ids, vectors.astype(kind)
+        self.ids, self.x = ids, exactly(vectors, kind)
         self.order = np.argsort(vectors, axis=0, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(self.x, self.order, axis=0)
 
@@ -96,7 +100,7 @@ class Lists:
             new = np.flatnonzero(met & ~seen)
             seen |= met
             new = new[self.ids[new] != own]
-            got = self.x[new] @ q
+            got = np.clip(self.x[new] @ q, -LONG, LONG) if self.x.dtype == object and len(new) else self.x[new] @ q
             good = got >= floor
             scores, ids = np.concatenate([scores, got[good]]), np.concatenate([ids, self.ids[new[good]]])
             if len(scores) > k:
@@ -108,7 +112,7 @@ class Lists:
             if depth >= n:
                 break
             bound = self.sorted[n - 1 - depth, up] @ q[up] + self.sorted[depth, down] @ q[down]
-            if bound < floor:
+            if min(bound, LONG) < floor:
                 break
         best = np.lexsort((ids, -scores))
         return scores[best], ids[best]
@@ -135,13 +139,13 @@ def _search(k: int):
         for batch in batches:
             for r in range(batch.num_rows):
                 d = batch["dim"][r].as_py()
-                raw = {c: np.frombuffer(batch[c][r].as_buffer(), t) for c, t in (("q_ids", np.int64), ("q_vectors", np.int32), ("ids", np.int64), ("vectors", np.int32))}
+                raw = {c: np.frombuffer(batch[c][r].as_buffer(), t) for c, t in (("q_ids", np.int64), ("q_vectors", np.float64), ("ids", np.int64), ("vectors", np.float64))}
                 q, x = raw["q_vectors"].reshape(-1, d), raw["vectors"].reshape(-1, d)
                 uid = (batch["q_uid"][r].as_py(), d, len(q))
                 if kept_of != uid or not np.array_equal(kept["ids"], raw["q_ids"]):
                     if kept_of is not None:
                         yield give()
-                    key = (q.astype(np.uint64) * (np.arange(d, dtype=np.uint64) * np.uint64(2) + np.uint64(0x9E3779B97F4A7C15))).sum(axis=1).view(np.int64)
+                    key = (q.view(np.uint64) * (np.arange(d, dtype=np.uint64) * np.uint64(2) + np.uint64(0x9E3779B97F4A7C15))).sum(axis=1).view(np.int64)
                     kept = {"ids": raw["q_ids"].copy(), "key": key, "scores": [np.zeros(0, np.int64)] * len(q), "found": [np.zeros(0, np.int64)] * len(q)}
                     kept_of = uid
                 kind = _exact(x, q)
@@ -149,8 +153,8 @@ def _search(k: int):
                     lists, lists_of = Lists(raw["ids"].copy(), x, kind), (kind, batch["ids"][r])
                 for i in range(len(q)):
                     have = kept["scores"][i]
-                    weights = q[i].astype(lists.x.dtype)
-                    s, v = lists.top(int(raw["q_ids"][i]), weights, k, float(have[-1]) if len(have) >= k else -np.inf)
+                    weights = exactly(q[i], kind)
+                    s, v = lists.top(int(raw["q_ids"][i]), weights, k, int(have[-1]) if len(have) >= k else -np.inf)
                     s, v = np.concatenate([have, s.astype(np.int64)]), np.concatenate([kept["found"][i], v])
                     best = np.lexsort((v, -s))[:k]
                     kept["scores"][i], kept["found"][i] = s[best], v[best]
@@ -164,8 +168,8 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 20, scale: int = 64)
 
     Both tables have vec_id and embedding; components count as floor(scale * x).  A row is not a result of
     a query with its own vec_id.  Ties go to the smaller vec_id.  Rows with a null vec_id, and vectors that are null,
-    empty, or hold null, non-finite or huge components (over 2**28 after scaling) take no part; vectors meet those of the same
-    length only.  Repeated query rows are one query; repeated vectors are results each.  Other columns are ignored.
+    empty, or hold null or non-finite components (or such that ``scale`` times them is not finite) take no part; a score beyond
+    a long counts as the largest or smallest long.  Vectors meet those of the same length only.  Repeated query rows are one query; repeated vectors are results each.  Other columns are ignored.
     """
     def packed(df: DataFrame, most: int) -> tuple[DataFrame, int]:
         df = df.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")

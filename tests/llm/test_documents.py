@@ -377,6 +377,18 @@ def test_hilbert_cells_are_neighbours():
         assert (np.abs(np.diff(cells[np.argsort(at)], axis=0)).sum(axis=1) == 1).all()
 
 
+def test_text_dimensions_by_rank(spark):
+    """Values that begin alike still fall into cells of their own; a cell is the share of rows with a smaller value."""
+    values = [f"https://site{i % 16:02d}.org" for i in range(320)] + [None, "", "zz"]
+    got = sharding.curve_order(spark.createDataFrame([(v,) for v in values], "source string").repartition(3), ["source"]).collect()
+    rest = [v or "" for v in values]
+    for r in got:
+        assert r["hilbert"] == sum(v < (r["source"] or "") for v in rest) * 32 // len(rest)
+    assert len({r["hilbert"] for r in got if (r["source"] or "").startswith("http")}) == 16
+    few = sharding.curve_order(spark.createDataFrame([(None,), ("",)], "source string"), ["source"]).collect()
+    assert {r["hilbert"] for r in few} == {0}
+
+
 @pytest.mark.parametrize("rows", [0, 5, 63])
 def test_shards(corpus, frame, rows):
     data = (corpus + [(None, None), corpus[3], corpus[3]])[:rows] if rows < 60 else corpus + [(None, None), corpus[3], corpus[3]]
@@ -401,6 +413,17 @@ def test_shard_files_prune(spark, frame, tmp_path):
     assert len(spans) == 8 and sum(r[2] - r[1] for r in spans) < 0.7 * 8 * 400
 
 
+def test_training_reads_whole_texts(spark, frame, monkeypatch):
+    """A card after 30,000 other tokens is counted, and documents without any digit use up no place of the sample."""
+    rows = [(i, "no such thing") for i in range(200)] + [(1000, "7 x " * 30_000 + "4111 1111 1111 1111")]
+    told = {}
+    monkeypatch.setattr(pii.Model, "fit", lambda self, x, y, times, chain, skip: told.update(y=y, times=times, chain=chain, skip=skip) or self)
+    pii.train(frame(rows), train_docs=1)
+    card = pii.KINDS.index("card") + 1
+    assert told["times"][told["y"] == card].sum() == 4 and told["times"][told["y"] == 0].sum() == 30_000
+    assert told["chain"][card, card] == 3 and told["skip"].sum() == 29_999 + 2
+
+
 # --- the pipeline --------------------------------------------------------------------------------------------
 
 def test_pipeline_stage_by_stage(spark):

@@ -15,14 +15,14 @@ def brute(rows, queries, k):
     def whole(v):
         if not v or any(x is None or not math.isfinite(x) for x in v):
             return None
-        return [math.floor(64 * x) for x in v]
+        return [64 * int(x) if abs(x) > 2 ** 53 else math.floor(64 * x) for x in v]
 
     out = set()
     for i, v in {(i, tuple(v) if v is not None else None) for i, v in queries}:
         q = whole(v)
         if i is None or q is None:
             continue
-        scored = sorted((-sum(a * b for a, b in zip(q, w)), j) for j, u in rows if j is not None and j != i and (w := whole(u)) and len(w) == len(q))
+        scored = sorted((-min(max(sum(a * b for a, b in zip(q, w)), -topk.LONG), topk.LONG), j) for j, u in rows if j is not None and j != i and (w := whole(u)) and len(w) == len(q))
         out |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(scored[:k])}
     return out
 
@@ -48,7 +48,14 @@ def test_search(spark, monkeypatch, block):
 
 def test_few_and_none(spark):
     assert found(spark, [], [], 20) == []
-    got = [tuple(r) for r in found(spark, [(1, [1.0]), (2, [2.0]), (2, [2.0]), (3, [1e30])], [(1, [1.0]), (2, [2.0])], 20)]
+    got = [tuple(r) for r in found(spark, [(1, [1.0]), (2, [2.0]), (2, [2.0]), (3, [math.nan])], [(1, [1.0]), (2, [2.0])], 20)]
     assert sorted(got) == [(1, 1, 2, 8192), (1, 2, 2, 8192), (2, 1, 1, 8192)]
     large = [(i, [2.0e6 + i, -1.0e6]) for i in range(30)]  # beyond single precision
     assert {tuple(r) for r in found(spark, large, large[:3], 5)} == brute(large, large[:3], 5)
+
+
+@pytest.mark.parametrize("most", [5.0e6, 4.0e9, 3.0e38])
+def test_huge_components_take_part(spark, most):
+    rng = random.Random(3)
+    rows = [(i, [float(np.float32(rng.uniform(-most, most) if rng.random() < .4 else rng.gauss(0, 1))) for _ in range(6)]) for i in range(80)]
+    assert {tuple(r) for r in found(spark, rows, rows[:20], 7)} == brute(rows, rows[:20], 7)
