@@ -454,6 +454,49 @@ def test_pipeline_stage_by_stage(spark):
     assert {i: r["ids"] for i, r in fifth.items()} == {i: theirs.encode(r.text, add_special_tokens=False).ids for i, r in fourth.items()}
 
 
+def stage(name):
+    import corpus_pipeline
+    return next(f for n, f in corpus_pipeline.STAGES if name in n)
+
+
+@pytest.mark.parametrize("top", [100, (1 << 63) - 1])
+def test_one_copy_stays_whatever_its_id(spark, frame, top):
+    words_ = [f"w{i}" for i in range(60)]
+    text, near, other = " ".join(words_), " ".join(words_[:-1] + ["x"]), " ".join(reversed(words_))
+    rows = [(7, text), (7, text), (8, text), (None, text), (None, text), (5, near), (9, other), (9, other), (None, other + " end"), (None, None), (None, None), (None, ""), (3, ""), (7, "a text of its own here"), (top, "last")]
+    docs = frame(rows)
+    left = stage("near-dedup")(spark, docs, "none")
+    assert left.columns == docs.columns
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in left.collect())
+    kept = [(i, t) for i, t in {(r[1], r[2]) for r in got if not r[0]}]
+    assert sorted(kept) == sorted([(5, near), (9, other), (3, ""), (7, "a text of its own here"), (top, "last")])
+    assert [t for null, _, t in got if null] == ["", ""]  # the null text and the empty one are linked with nothing
+
+
+def test_only_null_ids_and_no_rows(spark, frame):
+    text = " ".join(f"w{i}" for i in range(40))
+    left = stage("near-dedup")(spark, frame([(None, text), (None, text), (None, text + " more")]), "none").collect()
+    assert len(left) == 1
+    assert stage("near-dedup")(spark, frame([(1, "x")]).limit(0), "none").collect() == []
+
+
+def test_stages_on_odd_tables(spark, frame, tmp_path):
+    """Null ids and texts, repeats, extra columns with clashing names, and no rows at all, through every stage in turn."""
+    folder = str(tmp_path)
+    frame([]).limit(0).select(F.col("doc_id").alias("item_id"), "text").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    import corpus_pipeline
+    long = " ".join(f"word{i}" for i in range(3000)) + " mail me@site.org"
+    for rows in ([], [(1, None), (1, None), (None, ""), (2, long), (2, long), (None, long), (3, "short")]):
+        docs = frame(rows) if rows else frame([(1, "x")]).limit(0)
+        for name, run in corpus_pipeline.STAGES:
+            out = run(spark, docs, folder)
+            if not name.startswith("BPE"):
+                assert out.columns == docs.columns
+            docs = spark.createDataFrame(out.toPandas(), out.schema)
+        assert docs.count() == (4 if rows else 0)  # of the five rows without a text of five words, and the long ones, one each
+
+
 def test_digests(spark, corpus, frame):
     """What the queries derive from the operators' outputs."""
     from conftest import SF
