@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from revpulse.llm import bpe, decontaminate, minhash, pii, quality
 from revpulse.llm.components import cut
+from revpulse.llm.sharding import with_rank
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,9 +21,29 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near-duplicates (five-word shingles, 0.8)."""
-    gone = minhash.near_duplicates(docs, percent=80, bands=28).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of every group of near-duplicates (five-word shingles, 0.8): the one with the smallest id.
+
+    Rows whose id is null or not theirs alone are told apart by their texts: of equal rows one stays, and each other one takes a number
+    beyond all ids, so it is linked like any document and stays only if no document with an id of its own is in its group.
+    """
+    shared = cut(docs.groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1 or doc_id is null").select(F.col("doc_id").alias("__shared")))
+    if shared.isEmpty():
+        return _without_copies(docs, "doc_id")
+    same = F.col("doc_id").eqNullSafe(F.col("__shared"))
+    own = docs.join(shared, same, "left_anti").withColumn("__node", F.col("doc_id").cast("long"))
+    low, high = own.agg(F.min("__node"), F.max("__node")).first()
+    single = docs.join(shared, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    others, n = with_rank(single.select(F.struct(*docs.columns).alias("__row"), F.isnull("doc_id").alias("__none"), F.col("doc_id").alias("__id"), F.col("text").alias("__text")),
+                          ["__none", "__id", "__text"])
+    start = 0 if high is None else high + 1 if high < (1 << 62) else low - n
+    numbered = others.select("__row.*", (F.col("rank") + F.lit(start)).alias("__node"))
+    return _without_copies(own.unionByName(numbered), "__node").select(*docs.columns)
+
+
+def _without_copies(docs: DataFrame, node: str) -> DataFrame:
+    found = minhash.near_duplicates(docs.select(F.col(node).alias("doc_id"), "text"), percent=80, bands=28)
+    gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col(node) == F.col("__gone"), "left_anti").select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
