@@ -75,12 +75,12 @@ def _climb(nodes: DataFrame, most: int, fanout: int) -> tuple[list[DataFrame], i
     return tables, width
 
 
-def _descend(tables: list[DataFrame], width: int, above: DataFrame) -> DataFrame:
+def _descend(tables: list[DataFrame], width: int, above: DataFrame | None = None) -> DataFrame:
     """(tree, n, at, node, own, path, *columns of ``above``) of the leaves; ``above`` has tree, path and more per tree."""
-    more = [c for c in above.columns if c not in ("tree", "path")]
+    more = [c for c in above.columns if c not in ("tree", "path")] if above is not None else []
     down, keys = above, ["tree"]
     for table in reversed(tables):
-        met = table.join(down, keys)
+        met = table.withColumn("path", F.array().cast(_PATH)) if down is None else table.join(down, keys)
         met = met.select("tree", "n", "at", F.col("path").alias("upper"), *more, F.explode("children").alias("child"))
         down = met.select("tree", "n", (F.col("at") * width + F.col("child.slot")).alias("at"), F.col("child.node").alias("node"), F.col("child.own").alias("own"),
                           F.concat("child.path", "upper").alias("path"), *more)
@@ -126,7 +126,6 @@ def manifest(docs: DataFrame, group: str = "lang", order: str = "doc_id", fields
     placed, _ = with_rank(tables[-1].select("tree", "node"), ["tree"])
     tops, top_width = _climb(placed.select(F.lit(0).cast("long").alias("tree"), F.lit(many).cast("long").alias("n"), F.col("rank").alias("at"), "node", F.struct("tree").alias("own")), many, fanout)
     root = tops[-1].first()["node"]
-    start = spark.range(1).select(F.lit(0).cast("long").alias("tree"), F.array().cast(_PATH).alias("path"))
-    above = _descend(tops, top_width, start).select(F.col("own.tree").alias("tree"), "path", F.col("node").alias("subroot"))
+    above = _descend(tops, top_width).select(F.col("own.tree").alias("tree"), "path", F.col("node").alias("subroot"))
     return _descend(tables, width, above).select(
         F.col("own.id").alias(order), F.col("node").alias("leaf"), "subroot", F.lit(root).alias("root"), "path", F.col("own.claimed").alias("claimed"))
