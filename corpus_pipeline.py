@@ -31,12 +31,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         return _without_copies(docs, "doc_id")
     same = F.col("doc_id").eqNullSafe(F.col("__shared"))
     own = docs.join(shared, same, "left_anti").withColumn("__node", F.col("doc_id").cast("long"))
-    low, high = own.agg(F.min("__node"), F.max("__node")).first()
-    single = docs.join(shared, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    others, n = with_rank(single.select(F.struct(*docs.columns).alias("__row"), F.isnull("doc_id").alias("__none"), F.col("doc_id").alias("__id"), F.col("text").alias("__text")),
-                          ["__none", "__id", "__text"])
-    start = 0 if high is None else high + 1 if high < (1 << 62) else low - n
-    numbered = others.select("__row.*", (F.col("rank") + F.lit(start)).alias("__node"))
+    others = docs.join(shared, same, "left_semi").dropDuplicates(["doc_id", "text"]).withColumn("__node", F.lit(None).cast("long"))
+    high = own.agg(F.max("__node")).first()[0]
+    if high is not None and high >= 1 << 62:  # no room beyond: all are numbered
+        own, others, high = own.limit(0), own.unionByName(others), None
+    row = F.struct(*docs.columns).alias("__row")
+    placed, _ = with_rank(others.select(row, F.isnull("__node").alias("__late"), F.isnull("doc_id").alias("__none"), F.col("doc_id").alias("__id"), F.col("text").alias("__text")),
+                          ["__late", "__none", "__id", "__text"])
+    numbered = placed.select("__row.*", (F.col("rank") + F.lit(0 if high is None else max(high, 0) + 1)).alias("__node"))
     return _without_copies(own.unionByName(numbered), "__node").select(*docs.columns)
 
 
