@@ -153,6 +153,13 @@ def config_audit(versions: DataFrame) -> DataFrame:
     )
 
 
+def config_audit_from(changes: DataFrame) -> DataFrame:
+    """The same rows from the change feed of a stored table (key, value, updated_at): its updates, less those that repeat a value."""
+    return changes.where((F.col("kind") == "update") & ~F.col("before.value").eqNullSafe(F.col("after.value"))).select(
+        "key", F.col("before.value").alias("old_value"), F.col("after.value").alias("new_value"), F.col("after.updated_at").alias("changed_at")
+    )
+
+
 def current_config(versions: DataFrame) -> DataFrame:
     """The value in force per key."""
     return versions.groupBy("key").agg(

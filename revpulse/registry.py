@@ -172,50 +172,48 @@ def insert_if_absent(v):
 
 
 def _stored(v, rows, keys, time):
-    path = warehouse.fresh_path(v.spark, "keyed")
-    keyed.insert_table(path, keyed.held(rows), keys, time=time)
-    return path
+    table = keyed.StoredTable(v.spark, warehouse.fresh_path(v.spark, "keyed"), keys, time=time)
+    table.insert(keyed.held(rows))
+    return table
 
 
 @query
 def upsert_table(v):
-    """As ``upsert``, on a stored table of which only the touched days are read and written."""
+    """As ``upsert``, on a stored table of which only the touched days are read."""
     older, newer = _halves(v, v.revenue_metrics, "window_start")
-    keys = ["window_start", "window_end", "category", "region"]
-    path = _stored(v, older, keys, "window_start")
+    table = _stored(v, older, ["window_start", "window_end", "category", "region"], "window_start")
     changed = keyed.held(newer.withColumn("order_count", F.col("order_count") + 1))
-    keyed.upsert_table(path, changed, keys, ["order_count", "total_revenue", "avg_order_value"], time="window_start", newest=[])
-    return v.spark.read.parquet(path).drop(keyed.DAY)
+    table.upsert(changed, ["order_count", "total_revenue", "avg_order_value"])
+    return table.read()
 
 
 @query
 def upsert_partial_table(v):
     older, newer = _halves(v, v.feature_store, "computed_at")
     keys = ["computed_at", "category", "region"]
-    path = _stored(v, older, keys, "computed_at")
+    table = _stored(v, older, keys, "computed_at")
     part = keyed.held(newer.select(*keys, (F.col("revenue_last_5m") * 2).alias("revenue_last_5m"), "orders_last_5m"))
-    keyed.upsert_table(path, part, keys, ["revenue_last_5m", "orders_last_5m"], time="computed_at", newest=[],
-                       defaults={c: 0 for c in (*windows.FEATURE_COLUMNS, "revenue_trend_pct")})
-    return v.spark.read.parquet(path).drop(keyed.DAY)
+    table.upsert(part, ["revenue_last_5m", "orders_last_5m"], defaults={c: 0 for c in (*windows.FEATURE_COLUMNS, "revenue_trend_pct")})
+    return table.read()
 
 
 @query
 def insert_table(v):
     older, newer = _halves(v, v.anomalies, "window_start")
-    path = _stored(v, older, detect.WINDOW_KEY, "window_start")
-    keyed.insert_table(path, keyed.held(newer), detect.WINDOW_KEY, time="window_start")
-    return v.spark.read.parquet(path).drop(keyed.DAY)
+    table = _stored(v, older, detect.WINDOW_KEY, "window_start")
+    table.insert(keyed.held(newer))
+    return table.read()
 
 
 @query
 def archive_table(v):
-    """As ``archive_events``, on stored tables: appended to the archive, removed from the table."""
-    path, archive = _stored(v, v.order_events, ["event_id"], "event_timestamp"), warehouse.fresh_path(v.spark, "archive")
+    """As ``archive_events``, on stored tables: put into the archive, removed from the table."""
+    table = _stored(v, v.order_events, ["event_id"], "event_timestamp")
+    archive = keyed.StoredTable(v.spark, warehouse.fresh_path(v.spark, "archive"), ["event_id"], time="event_timestamp")
     cutoff = v.as_of.select((F.col(v.as_of.columns[0]) - F.expr("INTERVAL 12 DAYS")).cast("string")).first()[0]
-    keyed.move_older(v.spark, path, archive, "event_timestamp", cutoff)
-    moved = keyed.read_keyed(v.spark, archive)
-    kept = v.spark.read.parquet(path).drop(keyed.DAY)
-    return _sides(["kept", "archived"], (kept, kept.limit(0) if moved is None else moved.drop(keyed.DAY)), ["event_id", "event_timestamp"])
+    table.move_older(cutoff, archive)
+    kept, moved = table.read(), archive.read()
+    return _sides(["kept", "archived"], (kept, kept.limit(0) if moved is None else moved), ["event_id", "event_timestamp"])
 
 
 @query

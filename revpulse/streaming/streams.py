@@ -1,18 +1,21 @@
 """The streaming queries and their sinks.
 
-Events and dead letters go to batch-numbered folders (see ``write_batch``): a replayed micro-batch replaces its own output.
-Metric windows and features are keyed tables in day folders (``sources.keyed``): a batch reads and writes the days it touches, however
-long the stream has run, and writing it again changes nothing.  Errors are not swallowed; a failed
-batch stops its query and is replayed on restart.
+Orders, metric windows, features, anomalies and alerts are stored tables (``sources.keyed``): a micro-batch adds a piece and a version, and
+writing it again changes nothing.  Rejected messages go to batch-numbered folders, which a replayed batch replaces.  Errors are not
+swallowed; a failed batch stops its query and is replayed on restart.  An empty batch writes nothing.
 
 A sink runs the micro-batch exactly once: as one write, or held in the checkpoint folder for several steps.
+
+The deduplication forgets an id when the watermark has passed it.  An index of all ids, a fixed number of buckets, tells the orders'
+sink which accepted events are such late repeats: the newer row replaces the older one, and what the older one added to its metric
+window is kept as a correction, so orders, metrics and features agree.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import time
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -20,11 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from revpulse import schemas
+from revpulse.functions.money import cents, from_cents, mean_of_cents
+from revpulse.operators.baseline import engineer_features
+from revpulse.operators.detect import WINDOW_KEY, as_anomalies, critical_alerts, rule_anomalies, score_windows
 from revpulse.operators.ingest import dedup_events, route_dead_letters, validate_events, with_event_time
 from revpulse.operators.windows import KEY, features_from_windows, revenue_metrics
-from revpulse.sources.keyed import DAY, held, move_older, upsert_table
+from revpulse.sources.keyed import StoredTable, held
 from revpulse.sources.orders import POSITION, parse_order_events, read_order_stream
-from revpulse.sources.warehouse import read_latest, with_month, write_batch
+from revpulse.sources.warehouse import write_batch
 
 METRIC_KEYS = ["window_start", "window_end", *KEY]
 FEATURE_KEYS = ["computed_at", *KEY]
@@ -44,10 +50,64 @@ def _start(frame: DataFrame, sink, mode: str, name: str, checkpoint_dir: str, tr
     )
 
 
+def orders_table(spark: SparkSession, sink_dir: str) -> StoredTable:
+    return StoredTable(spark, f"{sink_dir}/order_events", ["event_id"], time="event_timestamp", most_pieces=24)
+
+
+def ids_table(spark: SparkSession, sink_dir: str) -> StoredTable:
+    return StoredTable(spark, f"{sink_dir}/order_ids", ["event_id"])
+
+
+def metrics_table(spark: SparkSession, sink_dir: str) -> StoredTable:
+    return StoredTable(spark, f"{sink_dir}/revenue_metrics", METRIC_KEYS, time="window_start", most_pieces=16)
+
+
+def corrections_table(spark: SparkSession, sink_dir: str) -> StoredTable:
+    return StoredTable(spark, f"{sink_dir}/metric_corrections", ["event_id", "window_start"], time="window_start")
+
+
+def features_table(spark: SparkSession, sink_dir: str) -> StoredTable:
+    return StoredTable(spark, f"{sink_dir}/feature_store", FEATURE_KEYS, time="computed_at", most_pieces=16)
+
+
+def anomalies_table(spark: SparkSession, sink_dir: str) -> StoredTable:
+    return StoredTable(spark, f"{sink_dir}/anomalies", WINDOW_KEY, time="window_start")
+
+
+def alerts_table(spark: SparkSession, sink_dir: str) -> StoredTable:
+    return StoredTable(spark, f"{sink_dir}/alerts", ["anomaly_id"], time="detected_at")
+
+
+def accept_orders(batch: DataFrame, sink_dir: str, batch_id: int, writer: str = "order_events") -> int:
+    """Stores one (held) batch of accepted events; returns how many of them replaced an earlier event of their id.
+
+    The commits, in this order, are the id index, the orders, the corrections and the features.  Each remembers the batch, and
+    what the later ones need is read from the index's change feed, so a replay after a crash between any two ends in the same tables.
+    """
+    spark, once = batch.sparkSession, (writer, batch_id)
+    ids, orders = ids_table(spark, sink_dir), orders_table(spark, sink_dir)
+    ids.upsert(batch.select("event_id", "event_timestamp", *KEY, "order_id", "total_amount"), once=once, feed=True)
+    commit = ids.commit_of(once)
+    if commit is None or not commit.updates:
+        orders.put(batch, once=once)
+        return 0
+    replaced = held(ids.changes_of([commit]).where("kind = 'update'").select("before.*", F.col("after.event_timestamp").alias("now")))
+    elsewhere = replaced.where(F.to_date("event_timestamp") != F.to_date("now")).select("event_id", "event_timestamp", F.lit(True).alias("__gone"))
+    orders.put(batch.withColumn("__gone", F.lit(False)).unionByName(elsewhere, allowMissingColumns=True), once=once)
+    frame = F.window("event_timestamp", "5 minutes")
+    lost = held(replaced.select("event_id", frame["start"].alias("window_start"), frame["end"].alias("window_end"), *KEY,
+                                F.when(F.col("order_id").isNotNull(), 1).otherwise(0).cast("long").alias("orders"), cents("total_amount").alias("cents")))
+    corrections_table(spark, sink_dir).upsert(lost, once=once)
+    refresh_features(lost, sink_dir)
+    return commit.updates
+
+
 def start_order_events(events: DataFrame, sink_dir: str, checkpoint_dir: str, trigger: dict) -> StreamingQuery:
-    """Appends clean events by month."""
+    """Keeps clean events, one row per id: the one accepted last."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        write_batch(with_month(batch.withColumn("ingested_at", F.current_timestamp())), f"{sink_dir}/order_events", batch_id, ["event_month"])
+        rows = held(batch.withColumn("ingested_at", F.current_timestamp()))
+        if not rows.isEmpty():
+            accept_orders(rows, sink_dir, batch_id)
 
     return _start(events, sink, "append", "order_events", checkpoint_dir, trigger)
 
@@ -55,7 +115,9 @@ def start_order_events(events: DataFrame, sink_dir: str, checkpoint_dir: str, tr
 def start_dead_letters(dead: DataFrame, sink_dir: str, checkpoint_dir: str, trigger: dict) -> StreamingQuery:
     """Keeps rejected messages.  Stateless, so it never waits for a watermark."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, f"{sink_dir}/dlq_events", batch_id)
+        rows = held(batch)
+        if not rows.isEmpty():
+            write_batch(rows, f"{sink_dir}/dlq_events", batch_id)
 
     return _start(dead, sink, "append", "dlq_events", checkpoint_dir, trigger)
 
@@ -65,53 +127,79 @@ def refresh_features(changed: DataFrame, sink_dir: str) -> None:
 
     A changed window affects the feature rows of the following hour.  They are recomputed
     from the metric table, so no sliding-window state is kept and no event is copied into
-    twelve windows.
+    twelve windows.  If another sink refreshes the same days meanwhile, they are computed again from what is stored then.
     """
+    spark = changed.sparkSession
     low, high = changed.agg(F.min("window_end"), F.max("window_end")).first()
     if low is None:
         return
-    last = high + _HOUR - _STEP
-    day = F.col(DAY).cast("string")
-    metrics = current_metrics(changed.sparkSession, sink_dir, keep_day=True).where(
-        (day >= str(low - 2 * _HOUR)[:10]) & (day <= str(last)[:10])
-    ).where((F.col("window_end") > F.lit(low - _HOUR)) & (F.col("window_end") <= F.lit(last))).drop(DAY).join(changed.select(*KEY).distinct(), KEY, "left_semi")
+    first, last = low - _HOUR - _STEP, high + _HOUR - _STEP
     touched = changed.select(
         F.explode(F.sequence("window_end", F.col("window_end") + F.expr("INTERVAL 55 MINUTES"), F.expr("INTERVAL 5 MINUTES")))
         .alias("computed_at"), *KEY,
     ).distinct()
-    rows = features_from_windows(metrics).join(touched, FEATURE_KEYS, "left_semi")
-    _store(held(rows), f"{sink_dir}/feature_store", FEATURE_KEYS, "computed_at")
+    table = features_table(spark, sink_dir)
 
+    def attempt(base):
+        metrics = current_metrics(spark, sink_dir, lambda day: str(first)[:10] <= day <= str(last)[:10])
+        metrics = metrics.where((F.col("window_end") > F.lit(low - _HOUR)) & (F.col("window_end") <= F.lit(last))).join(changed.select(*KEY).distinct(), KEY, "left_semi")
+        fresh = features_from_windows(metrics).withColumn("__gone", F.lit(False))
+        rows = touched.join(fresh, FEATURE_KEYS, "left").withColumn("__gone", F.col("__gone").isNull())  # no window is left below a row that goes
+        return table.put(rows.select(*fresh.columns), base=base)
 
-def _store(batch: DataFrame, path: str, keys: list[str], time: str) -> None:
-    upsert_table(path, batch, keys, [c for c in batch.columns if c not in keys], time=time, newest=[])
+    table.retry(attempt)
 
 
 def start_revenue_metrics(
     events: DataFrame, sink_dir: str, checkpoint_dir: str, trigger: dict, feature_hours: int | None = None, purge_every: int = 10,
 ) -> StreamingQuery:
-    """Upserts changed 5-minute windows and the feature rows that depend on them; only the days they lie in are read and written.
+    """Stores changed 5-minute windows and the feature rows that depend on them; only the days they lie in are read.
 
     With ``feature_hours`` every ``purge_every`` batches remove feature rows that much older than the newest.
     """
     def sink(batch: DataFrame, batch_id: int) -> None:
         changed = held(batch)  # the stateful plan runs once
-        _store(changed, f"{sink_dir}/revenue_metrics", METRIC_KEYS, "window_start")
-        refresh_features(changed, sink_dir)
+        if not changed.isEmpty():
+            metrics_table(batch.sparkSession, sink_dir).put(changed, once=("revenue_metrics", batch_id))
+            refresh_features(changed, sink_dir)
         if feature_hours is not None and batch_id % purge_every == purge_every - 1:
-            newest = changed.agg(F.max("window_end")).first()[0]
+            table = features_table(batch.sparkSession, sink_dir)
+            newest = metrics_table(batch.sparkSession, sink_dir).stats()["newest"]
             if newest is not None:
-                move_older(batch.sparkSession, f"{sink_dir}/feature_store", None, "computed_at", str(newest - dt.timedelta(hours=feature_hours)))
+                table.move_older(str(dt.datetime.fromisoformat(newest) + _STEP - dt.timedelta(hours=feature_hours)))
 
     return _start(revenue_metrics(events), sink, "update", "revenue_metrics", checkpoint_dir, trigger)
 
 
+def grade_windows(closed: DataFrame, sink_dir: str, batch_id: int, model=None, writer: str = "detection") -> None:
+    """Grades one (held) batch of closed windows; what is found goes by key into the stored anomalies, critical ones into the alerts."""
+    spark, once = closed.sparkSession, (writer, batch_id)
+    wide = engineer_features(closed)
+    found = held(as_anomalies(rule_anomalies(wide) if model is None else score_windows(model, wide)))
+    anomalies_table(spark, sink_dir).insert(found, once=once)
+    alerts_table(spark, sink_dir).insert(critical_alerts(found), once=once)
+
+
+def start_detection(events: DataFrame, sink_dir: str, checkpoint_dir: str, trigger: dict, model=None) -> StreamingQuery:
+    """Grades each window once, when the watermark has closed it; a window still filling is not in the output of this query."""
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        closed = held(batch)
+        if not closed.isEmpty():
+            grade_windows(closed, sink_dir, batch_id, model)
+
+    return _start(revenue_metrics(events), sink, "append", "detection", checkpoint_dir, trigger)
+
+
 def run_streams(
     spark: SparkSession, source, sink_dir: str, checkpoint_dir: str, trigger: dict | None = None, *,
     starting: str = "earliest", max_per_trigger: int = 10000, delay: str = "2 minutes",
+    feature_hours: int | None = None, purge_every: int = 10, detection: bool = False, model=None,
 ) -> list[StreamingQuery]:
     """Starts all queries on one source and returns them, each with its own checkpoint.
 
+    ``feature_hours`` and ``purge_every`` set how long and how often old features are purged, see :func:`start_revenue_metrics`; with
+    ``detection`` closed windows are graded, by rules or by ``model``.
+
     ``trigger`` is ``{"availableNow": True}`` to drain the source and stop, or for example
     ``{"processingTime": "10 seconds"}``.  Malformed messages are routed aside before the
     watermark: their event time is null, and null times never expire.
@@ -125,11 +213,14 @@ def run_streams(
 
     good, dead = checked()
     events = clean_events(good, delay)
-    return [
+    queries = [
         start_order_events(events, sink_dir, checkpoint_dir, trigger),
-        start_revenue_metrics(events, sink_dir, checkpoint_dir, trigger),
+        start_revenue_metrics(events, sink_dir, checkpoint_dir, trigger, feature_hours, purge_every),
         start_dead_letters(dead, sink_dir, checkpoint_dir, trigger),
     ]
+    if detection:
+        queries.append(start_detection(events, sink_dir, checkpoint_dir, trigger, model))
+    return queries
 
 
 def await_streams(queries: Iterable[StreamingQuery], poll: float = 1.0) -> None:
@@ -148,19 +239,40 @@ def await_streams(queries: Iterable[StreamingQuery], poll: float = 1.0) -> None:
                 waiting.remove(q)
 
 
-def current_metrics(spark: SparkSession, sink_dir: str, keep_day: bool = False) -> DataFrame:
-    rows = spark.read.parquet(f"{sink_dir}/revenue_metrics")
-    return rows if keep_day else rows.drop(DAY)
+def _stored(table: StoredTable, schema, parts=None) -> DataFrame:
+    rows = table.read(parts)
+    return table.spark.createDataFrame([], schema) if rows is None else rows
+
+
+def current_metrics(spark: SparkSession, sink_dir: str, days: Callable[[str], bool] | None = None) -> DataFrame:
+    """Metric windows without what replaced events had added to them; only the days asked for are read."""
+    rows = _stored(metrics_table(spark, sink_dir), schemas.REVENUE_METRICS, days)
+    lost = corrections_table(spark, sink_dir).read(days)
+    if lost is None:
+        return rows
+    lost = lost.groupBy(*METRIC_KEYS).agg(F.sum("orders").alias("__orders"), F.sum("cents").alias("__cents"))
+    orders = F.col("order_count") - F.coalesce("__orders", F.lit(0))
+    total = cents("total_revenue") - F.coalesce("__cents", F.lit(0))
+    return rows.join(lost, METRIC_KEYS, "left").withColumns({"__left": orders, "__total": total}).where("__left > 0").select(
+        *METRIC_KEYS, F.col("__left").alias("order_count"), from_cents("__total").alias("total_revenue"),
+        mean_of_cents(F.col("__total"), F.col("__left")).alias("avg_order_value"))
 
 
 def current_features(spark: SparkSession, sink_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sink_dir}/feature_store").drop(DAY)
+    return _stored(features_table(spark, sink_dir), schemas.FEATURE_STORE)
 
 
 def current_orders(spark: SparkSession, sink_dir: str) -> DataFrame:
-    """Accepted events.  Repeats that came after the watermark are taken out here; the last
-    write of an event id wins."""
-    return read_latest(spark, f"{sink_dir}/order_events", ["event_id"]).drop("event_month")
+    """Accepted events, one per id."""
+    return _stored(orders_table(spark, sink_dir), schemas.ORDER_EVENTS)
+
+
+def current_anomalies(spark: SparkSession, sink_dir: str) -> DataFrame:
+    return _stored(anomalies_table(spark, sink_dir), schemas.ANOMALIES)
+
+
+def current_alerts(spark: SparkSession, sink_dir: str) -> DataFrame:
+    return _stored(alerts_table(spark, sink_dir), "anomaly_id string, detected_at timestamp, text string")
 
 
 class BatchLog(StreamingQueryListener):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from revpulse.operators.telemetry import consecutive_failures
 from revpulse.operators.windows import feature_store, revenue_metrics
+from revpulse.sources.keyed import StoredTable
 from revpulse.streaming import streams
 
 DRAIN = {"availableNow": True}
@@ -99,7 +100,87 @@ def test_repeat_after_the_watermark_is_counted_once_in_the_table(spark, base):
     feed.add(message(3, stamp(61)))
     feed.add(message(1, stamp(62)))  # the dedup state has expired
     run(spark, base)
-    assert streams.current_orders(spark, str(base / "out")).count() == 3
+    out = str(base / "out")
+    orders = streams.current_orders(spark, out)
+    assert orders.count() == 3 and orders.where("event_id = 'e1'").first().event_timestamp.hour == 1
+    agree(spark, out)
+    assert streams.current_metrics(spark, out).agg(F.sum("order_count")).first()[0] == 3
+
+
+METRIC = ["window_start", "window_end", "category", "region", "order_count", "total_revenue", "avg_order_value"]
+
+
+def agree(spark, out):
+    """Metrics and features are those of the accepted orders."""
+    accepted = streams.current_orders(spark, out)
+    assert rows(streams.current_metrics(spark, out), *METRIC) == rows(revenue_metrics(accepted), *METRIC)
+    features = feature_store(accepted)
+    assert rows(streams.current_features(spark, out), *features.columns) == rows(features, *features.columns)
+
+
+def test_late_repeats_move_between_windows_and_days(spark, base):
+    """Ids that come again after the watermark, in another window, category and day, some of them twice."""
+    feed = Feed(base / "in")
+    feed.add(*[message(i, stamp(i % 3), 10.0 + i) for i in range(6)])
+    feed.add(message(50, stamp(200)))
+    feed.add(message(51, stamp(201)))
+    feed.add(message(0, stamp(202), 99.0), message(3, stamp(203), 5.0, category="Toys"), message(52, stamp(1)))  # 52 is too late
+    feed.add(message(60, "2024-01-02T03:00:00Z"))
+    feed.add(message(61, "2024-01-02T03:01:00Z"))
+    feed.add(message(0, "2024-01-02T03:02:00Z", 1.0), message(1, "2024-01-02T03:02:00Z"))
+    run(spark, base)
+    out = str(base / "out")
+    got = {r.event_id: (r.event_timestamp.day, float(r.total_amount)) for r in streams.current_orders(spark, out).collect()}
+    assert got == {"e0": (2, 1.0), "e1": (2, 10.0), "e2": (1, 12.0), "e3": (1, 5.0), "e4": (1, 14.0), "e5": (1, 15.0), "e50": (1, 10.0), "e51": (1, 10.0), "e60": (2, 10.0), "e61": (2, 10.0)}
+    agree(spark, out)
+
+
+@pytest.mark.parametrize("after", ["order_ids", "order_events", "metric_corrections", "feature_store"])
+def test_crash_between_two_commits_of_a_batch(spark, base, monkeypatch, after):
+    """The batch that replaces an event is stopped right after one of its commits, and replayed."""
+    out = str(base / "out")
+    good = lambda *m: spark.createDataFrame([(x,) for x in m], "value string")
+
+    def events(*messages):
+        found = streams.route_dead_letters(streams.validate_events(streams.parse_order_events(good(*messages))))[0]
+        return found.withColumn("ingested_at", F.lit("2024-01-01").cast("timestamp")).checkpoint()
+
+    first = events(*[message(i, stamp(i)) for i in range(4)])
+    second = events(message(1, "2024-01-03T00:00:00Z", 7.0), message(9, stamp(61)))
+    for n, batch in enumerate((first, second)):
+        streams.metrics_table(spark, out).put(revenue_metrics(batch))  # what the other query stores
+        streams.refresh_features(revenue_metrics(batch).checkpoint(), out)
+        if n:
+            commit = StoredTable._commit
+
+            def dies(self, *a, **k):
+                done = commit(self, *a, **k)
+                if self.path.endswith(after):
+                    raise RuntimeError("killed")
+                return done
+
+            monkeypatch.setattr(StoredTable, "_commit", dies)
+            with pytest.raises(RuntimeError):
+                streams.accept_orders(batch, out, n)
+            monkeypatch.undo()
+        streams.accept_orders(batch, out, n)
+    agree(spark, out)
+    assert streams.current_orders(spark, out).count() == 5
+    streams.accept_orders(second, out, 1)
+    agree(spark, out)
+
+
+def test_files_read_by_a_batch_do_not_grow(spark, base):
+    """Over 50 batches the pieces that a probe of the id index reads stay bounded."""
+    from pyspark.sql import Row
+    table = streams.ids_table(spark, str(base / "out"))
+    table.buckets, table.most_pieces = 2, 4
+    most = []
+    for n in range(50):
+        table.upsert(spark.createDataFrame([Row(event_id=f"e{n}", x=n), Row(event_id=f"f{n}", x=n), Row(event_id=f"e{n // 2}", x=n)]).checkpoint(), newest=[F.desc("x")], once=("w", n))
+        most.append(table.stats()["pieces"])
+    assert max(most) <= 2 * 5 and table.read().count() == 100 and table.stats()["rows"] == 100
+    assert {r.event_id: r.x for r in table.read().collect()} == {**{f"e{n}": max(2 * n + 1, n) if n < 25 else n for n in range(50)}, **{f"f{n}": n for n in range(50)}}
 
 
 def test_replayed_batch_changes_nothing(spark, base):
@@ -109,7 +190,9 @@ def test_replayed_batch_changes_nothing(spark, base):
     out = str(base / "out")
     before = rows(streams.current_features(spark, out), "*"), rows(streams.current_metrics(spark, out), "*")
     again = streams.current_metrics(spark, out).checkpoint()
-    streams.upsert_table(f"{out}/revenue_metrics", again, streams.METRIC_KEYS, ["order_count"], time="window_start", newest=[])
+    table = streams.metrics_table(spark, out)
+    table.put(again)
+    assert table.upsert(again).number == table.version().number  # nothing differs, so there is no commit
     streams.refresh_features(again, out)
     assert (rows(streams.current_features(spark, out), "*"), rows(streams.current_metrics(spark, out), "*")) == before
 

@@ -202,34 +202,6 @@ def test_pages_by_key_walk_the_whole_table(views):
     assert seen == [r.anomaly_id for r in want]
 
 
-def test_stored_upsert_reads_and_writes_touched_days_only(spark, tmp_path):
-    import os
-
-    from revpulse.sources import keyed
-    path = str(tmp_path / "t")
-    rows = lambda *r: spark.createDataFrame(list(r), "k int, at timestamp, x int").checkpoint()
-    days = [dt.datetime(2024, 1, 1 + d) for d in range(8)]
-    keyed.upsert_table(path, rows(*[(i, d, 0) for i, d in enumerate(days)]), ["k", "at"], ["x"], time="at", newest=[])
-    stamp = lambda: {os.path.join(r, f): os.stat(os.path.join(r, f)).st_mtime_ns for r, _, fs in os.walk(path) for f in fs if f.startswith("part")}
-    before = stamp()
-    assert keyed.upsert_table(path, rows((3, days[3], 5), (9, days[4], 6)), ["k", "at"], ["x"], time="at", newest=[]) == ["2024-01-04", "2024-01-05"]
-    assert len(set(before) - set(stamp())) == 2  # the other days' files are untouched
-    assert keyed.upsert_table(path, rows((3, days[3], 5), (9, days[4], 6)), ["k", "at"], ["x"], time="at", newest=[])
-    assert keyed.upsert_table(path, rows((1, days[0], 1)).limit(0), ["k", "at"], ["x"], time="at", newest=[]) == []
-    keyed.insert_table(path, rows((3, days[3], 99), (10, days[3], 7)), ["k", "at"], time="at")
-    found = {(r.k, r.x) for r in spark.read.parquet(path).collect()}
-    assert found == {(i, 0) for i in range(8) if i != 3} | {(3, 5), (9, 6), (10, 7)}
-    plan = keyed._of_days(spark, path, ["2024-01-04"])._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [" in plan and "2024-01-04" in plan.split("PartitionFilters: [", 1)[1].split("]")[0]
-
-    archive = str(tmp_path / "archive")
-    assert keyed.move_older(spark, path, archive, "at", "2024-01-03 12:00:00") == 3
-    assert keyed.move_older(spark, path, archive, "at", "2024-01-03 12:00:00") == 0
-    assert keyed.move_older(spark, path, archive, "at", "2024-01-04 12:00:00") == 2
-    assert {r.k for r in spark.read.parquet(archive).collect()} == {0, 1, 2, 3, 10}
-    assert {r.k for r in spark.read.parquet(path).collect()} == {4, 9, 5, 6, 7}
-
-
 def test_identical_dead_letters_are_told_apart_by_their_place(spark):
     raw = spark.createDataFrame([("{oops", 0, 1), ("{oops", 0, 2), ("{oops", 0, 2)], "value string, partition int, offset long")
     checked = ingest.validate_events(orders.parse_order_events(raw, keep=orders.POSITION))
