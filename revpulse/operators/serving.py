@@ -157,12 +157,19 @@ def ingest_latency(events: DataFrame, n: int = 100, as_of: AsOf | None = None, m
     return newest.agg(F.round(F.avg(seconds_between("event_timestamp", "ingested_at")), 2).alias("latency_seconds"))
 
 
-def system_health(events: DataFrame, anomalies: DataFrame, as_of: AsOf) -> DataFrame:
-    """One row: throughput, latency, last detection and what they mean for the feed and scans."""
+def system_health(events: DataFrame, anomalies: DataFrame | str | None, as_of: AsOf) -> DataFrame:
+    """One row: throughput, latency, last detection and what they mean for the feed and scans.
+
+    Instead of the anomalies the time of the last detection may be given, such as a stored table's newest time, which needs no read.
+    """
+    if isinstance(anomalies, DataFrame):
+        last = anomalies.agg(F.max("detected_at")).scalar()
+    else:
+        last = F.lit(anomalies).cast(events.schema["ingested_at"].dataType)
     now = moment(as_of, events, "ingested_at")
     row = throughput(events, as_of).select(
         "*", F.coalesce(ingest_latency(events, as_of=as_of).scalar(), F.lit(0.0)).alias("latency_seconds"),
-        anomalies.agg(F.max("detected_at")).scalar().alias("last_detection"), now.alias("__now"),
+        last.alias("last_detection"), now.alias("__now"),
     )
     age = seconds_between("last_ingested", "__now")
     scan_age = seconds_between("last_detection", "__now")
@@ -264,3 +271,18 @@ def read_since(anomalies: DataFrame, last_key: tuple[str, str] | None, n: int =
             (F.col("detected_at") > at) | (F.col("anomaly_id") > last_key[1])
         )
     return rows.orderBy("detected_at", "anomaly_id").limit(n)
+
+
+def rollup_step(stored: DataFrame | None, entering: DataFrame, leaving: DataFrame, key: str = "category") -> DataFrame:
+    """(key, cents, orders): the running sums after events enter and leave the last hour; keys without any go."""
+    moves = entering.select(key, cents("total_amount").alias("cents"), F.lit(1).cast("long").alias("orders")).unionByName(
+        leaving.select(key, (-cents("total_amount")).alias("cents"), F.lit(-1).cast("long").alias("orders")))
+    moved = moves.groupBy(key).agg(F.sum("cents").alias("cents"), F.sum("orders").alias("orders"))
+    whole = moved if stored is None else stored.select(key, "cents", "orders").unionByName(moved).groupBy(key).agg(F.sum("cents").alias("cents"), F.sum("orders").alias("orders"))
+    return whole
+
+
+def rollup_rows(sums: DataFrame, key: str = "category") -> DataFrame:
+    """Revenue, orders and mean order value of the running sums, as ``category_revenue_1h`` has them."""
+    return sums.where("orders > 0").select(key, from_cents("cents").alias("revenue_1h"), F.col("orders").alias("order_count_1h"),
+                                           mean_of_cents(F.col("cents"), F.col("orders")).alias("avg_order_value"))

@@ -137,15 +137,14 @@ def sustained_breach(cond: DataFrame, duration: str, *, step: str = "5 minutes",
     by = by or []
     keyed = cond if by else cond.withColumn("__all", F.lit(1))
     keys = by or ["__all"]
-    before = with_previous(
-        keyed, keys, "window_start", {"__was": "breach", "__at": "window_start"}, span="1 day"
-    )
+    span = balanced_span(keyed, keys, "window_start", widest=86_400)
+    before = with_previous(keyed, keys, "window_start", {"__was": "breach", "__at": "window_start"}, span=span)
     on = F.coalesce("breach", F.lit(False))
     goes_on = F.coalesce(
         F.col("__was") & (F.col("__at") + F.expr(f"INTERVAL {step}") >= F.col("window_start")), F.lit(False)
     )
     started = F.when(on & ~goes_on, F.col("window_start"))
-    runs = running(before, keys, "window_start", maxima={"active_since": started}, span="1 day")
+    runs = running(before, keys, "window_start", maxima={"active_since": started}, span=span)
     held = F.col("active_since") + F.expr(f"INTERVAL {duration}") <= F.col("window_start")
     return runs.select(
         *cond.columns, F.when(on, F.col("active_since")).alias("active_since"),
@@ -185,3 +184,32 @@ def alert_states(rules: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def alert_step(prior: DataFrame | None, rules: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
+    """As :func:`alert_states`, from the states of the evaluation before (the result of this function, None at first) and the rows
+    that have come since: only these are read.  Also gives ``breach``, the last value of each expression.
+
+    A run that was open goes on with its old ``active_since``; a series without new rows keeps its state.
+    """
+    parts = []
+    for name, (rows, duration, step) in rules.items():
+        new = rows.select("label", "at", "breach", F.lit(None).cast("timestamp").alias("since"))
+        if prior is not None:
+            mine = prior.where(F.col("alert") == name)
+            new = new.join(mine.select("label", "evaluated_at"), "label", "left").where(F.col("evaluated_at").isNull() | (F.col("at") > F.col("evaluated_at"))).drop("evaluated_at")
+            new = new.unionByName(mine.select("label", F.col("evaluated_at").alias("at"), "breach", F.col("active_since").cast("timestamp").alias("since")))
+        held = sustained_breach(new.withColumnRenamed("at", "window_start"), duration, step=step, by=["label"])
+        last = held.groupBy("label").agg(
+            F.max_by(F.struct("breach", "active_since"), F.col("window_start")).alias("s"), F.max("window_start").alias("evaluated_at"),
+            F.max(F.struct("since", F.col("window_start").alias("at"))).alias("old"))
+        goes_on = F.col("old.since").isNotNull() & (F.col("s.active_since") == F.col("old.at"))
+        since = F.when(goes_on, F.col("old.since")).otherwise(F.col("s.active_since"))
+        on = F.coalesce("s.breach", F.lit(False))
+        long = F.coalesce(since + F.expr(f"INTERVAL {duration}") <= F.col("evaluated_at"), F.lit(False))
+        state = F.when(on & long, F.lit("firing")).when(on, F.lit("pending")).otherwise(F.lit("inactive"))
+        parts.append(last.select(F.lit(name).alias("alert"), "label", state.alias("state"), F.when(on, since).alias("active_since"), "evaluated_at", F.col("s.breach").alias("breach")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

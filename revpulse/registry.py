@@ -6,6 +6,7 @@ types: decimals as doubles, times without zone.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.errors import StreamingQueryException
@@ -19,7 +20,7 @@ from revpulse.functions.moments import between_lookback, latest, lookback, windo
 from revpulse.operators import (
     baseline, deadletter, detect, drift, ingest, investigate, lifecycle, ml, serving, tables, telemetry, windows,
 )
-from revpulse.sources import keyed, orders, warehouse
+from revpulse.sources import keyed, letters, models, orders, retention, rollup, warehouse
 from revpulse.sources.views import Views
 from revpulse.streaming import streams
 
@@ -210,12 +211,27 @@ def archive_table(v):
     """As ``archive_events``, on stored tables: put into the archive, removed from the table."""
     table = _stored(v, v.order_events, ["event_id"], "event_timestamp")
     archive = keyed.StoredTable(v.spark, warehouse.fresh_path(v.spark, "archive"), ["event_id"], time="event_timestamp")
-    cutoff = v.as_of.select((F.col(v.as_of.columns[0]) - F.expr("INTERVAL 12 DAYS")).cast("string")).first()[0]
-    table.move_older(cutoff, archive)
+    table.move_older(_cutoff(v), archive)
     kept, moved = table.read(), archive.read()
     return _sides(["kept", "archived"], (kept, kept.limit(0) if moved is None else moved), ["event_id", "event_timestamp"])
 
 
+@query
+def archive_anomalies_table(v):
+    """As ``archive_anomalies``, on stored tables."""
+    table = keyed.StoredTable(v.spark, warehouse.fresh_path(v.spark, "anomalies"), detect.WINDOW_KEY, time="detected_at")
+    archive = keyed.StoredTable(v.spark, warehouse.fresh_path(v.spark, "archive"), detect.WINDOW_KEY, time="detected_at")
+    reports = keyed.StoredTable(v.spark, warehouse.fresh_path(v.spark, "reports"), ["anomaly_id", "created_at"], time="created_at")
+    table.insert(keyed.held(v.anomalies))
+    reports.insert(keyed.held(v.copilot_reports))
+    retention.archive_anomalies(table, archive, reports, _cutoff(v))
+    return _sides(["kept", "archived", "reports"], (table.read(), archive.read(), reports.read()), ["anomaly_id", "category", "region"])
+
+
+def _cutoff(v):
+    return v.as_of.select((F.col(v.as_of.columns[0]) - F.expr("INTERVAL 12 DAYS")).cast("string")).first()[0]
+
+
 @query
 def append_rows(v):
     path = warehouse.fresh_path(v.spark, "append")
@@ -335,9 +351,13 @@ def classification_report(v):
 
 @query
 def score_windows(v):
+    """Windows held back from the training, scored by the model as it was saved."""
     labelled = baseline.engineer_features(_labelled(v))
     model, _ = ml.train(labelled, trees=10)
-    return detect.score_windows(model, v.engineered).select(
+    path = warehouse.fresh_path(v.spark, "models")
+    model.write().save(path)
+    saved = type(model).load(path)
+    return detect.score_windows(saved, ml.split(labelled)[1]).select(
         *detect.METRIC_COLUMNS, "expected_revenue", "revenue_ratio", "anomaly_score", "severity"
     )
 
@@ -368,6 +388,18 @@ def model_versions(v):
     return ml.model_versions(v.model_registry)
 
 
+@query
+def registry_cycle(v):
+    """The stored registry: every model is saved and offered for production in turn, then the last promotion is rolled back."""
+    registry = models.ModelRegistry(v.spark, warehouse.fresh_path(v.spark, "registry"))
+    rows = keyed.held(v.model_registry)
+    registry.add(rows)
+    for r in rows.select("version").orderBy("version").collect():
+        registry.promote(r["version"], min_samples=100)
+    registry.rollback()
+    return registry.rows().select("version", "f1", "status")
+
+
 # --- drift ---------------------------------------------------------------------------------
 
 @query
@@ -615,6 +647,25 @@ def system_health(v):
     return serving.system_health(v.order_events, v.anomalies, v.as_of)
 
 
+@query
+def system_health_stored(v):
+    """The newest detection from the version file of the stored anomalies; none of them is read."""
+    table = keyed.StoredTable(v.spark, warehouse.fresh_path(v.spark, "anomalies"), detect.WINDOW_KEY, time="detected_at")
+    table.insert(keyed.held(v.anomalies))
+    return serving.system_health(v.order_events, table.stats()["newest"], v.as_of)
+
+
+@query
+def rollup_refresh(v):
+    """``category_revenue_1h`` as a stored table, moved forward in ten steps of 25 minutes."""
+    events = v.order_events
+    now = v.as_of.first()[0]
+    kept = rollup.Rollup(keyed.StoredTable(v.spark, warehouse.fresh_path(v.spark, "rollup"), ["category"], buckets=1))
+    for step in range(9, -1, -1):
+        kept.refresh(events, now - dt.timedelta(minutes=25 * step))
+    return kept.rows()
+
+
 @query
 def category_revenue_1h(v):
     return serving.category_revenue_1h(v.order_events, v.as_of)
@@ -671,6 +722,25 @@ def archive_anomalies(v):
     return _sides(["kept", "archived", "reports"], parts, ["anomaly_id", "category", "region"])
 
 
+@query
+def drop_month_folder(v):
+    """The same on a stored monthly table: the month's folder goes, and no row is read."""
+    path = warehouse.fresh_path(v.spark, "monthly")
+    warehouse.write_monthly(v.order_lines, path, mode="overwrite")
+    newest = latest(v.order_lines, "event_timestamp")
+    gone = newest.select(lifecycle.month_name(F.add_months(F.col(newest.columns[0]), -6))).first()[0]
+    warehouse.drop_month(v.spark, path, gone)
+    return lifecycle.partition_report(v.spark.read.parquet(path))
+
+
+@query
+def partition_bytes(v):
+    """Which months have files, from listings alone; sizes depend on the writer."""
+    path = warehouse.fresh_path(v.spark, "monthly")
+    warehouse.write_monthly(v.order_lines, path, mode="overwrite")
+    return lifecycle.partition_bytes(v.spark, path).select("event_month", (F.col("bytes") > 0).alias("stored"))
+
+
 @query
 def drop_old_month(v):
     lines = v.order_lines
@@ -715,6 +785,12 @@ def table_counts(v):
     return lifecycle.table_counts(_tables(v))
 
 
+@query
+def stored_counts(v):
+    """Rows of the stored tables, from the footers of their files."""
+    return lifecycle.stored_counts(v.spark, {name: f"{v.sf_dir}/{name}.parquet" for name in ("events", "orders", "lineitem", "customer")})
+
+
 @query
 def latest_by_table(v):
     return lifecycle.latest_by_table({
@@ -742,6 +818,16 @@ def config_audit(v):
     return lifecycle.config_audit(v.config_versions)
 
 
+@query
+def config_audit_feed(v):
+    """The audit of the last three days' settings from the change feed of the stored configuration."""
+    table = keyed.StoredTable(v.spark, warehouse.fresh_path(v.spark, "config"), ["key"], buckets=1)
+    rows = keyed.held(v.config_versions)
+    for day in sorted(r[0] for r in rows.select("updated_at").distinct().orderBy(F.desc("updated_at")).limit(3).collect()):
+        table.upsert(rows.where(F.col("updated_at") == F.lit(day)), feed=True)
+    return lifecycle.config_audit_from(table.changes())
+
+
 @query
 def current_config(v):
     return lifecycle.current_config(v.config_versions)
@@ -771,6 +857,20 @@ def recovered_dead_letters(v):
     return recovered
 
 
+@query
+def dead_letter_cycle(v):
+    """Three rounds of the retry on stored tables: the letters afterwards, with whether their event has landed."""
+    folder = warehouse.fresh_path(v.spark, "letters")
+    table = keyed.StoredTable(v.spark, f"{folder}/letters", ["dlq_id"], time="first_failed")
+    events = keyed.StoredTable(v.spark, f"{folder}/orders", ["event_id"], time="event_timestamp")
+    letters.store_letters(table, v.dlq_events)
+    for batch_id in range(3):
+        letters.retry_stored(table, events, batch_id, v.as_of)
+    n = F.col("dlq_id").cast("long").cast("string")
+    landed = events.read().select(F.col("event_id").alias("id"), F.lit(True).alias("here"))
+    return table.read().join(landed, n == F.col("id"), "left").select("dlq_id", "retry_count", "resolved", F.coalesce("here", F.lit(False)).alias("landed"))
+
+
 @query
 def exhausted_dead_letters(v):
     return deadletter.exhausted_dead_letters(v.dlq_events).select("dlq_id", "retry_count", "first_failed")
@@ -861,6 +961,20 @@ def alert_states(v):
     })
 
 
+@query
+def alert_state_steps(v):
+    """The states of two alerts, carried through ten evaluations of which each reads only the samples since the one before."""
+    samples = v.metric_samples
+    low, high = samples.agg(F.min("ts"), F.max("ts")).first()
+    table = keyed.StoredTable(v.spark, warehouse.fresh_path(v.spark, "alerts"), ["alert", "label"], buckets=1)
+    for step in range(10):
+        since, until = low + (high - low) * step / 10, low + (high - low) * (step + 1) / 10
+        new = samples.where((F.col("ts") > F.lit(since) if step else F.lit(True)) & (F.col("ts") <= F.lit(until) if step < 9 else F.lit(True)))
+        rules = {"produce_errors": (telemetry.value_breaches(new, 250.0), "1 MINUTE", "1 HOUR"), "reconnects": (telemetry.value_breaches(new, 0.0), "1 MINUTE", "1 HOUR")}
+        table.put(keyed.held(telemetry.alert_step(table.read(), rules)))
+    return table.read().drop("breach")
+
+
 # --- streaming: the same tables through Structured Streaming ----------------------------------------
 
 SLICES, FILES = 10, 2  # micro-batches of a test feed, and files of each
@@ -925,6 +1039,34 @@ def stream_order_events(v):
     return streams.current_orders(v.spark, _drain(v, streams.start_order_events)).drop("ingested_at")
 
 
+@query
+def stream_detection(v):
+    """Windows graded once each, when the watermark closes them."""
+    return streams.current_anomalies(v.spark, _drain(v, streams.start_detection))
+
+
+@query
+def supervised_batches(v):
+    """The log of a sink that fails four times on its third batch, and is restarted each time."""
+    folder = warehouse.fresh_path(v.spark, "batches")
+    _write_feed(v, lambda part: part.write.mode("append").parquet(f"{folder}/feed"))
+    feed = v.spark.readStream.schema(v.table("events").schema).option("maxFilesPerTrigger", FILES).parquet(f"{folder}/feed")
+    left = [4]
+
+    def sink(batch, batch_id):
+        if batch_id == 2 and left[0]:
+            left[0] -= 1
+            raise ValueError("the third batch fails")
+        batch.write.format("noop").mode("overwrite").save()
+
+    def start():
+        return feed.writeStream.foreachBatch(sink).queryName("shaky").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+
+    with streams.BatchLog(v.spark, f"{folder}/log", ["shaky"]):
+        streams.supervise({"shaky": start}, backoff=0.1)
+    return streams.batch_log(v.spark, f"{folder}/log").select("sink", "batch_id", "input_rows", "failed")
+
+
 @query
 def run_streams(v):
     """All three queries on one source of messages; rows of the tables they keep."""

@@ -7,7 +7,8 @@ on if that one touched other parts, else it starts again from what the other lef
 a writer that dies leaves nothing that is ever read, and no write is lost.  A part of many pieces is folded into one.
 
 ``once=(writer, batch number)`` makes a commit idempotent: the version remembers the last batch of every writer.  With
-``feed=True`` the rows before and after the change are kept too, see :meth:`StoredTable.changes`.
+``feed=True`` the rows before and after the change are kept too, with ``feed="updates"`` those of known keys only; see
+:meth:`StoredTable.changes`.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import uuid
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +38,11 @@ def held(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _write(rows: DataFrame, path: str) -> None:
+    """One piece: each part in as few files as its size allows."""
+    rows.hint("rebalance", PART).write.partitionBy(PART).parquet(path)
+
+
 class Conflict(Exception):
     """Another writer has changed the same part since the version this write started from."""
 
@@ -176,7 +182,7 @@ class StoredTable:
         return f"{(base.number if base else 0) + 1:012d}-{uuid.uuid4().hex}"  # names sort by commit within a part
 
     def upsert(self, batch: DataFrame, update_cols: Sequence[str] | None = None, *, newest: Sequence[Column] = (), defaults: dict | None = None,
-               once: tuple[str, int] | None = None, feed: bool = False) -> Version | None:
+               once: tuple[str, int] | None = None, feed: "bool | str" = False) -> Version | None:
         """Inserts new keys and sets ``update_cols`` (by default all) of known ones.
 
         A batch may carry only some columns: the others keep their stored value, and a new key gets ``defaults`` for them.  Of several
@@ -186,12 +192,12 @@ class StoredTable:
         single = first_per_key(batch, self.keys, list(newest))
         return self.retry(lambda base: self.change(base, single, lambda old, new: self._images(old, new, update_cols, defaults or {}), once=once, feed=feed))
 
-    def insert(self, batch: DataFrame, *, first: Sequence[Column] = (), once: tuple[str, int] | None = None, feed: bool = False) -> Version | None:
+    def insert(self, batch: DataFrame, *, first: Sequence[Column] = (), once: tuple[str, int] | None = None, feed: "bool | str" = False) -> Version | None:
         """Adds the rows whose key the table does not hold."""
         single = first_per_key(batch, self.keys, list(first))
         return self.retry(lambda base: self.change(base, single, lambda old, new: self._images(old, new, [], {}), once=once, feed=feed))
 
-    def delete(self, keys: DataFrame, *, once: tuple[str, int] | None = None, feed: bool = False) -> Version | None:
+    def delete(self, keys: DataFrame, *, once: tuple[str, int] | None = None, feed: "bool | str" = False) -> Version | None:
         """Takes rows out by key; with ``time`` that column has to be in ``keys`` too, as it tells the part."""
         def images(old, new):
             before = F.struct(*old.columns)
@@ -210,11 +216,13 @@ class StoredTable:
                 return start
             struct = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields if f.name != _GONE])
             piece = self._piece(start)
-            rows.withColumn(PART, self.part()).write.partitionBy(PART).parquet(f"{self.path}/data/{piece}")
+            seen = Observation()
+            told = rows.observe(seen, F.max(self.time).cast("string").alias("newest")) if self.time else rows
+            _write(told.withColumn(PART, self.part()), f"{self.path}/data/{piece}")
             parts = [n.partition("=")[2] for n in self.folder.names(f"data/{piece}") if n.startswith(f"{PART}=")]
             if not parts and not (once and start):
                 return start
-            newest = self._newest(piece, parts, struct)
+            newest = {seen.get["newest"][:10]: seen.get["newest"]} if self.time and parts and seen.get.get("newest") else {}  # of the last day only
 
             def build(v: Version) -> Version:
                 return replace(v, schema=v.schema or struct.json(), feed=None, updates=0, parts={**v.parts, **{p: [*v.parts.get(p, []), piece] for p in parts}},
@@ -224,12 +232,6 @@ class StoredTable:
 
         return self.retry(attempt) if base == "newest" else attempt(base)
 
-    def _newest(self, piece: str, parts: Sequence[str], struct: T.StructType) -> dict[str, str]:
-        if not self.time or not parts:
-            return {}
-        rows = self.spark.read.schema(struct).parquet(*[f"{self.path}/data/{piece}/{PART}={p}" for p in parts])
-        return {r["p"]: r["t"] for r in rows.groupBy(self.part().alias("p")).agg(F.max(self.time).cast("string").alias("t")).collect()}
-
     def _folded(self, done: Version, parts: Iterable[str]) -> Version:
         full = [p for p in parts if len(done.parts[p]) > self.most_pieces]
         if full:
@@ -259,7 +261,7 @@ class StoredTable:
         return rows.where(F.col(_BEFORE).isNull() | ~same).withColumn(_GONE, F.lit(False))
 
     def change(self, base: Version | None, batch: DataFrame, images: Callable[[DataFrame, DataFrame], DataFrame], *, once: tuple[str, int] | None = None,
-               feed: bool = False) -> Version | None:
+               feed: "bool | str" = False) -> Version | None:
         """One attempt from version ``base``: ``images(stored, batch)`` gives the changed rows, each with ``__before`` and ``__gone``."""
         if self._known(once, base):
             return base
@@ -278,14 +280,15 @@ class StoredTable:
             return base
         piece = self._piece(base)
         if told:
-            changed.drop(_BEFORE).write.partitionBy(PART).parquet(f"{self.path}/data/{piece}")
-            if feed:
+            _write(changed.drop(_BEFORE), f"{self.path}/data/{piece}")
+            fed = feed is True or feed == "updates" and any(r["updates"] for r in told)
+            if fed:
                 after = F.when(~gone, F.struct(*struct.names))
-                changed.select(*self.keys, F.col(_BEFORE).alias("before"), after.alias("after")).write.parquet(f"{self.path}/changes/{piece}")
+                (changed if feed is True else changed.where(~fresh)).select(*self.keys, F.col(_BEFORE).alias("before"), after.alias("after")).write.parquet(f"{self.path}/changes/{piece}")
 
         def build(v: Version) -> Version:
             return replace(
-                v, schema=v.schema or struct.json(), feed=piece if feed and told else None, updates=sum(r["updates"] for r in told),
+                v, schema=v.schema or struct.json(), feed=piece if told and fed else None, updates=sum(r["updates"] for r in told),
                 parts={**v.parts, **{r[PART]: [*v.parts.get(r[PART], []), piece] for r in told}},
                 rows={**v.rows, **{r[PART]: None if v.rows.get(r[PART], 0) is None else v.rows.get(r[PART], 0) + r["more"] for r in told}},
                 newest={**v.newest, **{r[PART]: max(filter(None, [v.newest.get(r[PART]), r["newest"]])) for r in told if r["newest"]}})
@@ -298,7 +301,7 @@ class StoredTable:
         rows = held(rows.select(*struct.names).withColumn(PART, self.part()))
         told = {r[PART]: r for r in rows.groupBy(PART).agg(F.count("*").alias("n"), (F.max(self.time).cast("string") if self.time else F.lit(None).cast("string")).alias("newest")).collect()}
         if told:
-            rows.write.partitionBy(PART).parquet(f"{self.path}/data/{piece}")
+            _write(rows, f"{self.path}/data/{piece}")
 
         def build(v: Version) -> Version:
             keep = lambda d: {p: x for p, x in d.items() if p not in parts}

@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 from revpulse import schemas
 from revpulse.functions.moments import moment
 from revpulse.plans.per_key import first_per_key
+from revpulse.sources.files import Folder
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only when that is unset (a local test) our own."""
+    """The cluster's ``spark.checkpoint.dir``.  Only a session of one process, which has no executors elsewhere, may leave it unset; it
+    gets a folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext._jsc.sc().isLocal():
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return _local_folder()
 
@@ -89,6 +91,17 @@ def prune_months(df: DataFrame, low, high, column: str = "event_timestamp") -> D
     )
 
 
+def drop_month(spark: SparkSession, path: str, month: str) -> bool:
+    """Removes one month's folder of a monthly table; whether there was one.  No row is read."""
+    folder = Folder(spark, path)
+    name = f"event_month={month}"
+    if name not in folder.names():
+        return False
+    folder.remove(name)
+    spark.catalog.refreshByPath(path)
+    return True
+
+
 # --- keyed tables fed by micro-batches ------------------------------------------------
 
 def write_batch(batch: DataFrame, path: str, batch_id: int, partition_by: Sequence[str] = ()) -> None:

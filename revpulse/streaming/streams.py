@@ -14,8 +14,9 @@ window is kept as a correction, so orders, metrics and features agree.
 from __future__ import annotations
 
 import datetime as dt
+import threading
 import time
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -55,7 +56,7 @@ def orders_table(spark: SparkSession, sink_dir: str) -> StoredTable:
 
 
 def ids_table(spark: SparkSession, sink_dir: str) -> StoredTable:
-    return StoredTable(spark, f"{sink_dir}/order_ids", ["event_id"])
+    return StoredTable(spark, f"{sink_dir}/order_ids", ["event_id"], buckets=4)  # all are probed in every batch
 
 
 def metrics_table(spark: SparkSession, sink_dir: str) -> StoredTable:
@@ -71,7 +72,7 @@ def features_table(spark: SparkSession, sink_dir: str) -> StoredTable:
 
 
 def anomalies_table(spark: SparkSession, sink_dir: str) -> StoredTable:
-    return StoredTable(spark, f"{sink_dir}/anomalies", WINDOW_KEY, time="window_start")
+    return StoredTable(spark, f"{sink_dir}/anomalies", WINDOW_KEY, time="detected_at")
 
 
 def alerts_table(spark: SparkSession, sink_dir: str) -> StoredTable:
@@ -86,7 +87,7 @@ def accept_orders(batch: DataFrame, sink_dir: str, batch_id: int, writer: str =
     """
     spark, once = batch.sparkSession, (writer, batch_id)
     ids, orders = ids_table(spark, sink_dir), orders_table(spark, sink_dir)
-    ids.upsert(batch.select("event_id", "event_timestamp", *KEY, "order_id", "total_amount"), once=once, feed=True)
+    ids.upsert(batch.select("event_id", "event_timestamp", *KEY, "order_id", "total_amount"), once=once, feed="updates")
     commit = ids.commit_of(once)
     if commit is None or not commit.updates:
         orders.put(batch, once=once)
@@ -275,29 +276,84 @@ def current_alerts(spark: SparkSession, sink_dir: str) -> DataFrame:
     return _stored(alerts_table(spark, sink_dir), "anomaly_id string, detected_at timestamp, text string")
 
 
+def supervise(
+    starts: Mapping[str, Callable[[], StreamingQuery]], threshold: int = 5, backoff: float = 1.0, longest: float = 60.0,
+    streaks: Mapping[str, int] | None = None, poll: float = 0.2,
+) -> None:
+    """Runs queries until all have ended, restarting one that fails after a pause that doubles with every failure in a row.
+
+    A finished micro-batch ends the streak.  When a streak reaches ``threshold`` all queries are stopped and the last error is raised.
+    ``streaks`` carries streaks over from an earlier run, see :func:`failure_streaks`.
+    """
+    streak = dict.fromkeys(starts, 0) | dict(streaks or {})
+    running = {name: start() for name, start in starts.items()}
+    due: dict[str, float] = {}
+    try:
+        while running or due:
+            for name in [n for n, at in due.items() if time.monotonic() >= at]:
+                del due[name]
+                running[name] = starts[name]()
+            for name, query in list(running.items()):
+                try:
+                    ended = query.awaitTermination(poll / len(running))
+                    error = None
+                except Exception as e:
+                    ended, error = True, e
+                if any(p.batchId >= 0 and p.batchDuration is not None for p in query.recentProgress):
+                    streak[name] = 0
+                if not ended:
+                    continue
+                del running[name]
+                if error is not None:
+                    streak[name] += 1
+                    if streak[name] >= threshold:
+                        raise error
+                    due[name] = time.monotonic() + min(longest, backoff * 2 ** (streak[name] - 1))
+            if not running:
+                time.sleep(poll)
+    finally:
+        for query in running.values():
+            query.stop()
+
+
+def failure_streaks(spark: SparkSession, path: str) -> dict[str, int]:
+    """Failures in a row at the end of each sink's batch log; one row per sink."""
+    rows = batch_log(spark, path).groupBy("sink").agg(F.max(F.when(~F.col("failed"), F.col("finished_at"))).alias("well"))
+    log = batch_log(spark, path).join(rows, "sink").where("failed and (well is null or finished_at > well)")
+    return {r["sink"]: r["count"] for r in log.groupBy("sink").count().collect()}
+
+
 class BatchLog(StreamingQueryListener):
     """Appends a row to the batch-log table for every micro-batch of the queries named, and one for a batch that failed.
 
-    The rows come from Spark's events as they happen, so none is lost however long a query runs.  A failed batch has no
-    progress event: its number is the one after the last finished batch.  Use as a context manager; leaving it waits
-    for the events of ended queries.
+    The rows come from Spark's events as they happen and are written ``at_once`` or every ``seconds``, when a query ends, and on leaving.
+    A failed batch has no progress event: its number is the one after the last finished batch.  Use as a context manager; leaving
+    it waits for the events of ended queries, and fails if they do not come.
     """
 
-    def __init__(self, spark: SparkSession, path: str, names: Iterable[str] = ("order_events", "revenue_metrics", "dlq_events")):
+    def __init__(self, spark: SparkSession, path: str, names: Iterable[str] = ("order_events", "revenue_metrics", "dlq_events", "detection"),
+                 at_once: int = 100, seconds: float = 60.0, patience: float = 60.0):
         self.spark, self.path, self.names = spark, path, set(names)
+        self.at_once, self.seconds, self.patience = at_once, seconds, patience
         self.of: dict = {}
         self.last: dict = {}
         self.open: set = set()
+        self.rows: list = []
+        self.written = time.monotonic()
+        self.lock = threading.Lock()
 
     def __enter__(self) -> BatchLog:
         self.spark.streams.addListener(self)
         return self
 
     def __exit__(self, *_) -> None:
-        until = time.monotonic() + 60
+        until = time.monotonic() + self.patience
         while self.open and time.monotonic() < until:  # the end of a query is told after it has ended
             time.sleep(0.1)
         self.spark.streams.removeListener(self)
+        self._flush()
+        if self.open:
+            raise TimeoutError(f"the end of {sorted(self.of[i] for i in self.open)} was not told within {self.patience} seconds; its last rows are missing")
 
     def onQueryStarted(self, event) -> None:
         if event.name in self.names:
@@ -311,7 +367,7 @@ class BatchLog(StreamingQueryListener):
         self.last[p.runId] = p.batchId
         late = sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
         finished = dt.datetime.fromisoformat(p.timestamp.replace("Z", "+00:00")) + dt.timedelta(milliseconds=p.batchDuration)
-        self._write(p.name, p.batchId, finished, p.batchDuration, p.numInputRows, late, False)
+        self._add(p.name, p.batchId, finished, p.batchDuration, p.numInputRows, late, False)
 
     def onQueryIdle(self, event) -> None:
         pass
@@ -322,14 +378,26 @@ class BatchLog(StreamingQueryListener):
         if event.exception is not None:
             last = self.last[event.runId]
             name = self.of[event.runId]
-            if last is None:  # failed at once after a restart: the table knows the batch before
+            if last is None:  # failed at once after a restart: the log knows the batch before
+                self._flush()
                 known = batch_log(self.spark, self.path).where((F.col("sink") == name) & ~F.col("failed")).agg(F.max("batch_id")).first()[0]
                 last = -1 if known is None else known
-            self._write(name, last + 1, dt.datetime.now(dt.timezone.utc), None, None, None, True)
+            self._add(name, last + 1, dt.datetime.now(dt.timezone.utc), None, None, None, True)
+        self._flush()
         self.open.discard(event.runId)
 
-    def _write(self, *row) -> None:
-        self.spark.createDataFrame([row], schemas.BATCH_LOG).coalesce(1).write.mode("append").parquet(self.path)
+    def _add(self, *row) -> None:
+        with self.lock:
+            self.rows.append(row)
+            due = len(self.rows) >= self.at_once or time.monotonic() - self.written >= self.seconds
+        if due:
+            self._flush()
+
+    def _flush(self) -> None:
+        with self.lock:
+            rows, self.rows, self.written = self.rows, [], time.monotonic()
+        if rows:
+            self.spark.createDataFrame(rows, schemas.BATCH_LOG).coalesce(1).write.mode("append").parquet(self.path)
 
 
 def batch_log(spark: SparkSession, path: str) -> DataFrame:

@@ -257,15 +257,12 @@ FROM (SELECT * FROM m WHERE window_start < {AS_OF} - INTERVAL '10 days') o
 FULL JOIN (SELECT * FROM m WHERE window_start >= {AS_OF} - INTERVAL '17 days') n
   ON o.window_start = n.window_start AND o.category = n.category AND o.region = n.region""", "m")
 query("upsert_partial", f"""
-SELECT coalesce(n.computed_at, o.computed_at) AS computed_at, coalesce(n.category, o.category) AS category,
-  coalesce(n.region, o.region) AS region, coalesce(n.revenue_last_5m * 2, o.revenue_last_5m) AS revenue_last_5m,
-  coalesce(n.orders_last_5m, o.orders_last_5m) AS orders_last_5m, coalesce(o.revenue_last_15m, 0) AS revenue_last_15m,
-  coalesce(o.orders_last_15m, 0) AS orders_last_15m, coalesce(o.avg_order_value_last_15m, 0) AS avg_order_value_last_15m,
-  coalesce(o.revenue_last_60m, 0) AS revenue_last_60m, coalesce(o.orders_last_60m, 0) AS orders_last_60m,
-  coalesce(o.revenue_trend_pct, 0) AS revenue_trend_pct
-FROM (SELECT * FROM f WHERE computed_at < {AS_OF} - INTERVAL '10 days') o
-FULL JOIN (SELECT * FROM f WHERE computed_at >= {AS_OF} - INTERVAL '17 days') n
-  ON o.computed_at = n.computed_at AND o.category = n.category AND o.region = n.region""", "f")
+SELECT computed_at, category, region, CASE WHEN new THEN revenue_last_5m * 2 ELSE revenue_last_5m END AS revenue_last_5m, orders_last_5m,
+  CASE WHEN old THEN revenue_last_15m ELSE 0 END AS revenue_last_15m, CASE WHEN old THEN orders_last_15m ELSE 0 END AS orders_last_15m,
+  CASE WHEN old THEN avg_order_value_last_15m ELSE 0 END AS avg_order_value_last_15m, CASE WHEN old THEN revenue_last_60m ELSE 0 END AS revenue_last_60m,
+  CASE WHEN old THEN orders_last_60m ELSE 0 END AS orders_last_60m, CASE WHEN old THEN revenue_trend_pct ELSE 0 END AS revenue_trend_pct
+FROM (SELECT f.*, computed_at < t - INTERVAL '10 days' AS old, computed_at >= t - INTERVAL '17 days' AS new FROM f, (SELECT max(ts) AS t FROM events))
+WHERE old OR new""", "f")
 query("insert_if_absent", f"""
 SELECT {ANOMALY} FROM a WHERE window_start >= {AS_OF} - INTERVAL '17 days' AND NOT window_start < {AS_OF} - INTERVAL '10 days'""", "a")
 query("append_rows", f"""
@@ -707,3 +704,36 @@ FROM range(0, 3) AS batches(b) LEFT JOIN (
   SELECT (epoch_us(ts) - low) // step AS b, count(*) + count(*) FILTER (event_id % 50 = 0) AS n
   FROM events, (SELECT epoch_us(min(ts)) AS low, CAST(round_even((epoch_us(max(ts)) - epoch_us(min(ts))) / 10.0, 0) AS BIGINT) AS step FROM events)
   GROUP BY 1) USING (b)""")
+query("archive_anomalies_table", SQL["archive_anomalies"])
+query("drop_month_folder", SQL["drop_old_month"])
+query("partition_bytes", "SELECT DISTINCT strftime(event_timestamp, '%Y_%m') AS event_month, true AS stored FROM order_lines", "order_lines")
+query("stored_counts", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in ("events", "orders", "lineitem", "customer")))
+query("system_health_stored", SQL["system_health"])
+query("rollup_refresh", SQL["category_revenue_1h"])
+query("config_audit_feed", """
+SELECT key, old_value, value AS new_value, updated_at AS changed_at
+FROM (SELECT *, lag(value) OVER w AS old_value, row_number() OVER w AS k FROM cfg
+  WHERE updated_at >= (SELECT min(d) FROM (SELECT DISTINCT updated_at AS d FROM cfg ORDER BY d DESC LIMIT 3)) WINDOW w AS (PARTITION BY key ORDER BY updated_at))
+WHERE k > 1 AND old_value IS DISTINCT FROM value""", "cfg")
+query("registry_cycle", """
+WITH able AS (SELECT *, num_samples >= 100 AND num_anomalies > 0 AND num_anomalies < num_samples AS ok FROM models),
+judged AS (SELECT *, ok AND f1 >= coalesce(max(f1) FILTER (ok) OVER (ORDER BY version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS promoted FROM able),
+turns AS (SELECT *, count(*) FILTER (promoted) OVER (ORDER BY version DESC) AS back FROM judged)
+SELECT version, f1, CASE WHEN NOT promoted THEN 'candidate' WHEN back = least(2, (SELECT count(*) FROM turns WHERE promoted)) THEN 'production' ELSE 'archived' END AS status
+FROM turns""".replace("WITH able", ", able", 1), "models")
+SQL["registry_cycle"] = SQL["registry_cycle"].replace("\n\n, able", ",\nable", 1)
+query("dead_letter_cycle", """
+SELECT dlq_id, CASE WHEN tried AND problem <> '' THEN least(5, retry_count + 3) ELSE retry_count END AS retry_count,
+  resolved OR (tried AND problem = '') AS resolved, tried AND problem = '' AS landed
+FROM (SELECT *, NOT resolved AND retry_count < 5 AS tried FROM dlq)""", "dlq")
+query("alert_state_steps", " UNION ALL ".join(state_sql(alert, VALUE(limit), "1 minute", "1 hour") for alert, limit in (("produce_errors", 250), ("reconnects", 0))), "samples")
+query("stream_detection", f"""
+SELECT * REPLACE ('open' AS status) FROM (SELECT {ANOMALY} FROM a)
+WHERE window_end <= (SELECT max(event_timestamp) - INTERVAL '2 minutes' FROM order_events)""", "a", "order_events")
+query("supervised_batches", """
+WITH feed AS (SELECT (epoch_us(ts) - low) // step AS b, event_id FROM events,
+  (SELECT epoch_us(min(ts)) AS low, CAST(round_even((epoch_us(max(ts)) - epoch_us(min(ts))) / 10.0, 0) AS BIGINT) AS step FROM events)),
+own AS (SELECT least(b, 9) AS b, count(*) + count(*) FILTER (event_id % 50 = 0) AS n FROM feed GROUP BY 1),
+again AS (SELECT b + 2 AS b, count(*) AS n FROM feed WHERE event_id % 70 = 0 GROUP BY 1)
+SELECT 'shaky' AS sink, CAST(b AS BIGINT) AS batch_id, CAST(own.n + coalesce(again.n, 0) AS BIGINT) AS input_rows, false AS failed FROM own LEFT JOIN again USING (b)
+UNION ALL SELECT 'shaky', 2, NULL, true FROM range(0, 4)""")

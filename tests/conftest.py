@@ -16,6 +16,7 @@ def spark(tmp_path_factory):
     session = (
         builder("tests", 4).master("local[4]").config("spark.driver.memory", "6g").config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
         .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse"))).getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

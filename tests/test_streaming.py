@@ -6,6 +6,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from revpulse import schemas
+from revpulse.operators.detect import critical_alerts, detection_job
 from revpulse.operators.telemetry import consecutive_failures
 from revpulse.operators.windows import feature_store, revenue_metrics
 from revpulse.sources.keyed import StoredTable
@@ -209,6 +211,55 @@ def test_old_features_are_purged_in_the_stream(spark, base):
     assert streams.current_metrics(spark, str(base / "out")).count() == 10
 
 
+def test_retention_through_run_streams(spark, base):
+    feed = Feed(base / "in")
+    for hour in range(0, 30, 3):
+        feed.add(message(hour, f"2024-01-0{1 + hour // 24}T{hour % 24:02d}:00:00Z"))
+    streams.await_streams(streams.run_streams(spark, str(base / "in"), str(base / "out"), str(base / "cp"), DRAIN, max_per_trigger=1, feature_hours=2, purge_every=2))
+    times = [r.computed_at for r in streams.current_features(spark, str(base / "out")).collect()]
+    assert times and min(times).isoformat() >= "2024-01-01T22:00:00"
+
+
+def test_detection_grades_closed_windows_once(spark, base):
+    """Ten micro-batches with late rows: the stored anomalies are those of the batch job on the final closed windows."""
+    feed = Feed(base / "in")
+    for n in range(9):
+        late = [message(1000 + n, stamp(7 * (n - 4) + 1), 400_000.0)] if n > 4 else []  # closed long ago
+        feed.add(*[message(100 * n + i, stamp(7 * n + i % 7, i), 10.0 if n % 3 else 90_000.0) for i in range(8)], *late)
+    feed.add(message(5000, stamp(64), 500_000.0))  # opens a window that the watermark never closes
+    out = str(base / "out")
+
+    def go():
+        streams.await_streams(streams.run_streams(spark, str(base / "in"), out, str(base / "cp"), DRAIN, max_per_trigger=1, detection=True))
+
+    go()
+    accepted = streams.current_orders(spark, out)
+    assert accepted.where("event_id like 'e10__' and total_amount = 400000").count() == 0
+    closed = revenue_metrics(accepted).where("window_end <= timestamp'2024-01-01 01:02:00'")  # newest event less two minutes
+    nothing = spark.createDataFrame([], schemas.ANOMALIES)
+    want = rows(detection_job(closed, nothing, "2024-01-01 01:02:00", minutes=10_000), *schemas.ANOMALIES.names)
+    got = rows(streams.current_anomalies(spark, out), *schemas.ANOMALIES.names)
+    assert got == want and len(want) > 5
+    assert rows(streams.current_alerts(spark, out), "anomaly_id", "text") == rows(critical_alerts(streams.current_anomalies(spark, out)), "anomaly_id", "text")
+    assert not any("5000" in str(r) or "01:00:00" in r[2] and r[2] < r[3] and r[2] == "2024-01-01 01:00:00" for r in got)
+    versions = streams.anomalies_table(spark, out).version()
+    streams.grade_windows(closed.checkpoint(), out, versions.done["detection"])  # the last batch again
+    streams.grade_windows(closed.checkpoint(), out, 10_000)  # and all windows in a batch of their own
+    assert rows(streams.current_anomalies(spark, out), *schemas.ANOMALIES.names) == want
+    go()
+    assert rows(streams.current_anomalies(spark, out), *schemas.ANOMALIES.names) == want
+
+
+def test_empty_batches_write_nothing(spark, base):
+    feed = Feed(base / "in")
+    feed.add("{oops")
+    run(spark, base)
+    assert sorted(p.name for p in (base / "out").iterdir()) == ["dlq_events"]
+    feed.add(message(1, stamp(1)))
+    run(spark, base)
+    assert [p.name for p in (base / "out" / "dlq_events").iterdir() if p.name.startswith("batch")] == ["batch_id=0"]
+
+
 def test_one_failure_stops_the_others(spark, base):
     rate = spark.readStream.format("rate").load()
 
