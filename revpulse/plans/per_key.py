@@ -16,5 +16,7 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     key leave each input partition, however many copies that key has.
     """
     ties = [F.col(c) for c in df.columns if c not in keys]
+    if not order and not ties and n == 1:  # nothing but the key
+        return df.distinct()
     ranked = Window.partitionBy(*keys).orderBy(*order, *ties)
     return df.withColumn("__rank", F.row_number().over(ranked)).where(F.col("__rank") <= n).drop("__rank")

@@ -177,7 +177,7 @@ def test_supervision(spark, tmp_path, fails, stops):
                 streams.supervise({"shaky": start("shaky", sink), "endless": start("endless", lambda b, i: other.append(i))}, threshold=5, backoff=0.01)
             assert not spark.streams.active
         else:
-            streams.supervise({"shaky": start("shaky", sink)}, threshold=5, backoff=0.01)
+            streams.supervise({"shaky": start("shaky", sink)}, threshold=5, backoff=0.3)
     told = [(r.batch_id, r.failed) for r in streams.batch_log(spark, log).where("sink = 'shaky'").orderBy("finished_at").collect()]
     assert told == [(0, False), (1, False), *[(2, True)] * fails, *([] if stops else [(2, False), (3, False)])]
     assert streams.failure_streaks(spark, log) == ({"shaky": 5} if stops else {})
