@@ -20,7 +20,7 @@ from operator import eq
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revpulse.llm import words
@@ -226,8 +226,10 @@ def _surest(base: DataFrame, known: np.ndarray, views: dict, given: dict, most:
                                              names=["pair", "label", "__key", "sure"])
 
     met = base.mapInArrow(run, "pair int, label int, __key long, sure double").groupBy("pair", "label", "__key").agg(F.max("sure").alias("sure"))
-    rank = F.row_number().over(Window.partitionBy("pair", "label").orderBy(F.desc("sure"), "__key"))
-    ranked = met.withColumn("rank", rank).where(F.col("rank") <= max(most))  # a constant: each task passes on no more than that
+    rank = lambda *by: F.row_number().over(Window.partitionBy("pair", "label", *by).orderBy(F.desc("sure"), "__key"))
+    spread = met.withColumn("share", F.pmod(F.xxhash64("__key"), F.lit(64)))  # 256 groups first, so the four meet what is left of 64
+    best = spread.withColumn("rank", rank("share")).where(F.col("rank") <= max(most)).drop("rank", "share")
+    ranked = best.withColumn("rank", rank()).where(F.col("rank") <= max(most))  # a constant: each task passes on no more than that
     top = ranked.where(F.col("rank") <= F.when(F.col("label") == 1, most[1]).otherwise(most[0])).collect()
     shared.unpersist()
     return [(r["pair"], r["label"], r["__key"]) for r in top]
