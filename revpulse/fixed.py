@@ -79,9 +79,8 @@ NO_CAUSE = "Unable to determine root cause."
 NO_ACTION = "Manual investigation recommended."
 
 # --- Secrets in log text --------------------------------------------------------------
-SECRET_WORDS = "password|secret|key|token|auth"
-SECRET_VALUE = r"""['"]?\s*[:=]\s*['"]?[^'"\s,]+['"]?"""
-DSN_PASSWORD_TAIL = r"[^:/@]+@"
+# Group 1 is the word before a secret, group 2 the colon before a password in an address.
+SECRETS = r"""(password|secret|key|token|auth)['"]?\s*[:=]\s*['"]?[^'"\s,]+['"]?|(:)[^:/@]+@"""
 
 # --- Dead letters ------------------------------------------------------------------
 MAX_RETRIES = 5

@@ -14,9 +14,7 @@ _STRIP = r"(?dU)^\s+|\s+\z"
 
 # Two code points that are never text mark what a match was until the wording is put in.
 _MARK, _END = "﷐", "﷑"
-_SECRET = (
-    f"(?iU)({fixed.SECRET_WORDS}){fixed.SECRET_VALUE}|(:){fixed.DSN_PASSWORD_TAIL}"
-)
+_SECRET = "(?iU)" + fixed.SECRETS
 
 
 def strip(text: Column) -> Column:

@@ -7,6 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import grids
 from revpulse import fixed
 from revpulse.functions import seasonal
 from revpulse.operators import baseline
@@ -73,6 +74,6 @@ def test_every_ratio_has_a_severity(spark, ratios):
 
 @pytest.mark.parametrize("days", [1, 2])
 def test_grid_size(spark, days):
-    grid = baseline.expected_grid(spark, dt.datetime(2025, 1, 1), days)
+    grid = grids.expected_grid(spark, dt.datetime(2025, 1, 1), days)
     row = grid.agg(F.count("*"), F.min("expected_revenue"), F.countDistinct("window_start", "category", "region")).first()
     assert row[0] == row[2] == days * 288 * 25 and row[1] > 0

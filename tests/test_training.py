@@ -5,13 +5,14 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+import grids
 from revpulse.operators import baseline, detect, ml
 from revpulse.sources import warehouse
 
 
 @pytest.fixture(scope="module")
 def grid(spark):
-    return ml.build_training_grid(spark, days=2, seed=7).cache()
+    return grids.build_training_grid(spark, days=2, seed=7).cache()
 
 
 @pytest.fixture(scope="module")
@@ -34,7 +35,7 @@ def test_grid(grid):
 
 
 def test_grid_is_repeatable(spark, grid):
-    assert ml.data_fingerprint(ml.build_training_grid(spark, days=2, seed=7).repartition(3)).first() == ml.data_fingerprint(grid).first()
+    assert ml.data_fingerprint(grids.build_training_grid(spark, days=2, seed=7).repartition(3)).first() == ml.data_fingerprint(grid).first()
 
 
 def test_split_keeps_class_shares(grid):
