@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,7 +79,10 @@ def _edges_of(counts: DataFrame, by: list[str], bins: int, exact: bool, few_grou
 def histogram(samples: DataFrame, by: list[str], bins: int = 10, exact: bool = True, few_groups: bool = False) -> DataFrame:
     """Rows per ``by`` and bin for ``samples(by…, value, slice)``, counted for the slices
     ``expected`` and ``actual`` over edges shared by both.  Bins without rows are there with 0."""
-    counts = _slice_counts(samples, by)
+    return _histogram_of(_slice_counts(samples, by), by, bins, exact, few_groups)
+
+
+def _histogram_of(counts: DataFrame, by: list[str], bins: int, exact: bool, few_groups: bool) -> DataFrame:
     edges = _edges_of(counts, by, bins, exact, few_groups)
     # A group of one value has one edge; its rows lie in bin 0, as bin_index has it.
     every = edges.select(*by, F.explode(F.sequence(F.lit(0), F.greatest(F.size("edges") - 2, F.lit(0)))).alias("bin"))
@@ -97,14 +103,18 @@ def psi_by_measure(expected: DataFrame, actual: DataFrame, columns: list[str], b
     def long(df: DataFrame, name: str) -> DataFrame:
         return df.select(pairs, F.lit(name).alias("slice")).select("m.*", "slice")
 
-    counts = histogram(long(expected, "expected").unionByName(long(actual, "actual")), ["measure"], bins, exact, few_groups=True)
-    whole = Window.partitionBy("measure")  # one row per bin
+    return _psi_of(histogram(long(expected, "expected").unionByName(long(actual, "actual")), ["measure"], bins, exact, few_groups=True), ["measure"])
+
+
+def _psi_of(counts: DataFrame, by: list[str]) -> DataFrame:
+    """(by…, psi) of a histogram."""
+    whole = Window.partitionBy(*by)  # one row per bin
 
     def share(rows):
         return F.greatest(F.try_divide(F.col(rows), F.sum(rows).over(whole)), F.lit(fixed.PSI_FLOOR))
 
-    shares = counts.select("measure", share("expected_rows").alias("e"), share("actual_rows").alias("a"))
-    return shares.groupBy("measure").agg(F.sum((F.col("a") - F.col("e")) * F.ln(F.col("a") / F.col("e"))).alias("psi"))
+    shares = counts.select(*by, share("expected_rows").alias("e"), share("actual_rows").alias("a"))
+    return shares.groupBy(*by).agg(F.sum((F.col("a") - F.col("e")) * F.ln(F.col("a") / F.col("e"))).alias("psi"))
 
 
 def psi(expected: DataFrame, actual: DataFrame, col: str, bins: int = 10, exact: bool = True) -> DataFrame:
@@ -131,10 +141,15 @@ def drift_report(
     enough = baseline.agg(F.count("*")).scalar() >= min_rows
 
     told = F.col("windows") >= min_rows
-    report = score_stats(scored).withColumn("__psi", by_name).withColumn("__told", told)
-    report = report.select(
-        moment(as_of, metrics, "window_start").alias("measured_at"),
-        F.lit(hours).alias("window_hours"),
+    return _told(score_stats(scored).withColumn("__psi", by_name).withColumns({
+        "measured_at": moment(as_of, metrics, "window_start"), "window_hours": F.lit(hours), "__told": told, "__enough": enough}))
+
+
+def _told(figures: DataFrame) -> DataFrame:
+    """The drift row of its figures."""
+    told, enough = F.col("__told"), F.col("__enough")
+    report = figures.select(
+        "measured_at", "window_hours",
         *[F.when(told, F.col(c)).alias(c) for c in ("anomaly_rate", "avg_score", "score_std")],
         F.when(told & enough, F.col("__psi.revenue")).alias("psi_revenue"),
         F.when(told & enough, F.col("__psi.orders")).alias("psi_order_count"),
@@ -155,6 +170,60 @@ def drift_report(
     return report.withColumns({"drift_flag": found != "", "notes": notes}).drop("__told")
 
 
+_MEASURES = ["total_revenue", "order_count"]
+
+
+def summarise(metrics: DataFrame) -> DataFrame:
+    """(hour, measure, value, n): how many windows of an hour have a value.  Summaries of different windows add up."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in _MEASURES])).alias("m")
+    hours = metrics.select(F.date_trunc("hour", "window_start").cast(metrics.schema["window_start"].dataType).alias("hour"), pairs)
+    return hours.groupBy("hour", "m.measure", "m.value").agg(F.count("*").alias("n"))
+
+
+def drift_reports(
+    summaries: DataFrame, metrics: DataFrame, anomalies: DataFrame, as_of: dt.datetime, hours: Sequence[int] = (24, 48), baseline_days: int = 7,
+    exact: bool = True, min_rows: int = fixed.DRIFT_MIN_ROWS,
+) -> DataFrame:
+    """A row of :func:`drift_report` per look-back, all from one pass over the hourly ``summaries``.
+
+    Of ``metrics`` only the hours that a look-back cuts in two are read.  Scores come from the anomalies alone: a window without one
+    scores 0.  Every anomaly's window has to be among the metrics.
+    """
+    start = as_of - dt.timedelta(days=baseline_days)
+    lows = {h: as_of - dt.timedelta(hours=h) for h in hours}
+    floor = lambda t: t.replace(minute=0, second=0, microsecond=0)
+    cut = sorted({floor(t) for t in (start, *lows.values()) if t != floor(t)})
+    kind = metrics.schema["window_start"].dataType
+    at = lambda t: F.lit(str(t)).cast(kind)
+    inner = summaries.where((F.col("hour") >= at(floor(start))) & ~F.col("hour").isin([at(t) for t in cut] or [F.lit(None).cast(kind)]) if cut else F.col("hour") >= at(floor(start)))
+    edge = F.lit(False)
+    for t in cut:
+        edge = edge | ((F.col("window_start") >= at(t)) & (F.col("window_start") < at(t + dt.timedelta(hours=1))))
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in _MEASURES])).alias("m")
+    fringe = metrics.where(edge).select(F.col("window_start").alias("t"), pairs, F.lit(1).cast("long").alias("n")).select("t", "m.measure", "m.value", "n")
+    rows = inner.select(F.col("hour").alias("t"), "measure", "value", "n").unionByName(fringe).where(F.col("t") >= at(start))
+    spans = F.explode(F.array(*[F.struct(F.lit(h).alias("window_hours"), (F.col("t") >= at(low)).alias("late")) for h, low in lows.items()])).alias("s")
+    rows = rows.select("measure", "value", "n", spans).select("s.window_hours", "measure", "value", F.when(F.col("s.late"), F.col("n")).otherwise(0).alias("a"),
+                                                               F.when(F.col("s.late"), 0).otherwise(F.col("n")).alias("e"))
+    by = ["window_hours", "measure"]
+    counts = value_counts(rows, "value", by, [F.sum(F.col("a") + F.col("e")).alias("all_rows"), F.sum("e").alias("expected_rows"), F.sum("a").alias("actual_rows")])
+    stability = _psi_of(_histogram_of(counts, by, 10, exact, few_groups=True), by).groupBy("window_hours").agg(
+        *[F.max(F.when(F.col("measure") == m, F.col("psi"))).alias(name) for m, name in zip(_MEASURES, ("revenue", "orders"))])
+    sizes = counts.where(F.col("measure") == "order_count").groupBy("window_hours").agg(F.sum("actual_rows").alias("windows"), F.sum("expected_rows").alias("before"))
+    score = F.col("anomaly_score").cast("double")
+    seen = anomalies.where(F.col("window_start") >= at(min(lows.values()))).select(score.alias("s"), F.explode(F.array(
+        *[F.struct(F.lit(h).alias("window_hours"), (F.col("window_start") >= at(low)).alias("late")) for h, low in lows.items()])).alias("x")).where("x.late")
+    scores = seen.groupBy(F.col("x.window_hours").alias("window_hours")).agg(F.count_if(F.col("s") > 0.5).alias("hits"), F.sum("s").alias("s1"), F.sum(F.col("s") * F.col("s")).alias("s2"))
+    every = metrics.sparkSession.createDataFrame([(h,) for h in hours], "window_hours int")
+    n = F.coalesce("windows", F.lit(0))
+    some = lambda c: F.coalesce(c, F.lit(0.0))
+    spread = F.sqrt(F.greatest(F.try_divide(some("s2") - F.try_divide(some("s1") * some("s1"), n), n - 1), F.lit(0.0)))
+    joined = every.join(F.broadcast(sizes), "window_hours", "left").join(F.broadcast(stability), "window_hours", "left").join(F.broadcast(scores), "window_hours", "left")  # a row a look-back
+    return _told(joined.select(
+        at(as_of).alias("measured_at"), "window_hours", F.try_divide(some("hits"), n).alias("anomaly_rate"), F.try_divide(some("s1"), n).alias("avg_score"), spread.alias("score_std"),
+        F.struct("revenue", "orders").alias("__psi"), (n >= min_rows).alias("__told"), (F.coalesce("before", F.lit(0)) >= min_rows).alias("__enough")))
+
+
 def latest_drift(drift_log: DataFrame) -> DataFrame:
     """The newest drift row with a label for its revenue index."""
     index = F.col("psi_revenue")

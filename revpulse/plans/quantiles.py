@@ -47,7 +47,7 @@ def quantiles_of_counts(
     distinct values and how often each occurs."""
     rows = counts.select(*by, F.col(value).alias("__v"), F.col(n).alias("__n"), F.lit(0).cast("bigint").alias("__range"))
     size = counts.count()
-    levels = max(1, math.ceil(math.log(max(size / ROWS_PER_RANGE, 1), _RANGES)))
+    levels = math.ceil(math.log(max(size / ROWS_PER_RANGE, 1), _RANGES))  # none while one range holds all
     positions = F.array(*[F.lit(float(p)) for p in probs])
     # Per group the ranges that hold wanted ranks: at first all values are one range.
     wanted = (

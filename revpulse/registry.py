@@ -468,6 +468,24 @@ def _drift_log(v):
     )
 
 
+@query
+def drift_reports_stored(v):
+    """The rows for 24 and 48 hours from the stored hourly summaries, of which each half was added apart."""
+    table = keyed.StoredTable(v.spark, warehouse.fresh_path(v.spark, "summaries"), ["hour", "measure", "value"], time="hour")
+    for half in _halves_of_days(v.revenue_metrics):
+        table.put(keyed.held(drift.summarise(half)))
+    as_of = v.as_of.first()[0]
+    stored = table.read(lambda day: day >= str(as_of - dt.timedelta(days=8))[:10])
+    row = drift.drift_reports(stored, v.revenue_metrics, v.anomalies, as_of)
+    digits = {"anomaly_rate": 8, "avg_score": 8, "score_std": 8, "psi_revenue": 6, "psi_order_count": 6}
+    return row.withColumns({c: F.round(c, n) for c, n in digits.items()})
+
+
+def _halves_of_days(metrics):
+    odd = F.dayofmonth("window_start") % 2 == 1
+    return metrics.where(odd), metrics.where(~odd)
+
+
 @query
 def latest_drift(v):
     return drift.latest_drift(_drift_log(v))

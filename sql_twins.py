@@ -403,6 +403,7 @@ query("drift_report", f"SELECT * FROM {drift_sql(24)}", "drift_24")
 query("log_drift", f"""
 SELECT measured_at, window_hours, drift_flag, notes FROM drift_24
 UNION ALL SELECT measured_at, window_hours, drift_flag, notes FROM {drift_sql(48)}""", "drift_24", "drift_48")
+query("drift_reports_stored", f"SELECT * FROM {drift_sql(24)} UNION ALL SELECT * FROM {drift_sql(48)}", "drift_24", "drift_48")
 query("latest_drift", """
 SELECT measured_at, anomaly_rate, avg_score, score_std, psi_revenue, drift_flag, notes,
   CASE WHEN psi_revenue > 0.2 THEN 'High drift' WHEN psi_revenue > 0.1 THEN 'Monitor' END AS psi_label

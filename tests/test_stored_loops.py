@@ -239,3 +239,20 @@ def test_figures_without_reading_rows(spark, views, tmp_path):
     health = serving.system_health(views.order_events, table.stats()["newest"], views.as_of)
     assert health.collect() == serving.system_health(views.order_events, table.read(), views.as_of).collect()
     assert not any("/t/data/" in f for f in health.inputFiles())
+
+
+@pytest.mark.parametrize("as_of,hours", [("2024-01-20 13:17:05", (24, 48)), ("2024-01-20 12:00:00", (24, 3)), ("2023-12-01 00:00:00", (24,))])
+def test_drift_from_summaries(spark, views, tmp_path, as_of, hours):
+    from revpulse.operators import drift
+
+    upto = dt.datetime.fromisoformat(as_of)
+    metrics = views.revenue_metrics.where(F.col("window_start") < F.lit(as_of).cast("timestamp_ntz")).checkpoint()
+    anomalies = views.anomalies.where(F.col("window_start") < F.lit(as_of).cast("timestamp_ntz")).checkpoint()
+    table = StoredTable(spark, str(tmp_path / "s"), ["hour", "measure", "value"], time="hour")
+    table.put(drift.summarise(metrics).checkpoint())
+    digits = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else str(x) for x in r) for r in df.collect())
+    names = ["window_hours", "anomaly_rate", "avg_score", "score_std", "psi_revenue", "psi_order_count", "drift_flag", "notes"]
+    want = [r for h in hours for r in digits(drift.drift_report(metrics, anomalies, as_of, h).select(*names))]
+    stored = table.read()
+    stored = spark.createDataFrame([], "hour timestamp_ntz, measure string, value double, n long") if stored is None else stored
+    assert digits(drift.drift_reports(stored, metrics, anomalies, upto, hours).select(*names)) == sorted(want)
