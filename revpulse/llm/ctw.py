@@ -8,10 +8,11 @@ weight when a new bit is predicted.  A context never seen predicts one half.
 
 The model reads the lower-cased words of a text joined by single spaces, then one end byte.
 
-How it is spread.  Counts of (context, byte) are summed over all training texts; the trees below two context bytes are built
-apart, in parallel; the two levels above have at most 65,535 nodes.  For scoring, the contexts are cut into blocks
-of at most ``BLOCK`` entries by their last two bytes, each block is broadcast in a pass of its own, and a text's score is the
-sum of its passes, so nothing that is broadcast grows with the data.
+How it is spread.  Counts of (context, byte) are summed over all training texts; the trees below three context bytes are built
+apart, in parallel (so the most frequent pair of bytes is many tasks), the level above from their sums, and the two above that have at
+most 65,535 nodes.  For scoring, the contexts are cut into blocks of at most ``BLOCK`` entries by their last two bytes, or
+three where a pair has more; each block is broadcast in a pass of its own, and a text's score is the sum of its passes.  A block
+of one triple has 2**24 entries at the very most, so nothing that is broadcast grows with the data; the number of passes does.
 
 The baseline needs the count of every word.  Words with at least a millionth of all tokens (so at most a million words) are
 broadcast; the others are joined on their hash.  Words are told apart by 64-bit hashes.
@@ -232,17 +233,17 @@ def _count(depth: int):
     return run
 
 
-def _subtrees(depth: int, second: bool):
-    """For the grams of one partition: with ``second`` the counts of the nodes with two context bytes, else the weights of
-    the nodes with two bytes or more (the longest, which have none, left out)."""
+def _subtrees(depth: int, split: int, second: bool):
+    """For the grams of one partition: with ``second`` the sums of the nodes with ``split`` context bytes, else the weights of
+    the nodes with as many or more (the longest, which have none, left out)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [(b["key"].to_numpy().view(np.uint64), b["n"].to_numpy()) for b in batches]
         if not parts:
             return
         keys, counts = (np.concatenate(p) for p in zip(*parts))
         order = np.argsort(keys)
-        for e in build(keys[order], counts[order], depth, 2):
-            if second and e["depth"] == 2:
+        for e in build(keys[order], counts[order], depth, split):
+            if second and e["depth"] == split:
                 yield pa.RecordBatch.from_arrays([pa.array(e["node"].view(np.int64)), pa.array(e["zeros"]), pa.array(e["ones"]), pa.array(e["weighted"])],
                                                  names=["node", "zeros", "ones", "weighted"])
             elif not second and e["depth"] < depth:
@@ -251,6 +252,31 @@ def _subtrees(depth: int, second: bool):
     return run
 
 
+def _mixed(zeros: np.ndarray, ones: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weighted, weight, one) of nodes from their counts and the sum of their extensions' weighted probabilities."""
+    own = log_kt(zeros, ones)
+    weighted = np.logaddexp(own, inside) - np.log(2)
+    return weighted, np.exp(own - np.log(2) - weighted), (ones + 0.5) / (zeros + ones + 1.0)
+
+
+def _middle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes with two context bytes from the sums of those with three."""
+    for batch in batches:
+        zeros, ones, inside = (batch[c].to_numpy() for c in ("zeros", "ones", "weighted"))
+        weighted, weight, one = _mixed(zeros, ones, inside)
+        yield pa.RecordBatch.from_arrays([batch["node"], batch["zeros"], batch["ones"], *map(pa.array, (weighted, weight, one))],
+                                         names=["node", "zeros", "ones", "weighted", "weight", "one"])
+
+
+_SUMS = "node long, zeros long, ones long, weighted double"
+
+
+def _sums_above(nodes: DataFrame) -> DataFrame:
+    """Sums of nodes over the nodes one context byte shorter."""
+    up = (F.shiftleft(F.shiftright("node", 16), 8) + F.col("node").bitwiseAND(255)).alias("node")
+    return nodes.groupBy(up).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("weighted"))
+
+
 def _top(second: pa.Table) -> list[dict]:
     """Depths 1 and 0 from depth-2 nodes summed by their last byte and node: at most 65,280 rows."""
     node = second["node"].to_numpy().view(np.uint64)
@@ -258,9 +284,8 @@ def _top(second: pa.Table) -> list[dict]:
     node, zeros, ones, inside = (x[order] for x in (node, *(second[c].to_numpy() for c in ("zeros", "ones", "weighted"))))
     out = []
     for d in (1, 0):
-        own = log_kt(zeros, ones)
-        weighted = np.logaddexp(own, inside) - np.log(2)
-        out.append({"depth": d, "node": node, "weight": np.exp(own - np.log(2) - weighted), "one": (ones + 0.5) / (zeros + ones + 1.0)})
+        weighted, weight, one = _mixed(zeros, ones, inside)
+        out.append({"depth": d, "node": node, "weight": weight, "one": one})
         if d:
             up, at = np.unique(node & np.uint64(255), return_inverse=True)
             zeros, ones, inside = (np.bincount(at, weights=x, minlength=len(up)) for x in (zeros, ones, weighted))
@@ -268,6 +293,30 @@ def _top(second: pa.Table) -> list[dict]:
     return out
 
 
+class Blocks:
+    """The block of every context: by its last two bytes, for the ``large`` pairs by its last three.  Unseen contexts are in block 0."""
+
+    def __init__(self, large: list[int]):
+        self.pairs, self.triples, self.count = np.zeros(1 << 16, np.int32), np.zeros((len(large), 256), np.int32), 1
+        self.large = np.full(1 << 16, -1, np.int32)
+        self.large[large] = np.arange(len(large))
+
+    def of(self, gram: np.ndarray, depth: int) -> np.ndarray:
+        pair = (gram >> np.uint64(8 * depth - 8)).astype(np.int64)
+        out, row = self.pairs[pair], self.large[pair]
+        many = np.flatnonzero(row >= 0)
+        if len(many):
+            out[many] = self.triples[row[many], (gram[many] >> np.uint64(8 * depth - 16) & np.uint64(255)).astype(np.int64)]
+        return out
+
+    def members(self, b: int) -> tuple[list[int], list[int]]:
+        """(pairs, triples) of a block."""
+        whole = np.flatnonzero((self.pairs == b) & (self.large < 0))
+        rows, third = np.nonzero(self.triples == b)
+        pair = np.flatnonzero(self.large >= 0)[np.argsort(self.large[self.large >= 0])][rows] if len(rows) else rows
+        return whole.tolist(), (pair << 8 | third).tolist()
+
+
 class Trained:
     """Counts and nodes as tables, and the figures that describe them."""
 
@@ -281,42 +330,68 @@ class Trained:
         self.grams = counts.where(F.col("kind") == _GRAMS).select("key", "n")
         total = self.words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
         self.tokens, self.distinct = int(total["n"] or 0), int(total["v"])
+        self.split = min(3, depth)
         self.pair = F.shiftright("key", 8 * depth - 8).alias("pair")  # the last two context bytes
+        self.part = F.shiftright("key", 8 * (depth - self.split) + 8).alias("part")  # the last three
         tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.parted = self.grams.repartition(tasks, self.pair)  # a tree below two bytes lies in one partition
-        second = self.parted.mapInArrow(_subtrees(depth, True), "node long, zeros long, ones long, weighted double").groupBy(
-            (F.shiftleft(F.shiftright("node", 16), 8) + F.col("node").bitwiseAND(255)).alias("node")
-        ).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("weighted")).toArrow()
-        self.top = _top(second)
+        self.parted = self.grams.repartition(tasks, self.part)  # a tree below three bytes lies in one partition
+        nodes = self.parted.mapInArrow(_subtrees(depth, self.split, True), _SUMS)
+        self.middle = None
+        if self.split == 3:
+            self.middle = nodes = cut(_sums_above(nodes).mapInArrow(_middle, f"{_SUMS}, weight double, one double"))
+        self.top = _top(_sums_above(nodes).toArrow())
 
     def frequent(self) -> tuple[np.ndarray, np.ndarray]:
         """Hashes and counts of the words with at least a FREQUENT-th of all tokens."""
         t = self.words.where(F.col("n") * FREQUENT >= self.tokens).toArrow()
         return t["key"].to_numpy().view(np.uint64), t["n"].to_numpy()
 
-    def blocks(self, most: int) -> np.ndarray:
-        """The block of every pair of last context bytes: runs of pairs of at most ``most`` grams (or one pair)."""
+    def blocks(self, most: int) -> Blocks:
+        """Runs of pairs of last context bytes with at most ``most`` grams; a pair with more is cut by its third byte."""
         per = self.grams.groupBy(self.pair).count().toArrow()  # at most 65,536 rows
-        size = np.zeros(1 << 16, np.int64)
-        size[per["pair"].to_numpy()] = per["count"].to_numpy()
-        block, now, held = np.zeros(1 << 16, np.int32), 0, 0
-        for p in np.flatnonzero(size):
-            if held and held + size[p] > most:
+        size = dict(zip(per["pair"].to_numpy().tolist(), per["count"].to_numpy().tolist()))
+        large = sorted(p for p, n in size.items() if n > most) if self.split == 3 else []
+        groups = [(p, None, n) for p, n in size.items() if p not in set(large)]
+        if large:
+            wanted = F.broadcast(self.grams.sparkSession.createDataFrame([(p,) for p in large], "pair long"))
+            split = self.grams.withColumn("pair", self.pair).join(wanted, "pair", "left_semi").groupBy(self.part).count().collect()  # 256 a large pair
+            groups += [(r["part"] >> 8, r["part"] & 255, r["count"]) for r in split]
+        block, now, held = Blocks(large), 0, 0
+        for pair, third, n in sorted(groups, key=lambda g: (g[0], g[1] or 0)):
+            if held and held + n > most:
                 now, held = now + 1, 0
-            block[p], held = now, held + size[p]
+            held += n
+            if third is None:
+                block.pairs[pair] = now
+            else:
+                block.triples[large.index(pair), third] = now
+        block.count = now + 1
         return block
 
-    def block(self, of: np.ndarray, b: int) -> tuple[Model, np.ndarray, np.ndarray]:
+    def block(self, of: Blocks, b: int) -> tuple[Model, np.ndarray, np.ndarray]:
         """(model, gram keys, their log10 probabilities) of one block."""
         spark = self.grams.sparkSession
-        grams, parted = self.grams, self.parted
-        if of.max():
-            wanted = F.broadcast(spark.createDataFrame([(int(p),) for p in np.flatnonzero(of == b)], "pair long"))
-            grams, parted = (x.withColumn("pair", self.pair).join(wanted, "pair", "left_semi").select("key", "n") for x in (grams, parted))
-        nodes = parted.mapInArrow(_subtrees(self.depth, False), "key long, weight double, one double").toArrow()
+        grams, parted, middle = self.grams, self.parted, self.middle
+        if of.count > 1:
+            pairs, triples = of.members(b)
+            whole = F.broadcast(spark.createDataFrame([(p,) for p in pairs], "pair long"))
+            some = F.broadcast(spark.createDataFrame([(t,) for t in triples], "part long"))
+
+            def mine(x: DataFrame) -> DataFrame:
+                keys = x.withColumn("pair", self.pair).withColumn("part", self.part)
+                found = keys.join(whole, "pair", "left_semi")
+                return (found.unionByName(keys.join(some, "part", "left_semi")) if triples else found).select("key", "n")
+
+            grams, parted = mine(grams), mine(parted)
+            if middle is not None:
+                near = F.broadcast(spark.createDataFrame([(p,) for p in sorted({*pairs, *(t >> 8 for t in triples)})], "pair long"))
+                middle = middle.withColumn("pair", F.shiftright("node", 8)).join(near, "pair", "left_semi")
+        nodes = [parted.mapInArrow(_subtrees(self.depth, self.split, False), "key long, weight double, one double").toArrow()]
+        if middle is not None:
+            nodes.append(middle.select((F.col("node") + F.lit(2 << int(_DEPTH_AT))).alias("key"), "weight", "one").toArrow())
         counts = grams.toArrow()
-        key = np.concatenate([nodes["key"].to_numpy().view(np.uint64), *[np.uint64(e["depth"]) << _DEPTH_AT | e["node"] for e in self.top]])
-        weight, one = (np.concatenate([nodes[c].to_numpy(), *[e[c] for e in self.top]]) for c in ("weight", "one"))
+        key = np.concatenate([*[t["key"].to_numpy().view(np.uint64) for t in nodes], *[np.uint64(e["depth"]) << _DEPTH_AT | e["node"] for e in self.top]])
+        weight, one = (np.concatenate([*[t[c].to_numpy() for t in nodes], *[e[c] for e in self.top]]) for c in ("weight", "one"))
         model = Model(counts["key"].to_numpy().view(np.uint64), counts["n"].to_numpy(), key, weight, one, self.depth)
         del nodes, counts
         shared = spark.sparkContext.broadcast(model)
@@ -340,7 +415,6 @@ def _score(shared, with_words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, keys, p, frequent, logs, of, b = shared.value
         known, words_at = HashIndex(keys), HashIndex(frequent)
-        pair_at = np.uint64(8 * table.depth - 8)
 
         def batch_of(cols: list, n: int, kind: int) -> pa.RecordBatch:
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
@@ -353,7 +427,7 @@ def _score(shared, with_words: bool):
             n = batch.num_rows
             data, first = model_bytes(w)
             gram = gram_keys(data, first, table.depth)
-            mine = of[gram >> pair_at] == b
+            mine = of.of(gram, table.depth) == b
             at = known.find(gram)
             part = np.where(at >= 0, np.r_[p, 0.0][at], 0.0)
             missing = np.flatnonzero((at < 0) & mine)
@@ -396,7 +470,7 @@ def score(docs: DataFrame, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
     logs = np.log10((counts + 0.1) / below)
     of = trained.blocks(block)
     rows = None
-    for b in range(int(of.max()) + 1):
+    for b in range(of.count):
         table, keys, p = trained.block(of, b)
         shared = spark.sparkContext.broadcast((table, keys, p, hashes, logs, of, b))
         part = base.mapInArrow(_score(shared, b == 0), _ROWS)
@@ -404,7 +478,7 @@ def score(docs: DataFrame, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
     rare = trained.words.where(F.col("n") * FREQUENT < trained.tokens).select(F.col("key").alias("h"), F.lit(0).alias("kind"), F.col("n").alias("c"))
     met = rows.join(rare, ["h", "kind"], "left")
     word = F.col("kind") == 0
-    passes = int(of.max()) + 1
+    passes = of.count
     per = met.groupBy("id").agg(
         F.max("doc_id").alias("doc_id"), F.max("held").alias("held"), F.max("n_tokens").alias("n_tokens"), F.max("n_bytes").alias("n_bytes"),
         (F.sum(F.when(~word, 1)) / passes).cast("int").alias("times"), F.sum("n_known").alias("near"), F.sum("base").alias("base"), F.sum("model").alias("model"),
