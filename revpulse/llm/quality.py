@@ -227,7 +227,7 @@ def _surest(base: DataFrame, known: np.ndarray, views: dict, given: dict, most:
 
     met = base.mapInArrow(run, "pair int, label int, __key long, sure double").groupBy("pair", "label", "__key").agg(F.max("sure").alias("sure"))
     rank = lambda *by: F.row_number().over(Window.partitionBy("pair", "label", *by).orderBy(F.desc("sure"), "__key"))
-    spread = met.withColumn("share", F.pmod(F.xxhash64("__key"), F.lit(64)))  # 256 groups first, so the four meet what is left of 64
+    spread = met.withColumn("share", F.pmod(F.xxhash64("__key"), F.lit(8)))  # 32 groups first, so the four meet at most eight times as many as they keep
     best = spread.withColumn("rank", rank("share")).where(F.col("rank") <= max(most)).drop("rank", "share")
     ranked = best.withColumn("rank", rank()).where(F.col("rank") <= max(most))  # a constant: each task passes on no more than that
     top = ranked.where(F.col("rank") <= F.when(F.col("label") == 1, most[1]).otherwise(most[0])).collect()
