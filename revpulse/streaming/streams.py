@@ -14,6 +14,7 @@ window is kept as a correction, so orders, metrics and features agree.
 from __future__ import annotations
 
 import datetime as dt
+import json
 import threading
 import time
 from collections.abc import Callable, Iterable, Mapping
@@ -29,6 +30,7 @@ from revpulse.operators.baseline import engineer_features
 from revpulse.operators.detect import WINDOW_KEY, as_anomalies, critical_alerts, rule_anomalies, score_windows
 from revpulse.operators.ingest import dedup_events, route_dead_letters, validate_events, with_event_time
 from revpulse.operators.windows import KEY, features_from_windows, revenue_metrics
+from revpulse.sources.files import Folder
 from revpulse.sources.keyed import StoredTable, held
 from revpulse.sources.orders import POSITION, parse_order_events, read_order_stream
 from revpulse.sources.warehouse import write_batch
@@ -44,6 +46,12 @@ def clean_events(checked_good: DataFrame, delay: str = "2 minutes") -> DataFrame
     return dedup_events(with_event_time(checked_good, delay))
 
 
+def _writer(spark: SparkSession, checkpoint_dir: str, name: str) -> str:
+    """Who numbers the batches of a query: the id that its checkpoint was given.  A query that starts over with a new checkpoint
+    counts from 0 again, and its batches must not be taken for those of the old one."""
+    return f"{name}:{json.loads(Folder(spark, f'{checkpoint_dir}/{name}').read('metadata'))['id']}"
+
+
 def _start(frame: DataFrame, sink, mode: str, name: str, checkpoint_dir: str, trigger: dict) -> StreamingQuery:
     return (
         frame.writeStream.foreachBatch(sink).outputMode(mode).queryName(name)
@@ -108,7 +116,7 @@ def start_order_events(events: DataFrame, sink_dir: str, checkpoint_dir: str, tr
     def sink(batch: DataFrame, batch_id: int) -> None:
         rows = held(batch.withColumn("ingested_at", F.current_timestamp()))
         if not rows.isEmpty():
-            accept_orders(rows, sink_dir, batch_id)
+            accept_orders(rows, sink_dir, batch_id, _writer(batch.sparkSession, checkpoint_dir, "order_events"))
 
     return _start(events, sink, "append", "order_events", checkpoint_dir, trigger)
 
@@ -161,7 +169,7 @@ def start_revenue_metrics(
     def sink(batch: DataFrame, batch_id: int) -> None:
         changed = held(batch)  # the stateful plan runs once
         if not changed.isEmpty():
-            metrics_table(batch.sparkSession, sink_dir).put(changed, once=("revenue_metrics", batch_id))
+            metrics_table(batch.sparkSession, sink_dir).put(changed, once=(_writer(batch.sparkSession, checkpoint_dir, "revenue_metrics"), batch_id))
             refresh_features(changed, sink_dir)
         if feature_hours is not None and batch_id % purge_every == purge_every - 1:
             table = features_table(batch.sparkSession, sink_dir)
@@ -186,7 +194,7 @@ def start_detection(events: DataFrame, sink_dir: str, checkpoint_dir: str, trigg
     def sink(batch: DataFrame, batch_id: int) -> None:
         closed = held(batch)
         if not closed.isEmpty():
-            grade_windows(closed, sink_dir, batch_id, model)
+            grade_windows(closed, sink_dir, batch_id, model, _writer(batch.sparkSession, checkpoint_dir, "detection"))
 
     return _start(revenue_metrics(events), sink, "append", "detection", checkpoint_dir, trigger)
 
