@@ -448,7 +448,7 @@ def _score(shared, with_words: bool):
                 order = np.lexsort((h, doc))
                 h, doc = h[order], doc[order]
                 heads = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]) if len(h) else np.zeros(0, np.int64)
-                yield batch_of(list({"h": h[heads].view(np.int64), "id": ids[doc[heads]], "n": np.diff(np.r_[heads, len(h)])}.items()), len(heads), 0)
+                yield batch_of(list({"h": h[heads].view(np.int64), "id": ids[doc[heads]], "doc_id": batch["doc_id"].take(pa.array(doc[heads])), "n": np.diff(np.r_[heads, len(h)])}.items()), len(heads), 0)
             yield batch_of(list(row.items()), n, 1)
     return run
 
@@ -479,8 +479,8 @@ def score(docs: DataFrame, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
     met = rows.join(rare, ["h", "kind"], "left")
     word = F.col("kind") == 0
     passes = of.count
-    per = met.groupBy("id").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held").alias("held"), F.max("n_tokens").alias("n_tokens"), F.max("n_bytes").alias("n_bytes"),
+    per = met.groupBy("doc_id", "id").agg(  # rows of one id are told apart by a hash of their texts
+        F.max("held").alias("held"), F.max("n_tokens").alias("n_tokens"), F.max("n_bytes").alias("n_bytes"),
         (F.sum(F.when(~word, 1)) / passes).cast("int").alias("times"), F.sum("n_known").alias("near"), F.sum("base").alias("base"), F.sum("model").alias("model"),
         F.sum(F.when(word & (F.col("c") > 0), F.col("n"))).alias("far"),
         F.sum(F.when(word, F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(below)))).alias("far_base"),
