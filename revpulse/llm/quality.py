@@ -147,18 +147,26 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One view from its training rows (view, id, key, y, held, x): weights, and slope and offset by the rows held back."""
     held: dict[str, list] = {}
     for batch in batches:
-        for view, y, back, x in zip(batch["view"].to_pylist(), batch["y"].to_pylist(), batch["held"].to_pylist(), batch["x"]):
+        views = np.array(batch["view"].to_pylist(), object)
+        for view in dict.fromkeys(views):
+            part = batch.filter(pa.array(views == view))
             kind = np.float16 if view == "text" else np.float32
-            held.setdefault(view, []).append((y, back, np.frombuffer(x.as_buffer(), kind).copy()))
+            x = part["x"].cast(pa.large_binary())
+            at = np.frombuffer(x.buffers()[1], np.int64, len(x) + 1, x.offset * 8)
+            flat = np.frombuffer(x.buffers()[2], np.uint8)[at[0]:at[-1]].view(kind)  # all vectors have one length
+            held.setdefault(view, []).append((part["y"].to_numpy(), part["held"].to_numpy(zero_copy_only=False), flat.reshape(len(x), -1).copy()))
+        del batch
     for view in list(held):
-        rows = held.pop(view)
-        y, back = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], bool)
-        order = np.argsort(back, kind="stable")  # training rows first, so that none is copied
-        x = np.empty((len(rows), len(rows[0][2])), np.float32)
-        for i, j in enumerate(order):
-            x[i] = rows[j][2]
-        del rows
-        y, n = y[order], int((~back).sum())
+        parts = held.pop(view)
+        y, back = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        place = np.empty(len(y), np.int64)
+        place[np.argsort(back, kind="stable")] = np.arange(len(y))  # training rows first, so that none is copied
+        x, done = np.empty((len(y), parts[0][2].shape[1]), np.float32), 0
+        while parts:
+            _, _, part = parts.pop(0)
+            x[place[done:done + len(part)]] = part
+            done += len(part)
+        y, n = y[np.argsort(place)].astype(float), int((~back).sum())
         fitted = Logistic(1e-3).fit(x[:n], y[:n])
         slope, offset = _platt(fitted.score(x[n:]).astype(float), y[n:])
         yield pa.RecordBatch.from_arrays(
