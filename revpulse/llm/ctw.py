@@ -158,6 +158,14 @@ def build(keys: np.ndarray, counts: np.ndarray, depth: int, least: int, below: d
     return out
 
 
+def _sorted(x: np.ndarray, order: np.ndarray, last) -> np.ndarray:
+    """``x`` in that order and one more entry, in a single copy."""
+    out = np.empty(len(x) + 1, x.dtype)
+    np.take(x, order, out=out[:-1])
+    out[-1] = last
+    return out
+
+
 class Model:
     """Sorted (context, byte) keys with their counts, and the weights of all shorter contexts.
 
@@ -166,9 +174,9 @@ class Model:
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, node: np.ndarray, weight: np.ndarray, one: np.ndarray, depth: int):
         order = np.argsort(keys)
-        self.keys, self.sums = keys[order], np.r_[0, np.cumsum(counts[order])]
+        self.keys, self.sums, self.depth = keys[order], np.r_[0, np.cumsum(counts[order])], depth
         order = np.argsort(node)
-        self.node, self.weight, self.one, self.depth = np.append(node[order], ~np.uint64(0)), np.append(weight[order], 0), np.append(one[order], 0.5), depth
+        self.node, self.weight, self.one = (_sorted(x, order, last) for x, last in ((node, ~np.uint64(0)), (weight, 0), (one, 0.5)))
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
         """log10 probability of each byte after its context."""
@@ -317,6 +325,22 @@ class Blocks:
         return whole.tolist(), (pair << 8 | third).tolist()
 
 
+def _columns(df: DataFrame, names: tuple[str, ...], more: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Columns of a frame as arrays, each with more entries behind; what Arrow held is given up column by column."""
+    table, out = df.toArrow(), []
+    for name, extra in zip(names, more):
+        column = table[name]
+        whole = np.empty(len(column) + sum(map(len, extra)), column.type.to_pandas_dtype())
+        done = 0
+        for part in [c.to_numpy(zero_copy_only=False) for c in column.chunks] + extra:
+            whole[done:done + len(part)] = part.view(whole.dtype)
+            done += len(part)
+        out.append(whole)
+        del column
+        table = table.drop_columns([name])
+    return out
+
+
 class Trained:
     """Counts and nodes as tables, and the figures that describe them."""
 
@@ -386,14 +410,13 @@ class Trained:
             if middle is not None:
                 near = F.broadcast(spark.createDataFrame([(p,) for p in sorted({*pairs, *(t >> 8 for t in triples)})], "pair long"))
                 middle = middle.withColumn("pair", F.shiftright("node", 8)).join(near, "pair", "left_semi")
-        nodes = [parted.mapInArrow(_subtrees(self.depth, self.split, False), "key long, weight double, one double").toArrow()]
+        deep = parted.mapInArrow(_subtrees(self.depth, self.split, False), "key long, weight double, one double")
         if middle is not None:
-            nodes.append(middle.select((F.col("node") + F.lit(2 << int(_DEPTH_AT))).alias("key"), "weight", "one").toArrow())
-        counts = grams.toArrow()
-        key = np.concatenate([*[t["key"].to_numpy().view(np.uint64) for t in nodes], *[np.uint64(e["depth"]) << _DEPTH_AT | e["node"] for e in self.top]])
-        weight, one = (np.concatenate([*[t[c].to_numpy() for t in nodes], *[e[c] for e in self.top]]) for c in ("weight", "one"))
-        model = Model(counts["key"].to_numpy().view(np.uint64), counts["n"].to_numpy(), key, weight, one, self.depth)
-        del nodes, counts
+            deep = deep.unionByName(middle.select((F.col("node") + F.lit(2 << int(_DEPTH_AT))).alias("key"), "weight", "one"))
+        key, weight, one = _columns(deep, ("key", "weight", "one"), [[np.uint64(e["depth"]) << _DEPTH_AT | e["node"] for e in self.top], *[[e[c] for e in self.top] for c in ("weight", "one")]])
+        keys, counts = _columns(grams, ("key", "n"), [[], []])
+        model = Model(keys.view(np.uint64), counts, key.view(np.uint64), weight, one, self.depth)
+        del key, weight, one, keys, counts
         shared = spark.sparkContext.broadcast(model)
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
