@@ -496,7 +496,7 @@ def test_stages_on_odd_tables(spark, frame, tmp_path):
             out = run(spark, docs, folder)
             if not name.startswith("BPE"):
                 assert out.columns == docs.columns
-            docs = spark.createDataFrame(out.toPandas(), out.schema)
+            docs = spark.createDataFrame(out.collect(), out.schema)
         assert docs.count() == (4 if rows else 0)  # of the five rows without a text of five words, and the long ones, one each
 
 
