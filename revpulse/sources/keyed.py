@@ -16,7 +16,8 @@ from __future__ import annotations
 import datetime as dt
 import json
 import uuid
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -38,9 +39,23 @@ def held(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def adaptive(spark: SparkSession) -> Iterator[None]:
+    """Adaptive execution for a piece of work.  A stream runs its batches in a session of its own that has it off, and without it Spark
+    ignores the rebalance hint: every task would write a file for each part it has a row of."""
+    name = "spark.sql.adaptive.enabled"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def _write(rows: DataFrame, path: str) -> None:
     """One piece: each part in as few files as its size allows."""
-    rows.hint("rebalance", PART).write.partitionBy(PART).parquet(path)
+    with adaptive(rows.sparkSession):
+        rows.hint("rebalance", PART).write.partitionBy(PART).parquet(path)
 
 
 class Conflict(Exception):

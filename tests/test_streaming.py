@@ -11,7 +11,7 @@ from revpulse import schemas
 from revpulse.operators.detect import critical_alerts, detection_job
 from revpulse.operators.telemetry import consecutive_failures
 from revpulse.operators.windows import feature_store, revenue_metrics
-from revpulse.sources.keyed import StoredTable
+from revpulse.sources.keyed import StoredTable, adaptive
 from revpulse.streaming import streams
 
 DRAIN = {"availableNow": True}
@@ -313,3 +313,23 @@ def test_anomaly_feed_stream(spark, views, base):
     q = feed.writeStream.format("memory").queryName("live").trigger(**DRAIN).option("checkpointLocation", str(base / "c")).start()
     q.awaitTermination()
     assert spark.table("live").count() == views.anomalies.count()
+
+
+def test_a_batch_over_many_days_writes_a_file_a_day(spark, base):
+    """A stream's session has adaptive execution off; the pieces are still gathered by day, and the setting stays as it was."""
+    feed = Feed(base / "in")
+    feed.add(*[message(i, f"2024-01-{1 + i % 20:02d}T{i // 20:02d}:00:00Z") for i in range(200)])
+    run(spark, base)
+    for name in ("order_events", "revenue_metrics", "feature_store"):
+        pieces = [p for p in (base / "out" / name / "data").glob("*/stored_part=*")]
+        assert len(pieces) >= 20
+        assert [len(list(p.glob("*.parquet"))) for p in pieces] == [1] * len(pieces), name
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        with pytest.raises(ValueError), adaptive(spark):
+            assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+            raise ValueError
+        assert spark.conf.get("spark.sql.adaptive.enabled") == "false"
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
