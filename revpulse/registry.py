@@ -995,31 +995,44 @@ def alert_state_steps(v):
 
 # --- streaming: the same tables through Structured Streaming ----------------------------------------
 
-SLICES, FILES = 10, 2  # micro-batches of a test feed, and files of each
+SLICES, FILES = 10, 2  # micro-batches of a test feed, and the least files of each
+FILE_ROWS = 100_000  # from here on a micro-batch has more files
 
 
 def _write_feed(v, write):
     """Hands ``write`` the events in time-ordered slices, one after the other: with repeats inside a slice, and with repeats
-    of rows two slices old, which are too late for any watermark."""
+    of rows two slices old, which are too late for any watermark.  Returns the number of files of a slice, the same for all.
+
+    The events are read once and put down by slice, so a slice costs what lies in it.
+    """
     events = v.table("events")
     low, high = events.agg(F.min("ts"), F.max("ts")).first()
     step = (high - low) / SLICES
+    number = F.lit(SLICES - 1)
+    for i in reversed(range(SLICES - 1)):
+        number = F.when(F.col("ts") < F.lit(low + (i + 1) * step), i).otherwise(number)
+    path = warehouse.fresh_path(v.spark, "slices")
+    events.where("ts is not null").withColumn("__slice", number).write.partitionBy("__slice").parquet(path)
+    stored = v.spark.read.schema(T.StructType([*events.schema.fields, T.StructField("__slice", T.IntegerType())])).parquet(path)
+    sizes = {r["__slice"]: r["count"] for r in stored.groupBy("__slice").count().collect()}
+    files = max(FILES, min(sizes.get(i, 0) for i in range(SLICES)) // FILE_ROWS)
     for i in range(SLICES):
-        def between(a, b):
-            return events.where((F.col("ts") >= F.lit(low + a * step)) & (F.col("ts") < F.lit(low + b * step) if b < SLICES else F.lit(True)))
+        def between(a):
+            return stored.where(F.col("__slice") == a).drop("__slice")
 
-        part = between(i, i + 1)
+        part = between(i)
         part = part.unionByName(part.where("event_id % 50 = 0"))
         if i > 1:
-            part = part.unionByName(between(i - 2, i - 1).where("event_id % 70 = 0"))
-        write(part.repartition(FILES))
+            part = part.unionByName(between(i - 2).where("event_id % 70 = 0"))
+        write(part.repartition(files))
+    return files
 
 
 def _drain(v, start):
     """Runs one streaming query over the feed to its end; returns its sink folder."""
     folder = warehouse.fresh_path(v.spark, "stream")
-    _write_feed(v, lambda part: part.write.mode("append").parquet(f"{folder}/feed"))
-    events = v.spark.readStream.schema(v.table("events").schema).option("maxFilesPerTrigger", FILES).parquet(f"{folder}/feed")
+    files = _write_feed(v, lambda part: part.write.mode("append").parquet(f"{folder}/feed"))
+    events = v.spark.readStream.schema(v.table("events").schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/feed")
     clean = streams.clean_events(v.orders_from(events).drop("ingested_at"))
     streams.await_streams([start(clean, f"{folder}/tables", f"{folder}/checkpoints", {"availableNow": True})])
     return f"{folder}/tables"
@@ -1029,7 +1042,7 @@ def _message_feed(v, folder):
     def write(part):
         v.wire_of(part).select("value").write.mode("append").text(f"{folder}/messages")
 
-    _write_feed(v, write)
+    return _write_feed(v, write)
 
 
 @query
@@ -1067,8 +1080,8 @@ def stream_detection(v):
 def supervised_batches(v):
     """The log of a sink that fails four times on its third batch, and is restarted each time."""
     folder = warehouse.fresh_path(v.spark, "batches")
-    _write_feed(v, lambda part: part.write.mode("append").parquet(f"{folder}/feed"))
-    feed = v.spark.readStream.schema(v.table("events").schema).option("maxFilesPerTrigger", FILES).parquet(f"{folder}/feed")
+    files = _write_feed(v, lambda part: part.write.mode("append").parquet(f"{folder}/feed"))
+    feed = v.spark.readStream.schema(v.table("events").schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/feed")
     left = [4]
 
     def sink(batch, batch_id):
@@ -1089,10 +1102,10 @@ def supervised_batches(v):
 def run_streams(v):
     """All three queries on one source of messages; rows of the tables they keep."""
     folder = warehouse.fresh_path(v.spark, "streams")
-    _message_feed(v, folder)
+    files = _message_feed(v, folder)
     tables_at = f"{folder}/tables"
     streams.await_streams(streams.run_streams(
-        v.spark, f"{folder}/messages", tables_at, f"{folder}/checkpoints", {"availableNow": True}, max_per_trigger=FILES))
+        v.spark, f"{folder}/messages", tables_at, f"{folder}/checkpoints", {"availableNow": True}, max_per_trigger=files))
     dead = warehouse.read_warehouse(v.spark, f"{tables_at}/dlq_events")
     return lifecycle.table_counts({
         "order_events": streams.current_orders(v.spark, tables_at), "revenue_metrics": streams.current_metrics(v.spark, tables_at),
@@ -1104,8 +1117,8 @@ def run_streams(v):
 def batch_log(v):
     """The log of a stream whose third batch fails."""
     folder = warehouse.fresh_path(v.spark, "batches")
-    _write_feed(v, lambda part: part.write.mode("append").parquet(f"{folder}/feed"))
-    feed = v.spark.readStream.schema(v.table("events").schema).option("maxFilesPerTrigger", FILES).parquet(f"{folder}/feed")
+    files = _write_feed(v, lambda part: part.write.mode("append").parquet(f"{folder}/feed"))
+    feed = v.spark.readStream.schema(v.table("events").schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/feed")
 
     def sink(batch, batch_id):
         if batch_id == 2:
