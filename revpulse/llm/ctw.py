@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,13 +43,12 @@ _HELD = 500_000  # keys a task gathers before it hands them on
 
 
 class HashIndex:
-    """Positions of 64-bit keys, by open addressing on whole arrays."""
+    """Positions of 64-bit keys, by open addressing on whole arrays; the keys themselves are not copied."""
 
     def __init__(self, keys: np.ndarray):
         bits = max(4, int(math.ceil(math.log2(2 * len(keys) + 2))))
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.at = np.full(1 << bits, -1, np.int32)
-        self.key = np.zeros(1 << bits, np.uint64)
+        self.at, self.keys = np.full(1 << bits, -1, np.int32), keys
         slot = (words.mix(keys) >> self.shift).astype(np.int64)
         left = np.arange(len(keys), dtype=np.int32)
         while len(left):
@@ -56,20 +56,20 @@ class HashIndex:
             self.at[slot[free]] = left[free]
             lost = self.at[slot] != left
             left, slot = left[lost], slot[lost] + 1 & self.mask
-        used = self.at >= 0
-        self.key[used] = keys[self.at[used]]
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """Index into the keys, or -1."""
         slot = (words.mix(values) >> self.shift).astype(np.int64)
         out = self.at[slot]
-        left = np.flatnonzero((out >= 0) & (self.key[slot] != values))
+        left = np.flatnonzero(out >= 0)
+        left = left[self.keys[out[left]] != values[left]]
         slot = slot[left]
         while len(left):
             slot = slot + 1 & self.mask
             out[left] = self.at[slot]
-            more = (out[left] >= 0) & (self.key[slot] != values[left])
-            left, slot = left[more], slot[more]
+            some = np.flatnonzero(out[left] >= 0)
+            some = some[self.keys[out[left[some]]] != values[left[some]]]
+            left, slot = left[some], slot[some]
         return out
 
 
@@ -177,6 +177,13 @@ class Model:
         self.keys, self.sums, self.depth = keys[order], np.r_[0, np.cumsum(counts[order])], depth
         order = np.argsort(node)
         self.node, self.weight, self.one = (_sorted(x, order, last) for x, last in ((node, ~np.uint64(0)), (weight, 0), (one, 0.5)))
+        self._index = None
+
+    def index(self) -> HashIndex:
+        """Of the keys; built once in a worker that holds the model, not once a task, and given up with it."""
+        if self._index is None:
+            self._index = HashIndex(self.keys)
+        return self._index
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
         """log10 probability of each byte after its context."""
@@ -392,8 +399,8 @@ class Trained:
         block.count = now + 1
         return block
 
-    def block(self, of: Blocks, b: int) -> tuple[Model, np.ndarray, np.ndarray]:
-        """(model, gram keys, their log10 probabilities) of one block."""
+    def block(self, of: Blocks, b: int) -> tuple[Broadcast, np.ndarray]:
+        """(broadcast model, log10 probabilities of its gram keys and a 0 behind them) of one block."""
         spark = self.grams.sparkSession
         grams, parted, middle = self.grams, self.parted, self.middle
         if of.count > 1:
@@ -415,17 +422,16 @@ class Trained:
             deep = deep.unionByName(middle.select((F.col("node") + F.lit(2 << int(_DEPTH_AT))).alias("key"), "weight", "one"))
         key, weight, one = _columns(deep, ("key", "weight", "one"), [[np.uint64(e["depth"]) << _DEPTH_AT | e["node"] for e in self.top], *[[e[c] for e in self.top] for c in ("weight", "one")]])
         keys, counts = _columns(grams, ("key", "n"), [[], []])
-        model = Model(keys.view(np.uint64), counts, key.view(np.uint64), weight, one, self.depth)
+        shared = spark.sparkContext.broadcast(Model(keys.view(np.uint64), counts, key.view(np.uint64), weight, one, self.depth))
         del key, weight, one, keys, counts
-        shared = spark.sparkContext.broadcast(model)
+        pa.default_memory_pool().release_unused()
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([batch["key"], pa.array(shared.value.log10(batch["key"].to_numpy().view(np.uint64)))], names=["key", "p"])
 
         known = grams.select("key").mapInArrow(score, "key long, p double").toArrow()
-        shared.unpersist()
-        return model, known["key"].to_numpy().view(np.uint64), known["p"].to_numpy()
+        return shared, _sorted(known["p"].to_numpy(), np.argsort(known["key"].to_numpy().view(np.uint64)), 0)
 
 
 # --- scoring -----------------------------------------------------------------------------------------------
@@ -433,11 +439,14 @@ class Trained:
 _ROWS = "h long, kind int, id long, n long, doc_id long, held int, n_tokens long, n_bytes long, n_known long, base double, model double"
 
 
-def _score(shared, with_words: bool):
+_PIECE = 1 << 18  # bytes of text that a task holds arrays for at a time
+
+
+def _score(model, shared, with_words: bool):
     """One row per document (kind 1) and, in the pass with words, one per document and rare word (kind 0)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, keys, p, frequent, logs, of, b = shared.value
-        known, words_at = HashIndex(keys), HashIndex(frequent)
+        table, (p, frequent, logs, of, b) = model.value, shared.value
+        known, words_at = table.index(), HashIndex(frequent)
 
         def batch_of(cols: list, n: int, kind: int) -> pa.RecordBatch:
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
@@ -445,21 +454,21 @@ def _score(shared, with_words: bool):
             given = dict(cols, kind=np.full(n, kind, np.int32))
             return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c not in given else given[c] if isinstance(given[c], pa.Array) else pa.array(given[c], t) for c, t in zip(names, types)], names=names)
 
-        for batch in words.pieces(batches):
+        for batch in words.pieces(batches, most=_PIECE):
             w = words.words_of(words.texts_of(batch["text"]), words.NOT_SPACE, lower=True)
             n = batch.num_rows
             data, first = model_bytes(w)
             gram = gram_keys(data, first, table.depth)
             mine = of.of(gram, table.depth) == b
             at = known.find(gram)
-            part = np.where(at >= 0, np.r_[p, 0.0][at], 0.0)
+            part = p[at]  # the last entry where there is none
             missing = np.flatnonzero((at < 0) & mine)
             if len(missing):
                 rare, back = np.unique(gram[missing], return_inverse=True)
                 part[missing] = table.log10(rare)[back]
-            model = np.add.reduceat(part, first[:-1]) if n else np.zeros(0)
+            total = np.add.reduceat(part, first[:-1]) if n else np.zeros(0)
             ids = batch["id"].to_numpy(zero_copy_only=False)
-            row = {"h": ids, "id": ids, "doc_id": batch["doc_id"], "held": batch["held"], "n_tokens": w.counts() + 1, "n_bytes": np.diff(first), "model": model}
+            row = {"h": ids, "id": ids, "doc_id": batch["doc_id"], "held": batch["held"], "n_tokens": w.counts() + 1, "n_bytes": np.diff(first), "model": total}
             if with_words:
                 h = np.r_[w.hashes(), np.full(n, END_WORD)]
                 doc = np.r_[w.doc, np.arange(n)]
@@ -494,9 +503,9 @@ def score(docs: DataFrame, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
     of = trained.blocks(block)
     rows = None
     for b in range(of.count):
-        table, keys, p = trained.block(of, b)
-        shared = spark.sparkContext.broadcast((table, keys, p, hashes, logs, of, b))
-        part = base.mapInArrow(_score(shared, b == 0), _ROWS)
+        model, p = trained.block(of, b)
+        shared = spark.sparkContext.broadcast((p, hashes, logs, of, b))
+        part = base.mapInArrow(_score(model, shared, b == 0), _ROWS)
         rows = part if rows is None else rows.unionByName(part)
     rare = trained.words.where(F.col("n") * FREQUENT < trained.tokens).select(F.col("key").alias("h"), F.lit(0).alias("kind"), F.col("n").alias("c"))
     met = rows.join(rare, ["h", "kind"], "left")

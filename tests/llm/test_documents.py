@@ -352,6 +352,20 @@ def test_scores_use_contexts_of_five_bytes(frame, block):
         assert abs(got[i] - tree.log10(said(t))) < 1e-6
 
 
+def test_a_worker_holds_the_keys_of_a_block_once(frame):
+    trained = ctw.Trained(frame([(i, f"some words {i} and more of {i % 7}") for i in range(40)]).select("text"), 5)
+    shared, p = trained.block(trained.blocks(1000), 0)
+    model = shared.value
+    assert len(p) == len(model.keys) + 1 and p[-1] == 0
+    assert np.allclose(p[:-1], model.log10(model.keys))
+    index = model.index()
+    assert index is model.index() and index.keys is model.keys  # no copy, built once
+    assert sum(x.nbytes for x in vars(index).values() if isinstance(x, np.ndarray) and x is not model.keys) <= 4 * max(16, 4 * len(model.keys) + 4)
+    assert (index.find(model.keys) == np.arange(len(model.keys))).all()
+    other = np.setdiff1d(np.arange(5000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), model.keys)
+    assert (index.find(other) == -1).all() and (ctw.HashIndex(model.keys[:0]).find(other) == -1).all()
+
+
 def test_probabilities_sum_to_one():
     keys = ctw.gram_keys(np.frombuffer(b"abracadabra\n", np.uint8), np.array([0, 12]), 3)
     k, n = np.unique(keys, return_counts=True)
